@@ -1,0 +1,14 @@
+"""The table views themselves, as queries."""
+
+from runledger.plans.registry import query
+from runledger.plans.tables import SQL, Tables
+
+
+def _register(view: str) -> None:
+    @query(f"view_{view}", f"SELECT * FROM {view}", views=(view,))
+    def _view(t: Tables):
+        return getattr(t, view)
+
+
+for _name in SQL:
+    _register(_name)

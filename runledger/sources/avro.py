@@ -1,0 +1,194 @@
+"""A small reader and writer of Avro container files holding the event records.
+
+Used inside tasks where the Avro data source is not on the classpath: null and deflate codecs,
+records decoded by the schema stored in the file.
+"""
+
+from __future__ import annotations
+
+import io
+import json
+import struct
+import zlib
+from collections.abc import Iterator
+
+MAGIC = b"Obj\x01"
+SYNC = bytes(range(16))
+
+_METRICS = {
+    "type": "array",
+    "items": {"type": "record", "name": "Metric", "fields": [
+        {"name": "name", "type": "string"}, {"name": "value", "type": "double"}]},
+}
+
+
+def _record(name: str, **fields) -> dict:
+    return {"type": "record", "name": name, "fields": [{"name": n, "type": t} for n, t in fields.items()]}
+
+
+# Fixed: the stored event schema. A named type is spelled out once and then used by its name.
+EVENT_SCHEMA = _record(
+    "Event",
+    type={"type": "enum", "name": "EventType",
+          "symbols": ["APPLICATION_INITED", "APPLICATION_FINISHED", "TASK_STARTED", "TASK_FINISHED"]},
+    event=[
+        _record("ApplicationInited", applicationId="string", numTasks="int", host="string",
+                containerID=["null", "string"]),
+        _record("ApplicationFinished", applicationId="string", finishedTasks="int", failedTasks="int",
+                metrics=_METRICS),
+        _record("TaskStarted", taskType="string", taskIndex="int", host="string", containerID=["null", "string"]),
+        _record("TaskFinished", taskType="string", taskIndex="int", status="string",
+                metrics={"type": "array", "items": "Metric"}, containerDiagnostic=["null", "string"]),
+    ],
+    timestamp="long",
+)
+
+
+class Truncated(Exception):
+    """The file ends inside a value."""
+
+
+def _take(buf: io.BytesIO, n: int) -> bytes:
+    got = buf.read(n)
+    if len(got) < n:
+        raise Truncated
+    return got
+
+
+def _long(buf: io.BytesIO) -> int:
+    shift = value = 0
+    while True:
+        b = _take(buf, 1)[0]
+        value |= (b & 0x7F) << shift
+        if b < 0x80:
+            return (value >> 1) ^ -(value & 1)
+        shift += 7
+
+
+def _bytes(buf: io.BytesIO) -> bytes:
+    return _take(buf, _long(buf))
+
+
+def _name(schema) -> str:
+    return (schema.get("name") or schema["type"]) if isinstance(schema, dict) else schema
+
+
+def _read(schema, buf: io.BytesIO, known: dict):
+    """One value. A record read through a union becomes (record name, fields)."""
+    if isinstance(schema, list):
+        branch = schema[_long(buf)]
+        value = _read(branch, buf, known)
+        return (_name(branch).rsplit(".", 1)[-1], value) if isinstance(value, dict) else value
+    kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(schema, dict) and "name" in schema:
+        known[schema["name"]] = schema
+    if kind == "null":
+        return None
+    if kind == "boolean":
+        return _take(buf, 1) == b"\x01"
+    if kind in ("int", "long"):
+        return _long(buf)
+    if kind == "float":
+        return struct.unpack("<f", _take(buf, 4))[0]
+    if kind == "double":
+        return struct.unpack("<d", _take(buf, 8))[0]
+    if kind == "string":
+        return _bytes(buf).decode("utf-8")
+    if kind == "bytes":
+        return _bytes(buf)
+    if kind == "enum":
+        return schema["symbols"][_long(buf)]
+    if kind == "record":
+        return {f["name"]: _read(f["type"], buf, known) for f in schema["fields"]}
+    if kind in ("array", "map"):
+        items: list = []
+        while n := _long(buf):
+            if n < 0:
+                _long(buf)
+            for _ in range(abs(n)):
+                key = _bytes(buf).decode("utf-8") if kind == "map" else None
+                value = _read(schema["items" if kind == "array" else "values"], buf, known)
+                items.append(value if kind == "array" else (key, value))
+        return items if kind == "array" else dict(items)
+    return _read(known[kind] if kind in known else known[kind.rsplit(".", 1)[-1]], buf, known)
+
+
+def read_blocks(content: bytes) -> Iterator[list[dict]]:
+    """Records of a container file, block by block, up to where it is damaged or cut off."""
+    buf = io.BytesIO(content)
+    try:
+        if _take(buf, 4) != MAGIC:
+            return
+        meta = _read({"type": "map", "values": "bytes"}, buf, {})
+        schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null")
+        sync, known = _take(buf, 16), {}
+        while buf.tell() < len(content):
+            count, size = _long(buf), _long(buf)
+            data = buf.read(size)
+            if codec == b"deflate":
+                inflate = zlib.decompressobj(-15)
+                data = inflate.decompress(data)
+            block, records = io.BytesIO(data), []
+            try:
+                for _ in range(count):
+                    records.append(_read(schema, block, known))
+            finally:
+                yield records
+            if _take(buf, 16) != sync:
+                return
+    except (Truncated, zlib.error, ValueError, KeyError, IndexError):
+        return
+
+
+def _put_long(n: int) -> bytes:
+    n = (n << 1) ^ (n >> 63)
+    out = bytearray()
+    while n > 0x7F or n < 0:
+        out.append((n & 0x7F) | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _put_text(text: str) -> bytes:
+    raw = text.encode("utf-8")
+    return _put_long(len(raw)) + raw
+
+
+def _put(schema, value) -> bytes:
+    kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(schema, list):
+        names = [_name(s) for s in schema]
+        if value is None:
+            return _put_long(names.index("null"))
+        at = names.index(value[0]) if isinstance(value, tuple) else names.index("string")
+        return _put_long(at) + _put(schema[at], value[1] if isinstance(value, tuple) else value)
+    if kind in ("int", "long"):
+        return _put_long(value)
+    if kind == "double":
+        return struct.pack("<d", value)
+    if kind == "string":
+        return _put_text(value)
+    if kind == "enum":
+        return _put_long(schema["symbols"].index(value))
+    if kind == "array":
+        item = _METRICS["items"] if schema["items"] == "Metric" else schema["items"]
+        body = b"".join(_put(item, v) for v in value)
+        return (_put_long(len(value)) + body if value else b"") + b"\x00"
+    return b"".join(_put(f["type"], value[f["name"]]) for f in schema["fields"])
+
+
+def write_container(events: list[dict], codec: str = "deflate", block: int = 1000) -> bytes:
+    """Bytes of a container file holding ``events`` ({type, event: (record name, fields), timestamp})."""
+    head = _put_long(2)
+    head += _put_text("avro.schema") + _put_text(json.dumps(EVENT_SCHEMA))
+    head += _put_text("avro.codec") + _put_text(codec) + b"\x00"
+    out = [MAGIC, head, SYNC]
+    for i in range(0, len(events), block):
+        part = events[i : i + block]
+        body = b"".join(_put(EVENT_SCHEMA, e) for e in part)
+        if codec == "deflate":
+            squeeze = zlib.compressobj(9, zlib.DEFLATED, -15)
+            body = squeeze.compress(body) + squeeze.flush()
+        out += [_put_long(len(part)), _put_long(len(body)), body, SYNC]
+    return b"".join(out)
