@@ -179,19 +179,23 @@ def group_timeouts(
     launched = F.lit(True) if launched is None else launched
     whole = tasks.groupBy("k").agg(F.bool_and(launched).alias("_all")).where("_all").select("k")
     now = as_of_ms if isinstance(as_of_ms, Column) else F.lit(as_of_ms)
-    late = (
-        F.col("done")
-        & (F.col("latest_end") != 0)
-        & (now - F.col("latest_end") > F.col("timeout_s") * 1000)
-    )
-    return (
-        awaited_groups(tasks, rules, members)
-        .join(whole, "k")
-        .where(late)
-        .withColumn("outcome", F.when(F.col("ignored"), "UNTRACKED").otherwise("FAILED"))
+    return overdue(awaited_groups(tasks, rules, members).join(whole, "k"), now)
+
+
+def overdue(awaited: DataFrame, now: Column) -> DataFrame:
+    """Awaited groups that ended more than the rule's timeout ago, with the outcome."""
+    late = now - F.col("latest_end") > F.col("timeout_s").cast("long") * 1000
+    return awaited.where(F.col("done") & (F.col("latest_end") != 0) & late).withColumn(
+        "outcome", F.when(F.col("ignored"), "UNTRACKED").otherwise("FAILED")
     )
 
 
+def app_timeouts(apps: DataFrame, limit_ms: int, as_of_ms: Column) -> DataFrame:
+    """Applications past their time limit (0 is none)."""
+    elapsed = as_of_ms - F.col("started_ms")
+    return apps.withColumn("elapsed_ms", elapsed).where((F.col("elapsed_ms") > limit_ms) & F.lit(limit_ms > 0))
+
+
 def match_arrivals(arrivals: DataFrame, slots: DataFrame, hot: bool | None = None) -> DataFrame:
     """The i-th arrival with a priority takes the i-th free slot of the role owning it.
 

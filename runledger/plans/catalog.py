@@ -1,6 +1,6 @@
 """Every registered query; importing this module loads all plan modules."""
 
-from runledger.plans import scalars  # noqa: F401
+from runledger.plans import history, scalars, tasks  # noqa: F401
 from runledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
