@@ -87,6 +87,11 @@ class Series:
     def _drop_in(self, df: DataFrame) -> DataFrame:
         return df.drop(*(c for c in df.columns if c.startswith("_in_")))
 
+    def map(self, change) -> Series:
+        """Change the rows by a function that keeps keys, order and number of rows."""
+        self._df = change(self._df)
+        return self
+
     def running(self, **sums: Column) -> Series:
         """Add the sum of each column from the key's first row up to this one."""
         w = self._window().rowsBetween(Window.unboundedPreceding, 0)

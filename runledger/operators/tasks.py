@@ -129,14 +129,13 @@ def role_summary(tasks: DataFrame) -> DataFrame:
     )
 
 
-def group_completion(tasks: DataFrame, members: DataFrame) -> DataFrame:
-    """Per (app, group): are all members done, and when did the last end.
+def group_completion(roles: DataFrame, members: DataFrame) -> DataFrame:
+    """Per (app, group) of a role summary: are all members done, and when did the last end.
 
     ``members``: grp, role, from configuration. Roles an application lacks do not count.
     """
     return (
-        role_summary(tasks)
-        .join(members, "role")
+        roles.join(members, "role")
         .groupBy("k", "grp")
         .agg(
             (F.max("running") == 0).alias("done"),
@@ -146,17 +145,17 @@ def group_completion(tasks: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def awaited_groups(tasks: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
-    """Running roles that wait for a group, with the state of that group.
+def awaited_groups(roles: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
+    """Running roles of a role summary that wait for a group, with the state of that group.
 
     ``rules``: role, grp, timeout_s, ignored. One group per role: the last by name.
     """
     one = rules.groupBy("role").agg(F.max_by(F.struct("grp", "timeout_s", "ignored"), "grp").alias("r"))
-    waiting = role_summary(tasks).where("running > 0").select("k", "role").join(
+    waiting = roles.where("running > 0").select("k", "role").join(
         one.select("role", "r.*"), "role"
     )
     known = members.select("grp").distinct()
-    state = group_completion(tasks, members).select("k", "grp", "done", "latest_end")
+    state = group_completion(roles, members).select("k", "grp", "done", "latest_end")
     return (
         waiting.join(known, "grp")
         .join(state, ["k", "grp"], "left")
@@ -179,7 +178,7 @@ def group_timeouts(
     launched = F.lit(True) if launched is None else launched
     whole = tasks.groupBy("k").agg(F.bool_and(launched).alias("_all")).where("_all").select("k")
     now = as_of_ms if isinstance(as_of_ms, Column) else F.lit(as_of_ms)
-    return overdue(awaited_groups(tasks, rules, members).join(whole, "k"), now)
+    return overdue(awaited_groups(role_summary(tasks), rules, members).join(whole, "k"), now)
 
 
 def overdue(awaited: DataFrame, now: Column) -> DataFrame:
@@ -254,6 +253,14 @@ def gang_state(tasks: DataFrame, registered: Column, first_come: bool = False) -
     return seen.withColumn("ready", ready)
 
 
+def gang_release(tasks: DataFrame, registered_ms: Column) -> DataFrame:
+    """When the last task of each application registered; none while one is missing."""
+    seen = tasks.groupBy("k").agg(
+        F.bool_and(registered_ms.isNotNull()).alias("_all"), F.max(registered_ms).alias("release_ms")
+    )
+    return seen.where("_all").drop("_all")
+
+
 def dependency_countdown(tasks: DataFrame, edges: DataFrame, hot: bool | None = None) -> DataFrame:
     """Instances left per (role, dependency) after each finish of the dependency.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.config import percent_used
 from runledger.operators.series import Series
+from runledger.operators.skew import dim_join
 
 UNSET = -1.0
 ORDER = ["ts_ms", "id"]
@@ -21,28 +22,40 @@ def running_maximum(samples: DataFrame) -> DataFrame:
     )
 
 
-def running_average(samples: DataFrame, hot: bool | None = None) -> DataFrame:
+def running_average(
+    samples: DataFrame, hot: bool | None = None, start: DataFrame | None = None
+) -> DataFrame:
     """Average after all samples, where each sample n counts from 0, failed ones included.
 
     A sample v makes the average (avg * n + v) / (n + 1); a failed one leaves it and only n
     advances. With w = the product of n / (n + 1) over later samples, the end value is the sum
     of v / (n + 1) * w, plus the start value times the whole product unless sample 0 was good.
     Products run as sums of logarithms, so both steps are mergeable sums and no list is built.
+
+    ``start``: task, refreshes, avg_value to go on from.
     """
     good = F.col("value").isNotNull()
     placed = Series(samples, ["task"], ORDER, hot).row_number("_n")
-    n = (F.col("_n") - 1).cast("double")
-    shrink = F.when(good & (F.col("_n") > 1), F.log(n / (n + 1))).otherwise(F.lit(0.0))
-    logs = placed.running(_log=shrink).df
+    if start is not None:
+        before = start.select("task", F.col("refreshes").alias("_n0"), F.col("avg_value").alias("_avg0"))
+        placed = placed.map(lambda df: dim_join(df, before, "task", "left", [] if hot is False else None))
+        at = F.col("_n") + F.coalesce("_n0", F.lit(0).cast("long"))
+    else:
+        placed = placed.map(lambda df: df.withColumn("_avg0", F.lit(None).cast("double")))
+        at = F.col("_n")
+    n1 = at.cast("double")
+    shrink = F.when(good & (at > 1), F.log((n1 - 1) / n1)).otherwise(F.lit(0.0))
+    logs = placed.map(lambda df: df.withColumn("_at", at)).running(_log=shrink).df
     seen = logs.groupBy("task").agg(
-        F.sum(F.when(good, F.col("value") / F.col("_n") * F.exp(-F.col("_log")))).alias("_sum"),
+        F.sum(F.when(good, F.col("value") / F.col("_at") * F.exp(-F.col("_log")))).alias("_sum"),
         F.min("_log").alias("_all"),
-        F.max(F.when(F.col("_n") == 1, good)).alias("_first_good"),
-        F.count(F.lit(1)).alias("refreshes"),
+        F.bool_or((F.col("_at") == 1) & good).alias("_first_good"),
+        F.max("_at").alias("refreshes"),
+        F.max("_avg0").alias("_avg0"),
     )
-    start = F.when(F.col("_first_good"), F.lit(0.0)).otherwise(F.lit(UNSET))
+    first = F.when(F.col("_first_good"), F.lit(0.0)).otherwise(F.coalesce("_avg0", F.lit(UNSET)))
     return seen.select(
-        "task", "refreshes", (F.exp("_all") * (F.coalesce("_sum", F.lit(0.0)) + start)).alias("avg_value")
+        "task", "refreshes", (F.exp("_all") * (F.coalesce("_sum", F.lit(0.0)) + first)).alias("avg_value")
     )
 
 

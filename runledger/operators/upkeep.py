@@ -10,13 +10,10 @@ from runledger.functions.names import in_progress, parse_history_name, zoned
 
 def store_partition(files: DataFrame, zone: str = "UTC") -> DataFrame:
     """Finished history files with the year, month and day they belong under, by completion."""
-    done = zoned(parse_history_name("name")["completed_ms"], zone)
-    return files.where(~in_progress("name")).withColumns(
-        {
-            "year": F.date_format(done, "yyyy"), "month": F.date_format(done, "MM"),
-            "day": F.date_format(done, "dd"),
-        }
-    )
+    done = zoned(parse_history_name("name")["completed_ms"], zone).cast("date")
+    placed = files.where(~in_progress("name")).withColumn("_done", done)
+    part = lambda pattern: F.date_format("_done", pattern)
+    return placed.withColumns({"year": part("yyyy"), "month": part("MM"), "day": part("dd")}).drop("_done")
 
 
 def expired_partitions(partitions: DataFrame, cutoff: Column) -> DataFrame:

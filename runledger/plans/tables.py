@@ -20,6 +20,25 @@ def epoch_ms(c: str) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
+def samples_of(events: DataFrame) -> DataFrame:
+    """Metric samples (a failed one is null) of an events table or stream."""
+    return events.select(
+        F.col("user_id").alias("task"), F.col("event_id").alias("id"), epoch_ms("ts").alias("ts_ms"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+    )
+
+
+def pings_of(events: DataFrame) -> DataFrame:
+    """Register, ping and result calls of an events table or stream."""
+    return events.select(
+        F.col("user_id").alias("task"), F.col("event_id").alias("id"), epoch_ms("ts").alias("ts_ms"),
+        F.when(F.col("event_type") == "signup", "register")
+        .when(F.col("event_type") == "purchase", "result")
+        .otherwise("ping")
+        .alias("kind"),
+    )
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -164,25 +183,13 @@ class Tables:
             (F.col("file_pos") - 1).alias("file_pos"),
         )
 
-    def _events(self) -> DataFrame:
-        return self.raw("events").withColumn("ts_ms", epoch_ms("ts"))
-
     @cached_property
     def samples(self) -> DataFrame:
-        return self._events().select(
-            F.col("user_id").alias("task"), F.col("event_id").alias("id"), "ts_ms",
-            F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
-        )
+        return samples_of(self.raw("events"))
 
     @cached_property
     def pings(self) -> DataFrame:
-        return self._events().select(
-            F.col("user_id").alias("task"), F.col("event_id").alias("id"), "ts_ms",
-            F.when(F.col("event_type") == "signup", "register")
-            .when(F.col("event_type") == "purchase", "result")
-            .otherwise("ping")
-            .alias("kind"),
-        )
+        return pings_of(self.raw("events"))
 
     @cached_property
     def app_config_layer(self) -> DataFrame:
@@ -277,12 +284,12 @@ class Tables:
                 "usr", F.lit("-"), "status", F.lit(".jhist"),
             )
         )
-        k = F.col("k")
-        return self.apps.select(
+        k, plain = F.col("k"), F.col("base")
+        return self.apps.select("k", base.alias("base")).select(
             "k",
-            F.when(k % 17 == 3, F.upper(base))
-            .when(k % 17 == 5, F.replace(base, F.lit("application_"), F.lit("job_")))
-            .otherwise(base)
+            F.when(k % 17 == 3, F.upper(plain))
+            .when(k % 17 == 5, F.replace(plain, F.lit("application_"), F.lit("job_")))
+            .otherwise(plain)
             .alias("name"),
         )
 
@@ -404,7 +411,7 @@ NEEDS = {"event_log": ["apps", "tasks"], "file_names": ["apps"]}
 
 
 def with_views(sql: str, *views: str, recursive: bool = False) -> str:
-    """``sql`` (a SELECT, or ``name AS (...), ... SELECT``) under the named views."""
+    """``sql`` (a SELECT, or ``name AS (...), ... SELECT``) under the named views; whole text stays."""
     names: list[str] = []
     for view in views:
         for v in [*NEEDS.get(view, []), view]:
@@ -413,6 +420,8 @@ def with_views(sql: str, *views: str, recursive: bool = False) -> str:
     head = ",\n".join(f"{v} AS ({SQL[v]})" for v in names)
     sql = sql.strip()
     lead = "WITH RECURSIVE " if recursive else "WITH "
+    if sql.upper().startswith("WITH"):
+        return sql
     if sql.upper().startswith("SELECT"):
         return f"{lead}{head}\n{sql}" if names else sql
     return f"{lead}{head + ',' if names else ''}\n{sql}"

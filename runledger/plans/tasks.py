@@ -134,12 +134,12 @@ AWAIT_SQL = f"""{GROUP_SQL},
     ("tasks",),
 )
 def group_completion(t: Tables):
-    return tasks.group_completion(t.tasks, members(t))
+    return tasks.group_completion(tasks.role_summary(t.tasks), members(t))
 
 
 @query("J04_awaited_groups", f"{AWAIT_SQL} SELECT * FROM aw", ("tasks",))
 def awaited_groups(t: Tables):
-    return tasks.awaited_groups(t.tasks, rules(t), members(t))
+    return tasks.awaited_groups(tasks.role_summary(t.tasks), rules(t), members(t))
 
 
 TIMEOUT_SQL = f"""{AWAIT_SQL},
@@ -150,7 +150,7 @@ TIMEOUT_SQL = f"""{AWAIT_SQL},
 
 @query("T07_group_timeout", TIMEOUT_SQL, ("tasks",))
 def group_timeout(t: Tables):
-    judged = tasks.awaited_groups(t.tasks, rules(t), members(t))
+    judged = tasks.awaited_groups(tasks.role_summary(t.tasks), rules(t), members(t))
     now = t.tasks.groupBy("k").agg(
         (F.max("start_ms") + HOUR).alias("now_ms"), F.bool_and(F.col("host") != "host9").alias("whole")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,47 +15,39 @@ from runledger.sources.eventlog import BRANCHES
 FILE_EVENTS = 65_536
 
 
-def write_event_log(events: DataFrame, path: str, by_app: bool = False, mode: str = "append") -> None:
-    """Append events, in order, to the log at ``path``.
+def write_event_log(events: DataFrame, path: str, period: str = "yyyy-MM-dd", mode: str = "append") -> None:
+    """Append events to the log at ``path``, one directory per period of event time.
 
-    By default files are clustered by day and range-partitioned on (application, position), so
-    a large application spans files and a small one shares them. ``by_app`` gives each
-    application a directory of its own.
+    Files are range-partitioned on (period, application, position) and sorted, so a large
+    application spans files, small ones share them, and order survives.
     """
-    if by_app:
-        events.repartitionByRange("k", "file_pos").sortWithinPartitions("k", "file_pos").write.mode(
-            mode
-        ).partitionBy("k").parquet(path)
-        return
-    day = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")
-    events.withColumn("day", day).repartitionByRange("day", "k", "file_pos").sortWithinPartitions(
-        "day", "k", "file_pos"
-    ).write.mode(mode).partitionBy("day").parquet(path)
-
-
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = F.date_format(F.timestamp_millis("ts_ms"), period)
+    events.withColumn("period", at).repartitionByRange("period", "k", "file_pos").sortWithinPartitions(
+        "period", "k", "file_pos"
+    ).write.mode(mode).partitionBy("period").parquet(path)
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch["content"] = [
-            write_container([
-                {"type": e["type"], "event": (e["record"], e["fields"]), "timestamp": e["timestamp"]}
-                for e in map(_stored, events)
-            ])
-            for events in batch["events"]
-        ]
-        yield batch[["path", "content"]]
+        paths, contents = [], []
+        for file in batch.to_pylist():
+            paths.append(file["path"])
+            contents.append(write_container([_stored(e) for e in file["events"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
 
 
 def _stored(event: dict) -> dict:
+    """One event as the stored record; counts that are not set are written as 0."""
     for record, (column, renamed) in BRANCHES.items():
         held = event[column]
         if held is not None:
             fields = {theirs: held[ours] for theirs, ours in renamed.items()}
-            for count in ("numTasks", "finishedTasks", "failedTasks"):
-                if count in fields and (fields[count] is None or fields[count] != fields[count]):
-                    fields[count] = 0
+            for name in ("numTasks", "finishedTasks", "failedTasks"):
+                if name in fields:
+                    fields[name] = fields[name] or 0
             if "metrics" in fields:
-                fields["metrics"] = [] if fields["metrics"] is None else list(fields["metrics"])
-            return {"type": event["type"], "record": record, "fields": fields, "timestamp": event["timestamp"]}
+                fields["metrics"] = fields["metrics"] or []
+            return {"type": event["type"], "event": (record, fields), "timestamp": event["timestamp"]}
     raise ValueError(f"event without payload: {event['type']}")
 
 
@@ -66,11 +58,13 @@ def encode_event_files(events: DataFrame, event: str = "e") -> DataFrame:
     a longer log goes on in the next file.
     """
     part = F.floor(F.col("file_pos") / FILE_EVENTS).cast("long")
-    files = events.groupBy("k", part.alias("_part")).agg(
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed number of partitions: encoding is slow for its bytes, and AQE would merge them.
+    files = events.withColumn("_part", part).repartition(spread, "k", "_part").groupBy("k", "_part").agg(
         F.array_sort(F.collect_list(F.struct("file_pos", event))).alias("_e")
     )
     path = F.concat(F.lit("application_0_"), F.col("k").cast("string"), F.lit("/"), F.col("_part").cast("string"), F.lit(".jhist"))
-    return files.select(path.alias("path"), F.col(f"_e.{event}").alias("events")).mapInPandas(
+    return files.select(path.alias("path"), F.col(f"_e.{event}").alias("events")).mapInArrow(
         _encode, "path string, content binary"
     )
 

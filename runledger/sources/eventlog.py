@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from runledger.schemas import EVENT
 from runledger.sources.avro import read_blocks
 
+EVENT_ROWS = f"path string, file_pos bigint, {EVENT}"
+
 # Record of the stored union -> (struct column, stored field -> our field).
 BRANCHES = {
     "ApplicationInited": ("app_inited", {
@@ -34,24 +38,24 @@ def _row(record: dict) -> dict:
     return {"type": record["type"], "timestamp": record["timestamp"], **row}
 
 
-def _decode(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["type", *(c for c, _ in BRANCHES.values()), "timestamp"]
-    for batch in files:
-        for path, content in zip(batch["path"], batch["content"]):
-            at = 0
-            for block in read_blocks(bytes(content)):
-                if block:
-                    rows = pd.DataFrame([_row(r) for r in block], columns=columns, dtype=object)
-                    rows.insert(0, "file_pos", range(at, at + len(block)))
-                    rows.insert(0, "path", path)
+def _decoder(schema: pa.Schema):
+    def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in files:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                at = 0
+                for block in read_blocks(content):
+                    rows = [{"path": path, "file_pos": at + i, **_row(r)} for i, r in enumerate(block)]
                     at += len(block)
-                    yield rows
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return decode
 
 
 def decode_event_files(files: DataFrame) -> DataFrame:
     """Event rows in file order from (path, content); block by block, so a file of many events
     is never one list."""
-    return files.select("path", "content").mapInPandas(_decode, f"path string, file_pos bigint, {EVENT}")
+    schema = StructType.fromDDL(EVENT_ROWS)
+    return files.select("path", "content").mapInArrow(_decoder(to_arrow_schema(schema)), schema)
 
 
 def read_event_log(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def read_event_log(spark: SparkSession, root: str, files: DataFrame | None = Non
     except Exception as e:  # the analysis error for a missing path has no class of its own
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], f"path string, file_pos bigint, {EVENT}")
+        return spark.createDataFrame([], EVENT_ROWS)
     if files is not None:
         found = found.join(files.select("path"), "path", "left_semi")
     return decode_event_files(found.select("path", "content"))

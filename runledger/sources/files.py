@@ -44,32 +44,38 @@ def stream_job_files(spark: SparkSession, root: str, pattern: str = APP_ID) -> D
     )
 
 
+def _uri(path: Column) -> Column:
+    """Local paths in one spelling: both scans name the same file, one with more slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _rank(path: str) -> Column:
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     return F.when(name.endswith("-final.xml"), 0).when(name == "config.xml", 1)
 
 
-def read_config(spark: SparkSession, root: str, glob: str = "*.xml", rank: Column | None = None) -> DataFrame:
-    """(dir, name, value, final, source) of each application's configuration file.
+def read_config(spark: SparkSession, root: str, part_files: bool = False) -> DataFrame:
+    """(dir, name, value, final, source) of each application's configuration.
 
-    Of the files of one directory the final one is read, else ``config.xml``. Rows without name
-    or value are dropped; of several sources the first counts.
+    Of the files of one directory the final one is read, else ``config.xml``; with
+    ``part_files`` all files of a directory written by Spark. Rows without name or value are
+    dropped; of several sources the first counts.
     """
-    order = _rank("path") if rank is None else rank
-    files = listed_files(spark, root).withColumn("_r", order).where(F.col("_r").isNotNull())
-    directory = F.regexp_replace("path", r"/[^/]*$", "")
-    chosen = files.groupBy(directory.alias("dir")).agg(F.min_by("path", F.struct("_r", "path")).alias("path"))
     rows = (
         spark.read.format("xml").schema(PROPERTY).option("rowTag", "property")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*" if part_files else "*.xml")
+        .load(root)
         .select("name", "value", "final", "source", F.col("_metadata.file_path").alias("path"))
+        .where(F.col("name").isNotNull() & F.col("value").isNotNull())
+        .withColumn("dir", F.regexp_replace("path", r"/[^/]*$", ""))
     )
-    return (
-        rows.where(F.col("name").isNotNull() & F.col("value").isNotNull())
-        .join(chosen.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), "path")
-        .select(
-            "dir", "name", "value",
-            F.coalesce(F.lower(F.trim("final")) == "true", F.lit(False)).alias("final"),
-            F.get("source", F.lit(0)).alias("source"),
-        )
+    if not part_files:
+        ranked = rows.withColumn("_r", _rank("path")).where(F.col("_r").isNotNull())
+        best = listed_files(spark, root).select("path", _rank("path").alias("_r")).where(F.col("_r").isNotNull())
+        best = best.groupBy(_uri(F.regexp_replace("path", r"/[^/]*$", "")).alias("dir")).agg(F.min("_r").alias("_r"))
+        rows = ranked.withColumn("dir", _uri(F.col("dir"))).join(best, ["dir", "_r"], "left_semi")
+    return rows.select(
+        "dir", "name", "value",
+        F.coalesce(F.lower(F.trim("final")) == "true", F.lit(False)).alias("final"),
+        F.get("source", F.lit(0)).alias("source"),
     )
