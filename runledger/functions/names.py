@@ -51,6 +51,15 @@ def parse_history_name(name: Column | str) -> Column:
     )
 
 
+def is_valid_history_name(name: Column | str, id_pattern: str = APP_ID) -> Column:
+    """True where :func:`history_name_fault` finds nothing, by one pattern per kind of name."""
+    name = _col(name)
+    usr = r"[^-.\p{Lu}\p{Lt}]*"
+    running = rf"\d+-(?=[^.]*[^-.]){usr}(?:-[^.]*)?\..*{IN_PROGRESS}\z"
+    ended = rf"\d+-\d+-{usr}-[^-.\p{{Ll}}]+-*\.(?!.*{IN_PROGRESS}\z)"
+    return name.rlike(f"^(?:{id_pattern})-(?:{running}|{ended})")
+
+
 def history_name_fault(name: Column | str, id_pattern: str = APP_ID) -> Column:
     """Why a history file name is invalid; null for a valid one."""
     name = _col(name)

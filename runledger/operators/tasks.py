@@ -84,7 +84,8 @@ def fail_fast(
     named = fatal & (F.lit(strict) | role.isin([chief_role, *stop_roles]))
     stand_in = fatal & (role == worker_role) & (F.col("idx") == 0)
     first = lambda when: F.min(F.when(when, F.struct("end_ms", "role", "idx", "exit_code", "host")))
-    seen = tasks.groupBy("k").agg(
+    # Only rows that can decide are combined; applications without any have no cause.
+    seen = tasks.where((role == chief_role) | named | stand_in).groupBy("k").agg(
         F.bool_or(role == chief_role).alias("_chief"), first(named).alias("_a"), first(stand_in).alias("_b")
     )
     cause = F.when(F.col("_chief"), F.col("_a")).otherwise(F.least("_a", "_b"))
@@ -312,7 +313,7 @@ def allocation_timeouts(
 def first_terminal_status(events: DataFrame) -> DataFrame:
     """State of every task seen in the log: the first terminal status wins."""
     finished = F.col("kind") == "TASK_FINISHED"
-    at = F.when(finished, F.struct("ts_ms", "file_pos"))
+    at = F.when(finished, F.col("file_pos"))
     return (
         events.where(F.col("kind").isin("TASK_STARTED", "TASK_FINISHED"))
         .groupBy("k", "role", "idx")

@@ -56,7 +56,7 @@ def parse_file_name(t: Tables):
 )
 def validate_file_name(t: Tables):
     fault = names.history_name_fault("name")
-    return t.file_names.select("k", fault.alias("reason")).withColumn("valid", F.col("reason").isNull())
+    return t.file_names.select("k", names.is_valid_history_name("name").alias("valid"), fault.alias("reason"))
 
 
 @query(

@@ -461,7 +461,7 @@ def app_overview(t: Tables):
     counters and the status their tasks add up to."""
     status = F.when(F.col("completed_ms") != -1, F.col("status"))
     name = names.build_history_name("app_id", "started_ms", "completed_ms", "usr", status)
-    files = t.apps.select("k", name.alias("name")).where(names.history_name_fault("name").isNull())
+    files = t.apps.select("k", name.alias("name")).where(names.is_valid_history_name("name"))
     listed = files.select("k", names.parse_history_name("name").alias("m")).select("k", "m.*")
     counted = tasks.counters(t.tasks, tracked())
     derived = tasks.final_status(t.tasks, tracked()).withColumnRenamed("status", "derived_status")
