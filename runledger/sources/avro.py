@@ -73,6 +73,21 @@ def _name(schema) -> str:
     return (schema.get("name") or schema["type"]) if isinstance(schema, dict) else schema
 
 
+def _named(schema, known: dict) -> dict:
+    """All named types of a schema; a type may be used by name before data shows it."""
+    if isinstance(schema, list):
+        for branch in schema:
+            _named(branch, known)
+    elif isinstance(schema, dict):
+        if "name" in schema:
+            known[schema["name"]] = known[schema["name"].rsplit(".", 1)[-1]] = schema
+        for part in (schema.get("items"), schema.get("values"), *(f["type"] for f in schema.get("fields", []))):
+            _named(part, known)
+        if isinstance(schema["type"], dict | list):
+            _named(schema["type"], known)
+    return known
+
+
 def _read(schema, buf: io.BytesIO, known: dict):
     """One value. A record read through a union becomes (record name, fields)."""
     if isinstance(schema, list):
@@ -80,8 +95,8 @@ def _read(schema, buf: io.BytesIO, known: dict):
         value = _read(branch, buf, known)
         return (_name(branch).rsplit(".", 1)[-1], value) if isinstance(value, dict) else value
     kind = schema["type"] if isinstance(schema, dict) else schema
-    if isinstance(schema, dict) and "name" in schema:
-        known[schema["name"]] = schema
+    if isinstance(kind, dict | list):
+        return _read(kind, buf, known)
     if kind == "null":
         return None
     if kind == "boolean":
@@ -110,7 +125,7 @@ def _read(schema, buf: io.BytesIO, known: dict):
                 value = _read(schema["items" if kind == "array" else "values"], buf, known)
                 items.append(value if kind == "array" else (key, value))
         return items if kind == "array" else dict(items)
-    return _read(known[kind] if kind in known else known[kind.rsplit(".", 1)[-1]], buf, known)
+    return _read(known[kind.rsplit(".", 1)[-1]], buf, known)
 
 
 def read_blocks(content: bytes) -> Iterator[list[dict]]:
@@ -121,7 +136,7 @@ def read_blocks(content: bytes) -> Iterator[list[dict]]:
             return
         meta = _read({"type": "map", "values": "bytes"}, buf, {})
         schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null")
-        sync, known = _take(buf, 16), {}
+        sync, known = _take(buf, 16), _named(schema, {})
         while buf.tell() < len(content):
             count, size = _long(buf), _long(buf)
             data = buf.read(size)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.config import leading_float, leading_long
 from runledger.functions.env import SPEC
-from runledger.schemas import GPU_SNAPSHOT, SLOT_PLAN
+from runledger.schemas import GPU_SNAPSHOT, SLOT_NUMBERS, SLOT_PLAN
 
 
 def gpu_rows(docs: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -57,7 +57,8 @@ def spec_members(docs: DataFrame, column: str, *keep: str) -> DataFrame:
 
 def plan_slots(docs: DataFrame, column: str, *keep: str) -> DataFrame:
     """Slot plan JSON as one row per slot."""
-    return docs.select(*keep, F.inline(F.from_json(column, SLOT_PLAN)))
+    slots = docs.select(*keep, F.inline(F.from_json(column, SLOT_PLAN)))
+    return slots.withColumns({n: F.col(n).try_cast("int") for n in SLOT_NUMBERS})
 
 
 # First four bytes of the archives known: three of zip, two of tar. Gzip shows in the first two.
