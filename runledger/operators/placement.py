@@ -33,27 +33,33 @@ def host_list(processes: DataFrame) -> DataFrame:
     return processes.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("hosts"))
 
 
+SLOT_BLOCK = 10_000
+
+
+def _slots(hosts: DataFrame, count: str, name: str) -> DataFrame:
+    """One row per slot number below ``count``, in blocks so that no row holds all of them."""
+    last = F.col(count) - 1
+    blocks = hosts.withColumn("_b", F.explode(F.sequence(F.lit(0), last, F.lit(SLOT_BLOCK))))
+    return blocks.withColumn(
+        name, F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + (SLOT_BLOCK - 1), last)))
+    ).drop("_b")
+
+
 def rank_plan(processes: DataFrame, hot: bool | None = None) -> DataFrame:
     """Every slot of an application with its ranks and the sizes they run in.
 
     Hosts stand in name order. Rank counts all slots, local rank those of the host, cross rank
     the hosts that have a slot with that local rank.
     """
-    hosts = Series(processes, ["k"], ["host"], hot).running(_upto=F.col("processes").cast("long")).df
-    slots = hosts.select(
-        "k", "host", F.col("processes").alias("local_size"), (F.col("_upto") - F.col("processes")).alias("_before"),
-        F.explode(F.sequence(F.lit(0), F.col("processes") - 1)).alias("local_rank"),
-    ).withColumn("rank", (F.col("_before") + F.col("local_rank")).cast("int"))
-    crossed = Series(slots, ["k", "local_rank"], ["host"], hot).row_number("_c").df
-    size = processes.groupBy("k").agg(F.sum("processes").cast("int").alias("size"))
-    across = slots.groupBy("k", "local_rank").agg(F.count(F.lit(1)).cast("int").alias("cross_size"))
-    return (
-        crossed.join(size, "k")
-        .join(across, ["k", "local_rank"])
-        .select(
-            "k", "host", "rank", "local_rank", (F.col("_c") - 1).cast("int").alias("cross_rank"), "size",
-            "local_size", "cross_size",
-        )
+    n, one = F.col("processes").cast("long"), F.lit(1).cast("long")
+    hosts = Series(processes, ["k"], ["host"], hot).running(_upto=n).total(_size=n).df
+    slots = Series(_slots(hosts, "processes", "local_rank"), ["k", "local_rank"], ["host"], hot)
+    plan = slots.row_number("_c").total(_across=one).df
+    number = lambda c, name: c.cast("int").alias(name)
+    return plan.select(
+        "k", "host", number(F.col("_upto") - F.col("processes") + F.col("local_rank"), "rank"), "local_rank",
+        number(F.col("_c") - 1, "cross_rank"), number(F.col("_size"), "size"),
+        F.col("processes").alias("local_size"), number(F.col("_across"), "cross_size"),
     )
 
 

@@ -123,6 +123,19 @@ class Series:
             return self
         return self.running(**{name: F.lit(1).cast("long")})
 
+    def total(self, **sums: Column) -> Series:
+        """Add the sum of each column over the whole key."""
+        values = {f"_v_{n}": c for n, c in sums.items()}
+        base = self._df.withColumns(values)
+        over_key = Window.partitionBy(*self.keys)
+        if not self.split:
+            self._df = base.withColumns({n: F.sum(f"_v_{n}").over(over_key) for n in sums}).drop(*values)
+            return self
+        per_chunk = base.groupBy(*self.groups).agg(*(F.sum(f"_v_{n}").alias(n) for n in sums))
+        per_key = per_chunk.withColumns({n: F.sum(n).over(over_key) for n in sums})
+        self._df = base.drop(*values).join(per_key, self.groups)
+        return self
+
     def previous(self, **columns: Column) -> Series:
         """Add the value each column had on the key's previous row, null on its first row."""
         w = self._window()

@@ -151,21 +151,22 @@ def awaited_groups(roles: DataFrame, rules: DataFrame, members: DataFrame) -> Da
 
     ``rules``: role, grp, timeout_s, ignored. One group per role: the last by name.
     """
+    # Member and waiting roles meet in one aggregate per (app, group); the list it builds is as
+    # long as the rules of a group.
     one = rules.groupBy("role").agg(F.max_by(F.struct("grp", "timeout_s", "ignored"), "grp").alias("r"))
-    waiting = roles.where("running > 0").select("k", "role").join(
-        one.select("role", "r.*"), "role"
-    )
     known = members.select("grp").distinct()
-    state = group_completion(roles, members).select("k", "grp", "done", "latest_end")
+    waits = one.select("role", "r.*").join(known, "grp", "left_semi").withColumn("_member", F.lit(False))
+    links = members.withColumn("_member", F.lit(True)).unionByName(waits, allowMissingColumns=True)
+    member, waiting = F.col("_member"), ~F.col("_member") & (F.col("running") > 0)
     return (
-        waiting.join(known, "grp")
-        .join(state, ["k", "grp"], "left")
-        .withColumns(
-            {
-                "done": F.coalesce("done", F.lit(True)),
-                "latest_end": F.coalesce("latest_end", F.lit(0).cast("long")),
-            }
+        roles.join(links, "role")
+        .groupBy("k", "grp")
+        .agg(
+            (F.coalesce(F.max(F.when(member, F.col("running"))), F.lit(0)) == 0).alias("done"),
+            F.coalesce(F.max(F.when(member, F.col("latest_end"))), F.lit(0).cast("long")).alias("latest_end"),
+            F.collect_list(F.when(waiting, F.struct("role", "timeout_s", "ignored"))).alias("_w"),
         )
+        .select("k", "grp", "done", "latest_end", F.inline("_w"))
     )
 
 

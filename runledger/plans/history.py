@@ -129,7 +129,7 @@ def finished_and_landing(t: Tables):
     ("apps",),
 )
 def app_list(t: Tables):
-    return history.ranked_app_list(t.apps, "k").select(
+    return history.ranked_app_list(t.apps, "k", t.many_apps).select(
         "k", "app_id", "completed_ms", "started_ms", "usr", "status", "place"
     )
 

@@ -47,7 +47,8 @@ def container_requests(t: Tables):
     ("app_config_layer",),
 )
 def priorities(t: Tables):
-    return settings.priorities(requests(t)).select("app", "role", "priority")
+    # One row per role of an application: never too many for one task.
+    return settings.priorities(requests(t), hot=False).select("app", "role", "priority")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.operators.series import Series
-from runledger.operators.skew import dim_join, hot_values
+from runledger.operators.skew import HOT_ROWS, dim_join, hot_values
 
 _hot: dict[tuple, list] = {}
 
@@ -62,6 +62,11 @@ class Tables:
     def app_hot(self) -> bool:
         return bool(self.hot_apps)
 
+    @property
+    def many_apps(self) -> bool:
+        """More applications than one task should number (read from file footers)."""
+        return self.raw("orders").count() > HOT_ROWS
+
     @property
     def task_hot(self) -> bool:
         return bool(self._hot_values("events", "user_id"))

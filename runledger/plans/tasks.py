@@ -467,7 +467,7 @@ def app_overview(t: Tables):
     derived = tasks.final_status(t.tasks, tracked()).withColumnRenamed("status", "derived_status")
     seen = listed.join(counted, "k", "left").join(derived, "k", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return history.ranked_app_list(seen, "k").select(
+    return history.ranked_app_list(seen, "k", t.many_apps).select(
         "k", "app_id", "started_ms", "completed_ms", "usr", F.col("status").alias("recorded_status"),
         zero("total"), zero("tracked"), zero("completed"), zero("failed"),
         F.coalesce("derived_status", F.lit("SUCCEEDED")).alias("derived_status"), "message", "place",

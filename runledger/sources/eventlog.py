@@ -38,22 +38,30 @@ def _row(record: dict) -> dict:
     return {"type": record["type"], "timestamp": record["timestamp"], **row}
 
 
+BATCH_ROWS = 4096
+
+
 def _decoder(schema: pa.Schema):
     def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in files:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                at = 0
-                for block in read_blocks(content):
-                    rows = [{"path": path, "file_pos": at + i, **_row(r)} for i, r in enumerate(block)]
+            for path, content in zip(batch["path"], batch["content"]):
+                path, at = path.as_py(), 0
+                for block in read_blocks(content.as_py()):
+                    rows += [{"path": path, "file_pos": at + i, **_row(r)} for i, r in enumerate(block)]
                     at += len(block)
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    if len(rows) >= BATCH_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return decode
 
 
 def decode_event_files(files: DataFrame) -> DataFrame:
-    """Event rows in file order from (path, content); block by block, so a file of many events
-    is never one list."""
+    """Event rows in file order from (path, content); blocks leave as they fill up, so a file of
+    many events is never one list."""
     schema = StructType.fromDDL(EVENT_ROWS)
     return files.select("path", "content").mapInArrow(_decoder(to_arrow_schema(schema)), schema)
 

@@ -31,6 +31,7 @@ def test_split_equals_plain(spark, keys):
         s = Series(skewed(spark), keys, ["ts", "id"], hot=hot, chunks=7)
         s = s.row_number("rn").running(total=F.col("v"), ones=F.lit(1).cast("long"))
         s = s.previous(p_v=F.col("v"), p_id=F.col("id"))
+        s = s.total(whole=F.lit(1).cast("long"), v_sum=F.col("v"))
         return s.last_seen(seen=F.col("v"), even=F.when(F.col("id") % 2 == 0, F.col("id"))).df
 
     assert rows_of(build(True)) == rows_of(build(False))
