@@ -67,7 +67,7 @@ def history_name_fault(name: Column | str, id_pattern: str = APP_ID) -> Column:
     running = name.endswith(IN_PROGRESS)
     number = lambda i: full_match(_part(p, i), r"\d+")
     lower = lambda i: _part(p, i) == F.lower(_part(p, i))
-    return (
+    fault = (
         F.when(name.isNull() | (name == ""), "empty")
         .when(~name.contains("."), "no extension")
         .when(F.size(p) < 3, "missing fields")
@@ -78,6 +78,8 @@ def history_name_fault(name: Column | str, id_pattern: str = APP_ID) -> Column:
         .when(F.when(running, ~lower(2)).otherwise(~lower(3)), "user")
         .when(~running & (_part(p, 4) != F.upper(_part(p, 4))), "status")
     )
+    # The one pattern spares valid names the whole chain.
+    return F.when(~F.coalesce(is_valid_history_name(name, id_pattern), F.lit(False)), fault)
 
 
 def build_history_name(

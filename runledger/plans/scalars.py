@@ -298,6 +298,10 @@ def duration_text(t: Tables):
     return t.apps.select("k", names.duration_text(ms).alias("duration"))
 
 
+def parsed_specs(t: Tables):
+    return t.cluster_specs.select("k", "role", "idx", env.cluster_spec("spec").alias("m"))
+
+
 @query(
     "P17_tf_config",
     """
@@ -309,10 +313,10 @@ def duration_text(t: Tables):
     ("cluster_specs",),
 )
 def tf_config(t: Tables):
-    text = env.tf_config(env.cluster_spec("spec"), "role", "idx")
+    text = env.tf_config(F.col("m"), "role", "idx")
     back = F.from_json(text, f"cluster {env.SPEC}, task struct<type:string,index:int>")
     return (
-        t.cluster_specs.select("k", back.alias("c"))
+        parsed_specs(t).select("k", back.alias("c"))
         .select("k", F.col("c.task.type").alias("task_type"), F.col("c.task.index").alias("task_index"),
                 F.explode("c.cluster").alias("member", "hosts"))
         .select("k", "task_type", "task_index", "member", F.posexplode("hosts").alias("pos", "host_port"))
@@ -327,8 +331,8 @@ def tf_config(t: Tables):
     ("cluster_specs",),
 )
 def rank_env(t: Tables):
-    e = env.rank_env(env.cluster_spec("spec"), "idx", F.lit(3))
-    return t.cluster_specs.select("k", e.alias("e")).select("k", "e.*")
+    e = env.rank_env(F.col("m"), "idx", F.lit(3))
+    return parsed_specs(t).select("k", e.alias("e")).select("k", "e.*")
 
 
 @query(
@@ -343,8 +347,8 @@ def rank_env(t: Tables):
     ("cluster_specs",),
 )
 def parameter_server_env(t: Tables):
-    e = env.parameter_server_env(env.cluster_spec("spec"), "role")
-    return t.cluster_specs.select("k", e.alias("e")).select("k", "e.*")
+    e = env.parameter_server_env(F.col("m"), "role")
+    return parsed_specs(t).select("k", e.alias("e")).select("k", "e.*")
 
 
 @query(

@@ -29,26 +29,29 @@ def write_event_log(events: DataFrame, path: str, period: str = "yyyy-MM-dd", mo
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths, contents = [], []
-        for file in batch.to_pylist():
-            paths.append(file["path"])
-            contents.append(write_container([_stored(e) for e in file["events"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
-
-
-def _stored(event: dict) -> dict:
-    """One event as the stored record; counts that are not set are written as 0."""
+        lists = batch["events"]
+        events, ends = _stored(lists.flatten()), [n or 0 for n in lists.value_lengths().to_pylist()]
+        contents, at = [], 0
+        for n in ends:
+            contents.append(write_container(events[at : at + n]))
+            at += n
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(contents, pa.binary())], ["path", "content"])
+
+
+def _stored(events: pa.StructArray) -> list[dict]:
+    """Events as stored records; counts that are not set are written as 0."""
+    payload: list = [None] * len(events)
     for record, (column, renamed) in BRANCHES.items():
-        held = event[column]
-        if held is not None:
-            fields = {theirs: held[ours] for theirs, ours in renamed.items()}
-            for name in ("numTasks", "finishedTasks", "failedTasks"):
-                if name in fields:
-                    fields[name] = fields[name] or 0
-            if "metrics" in fields:
-                fields["metrics"] = fields["metrics"] or []
-            return {"type": event["type"], "event": (record, fields), "timestamp": event["timestamp"]}
-    raise ValueError(f"event without payload: {event['type']}")
+        held = events.field(column)
+        fields = {theirs: held.field(ours).to_pylist() for theirs, ours in renamed.items()}
+        for name in ("numTasks", "finishedTasks", "failedTasks", "metrics"):
+            if name in fields:
+                fields[name] = [v or ([] if name == "metrics" else 0) for v in fields[name]]
+        for i, present in enumerate(held.is_valid().to_pylist()):
+            if present:
+                payload[i] = (record, {name: values[i] for name, values in fields.items()})
+    kinds, times = events.field("type").to_pylist(), events.field("timestamp").to_pylist()
+    return [{"type": k, "event": p, "timestamp": t} for k, p, t in zip(kinds, payload, times)]
 
 
 def encode_event_files(events: DataFrame, event: str = "e") -> DataFrame:

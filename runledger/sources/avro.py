@@ -10,7 +10,7 @@ import io
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 MAGIC = b"Obj\x01"
 SYNC = bytes(range(16))
@@ -88,55 +88,82 @@ def _named(schema, known: dict) -> dict:
     return known
 
 
-def _read(schema, buf: io.BytesIO, known: dict):
-    """One value. A record read through a union becomes (record name, fields)."""
+def _text(buf: io.BytesIO) -> str:
+    return _bytes(buf).decode("utf-8")
+
+
+# Readers of the types without parts.
+PLAIN = {
+    "null": lambda buf: None,
+    "boolean": lambda buf: _take(buf, 1) == b"\x01",
+    "int": _long,
+    "long": _long,
+    "float": lambda buf: struct.unpack("<f", _take(buf, 4))[0],
+    "double": lambda buf: struct.unpack("<d", _take(buf, 8))[0],
+    "string": _text,
+    "bytes": _bytes,
+}
+
+
+def _reader(schema, known: dict) -> Callable[[io.BytesIO], object]:
+    """A function reading one value. A record in a union gives (record name, fields)."""
     if isinstance(schema, list):
-        branch = schema[_long(buf)]
-        value = _read(branch, buf, known)
-        return (_name(branch).rsplit(".", 1)[-1], value) if isinstance(value, dict) else value
+        branches = [_reader(b, known) for b in schema]
+        names = [_name(b).rsplit(".", 1)[-1] for b in schema]
+
+        def union(buf):
+            at = _long(buf)
+            value = branches[at](buf)
+            return (names[at], value) if isinstance(value, dict) else value
+
+        return union
     kind = schema["type"] if isinstance(schema, dict) else schema
     if isinstance(kind, dict | list):
-        return _read(kind, buf, known)
-    if kind == "null":
-        return None
-    if kind == "boolean":
-        return _take(buf, 1) == b"\x01"
-    if kind in ("int", "long"):
-        return _long(buf)
-    if kind == "float":
-        return struct.unpack("<f", _take(buf, 4))[0]
-    if kind == "double":
-        return struct.unpack("<d", _take(buf, 8))[0]
-    if kind == "string":
-        return _bytes(buf).decode("utf-8")
-    if kind == "bytes":
-        return _bytes(buf)
+        return _reader(kind, known)
+    if kind in PLAIN:
+        return PLAIN[kind]
     if kind == "enum":
-        return schema["symbols"][_long(buf)]
+        symbols = schema["symbols"]
+        return lambda buf: symbols[_long(buf)]
+    if kind == "fixed":
+        size = schema["size"]
+        return lambda buf: _take(buf, size)
     if kind == "record":
-        return {f["name"]: _read(f["type"], buf, known) for f in schema["fields"]}
+        fields = [(f["name"], _reader(f["type"], known)) for f in schema["fields"]]
+        return lambda buf: {name: read(buf) for name, read in fields}
     if kind in ("array", "map"):
-        items: list = []
-        while n := _long(buf):
-            if n < 0:
-                _long(buf)
-            for _ in range(abs(n)):
-                key = _bytes(buf).decode("utf-8") if kind == "map" else None
-                value = _read(schema["items" if kind == "array" else "values"], buf, known)
-                items.append(value if kind == "array" else (key, value))
-        return items if kind == "array" else dict(items)
-    return _read(known[kind.rsplit(".", 1)[-1]], buf, known)
-
-
-def read_blocks(content: bytes) -> Iterator[list[dict]]:
-    """Records of a container file, block by block, up to where it is damaged or cut off."""
+        item = _reader(schema["items" if kind == "array" else "values"], known)
+        entry = item if kind == "array" else (lambda buf: (_text(buf), item(buf)))
+
+        def blocks(buf):
+            items: list = []
+            while n := _long(buf):
+                if n < 0:
+                    _long(buf)
+                items += [entry(buf) for _ in range(abs(n))]
+            return items if kind == "array" else dict(items)
+
+        return blocks
+    return _reader(known[kind.rsplit(".", 1)[-1]], known)
+
+
+def read_blocks(content: bytes, readers: dict | None = None) -> Iterator[list[dict]]:
+    """Records of a container file, block by block, up to where it is damaged or cut off.
+
+    ``readers`` keeps the reader of each schema text over several files.
+    """
+    readers = {} if readers is None else readers
     buf = io.BytesIO(content)
     try:
         if _take(buf, 4) != MAGIC:
             return
-        meta = _read({"type": "map", "values": "bytes"}, buf, {})
-        schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null")
-        sync, known = _take(buf, 16), _named(schema, {})
+        meta = _reader({"type": "map", "values": "bytes"}, {})(buf)
+        codec, sync = meta.get("avro.codec", b"null"), _take(buf, 16)
+        text = meta["avro.schema"]
+        if text not in readers:
+            schema = json.loads(text)
+            readers[text] = _reader(schema, _named(schema, {}))
+        read = readers[text]
         while buf.tell() < len(content):
             count, size = _long(buf), _long(buf)
             data = buf.read(size)
@@ -146,7 +173,7 @@ def read_blocks(content: bytes) -> Iterator[list[dict]]:
             block, records = io.BytesIO(data), []
             try:
                 for _ in range(count):
-                    records.append(_read(schema, block, known))
+                    records.append(read(block))
             finally:
                 yield records
             if _take(buf, 16) != sync:
@@ -195,8 +222,7 @@ def _put(schema, value) -> bytes:
 
 def write_container(events: list[dict], codec: str = "deflate", block: int = 1000) -> bytes:
     """Bytes of a container file holding ``events`` ({type, event: (record name, fields), timestamp})."""
-    head = _put_long(2)
-    head += _put_text("avro.schema") + _put_text(json.dumps(EVENT_SCHEMA))
+    head = _put_long(2) + _put_text("avro.schema") + _put_text(json.dumps(EVENT_SCHEMA))
     head += _put_text("avro.codec") + _put_text(codec) + b"\x00"
     out = [MAGIC, head, SYNC]
     for i in range(0, len(events), block):

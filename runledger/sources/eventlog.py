@@ -30,31 +30,44 @@ BRANCHES = {
 }
 
 
-def _row(record: dict) -> dict:
-    name, fields = record["event"]
-    column, renamed = BRANCHES[name]
-    row = {c: None for c, _ in BRANCHES.values()}
-    row[column] = {ours: fields.get(theirs) for theirs, ours in renamed.items()}
-    return {"type": record["type"], "timestamp": record["timestamp"], **row}
+BATCH_ROWS = 4096
 
 
-BATCH_ROWS = 4096
+def _columns(paths: list[str], places: list[int], events: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Events as Arrow columns, one struct column per record of the union."""
+    plain = {
+        "path": paths, "file_pos": places,
+        "type": [e["type"] for e in events], "timestamp": [e["timestamp"] for e in events],
+    }
+    arrays = {n: pa.array(v, schema.field(n).type) for n, v in plain.items()}
+    for record, (column, renamed) in BRANCHES.items():
+        held = [e["event"][1] if e["event"][0] == record else None for e in events]
+        kind = schema.field(column).type
+        stored = {ours: theirs for theirs, ours in renamed.items()}
+        parts = [
+            pa.array([None if h is None else h.get(stored[f.name]) for h in held], f.type) for f in kind
+        ]
+        arrays[column] = pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([h is None for h in held]))
+    return pa.RecordBatch.from_arrays([arrays[n] for n in schema.names], schema=schema)
 
 
 def _decoder(schema: pa.Schema):
     def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        readers: dict = {}
+        paths, places, events = [], [], []
         for batch in files:
             for path, content in zip(batch["path"], batch["content"]):
                 path, at = path.as_py(), 0
-                for block in read_blocks(content.as_py()):
-                    rows += [{"path": path, "file_pos": at + i, **_row(r)} for i, r in enumerate(block)]
+                for block in read_blocks(content.as_py(), readers):
+                    paths += [path] * len(block)
+                    places += range(at, at + len(block))
+                    events += block
                     at += len(block)
-                    if len(rows) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    if len(events) >= BATCH_ROWS:
+                        yield _columns(paths, places, events, schema)
+                        paths, places, events = [], [], []
+        if events:
+            yield _columns(paths, places, events, schema)
 
     return decode
 
