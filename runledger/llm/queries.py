@@ -38,3 +38,26 @@ def op4_suffix_repetition(spark, sf_dir):
     from runledger.llm.quality import repetition_rules
 
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_water_filling(spark, sf_dir):
+    from runledger.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mix_sql():
+    from runledger.llm.mixing import MIX_SQL
+
+    return MIX_SQL
+
+
+ORACLES["op8_water_filling"] = _mix_sql()
+
+
+@query
+def op10_pattern_packing(spark, sf_dir):
+    from runledger.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
