@@ -61,3 +61,10 @@ def op10_pattern_packing(spark, sf_dir):
     from runledger.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_stable_projections(spark, sf_dir):
+    from runledger.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
