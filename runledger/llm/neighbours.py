@@ -193,8 +193,9 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                     at, to = np.arange(len(q)), home
                 else:
                     far = np.maximum(np.einsum("ij,ij->i", q, q) + square - 2 * f["bound"].to_numpy(), 0)
-                    near[np.arange(len(q)), home] = np.inf
-                    at, to = np.nonzero(near <= quantile * far[:, None])
+                    more = near <= quantile * far[:, None]
+                    more[np.arange(len(q)), home] = False
+                    at, to = np.nonzero(more)
                 out = f.iloc[at]
                 yield out.assign(cell=cells[to], block=out["query_id"] // every % blocks)[["query_id", "x", "bound", "cell", "block"]]
         return run
