@@ -68,3 +68,10 @@ def op7_stable_projections(spark, sf_dir):
     from runledger.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_prefix_jaccard(spark, sf_dir):
+    from runledger.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
