@@ -233,3 +233,17 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, **how) -> DataFrame:
+    """``df`` with one row of each group of near copies: of those with the smallest doc_id (null last), any.
+
+    Rows are told apart by doc_id and text together, so repeated rows, rows with a null doc_id and different
+    texts under one doc_id are all judged for what they are.
+    """
+    rows = df.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    best = rows.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(first["_row"].alias("_row")).select("_row")
+    return rows.join(best, "_row", "left_semi").dropDuplicates(["_row"]).select(*df.columns)

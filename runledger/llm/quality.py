@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from runledger.llm.common import map_batches
@@ -99,11 +100,32 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def repetition_rules(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8, max_covered: float = 0.30,
-    max_longest: int = 100, min_words: int = 20,
-) -> DataFrame:
-    """One row per row of ``df`` (see ``SCHEMA``), for every whole text.
+LIMITS = {"least": 8, "max_covered": 0.30, "max_longest": 100, "min_words": 20}
+
+
+def judged(texts: list[str | None], least: int, max_covered: float, max_longest: int, min_words: int):
+    """The columns of ``SCHEMA`` but the identifier, for one block of texts after the other."""
+    at = 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at] or "")
+        while end < len(texts) and chars + len(texts[end] or "") <= BLOCK_CHARS:
+            chars += len(texts[end] or "")
+            end += 1
+        part = [t or "" for t in texts[at:end]]
+        words = [t.encode().split() for t in part]  # bytes are split at ASCII white space alone
+        covered, longest = block(words, least)
+        n = np.array([len(w) for w in words], np.int64)
+        failed = (n < min_words) | (covered > max_covered * n)
+        yield {
+            "n_words": n, "word_chars": [len(t) - sum(map(t.count, " \t\n\v\f\r")) for t in part],
+            "n_symbols": [len(SYMBOLS.findall(t)) for t in part], "n_dup_lines": [dup_lines(t) for t in part],
+            "n_repeat_words": covered, "longest_repeat": longest, "base_failed": failed, "kept": ~failed & (longest <= max_longest),
+        }
+        at = end
+
+
+def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """One row per row of ``df`` (see ``SCHEMA``), for every whole text; ``limits`` as in ``LIMITS``.
 
     n_repeat_words: words inside repeated substrings of ``least`` words or more, first places included.
     base_failed: fewer than ``min_words`` words, or more than ``max_covered`` of them repeated. kept: not
@@ -114,25 +136,21 @@ def repetition_rules(
     """
 
     def make(batch):
-        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        at = 0
-        while at < len(texts):
-            end, chars = at + 1, len(texts[at])
-            while end < len(texts) and chars + len(texts[end]) <= BLOCK_CHARS:
-                chars += len(texts[end])
-                end += 1
-            part = texts[at:end]
-            words = [t.encode().split() for t in part]  # bytes are split at ASCII white space alone
-            covered, longest = block(words, least)
-            n = np.array([len(w) for w in words], np.int64)
-            failed = (n < min_words) | (covered > max_covered * n)
-            yield {
-                "doc_id": ids[at:end], "n_words": n,
-                "word_chars": [len(t) - sum(map(t.count, " \t\n\v\f\r")) for t in part],
-                "n_symbols": [len(SYMBOLS.findall(t)) for t in part], "n_dup_lines": [dup_lines(t) for t in part],
-                "n_repeat_words": covered, "longest_repeat": longest, "base_failed": failed,
-                "kept": ~failed & (longest <= max_longest),
-            }
-            at = end
+        ids, at = batch.column(0).to_pylist(), 0
+        for columns in judged(batch.column(1).to_pylist(), **LIMITS | limits):
+            yield columns | {"doc_id": ids[at:at + len(columns["kept"])]}
+            at += len(columns["kept"])
 
     return map_batches(df.select(id_col, text_col), make, SCHEMA)
+
+
+def kept_rows(df: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The whole rows of ``df`` whose texts the rules keep. A row is judged where it is read, nothing is joined."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            kept = [c["kept"] for c in judged(texts, **LIMITS | limits)]
+            yield batch.filter(pa.array(np.concatenate([np.empty(0, bool), *kept])))
+
+    return df.mapInArrow(run, df.schema)
