@@ -31,6 +31,7 @@ PARTS = 64  # rows in which a task hands over its sketch
 BLOCK = 256
 ORDERS = 3
 BLOCK_CHARS = 4_000_000
+BATCH = 2_048  # rows of pairs of blocks that are verified in one go
 MATRIX = 4_000_000  # numbers in a slice of the token matrix of two blocks
 
 GROWTH = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +128,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(r["classes"] for r in sorted(parts)), np.uint8) if parts else np.zeros(CELLS, np.uint8)
 
 
-def shared(rows: list[np.ndarray], among: np.ndarray | None = None) -> np.ndarray:
+def shared(rows: list[np.ndarray]) -> np.ndarray:
     """How many tokens each two of ``rows`` (distinct tokens each) have in common."""
     n = np.array([len(r) for r in rows])
     out = np.zeros((len(rows), len(rows)), np.float32)
@@ -137,8 +138,9 @@ def shared(rows: list[np.ndarray], among: np.ndarray | None = None) -> np.ndarra
     own, column = own[keep], np.unique(column[keep], return_inverse=True)[1] if keep.any() else column[keep]
     by = np.argsort(column, kind="stable")
     own, column = own[by], column[by]
-    step = max(1, MATRIX // len(rows))
-    for first in range(0, int(column.max(initial=-1)) + 1, step):
+    columns = int(column.max(initial=-1)) + 1
+    step = min(columns, max(1, MATRIX // len(rows)))
+    for first in range(0, columns, max(step, 1)):
         at, to = np.searchsorted(column, [first, first + step])
         part = np.zeros((len(rows), step), np.float32)
         part[own[at:to], column[at:to] - first] = 1
@@ -146,19 +148,20 @@ def shared(rows: list[np.ndarray], among: np.ndarray | None = None) -> np.ndarra
     return out
 
 
-def links_in(names: np.ndarray, side: np.ndarray, sets: list[np.ndarray], classes: np.ndarray, percent: int, orders: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between nodes of two blocks (``side`` 0 and 1), or inside one."""
+def links_in(names: np.ndarray, side: np.ndarray, sets: list[np.ndarray], heads: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between nodes of two blocks (``side`` 0 and 1), or inside one.
+
+    ``heads``: for each order, the prefixes of the sets.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     likely = np.triu(np.ones((len(n), len(n)), bool), 1)
     if side.any():
         likely &= side[:, None] != side[None, :]
     likely &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-    token, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-    for order in range(orders):
+    for head in heads:
         if not likely.any():
             return []
-        at, ends = prefixes(token, bounds, classes, order, percent)
-        likely &= shared(np.split(token[at], ends[1:-1])) > 0
+        likely &= shared(head) > 0
     some = np.flatnonzero(likely.any(axis=0) | likely.any(axis=1))
     if not len(some):
         return []
@@ -221,12 +224,25 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     texts = docs.join(sample, "doc_id").dropDuplicates(["x"]).select("x", "text")
 
     def verify(frame):
-        frame = frame.drop_duplicates("x")
-        token, bounds = sets_of(frame["text"].tolist(), size)
-        found = links_in(frame["x"].to_numpy(), frame["side"].to_numpy(), np.split(token, bounds[1:-1]), classes.value, percent, orders)
+        x, first, at = np.unique(frame["x"].to_numpy(), return_index=True, return_inverse=True)
+        token, bounds = sets_of(frame["text"].iloc[first].tolist(), size)
+        cut = lambda values, ends: [values[a:b] for a, b in zip(ends, ends[1:])]
+        sets, heads = cut(token, bounds), []
+        for order in range(orders):
+            places, ends = prefixes(token, bounds, classes.value, order, percent)
+            heads.append(cut(token[places], ends))
+        lo, hi, side = (frame[c].to_numpy() for c in ("lo", "hi", "side"))
+        by = np.lexsort((at, hi, lo))
+        edges = np.flatnonzero((np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0)) + 1
+        found = []
+        for unit in np.split(by, edges):
+            own = at[unit]
+            found += links_in(x[own], side[unit], [sets[i] for i in own], [[h[i] for i in own] for h in heads], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    links = sides.join(texts, "x").groupBy("lo", "hi").applyInPandas(verify, "a long, b long")
+    batches = max(1, -(-sides.count() // BATCH))
+    units = sides.withColumn("batch", F.pmod(F.xxhash64("lo", "hi"), F.lit(batches)))
+    links = units.join(texts, "x").groupBy("batch").applyInPandas(verify, "a long, b long")
     roots = components(links).withColumnRenamed("node", "x")
     grouped = nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("x")).alias("x")).join(roots, "x", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "x"))
