@@ -1,16 +1,19 @@
 """N-gram Jaccard join by prefixes under several global token orders.
 
-A text's set holds 64-bit hashes of its shingles; texts with equal sets are one node. An order sorts tokens by
-the class of their frequency, rare first, and inside a class by a hash of its own. Frequencies are counted
-over all texts in a sketch of ``CELLS`` counters, so what every task gets to know is bounded. Two sets of
-similarity ``threshold`` share a token of their prefixes, a tenth of the set at 0.9, under every order.
+A text's set holds 64-bit hashes of its shingles; texts with equal sets are one node. Two sets of similarity
+``threshold`` share a token of their prefixes (a tenth of the set at 0.9) under every global order of tokens.
+
+The first order is by frequency, rare tokens first. To count less, it puts the tokens of a fixed fifth of the
+hash space before all others and sorts only those by the number of texts that hold them; a set that has too few of
+them goes on in the order of the hashes. Tokens of one text alone need no partner: they only fill its
+prefix, so most texts are done here. The other orders are by hashes of their own.
 
 Nodes that share a prefix token under the first order meet as follows. Each node belongs to a block of about
 ``BLOCK`` nodes, chosen so that nodes which share tokens with the same smallest node lie together; for a token,
 every node goes to the pairs of its block with the other blocks that hold the token. Hence a group of k
-near copies costs k * k / BLOCK rows and no pair is ever a row. Inside a pair of blocks the prefixes under all
-orders are intersected, what remains is verified on the whole sets, and a spanning forest of the links is
-returned. Components of all links are then found by stars.
+near copies costs k * k / BLOCK rows and no pair is ever a row. Inside a pair of blocks the prefixes under the
+other orders are intersected, what remains is verified on the whole sets, and a spanning forest of the
+links is returned. Components of all links are then found by stars.
 """
 
 from __future__ import annotations
@@ -18,18 +21,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import map_batches
 from runledger.llm.components import components
 from runledger.session import written
 
-CELLS = 1 << 22
-PARTS = 64  # rows in which a task hands over its sketch
 BLOCK = 256
-ORDERS = 3
+FIFTH = 5  # the share of the hash space whose tokens are counted
+ORDERS = 2  # by hashes, besides the one by frequency
 BLOCK_CHARS = 4_000_000
 BATCH = 2_048  # rows of pairs of blocks that are verified in one go
 MATRIX = 4_000_000  # numbers in a slice of the token matrix of two blocks
@@ -87,45 +88,36 @@ def node_of(token: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(token.tobytes()) - (1 << 63)
 
 
-def order_keys(token: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Places of tokens in a global order: class of frequency, then a hash."""
-    return (classes[token & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(56)) | (mixed(token * STEPS[2] + STEPS[3] * np.uint64(order + 1)) >> np.uint64(8))
+def order_keys(token: np.ndarray, order: int) -> np.ndarray:
+    """Places of tokens in one of the global orders by hash."""
+    return mixed(token * STEPS[2] + np.uint64(int(STEPS[3]) * (order + 1) % (1 << 64)))
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (-(-n * percent // 100)) + 1, 0)
 
 
-def prefixes(token, bounds, classes, order, percent):
+def prefixes(token, bounds, order, percent):
     """Places in ``token`` of the prefixes of all sets, and the bounds of each set's part."""
     n = np.diff(bounds)
     own = np.repeat(np.arange(len(n)), n)
-    by = np.lexsort((order_keys(token, classes, order), own))
+    by = np.lexsort((order_keys(token, order), own))
     size = prefix_sizes(n, percent)
     inside = np.arange(len(token)) - np.repeat(bounds[:-1], n)
     return by[inside < np.repeat(size, n)], np.concatenate([[0], np.cumsum(size)])
 
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Classes (binary logarithms) of the counts of all tokens of all texts, by cell."""
-
-    def count(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, texts in blocks_of(*(batch.column(c).to_pylist() for c in range(2))):
-                cells += np.bincount((sets_of(texts, size)[0] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        if cells.any():
-            import pyarrow as pa
-
-            press = zstandard.ZstdCompressor()
-            yield pa.RecordBatch.from_pydict({"part": list(range(PARTS)), "counts": [press.compress(x.tobytes()) for x in np.split(cells, PARTS)]})
+def counted(token: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all sets that may lie in a prefix of the first order, set by set; bounds; which are uncounted.
 
-    def add(frame):
-        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in frame["counts"])
-        return pd.DataFrame({"part": frame["part"][:1], "classes": [np.log2(total + 1).astype(np.uint8).tobytes()]})
-
-    parts = docs.mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, classes binary").collect()
-    return np.frombuffer(b"".join(r["classes"] for r in sorted(parts)), np.uint8) if parts else np.zeros(CELLS, np.uint8)
+    All tokens of the counted part of the hash space (the smallest hashes), and as many more as the prefix lacks.
+    """
+    n = np.diff(bounds)
+    inside = np.arange(len(token)) - np.repeat(bounds[:-1], n)  # tokens of a set are sorted
+    first = token < np.uint64((1 << 64) // FIFTH)
+    many = np.add.reduceat(np.append(first, False), bounds[:-1]) * (n > 0) if len(n) else n
+    keep = inside < np.repeat(np.maximum(many, prefix_sizes(n, percent)), n)
+    return token[keep], np.concatenate([[0], np.cumsum(np.maximum(many, prefix_sizes(n, percent)))]), ~first[keep]
 
 
 def shared(rows: list[np.ndarray]) -> np.ndarray:
@@ -191,22 +183,26 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     get the smallest identifier of their component, null if it has none; repeated rows are copies. An empty
     table gives no rows. Columns other than doc_id and text are not returned.
     """
-    spark, docs = df.sparkSession, df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = spark.sparkContext.broadcast(sketch(docs, size))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(batch):
         for ids, texts in blocks_of(*(batch.column(c).to_pylist() for c in range(2))):
             token, bounds = sets_of(texts, size)
-            at, ends = prefixes(token, bounds, classes.value, 0, percent)
-            first = token[at].view(np.int64)
+            some, ends, late = counted(token, bounds, percent)
+            some = some.view(np.int64)
             yield {
                 "doc_id": ids, "n": np.diff(bounds), "x": [node_of(token[a:b]) for a, b in zip(bounds, bounds[1:])],
-                "prefix": [first[a:b] for a, b in zip(ends, ends[1:])],
+                "tokens": [some[a:b] for a, b in zip(ends, ends[1:])], "late": [int(late[a:b].sum()) for a, b in zip(ends, ends[1:])],
             }
 
-    nodes = written(map_batches(docs, describe, "doc_id long, n long, x long, prefix array<long>"), "op6-nodes")
-    token = nodes.where("n > 0").groupBy("x").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n")).select(
-        F.explode("prefix").alias("t"), "x", "n")
+    nodes = written(map_batches(docs, describe, "doc_id long, n long, x long, tokens array<long>, late long"), "op6-nodes")
+    token = nodes.where("n > 0").select("x", "n", (F.size("tokens") - F.col("late")).alias("early"), F.posexplode("tokens").alias("at", "t"))
+    often = token.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # texts, copies included
+    token = token.join(often, "t").groupBy("x", "t").agg(*(F.first(c).alias(c) for c in ("n", "early", "at", "c")))
+    late, in_set = F.col("at") >= F.col("early"), Window.partitionBy("x")
+    place = F.row_number().over(in_set.orderBy(late, "c", "t")) + F.col("early") - F.sum((~late).cast("long")).over(in_set)
+    token = token.withColumn("place", place).where(late | (F.col("place") <= F.expr(f"n - (n * {percent} + 99) div 100 + 1"))).select("t", "x", "n")
+    token = written(token, "op6-prefixes")
     again = token.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least")).where("c > 1").select("t", "least")
     token = written(token.join(again, "t"), "op6-tokens")
     group = token.groupBy("x").agg(F.min("least").alias("g"))
@@ -229,7 +225,7 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
         cut = lambda values, ends: [values[a:b] for a, b in zip(ends, ends[1:])]
         sets, heads = cut(token, bounds), []
         for order in range(orders):
-            places, ends = prefixes(token, bounds, classes.value, order, percent)
+            places, ends = prefixes(token, bounds, order, percent)
             heads.append(cut(token[places], ends))
         lo, hi, side = (frame[c].to_numpy() for c in ("lo", "hi", "side"))
         by = np.lexsort((at, hi, lo))
