@@ -75,3 +75,10 @@ def op6_prefix_jaccard(spark, sf_dir):
     from runledger.llm.jaccard import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pitman_yor(spark, sf_dir):
+    from runledger.llm.language import pitman_yor_scores
+
+    return pitman_yor_scores(table(spark, sf_dir, "documents"))
