@@ -82,3 +82,10 @@ def op9_pitman_yor(spark, sf_dir):
     from runledger.llm.language import pitman_yor_scores
 
     return pitman_yor_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_host_wrappers(spark, sf_dir):
+    from runledger.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
