@@ -89,3 +89,19 @@ def op5_host_wrappers(spark, sf_dir):
     from runledger.llm.wrappers import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_tool_links(spark, sf_dir):
+    from runledger.llm.toolcalls import TOOLS, calls_of, linked_calls
+
+    return linked_calls(*calls_of(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+def _link_sql():
+    from runledger.llm.toolcalls import LINK_SQL
+
+    return LINK_SQL
+
+
+ORACLES["op2_tool_links"] = _link_sql()
