@@ -20,7 +20,8 @@ HEADLINE = [
     "G11_running_average", "G12_gpu_metrics", "G17_status_summary", "J05_slot_assignment", "J07_as_of_metrics",
     "J08_arrival_matching", "W03_rank_plan", "W07_heartbeat_gap", "W08_dependency_countdown", "W09_failure_runs",
     "O01_app_list", "O02_attention_order", "U04_snapshot_difference", "D02_acyclic_app_graphs",
-    "K03_store_partition", "J02_killed_landing_contains", "T03_liveness_sessions_stream", "T08_metric_state",
+    "S01_event_log_scan", "K01_event_log_append", "T01_event_ingest", "T04_registration_timeout_stream",
+    "T05_allocation_timeout_stream", "T07_group_timeout_stream", "T13_dependency_countdown_stream", "K03_store_partition", "J02_killed_landing_contains", "T03_liveness_sessions_stream", "T08_metric_state",
     "T09_task_state_stream", "T15_interval_rollup_stream", "M02_linear_fit", "M10_epoch_table",
 ]
 

@@ -39,15 +39,16 @@ def batch_of(
     rows: DataFrame, order: list[str], per_worker: int, workers: int, step_budget: int | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
-    """Step number of each row, a step taking ``per_worker`` rows of every worker.
+    """Step number of each row, a step taking ``per_worker`` rows of every worker, and whether it runs.
 
     ``step_budget`` is the total number of steps, shared out among the workers; later steps
-    are not run.
+    do not run.
     """
     out = Series(rows, [], order, hot).row_number("_n").df
     step = F.floor((F.col("_n") - 1) / (per_worker * workers))
     out = out.withColumn("step", step.cast("long")).drop("_n")
-    return out if step_budget is None else out.where(F.col("step") < step_budget // workers)
+    runs = F.lit(True) if step_budget is None else F.col("step") < step_budget // workers
+    return out.withColumn("runs", runs)
 
 
 def mean_gradient(rows: DataFrame, shard: Column, x: str, y: str, slope: float, intercept: float) -> DataFrame:

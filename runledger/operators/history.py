@@ -180,9 +180,9 @@ def _list_order(apps: DataFrame) -> DataFrame:
     return apps.withColumns({"_c": -F.col("completed_ms"), "_s": -F.col("started_ms")})
 
 
-def ranked_app_list(apps: DataFrame, tie: str = "app_id", hot: bool | None = None) -> DataFrame:
+def ranked_app_list(apps: DataFrame, tie: str = "app_id") -> DataFrame:
     """Applications with their place in the list: newest end first, running ones last."""
-    ordered = Series(_list_order(apps), [], ["_c", "_s", "usr", tie], hot).row_number("place")
+    ordered = Series(_list_order(apps), [], ["_c", "_s", "usr", tie]).row_number("place")
     return ordered.df.drop("_c", "_s")
 
 

@@ -39,7 +39,7 @@ SLOT_BLOCK = 10_000
 def _slots(hosts: DataFrame, count: str, name: str) -> DataFrame:
     """One row per slot number below ``count``, in blocks so that no row holds all of them."""
     last = F.col(count) - 1
-    blocks = hosts.withColumn("_b", F.explode(F.sequence(F.lit(0), last, F.lit(SLOT_BLOCK))))
+    blocks = hosts.where(F.col(count) > 0).withColumn("_b", F.explode(F.sequence(F.lit(0), last, F.lit(SLOT_BLOCK))))
     return blocks.withColumn(
         name, F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + (SLOT_BLOCK - 1), last)))
     ).drop("_b")

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 
 def run_program(
     rows: DataFrame, command: list[str], column: str, env: dict[str, str] | None = None,
-    timeout_s: float | None = None, allowed: tuple[int, ...] = (0,),
+    timeout_s: float | None = None, allowed: tuple[int, ...] = (0,), may_stop_early: bool = False,
 ) -> DataFrame:
     """Lines a program writes when each partition's ``column`` is fed to it line by line.
 
-    One process per partition, streamed both ways. It is killed at the timeout; any exit code
-    that is not allowed fails the task.
+    One process per partition, streamed both ways. It is killed at the timeout and whenever its task ends. An
+    exit code that is not allowed, rows that cannot be read, and input that the program leaves unread (unless it
+    ``may_stop_early``) fail the task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,33 +27,49 @@ def run_program(
             command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8",
             env={**os.environ, **(env or {})},
         )
+        failures: list[BaseException] = []
 
         def feed() -> None:
             try:
                 for batch in batches:
                     proc.stdin.writelines(f"{v}\n" for v in batch[column])
                 proc.stdin.close()
-            except BrokenPipeError:
-                pass
+            except BrokenPipeError as e:
+                if not may_stop_early:
+                    failures.append(e)
+            except BaseException as e:  # raised again by the task
+                failures.append(e)
+                proc.kill()
 
         feeder = threading.Thread(target=feed, daemon=True)
-        feeder.start()
         clock = threading.Timer(timeout_s, proc.kill) if timeout_s else None
-        if clock:
-            clock.start()
-        lines: list[str] = []
-        for line in proc.stdout:
-            lines.append(line.rstrip("\n"))
-            if len(lines) == 10_000:
+        try:
+            feeder.start()
+            if clock:
+                clock.start()
+            lines: list[str] = []
+            for line in proc.stdout:
+                lines.append(line.rstrip("\n"))
+                if len(lines) == 10_000:
+                    yield pd.DataFrame({"line": lines})
+                    lines = []
+            if lines:
                 yield pd.DataFrame({"line": lines})
-                lines = []
-        if lines:
-            yield pd.DataFrame({"line": lines})
-        code = proc.wait()
-        if clock:
-            clock.cancel()
-        if code not in allowed:
-            raise RuntimeError(f"{command[0]} ended with exit code {code}")
+            code = proc.wait()
+            feeder.join()
+            stopped = [e for e in failures if not isinstance(e, BrokenPipeError)]
+            if stopped:
+                raise stopped[0]
+            if code not in allowed:
+                raise RuntimeError(f"{command[0]} ended with exit code {code}")
+            if failures:
+                raise RuntimeError(f"{command[0]} ended before it had read all its input")
+        finally:
+            if clock:
+                clock.cancel()
+            if proc.poll() is None:
+                proc.kill()
+                proc.wait()
 
     return rows.select(column).mapInPandas(run, "line string")
 

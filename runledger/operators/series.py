@@ -1,6 +1,7 @@
 """Ordered series: per-key running values that stay parallel inside a hot key.
 
-While no key is hot, each method is one plain window over ``keys``. Otherwise the table is
+While no key is hot, each method is one plain window over ``keys``. Otherwise, and always for a series
+without keys, the table is
 range-partitioned on (keys, order) and written once with its chunk number, windows run per
 (chunk, key), and what a key carries into a later chunk is added from a summary. A chunk border
 cuts at most one key, so the carried rows number fewer than the chunks and may be broadcast.
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from runledger.operators.skew import HOT_ROWS, has_hot_key
 from runledger.session import written
 
-MAX_CHUNKS = 20_000
 CHUNK = "_chunk"
 
 
@@ -38,7 +38,7 @@ class Series:
         if self.split:
             if chunks is None:
                 least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                chunks = max(least, min(df.count() // HOT_ROWS + 1, MAX_CHUNKS))
+                chunks = max(least, df.count() // HOT_ROWS + 1)
             df = written(
                 df.repartitionByRange(chunks, *self.keys, *self.order).withColumn(
                     CHUNK, F.spark_partition_id()

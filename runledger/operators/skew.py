@@ -1,7 +1,8 @@
 """Finding hot keys and joining past them.
 
-``freqItems`` keeps at most 1/support candidates and misses no value above the support, so
-everything collected here is bounded by ``MAX_HOT`` values whatever the size of the table.
+``freqItems`` misses no value above its support and keeps at most 1/support candidates. A value counts
+as hot above ``HOT_ROWS`` rows, about what one task should hold, so there are fewer of them than the table
+has rows divided by that.
 """
 
 from __future__ import annotations
@@ -10,20 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-MAX_HOT = 10_000
 
 
 def _candidates(df: DataFrame, column: str, rows: int) -> tuple[list, float]:
     total = df.count()
     if total <= rows:
         return [], 0.0
-    support = max(rows / total, 1.0 / MAX_HOT)
-    found = df.select(column).stat.freqItems([column], support).first()[0]
-    return [v for v in found if v is not None], support * total
+    found = df.select(column).stat.freqItems([column], rows / total).first()[0]
+    return [v for v in found if v is not None], float(rows)
 
 
 def hot_values(df: DataFrame, column: str, rows: int = HOT_ROWS) -> list:
-    """Values of ``column`` held by more than ``rows`` rows (and 1/MAX_HOT of the table)."""
+    """Values of ``column`` held by more than ``rows`` rows."""
     values, limit = _candidates(df, column, rows)
     if not values:
         return []
@@ -34,9 +33,9 @@ def hot_values(df: DataFrame, column: str, rows: int = HOT_ROWS) -> list:
 
 
 def has_hot_key(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> bool:
-    """True if one value of ``keys`` holds too many rows for one task. No keys: the whole table."""
+    """True if one value of ``keys`` holds too many rows for one task. No keys: always."""
     if not keys:
-        return df.count() > rows
+        return True
     keyed = df.select(F.xxhash64(*keys).alias("_key"))
     return bool(hot_values(keyed, "_key", rows))
 
@@ -46,8 +45,8 @@ def dim_join(
 ) -> DataFrame:
     """``big`` joined to ``dim`` (one row per ``on``), hot keys apart.
 
-    Rows of hot keys meet a broadcast of at most ``MAX_HOT`` dimension rows and never shuffle;
-    all others take the join Spark picks.
+    Rows of hot keys meet a broadcast of the few dimension rows that have these keys (one each) and never
+    shuffle; all others take the join Spark picks.
     """
     if hot is None:
         hot = hot_values(big, on)

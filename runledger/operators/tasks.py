@@ -60,6 +60,7 @@ def final_status(tasks: DataFrame, tracked: Column, strict: bool = False) -> Dat
     return seen.select(
         "k",
         F.when(unfinished | broken, "FAILED").otherwise("SUCCEEDED").alias("status"),
+        # Fixed: the texts of these messages are output values.
         F.when(
             unfinished,
             F.concat(
@@ -96,6 +97,7 @@ def fail_fast(
         .select(
             "k", F.col("_t.role").alias("role"), F.col("_t.idx").alias("idx"),
             F.col("_t.end_ms").alias("at_ms"), F.lit("FAILED").alias("status"),
+            # Fixed: the text is an output value.
             F.concat(
                 F.lit("Job "), text("role"), F.lit(":"), text("idx"), F.lit(" exited with "),
                 text("exit_code"), F.lit(" on host:"), text("host"), F.lit(". Exit status: "),
@@ -212,38 +214,23 @@ def failed_unregistered(tasks: DataFrame, registered: DataFrame) -> DataFrame:
     return tasks.where(is_failed()).join(registered, ["k", "role", "idx"], "left_anti")
 
 
-SUMMARY_PART = 10_000
-
-
-def status_summary(tasks: DataFrame, hot: bool | None = None, part: int = SUMMARY_PART) -> DataFrame:
-    """``ps [1, 2] worker [0]`` per (app, status), tasks by name and index.
-
-    A line holds ``part`` tasks; an application with more of one status continues on the
-    next line, so no list grows with the application.
-    """
+def status_runs(tasks: DataFrame, hot: bool | None = None) -> DataFrame:
+    """Tasks per (app, status, role) as runs of indexes that follow on one another, first to last."""
     placed = Series(
-        tasks.withColumn("status", task_status("exit_code")), ["k", "status"], ["role", "idx"], hot
-    ).row_number("_n").df.withColumn("part", F.floor((F.col("_n") - 1) / part).cast("int"))
-    runs = (
-        placed.groupBy("k", "status", "part", "role")
-        .agg(F.array_sort(F.collect_list("idx")).alias("_i"))
-        .withColumn(
-            "_text",
-            F.concat("role", F.lit(" ["), F.array_join(F.col("_i").cast("array<string>"), ", "), F.lit("]")),
-        )
-    )
-    lines = runs.groupBy("k", "status", "part").agg(
-        F.array_sort(F.collect_list(F.struct("role", "_text"))).alias("_r")
-    )
-    return lines.select(
-        "k", "status", attention_rank("status").alias("attention"), "part",
-        F.array_join(F.col("_r._text"), " ").alias("text"),
-    )
-
-
-def attention_order(tasks: DataFrame) -> DataFrame:
-    """Tasks in the order they need attention: status, name, numeric index."""
-    return tasks.orderBy(attention_rank("status"), "role", "idx")
+        tasks.select("k", task_status("exit_code").alias("status"), "role", "idx"), ["k", "status", "role"], ["idx"], hot
+    ).row_number("_n").df
+    return placed.groupBy("k", "status", "role", (F.col("idx") - F.col("_n")).alias("_run")).agg(
+        F.min("idx").alias("first"), F.max("idx").alias("last")
+    ).drop("_run").withColumn("attention", attention_rank("status"))
+
+
+def status_text(runs: DataFrame) -> DataFrame:
+    """``ps [1, 2] worker [0]`` per (app, status), for showing a few applications."""
+    each = F.array_join(F.sequence("first", "last").cast("array<string>"), ", ")
+    roles = runs.groupBy("k", "status", "role").agg(F.array_sort(F.collect_list(F.struct("first", each.alias("t")))).alias("_i"))
+    text = F.concat("role", F.lit(" ["), F.array_join(F.col("_i.t"), ", "), F.lit("]"))
+    lines = roles.groupBy("k", "status").agg(F.array_sort(F.collect_list(F.struct("role", text.alias("t")))).alias("_r"))
+    return lines.select("k", "status", F.array_join(F.col("_r.t"), " ").alias("text"))
 
 
 def gang_state(tasks: DataFrame, registered: Column, first_come: bool = False) -> DataFrame:

@@ -59,10 +59,6 @@ def running_average(
     )
 
 
-def plain_average(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("task").agg(F.avg("value").alias("avg_value"))
-
-
 def gpu_metrics(gpus: DataFrame, key: str) -> DataFrame:
     """Maximum and mean over the GPUs of each snapshot: utilisation, FB and BAR1 memory percent."""
     fb, bar1 = percent_used("fb_used", "fb_free"), percent_used("bar1_used", "bar1_free")

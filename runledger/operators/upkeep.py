@@ -51,39 +51,25 @@ def finalise_killed(apps: DataFrame, killed: DataFrame, now_ms: int | Column) ->
     )
 
 
-def killed_landing(
-    dirs: DataFrame, killed: DataFrame, mode: str = "equals", id_start: str = "application_"
-) -> DataFrame:
+def killed_landing(dirs: DataFrame, killed: DataFrame, mode: str = "equals") -> DataFrame:
     """Landing directories of killed applications.
 
     ``contains`` also takes directories whose name holds a killed id anywhere. Names are cut
-    at every place an id can start, to every length a killed id has, and the pieces meet the
-    ids in one equi-join: no directory is compared with every id.
+    at every place, to every length a killed id has, and the pieces meet the ids in one equi-join: no
+    directory is compared with every id.
     """
-    ids = killed.select(F.col("app_id").alias("_id")).distinct()
+    ids = killed.select(F.col("app_id").alias("_id")).where("_id is not null").distinct()
     if mode == "equals":
         return dirs.join(ids, F.col("app_id") == F.col("_id"), "left_semi")
     sizes = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # one per id length
     if not sizes:
         return dirs.limit(0)
-    name = F.col("app_id")
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
-        lambda i: F.substring(name, i, F.lit(len(id_start))) == id_start,
-    )
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: i + n - 1 <= F.length(name)),
-                lambda n: F.substring(name, i, n),
-            ),
-        )
-    )
+    names = dirs.select("app_id").distinct()
+    long = names.withColumn("_size", F.explode(F.array(*map(F.lit, sorted(sizes))))).where(F.col("_size") <= F.length("app_id"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("app_id") - F.col("_size") + 1, F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.substring("app_id", i, F.col("_size")))
     hits = (
-        dirs.select("app_id", F.explode(pieces).alias("_id"))
-        .join(ids, "_id", "left_semi")
-        .select("app_id")
-        .distinct()
+        long.select("app_id", F.explode(F.array_distinct(pieces)).alias("_id"))
+        .join(ids, "_id", "left_semi").select("app_id").distinct()
     )
     return dirs.join(hits, "app_id", "left_semi")

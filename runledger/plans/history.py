@@ -10,7 +10,7 @@ from runledger.plans.registry import query
 from runledger.plans.scalars import with_container
 from runledger.plans.tables import Tables
 
-ATTEMPT_SQL = """a AS (SELECT *, CAST(sum(CASE WHEN kind = 'APPLICATION_INITED' THEN 1 ELSE 0 END)
+ATTEMPT_SQL = """a AS MATERIALIZED (SELECT *, CAST(sum(CASE WHEN kind = 'APPLICATION_INITED' THEN 1 ELSE 0 END)
         OVER (PARTITION BY k ORDER BY file_pos) AS BIGINT) AS attempt FROM event_log)"""
 STATUS_SQL = """CASE WHEN exit_code IS NULL THEN 'RUNNING' WHEN exit_code = 0 THEN 'SUCCEEDED'
         WHEN exit_code = -105 THEN 'FINISHED' ELSE 'FAILED' END"""
@@ -129,7 +129,7 @@ def finished_and_landing(t: Tables):
     ("apps",),
 )
 def app_list(t: Tables):
-    return history.ranked_app_list(t.apps, "k", t.many_apps).select(
+    return history.ranked_app_list(t.apps, "k").select(
         "k", "app_id", "completed_ms", "started_ms", "usr", "status", "place"
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from runledger.operators import graph, placement, upkeep
 from runledger.plans.registry import query
 from runledger.plans.tables import Tables
-from runledger.session import written
 
 HOSTS_SQL = "p AS (SELECT k, host, CAST(count(*) AS INT) AS processes FROM tasks WHERE role <> 'ps' GROUP BY k, host)"
 PLAN_SQL = f"""{HOSTS_SQL},
@@ -140,7 +139,7 @@ def store_partition(t: Tables):
 def expired_partitions(t: Tables):
     odd = F.when(F.col("year") == "1997", "y1997").otherwise(F.col("year"))
     placed = upkeep.store_partition(t.file_names, ZONE)
-    parts = written(placed.select("year", "month", "day").distinct(), "partitions")
+    parts = placed.select("year", "month", "day").distinct()
     parts = parts.withColumn("year", odd)
     return upkeep.expired_partitions(parts, F.lit("2000-05-17").cast("date"))
 
@@ -178,15 +177,16 @@ def killed_landing(t: Tables):
 
 @query(
     "J02_killed_landing_contains",
-    """SELECT k, app_id FROM apps WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < 100
-         AND contains(app_id, concat('application_', o_custkey, '_', o_orderkey // 10)))""",
+    """
+    i AS (SELECT DISTINCT concat(o_custkey, '_', o_orderkey // 10) AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
+    p AS (SELECT DISTINCT k, app_id, substr(app_id, s, n) AS piece FROM apps, (SELECT unnest(range(1, 64)) AS s), (SELECT DISTINCT length(id) AS n FROM i)
+          WHERE s + n - 1 <= length(app_id))
+    SELECT DISTINCT k, app_id FROM p WHERE piece IN (SELECT id FROM i)""",
     ("apps",),
 )
 def killed_landing_contains(t: Tables):
-    orders = t.raw("orders").where("o_orderpriority = '1-URGENT' AND o_custkey < 100")
-    killed = orders.select(
-        F.concat_ws("_", F.lit("application"), F.col("o_custkey").cast("string"), F.expr("o_orderkey div 10").cast("string")).alias("app_id")
-    )
+    orders = t.raw("orders").where("o_orderpriority = '1-URGENT'")
+    killed = orders.select(F.concat_ws("_", F.col("o_custkey").cast("string"), F.expr("o_orderkey div 10").cast("string")).alias("app_id"))
     return upkeep.killed_landing(t.apps.select("k", "app_id"), killed, mode="contains")
 
 

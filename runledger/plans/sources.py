@@ -20,23 +20,22 @@ LOG_SQL = """
 LOG_COLUMNS = ["k", "file_pos", "type", "timestamp", "task_type", "task_index", "host", "status"]
 
 
+def _stored_log(t: Tables) -> str:
+    path = scratch_dir(t.spark, "events")
+    store.write_event_log(t.event_log, path, period="yyyy-MM")
+    return path
+
+
 @query("S01_event_log_scan", LOG_SQL, ("event_log",))
 def event_log_scan(t: Tables):
-    """Every application's log as container files, decoded again."""
-    stored = store.encode_event_files(to_event_union(t.event_log))
-    rows = eventlog.decode_event_files(stored)
-    app = F.regexp_extract("path", r"application_0_(\d+)/", 1).cast("long")
-    part = F.regexp_extract("path", r"/(\d+)\.jhist$", 1).cast("long")
-    placed = rows.withColumns({"k": app, "file_pos": part * store.FILE_EVENTS + F.col("file_pos")}).drop("path")
-    event = [c for c in placed.columns if c not in ("k", "file_pos")]
-    return flatten_events(placed.select("k", "file_pos", F.struct(*event).alias("e"))).select(*LOG_COLUMNS)
+    """The stored log, scanned for the applications of the task tables."""
+    log = eventlog.read_event_log(t.spark, _stored_log(t), t.event_log.schema, t.apps.select("k"))
+    return flatten_events(to_event_union(log)).select(*LOG_COLUMNS)
 
 
 @query("K01_event_log_append", LOG_SQL, ("event_log",))
 def event_log_append(t: Tables):
-    path = scratch_dir(t.spark, "events")
-    store.write_event_log(t.event_log, path, period="yyyy-MM")
-    return flatten_events(to_event_union(t.spark.read.parquet(path))).select(*LOG_COLUMNS)
+    return flatten_events(to_event_union(t.spark.read.parquet(_stored_log(t)))).select(*LOG_COLUMNS)
 
 
 CONFIG_SQL = """

@@ -198,7 +198,9 @@ RELEASE_SQL = f"""{REGISTER_SQL} SELECT k, max(reg_ms) AS release_ms FROM l GROU
 
 @query("T12_gang_release_stream", RELEASE_SQL, ("tasks",))
 def gang_release_stream(t: Tables):
-    came = _launches(t).where(F.col("reg_ms").isNotNull()).select("k", F.col("reg_ms").alias("ts_ms"))
+    came = _launches(t).where(F.col("reg_ms").isNotNull()).select(
+        "k", F.col("task_id").alias("task"), F.col("reg_ms").alias("ts_ms")
+    )
     expected = t.tasks.groupBy("k").agg(F.count(F.lit(1)).alias("expected"))
     return states.gang_release(_stream(t, came, "registrations"), expected)
 

@@ -232,14 +232,14 @@ def failed_unregistered(t: Tables):
     "G17_status_summary",
     f"""
     p AS (SELECT k, role, idx, {STATUS_SQL} AS status FROM tasks),
-    q AS (SELECT *, CAST((row_number() OVER (PARTITION BY k, status ORDER BY role, idx) - 1) // 10000 AS INT) AS part FROM p),
-    r AS (SELECT k, status, part, role, concat(role, ' [', string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx), ']') AS txt FROM q GROUP BY k, status, part, role)
-    SELECT k, status, CAST(list_position(['FAILED', 'SUCCEEDED', 'FINISHED', 'RUNNING', 'NEW', 'READY'], status) AS INT) AS attention,
-           part, string_agg(txt, ' ' ORDER BY role) AS text FROM r GROUP BY k, status, part""",
+    q AS (SELECT *, idx - row_number() OVER (PARTITION BY k, status, role ORDER BY idx) AS run FROM p)
+    SELECT k, status, role, min(idx) AS first, max(idx) AS last,
+           CAST(list_position(['FAILED', 'SUCCEEDED', 'FINISHED', 'RUNNING', 'NEW', 'READY'], status) AS INT) AS attention
+    FROM q GROUP BY k, status, role, run""",
     ("tasks",),
 )
 def status_summary(t: Tables):
-    return tasks.status_summary(t.tasks, t.app_hot)
+    return tasks.status_runs(t.tasks, t.app_hot)
 
 
 @query(
@@ -467,7 +467,7 @@ def app_overview(t: Tables):
     derived = tasks.final_status(t.tasks, tracked()).withColumnRenamed("status", "derived_status")
     seen = listed.join(counted, "k", "left").join(derived, "k", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return history.ranked_app_list(seen, "k", t.many_apps).select(
+    return history.ranked_app_list(seen, "k").select(
         "k", "app_id", "started_ms", "completed_ms", "usr", F.col("status").alias("recorded_status"),
         zero("total"), zero("tracked"), zero("completed"), zero("failed"),
         F.coalesce("derived_status", F.lit("SUCCEEDED")).alias("derived_status"), "message", "place",

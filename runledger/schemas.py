@@ -2,16 +2,6 @@
 
 from __future__ import annotations
 
-METRIC = "struct<name:string,value:double>"
-EVENT = (
-    "type string,"
-    " app_inited struct<application_id:string,num_tasks:int,host:string,container_id:string>,"
-    f" app_finished struct<application_id:string,finished_tasks:int,failed_tasks:int,metrics:array<{METRIC}>>,"
-    " task_started struct<task_type:string,task_index:int,host:string,container_id:string>,"
-    f" task_finished struct<task_type:string,task_index:int,status:string,metrics:array<{METRIC}>,diagnostic:string>,"
-    " timestamp bigint"
-)
-
 _MEMORY = "struct<total:string,used:string,free:string>"
 GPU_SNAPSHOT = (
     "driver_version string, gpu array<struct<product_name:string,uuid:string,minor_number:string,"

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.upkeep import store_partition
-from runledger.sources.avro import write_container
-from runledger.sources.eventlog import BRANCHES
-
-FILE_EVENTS = 65_536
 
 
 def write_event_log(events: DataFrame, path: str, period: str = "yyyy-MM-dd", mode: str = "append") -> None:
@@ -27,54 +20,9 @@ def write_event_log(events: DataFrame, path: str, period: str = "yyyy-MM-dd", mo
     ).write.mode(mode).partitionBy("period").parquet(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch["events"]
-        events, ends = _stored(lists.flatten()), [n or 0 for n in lists.value_lengths().to_pylist()]
-        contents, at = [], 0
-        for n in ends:
-            contents.append(write_container(events[at : at + n]))
-            at += n
-        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(contents, pa.binary())], ["path", "content"])
-
-
-def _stored(events: pa.StructArray) -> list[dict]:
-    """Events as stored records; counts that are not set are written as 0."""
-    payload: list = [None] * len(events)
-    for record, (column, renamed) in BRANCHES.items():
-        held = events.field(column)
-        fields = {theirs: held.field(ours).to_pylist() for theirs, ours in renamed.items()}
-        for name in ("numTasks", "finishedTasks", "failedTasks", "metrics"):
-            if name in fields:
-                fields[name] = [v or ([] if name == "metrics" else 0) for v in fields[name]]
-        for i, present in enumerate(held.is_valid().to_pylist()):
-            if present:
-                payload[i] = (record, {name: values[i] for name, values in fields.items()})
-    kinds, times = events.field("type").to_pylist(), events.field("timestamp").to_pylist()
-    return [{"type": k, "event": p, "timestamp": t} for k, p, t in zip(kinds, payload, times)]
-
-
-def encode_event_files(events: DataFrame, event: str = "e") -> DataFrame:
-    """(path, content) container files of (k, file_pos, event union).
-
-    A file holds at most FILE_EVENTS events of an application, so its list has a fixed bound;
-    a longer log goes on in the next file.
-    """
-    part = F.floor(F.col("file_pos") / FILE_EVENTS).cast("long")
-    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A fixed number of partitions: encoding is slow for its bytes, and AQE would merge them.
-    files = events.withColumn("_part", part).repartition(spread, "k", "_part").groupBy("k", "_part").agg(
-        F.array_sort(F.collect_list(F.struct("file_pos", event))).alias("_e")
-    )
-    path = F.concat(F.lit("application_0_"), F.col("k").cast("string"), F.lit("/"), F.col("_part").cast("string"), F.lit(".jhist"))
-    return files.select(path.alias("path"), F.col(f"_e.{event}").alias("events")).mapInArrow(
-        _encode, "path string, content binary"
-    )
-
-
 def write_config(settings: DataFrame, path: str, by: str = "app") -> None:
-    """Configuration XML per application from (app, name, value, final, source)."""
-    settings.write.partitionBy(by).format("xml").option("rootTag", "configuration").option(
+    """Configuration XML, one file per application, from (app, name, value, final, source)."""
+    settings.repartition(by).write.partitionBy(by).format("xml").option("rootTag", "configuration").option(
         "rowTag", "property"
     ).save(path)
 

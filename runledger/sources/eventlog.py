@@ -1,101 +1,28 @@
-"""The event-log source: Avro container files, one per application attempt."""
+"""The event-log source: the stored log, one directory per period, written by ``sinks.store``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from runledger.schemas import EVENT
-from runledger.sources.avro import read_blocks
-
-EVENT_ROWS = f"path string, file_pos bigint, {EVENT}"
-
-# Record of the stored union -> (struct column, stored field -> our field).
-BRANCHES = {
-    "ApplicationInited": ("app_inited", {
-        "applicationId": "application_id", "numTasks": "num_tasks", "host": "host", "containerID": "container_id"}),
-    "ApplicationFinished": ("app_finished", {
-        "applicationId": "application_id", "finishedTasks": "finished_tasks", "failedTasks": "failed_tasks",
-        "metrics": "metrics"}),
-    "TaskStarted": ("task_started", {
-        "taskType": "task_type", "taskIndex": "task_index", "host": "host", "containerID": "container_id"}),
-    "TaskFinished": ("task_finished", {
-        "taskType": "task_type", "taskIndex": "task_index", "status": "status", "metrics": "metrics",
-        "containerDiagnostic": "diagnostic"}),
-}
-
-
-BATCH_ROWS = 4096
-
-
-def _columns(paths: list[str], places: list[int], events: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    """Events as Arrow columns, one struct column per record of the union."""
-    plain = {
-        "path": paths, "file_pos": places,
-        "type": [e["type"] for e in events], "timestamp": [e["timestamp"] for e in events],
-    }
-    arrays = {n: pa.array(v, schema.field(n).type) for n, v in plain.items()}
-    for record, (column, renamed) in BRANCHES.items():
-        held = [e["event"][1] if e["event"][0] == record else None for e in events]
-        kind = schema.field(column).type
-        stored = {ours: theirs for theirs, ours in renamed.items()}
-        parts = [
-            pa.array([None if h is None else h.get(stored[f.name]) for h in held], f.type) for f in kind
-        ]
-        arrays[column] = pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([h is None for h in held]))
-    return pa.RecordBatch.from_arrays([arrays[n] for n in schema.names], schema=schema)
-
-
-def _decoder(schema: pa.Schema):
-    def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers: dict = {}
-        paths, places, events = [], [], []
-        for batch in files:
-            for path, content in zip(batch["path"], batch["content"]):
-                path, at = path.as_py(), 0
-                for block in read_blocks(content.as_py(), readers):
-                    paths += [path] * len(block)
-                    places += range(at, at + len(block))
-                    events += block
-                    at += len(block)
-                    if len(events) >= BATCH_ROWS:
-                        yield _columns(paths, places, events, schema)
-                        paths, places, events = [], [], []
-        if events:
-            yield _columns(paths, places, events, schema)
-
-    return decode
-
-
-def decode_event_files(files: DataFrame) -> DataFrame:
-    """Event rows in file order from (path, content); blocks leave as they fill up, so a file of
-    many events is never one list."""
-    schema = StructType.fromDDL(EVENT_ROWS)
-    return files.select("path", "content").mapInArrow(_decoder(to_arrow_schema(schema)), schema)
-
 
-def read_event_log(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """Every event below ``root``. ``files`` (path) narrows the scan to chosen files first.
+def read_event_log(spark: SparkSession, path: str, schema: str | StructType, chosen: DataFrame | None = None) -> DataFrame:
+    """Events of the log at ``path`` with their stored ``file_pos``, the order within an application.
 
-    A missing folder gives no rows; a damaged file gives the records before the damage.
+    ``chosen`` (k, or k and attempt) narrows the scan to these applications or attempts. A missing or empty folder
+    gives no rows; a damaged file is passed over, all others are read.
     """
     try:
-        found = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.jhist*").load(root)
+        log = (
+            spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(path)
         )
     except Exception as e:  # the analysis error for a missing path has no class of its own
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], EVENT_ROWS)
-    if files is not None:
-        found = found.join(files.select("path"), "path", "left_semi")
-    return decode_event_files(found.select("path", "content"))
+        return spark.createDataFrame([], schema)
+    log = log.select(*(StructType.fromDDL(schema) if isinstance(schema, str) else schema).names)
+    return log if chosen is None else log.join(chosen.distinct(), chosen.columns, "left_semi")
 
 
 def app_of_path(path: str = "path"):

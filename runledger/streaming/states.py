@@ -99,13 +99,15 @@ def current_events(events: DataFrame, hot: list | None = None) -> DataFrame:
 def gang_release(registrations: DataFrame, expected: DataFrame) -> DataFrame:
     """When the last expected task of an application registered.
 
-    ``registrations``: k, ts_ms, one row per task. ``expected``: k, expected.
+    ``registrations``: k, task, ts_ms; a task that registers again counts once, at the first time.
+    ``expected``: k, expected.
     """
 
     def reduce(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("k").agg(F.count(F.lit(1)).alias("registered"), F.max("ts_ms").alias("last_ms"))
+        return batch.groupBy("k", "task").agg(F.min("ts_ms").alias("first_ms"))
 
-    state = _fold(registrations, ["k"], {"registered": F.sum, "last_ms": F.max}, reduce, "gang")
+    seen = _fold(registrations, ["k", "task"], {"first_ms": F.min}, reduce, "gang")
+    state = seen.groupBy("k").agg(F.count(F.lit(1)).alias("registered"), F.max("first_ms").alias("last_ms"))
     return state.join(expected, "k").where("registered = expected").select("k", F.col("last_ms").alias("release_ms"))
 
 

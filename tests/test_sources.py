@@ -4,55 +4,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.sinks import store
-from runledger.sources import avro, documents, eventlog, files
-
-EVENTS = [
-    {"type": "APPLICATION_INITED", "timestamp": 1, "event": ("ApplicationInited", {
-        "applicationId": "fakeid123", "numTasks": 2, "host": "fakehost2", "containerID": "fakecontainerID"})},
-    {"type": "TASK_STARTED", "timestamp": 2, "event": ("TaskStarted", {
-        "taskType": "faketasktype", "taskIndex": 3, "host": "fakehost3", "containerID": None})},
-    {"type": "TASK_FINISHED", "timestamp": 3, "event": ("TaskFinished", {
-        "taskType": "faketasktype", "taskIndex": 4, "status": "FAILED",
-        "metrics": [{"name": "MAX_MEMORY_BYTES", "value": 1.5}], "containerDiagnostic": "File not found"})},
-    {"type": "APPLICATION_FINISHED", "timestamp": -4, "event": ("ApplicationFinished", {
-        "applicationId": "fakeid123", "finishedTasks": 4, "failedTasks": 3, "metrics": []})},
-]
-
-
-@pytest.mark.parametrize("codec", ["null", "deflate"])
-def test_container_round_trip(codec):
-    content = avro.write_container(EVENTS * 700, codec, block=1000)
-    blocks = list(avro.read_blocks(content))
-    assert [len(b) for b in blocks] == [1000, 1000, 800]
-    assert [r for b in blocks for r in b] == EVENTS * 700
-
-
-def test_damaged_containers():
-    content = avro.write_container(EVENTS, "null")
-    whole = [r for b in avro.read_blocks(content) for r in b]
-    cut = [r for b in avro.read_blocks(content[:-40]) for r in b]
-    assert 0 < len(cut) < len(whole) and cut == whole[: len(cut)]
-    assert list(avro.read_blocks(b"")) == [] and list(avro.read_blocks(b"no container")) == []
-    two = avro.write_container(EVENTS * 2, "null", block=4)
-    assert len([r for b in avro.read_blocks(two[:-10]) for r in b]) == 8
-
-
-def test_event_log_files(spark, tmp_path):
-    app = tmp_path / "finished" / "2019" / "application_1_2"
-    app.mkdir(parents=True)
-    (app / "application_1_2-1-user.jhist.inprogress").write_bytes(avro.write_container(EVENTS))
-    (app / "config.xml").write_text("<configuration/>")
-    (app / "application_1_2-0-9-user-FAILED.jhist").write_bytes(b"broken")
-    rows = eventlog.read_event_log(spark, str(tmp_path)).orderBy("file_pos")
-    got = rows.withColumn("app", eventlog.app_of_path()).collect()
-    assert [r["type"] for r in got] == [e["type"] for e in EVENTS]
-    assert {r["app"] for r in got} == {"application_1_2"}
-    assert got[0]["app_inited"]["container_id"] == "fakecontainerID" and got[1]["task_started"]["container_id"] is None
-    assert got[2]["task_finished"]["metrics"][0]["value"] == 1.5 and got[2]["app_inited"] is None
-    assert got[3]["timestamp"] == -4
-    assert eventlog.read_event_log(spark, str(tmp_path / "missing")).count() == 0
-    none = rows.limit(0).select("path")
-    assert eventlog.read_event_log(spark, str(tmp_path), none).count() == 0
+from runledger.sources import documents, eventlog, files
+
+LOG = "k long, ts_ms long, kind string, file_pos long"
+
+
+def test_event_log(spark, tmp_path):
+    path, day = str(tmp_path / "log"), 86_400_000
+    rows = [(k, i * day, f"kind{i}", i) for k in (1, 2) for i in range(3)]
+    store.write_event_log(spark.createDataFrame(rows, LOG), path)
+    found = eventlog.read_event_log(spark, path, LOG)
+    assert sorted(map(tuple, found.collect())) == rows
+    (tmp_path / "log" / "period=1970-01-02" / "part-x.snappy.parquet").write_bytes(b"no parquet at all")
+    assert sorted(map(tuple, eventlog.read_event_log(spark, path, LOG).collect())) == rows
+    chosen = spark.createDataFrame([(2,), (2,), (9,)], "k long")
+    assert sorted(map(tuple, eventlog.read_event_log(spark, path, LOG, chosen).collect())) == rows[3:]
+    assert eventlog.read_event_log(spark, str(tmp_path / "missing"), LOG).count() == 0
 
 
 def test_config_files(spark, tmp_path):
@@ -61,10 +28,10 @@ def test_config_files(spark, tmp_path):
         inner = "".join(f"<{t}>{v}</{t}>" for t, v in tags)
         return f"<property>{inner}<source>{source}</source><source>second</source></property>"
 
-    one, two = tmp_path / "application_123_456", tmp_path / "a" / "application_123_457"
+    one, two = tmp_path / "application_77_8001", tmp_path / "a" / "application_77_8002"
     for d in (one, two):
         d.mkdir(parents=True)
-    holes = [prop("fookey", "foo"), prop("barkey", "bar", "no"), prop("bazkey", "baz", "TRUE"),
+    holes = [prop("alpha", "A1"), prop("beta", "B2", "no"), prop("gamma", "C3", "TRUE"),
              prop(None, "x"), prop("y", None), prop(None, None)]
     (one / "job-final.xml").write_text(f"<configuration>{''.join(holes)}</configuration>")
     (one / "config.xml").write_text(f"<configuration>{prop('old', '1')}</configuration>")
@@ -72,10 +39,10 @@ def test_config_files(spark, tmp_path):
     got = {(r["dir"].rsplit("/", 1)[-1], r["name"]): (r["value"], r["final"], r["source"])
            for r in files.read_config(spark, str(tmp_path)).collect()}
     assert got == {
-        ("application_123_456", "fookey"): ("foo", False, "job.xml"),
-        ("application_123_456", "barkey"): ("bar", False, "job.xml"),
-        ("application_123_456", "bazkey"): ("baz", True, "job.xml"),
-        ("application_123_457", "only"): ("1", True, "job.xml"),
+        ("application_77_8001", "alpha"): ("A1", False, "job.xml"),
+        ("application_77_8001", "beta"): ("B2", False, "job.xml"),
+        ("application_77_8001", "gamma"): ("C3", True, "job.xml"),
+        ("application_77_8002", "only"): ("1", True, "job.xml"),
     }
 
 
@@ -89,14 +56,14 @@ def test_directories(spark, tmp_path):
 
 GPU = """<?xml version="1.0" ?>
 <nvidia_smi_log>
-  <driver_version>375.66</driver_version>
-  <gpu id="0"><product_name>Tesla P100-PCIE-12GB</product_name><uuid>GPU-1</uuid><minor_number>0</minor_number>
-    <fb_memory_usage><total>12193 MiB</total><used>0 MiB</used><free>12193 MiB</free></fb_memory_usage>
-    <bar1_memory_usage><total>16384 MiB</total><used>2 MiB</used><free>16382 MiB</free></bar1_memory_usage>
+  <driver_version>512.40</driver_version>
+  <gpu id="0"><product_name>Model Q</product_name><uuid>GPU-aa</uuid><minor_number>0</minor_number>
+    <fb_memory_usage><total>8100 MiB</total><used>0 MiB</used><free>8100 MiB</free></fb_memory_usage>
+    <bar1_memory_usage><total>4000 MiB</total><used>4 MiB</used><free>3996 MiB</free></bar1_memory_usage>
     <utilization><gpu_util>0 %</gpu_util></utilization></gpu>
-  <gpu id="1"><product_name>Tesla P100-PCIE-12GB</product_name><uuid>GPU-2</uuid><minor_number>1</minor_number>
-    <fb_memory_usage><total>12193 MiB</total><used>93 MiB</used></fb_memory_usage>
-    <utilization><gpu_util>10.3 %</gpu_util></utilization></gpu>
+  <gpu id="1"><product_name>Model Q</product_name><uuid>GPU-bb</uuid><minor_number>1</minor_number>
+    <fb_memory_usage><total>8100 MiB</total><used>71 MiB</used></fb_memory_usage>
+    <utilization><gpu_util>42.5 %</gpu_util></utilization></gpu>
 </nvidia_smi_log>
 """
 
@@ -104,9 +71,9 @@ GPU = """<?xml version="1.0" ?>
 def test_gpu_snapshot(spark, tmp_path):
     (tmp_path / "smi.xml").write_text(GPU)
     rows = documents.read_gpu_snapshots(spark, str(tmp_path)).orderBy("minor_number").collect()
-    assert [r["driver_version"] for r in rows] == ["375.66", "375.66"]
-    assert rows[0]["fb_used"] + rows[0]["fb_free"] == 12193 and rows[0]["bar1_used"] + rows[0]["bar1_free"] == 16384
-    assert rows[1]["utilization"] == pytest.approx(10.3, abs=1e-5)
+    assert [r["driver_version"] for r in rows] == ["512.40", "512.40"]
+    assert rows[0]["fb_used"] + rows[0]["fb_free"] == 8100 and rows[0]["bar1_used"] + rows[0]["bar1_free"] == 4000
+    assert rows[1]["utilization"] == pytest.approx(42.5, abs=1e-5)
     assert rows[1]["fb_free"] == -1 and rows[1]["bar1_used"] is None
 
 
@@ -128,7 +95,7 @@ def test_slot_plan(spark):
 
 
 def test_finished_store_and_purge(spark, tmp_path):
-    names = [f"application_123_456-123-{end}-user1-SUCCEEDED.jhist" for end in (1546300800000, 1549000000000)]
+    names = [f"application_77_8001-123-{end}-mara-SUCCEEDED.jhist" for end in (1546300800000, 1549000000000)]
     rows = spark.createDataFrame([(n,) for n in [*names, "application_1_2-1-user.jhist.inprogress"]], "name string")
     store.write_finished(rows, str(tmp_path / "s"))
     back = spark.read.schema("name string, year string, month string, day string").parquet(str(tmp_path / "s"))
@@ -147,3 +114,10 @@ def test_external_program(spark):
         program.run_program(rows, ["sh", "-c", "cat >/dev/null; exit 3"], "t").collect()
     with pytest.raises(Exception, match="exit code"):
         program.run_program(rows, ["sleep", "60"], "t", timeout_s=1).collect()
+    many = spark.range(200_000).select(F.col("id").cast("string").alias("t")).coalesce(1)
+    with pytest.raises(Exception, match="before it had read all its input"):
+        program.run_program(many, ["head", "-n", "3"], "t").collect()
+    assert program.run_program(many, ["head", "-n", "3"], "t", may_stop_early=True).count() == 3
+    broken = many.withColumn("t", F.expr("if(t = '150000', raise_error('no such row'), t)"))
+    with pytest.raises(Exception, match="no such row"):
+        program.run_program(broken, ["cat"], "t").collect()

@@ -155,9 +155,9 @@ def test_attention_order_and_summary(spark):
         "ps1", "worker3", "worker1", "worker5", "ps0", "worker0", "worker2", "worker4"]
     merged = task_rows(spark, [(1, r, i, "h", 0, 1, 0) for r in ("ps", "worker") for i in
                                ((1, 2, 3) if r == "ps" else (4, 5, 6))])
-    assert tasks.status_summary(merged).first()["text"] == "ps [1, 2, 3] worker [4, 5, 6]"
-    parts = tasks.status_summary(merged, part=2).orderBy("part")
-    assert [r["text"] for r in parts.collect()] == ["ps [1, 2]", "ps [3] worker [4]", "worker [5, 6]"]
+    runs = tasks.status_runs(merged.where("idx <> 5"))
+    assert {(r["role"], r["first"], r["last"]) for r in runs.collect()} == {("ps", 1, 3), ("worker", 4, 4), ("worker", 6, 6)}
+    assert tasks.status_text(runs).first()["text"] == "ps [1, 2, 3] worker [4, 6]"
 
 
 def test_text_index_order(spark):
@@ -286,6 +286,9 @@ def test_killed_landing(spark):
     assert hits("equals") == ["application_1_1", "application_1_2"]
     assert hits("contains") == ["application_1_1", "application_1_10", "application_1_12", "application_1_2",
                                 "application_1_21", "x-application_1_1"]
+    killed = spark.createDataFrame([("ation_1_2",), ("1_12",), ("zz" * 40,), (None,)], "app_id string")
+    assert hits("contains") == ["application_1_12", "application_1_2", "application_1_21"]
+    killed = spark.createDataFrame([("application_1_1",), ("application_1_2",)], "app_id string")
     open_ = spark.createDataFrame([("application_1_1", 5, -1, "u", "RUNNING"), ("application_1_2", 5, 9, "u", "FAILED")],
                                   "app_id string, started_ms long, completed_ms long, usr string, status string")
     done = {r["app_id"]: (r["completed_ms"], r["status"]) for r in upkeep.finalise_killed(open_, killed, 77).collect()}
