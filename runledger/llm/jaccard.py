@@ -3,9 +3,9 @@
 A text's set holds 64-bit hashes of its shingles; texts with equal sets are one node. Two sets of similarity
 ``threshold`` share a token of their prefixes (a tenth of the set at 0.9) under every global order of tokens.
 
-The first order is by frequency, rare tokens first. To count less, it puts the tokens of a fixed fifth of the
-hash space before all others and sorts only those by the number of texts that hold them; a set that has too few of
-them goes on in the order of the hashes. Tokens of one text alone need no partner: they only fill its
+The first order is by frequency, rare tokens first. To count less, it puts the tokens of a fixed part of the
+hash space (a fifth, for 0.9) before all others and sorts only those by the number of texts that hold them; a set
+that has too few of them goes on in the order of the hashes. Tokens of one text alone need no partner: they only fill its
 prefix, so most texts are done here. The other orders are by hashes of their own.
 
 Nodes that share a prefix token under the first order meet as follows. Each node belongs to a block of about
@@ -29,7 +29,6 @@ from runledger.llm.components import components
 from runledger.session import written
 
 BLOCK = 256
-FIFTH = 5  # the share of the hash space whose tokens are counted
 ORDERS = 2  # by hashes, besides the one by frequency
 BLOCK_CHARS = 4_000_000
 BATCH = 2_048  # rows of pairs of blocks that are verified in one go
@@ -107,14 +106,14 @@ def prefixes(token, bounds, order, percent):
     return by[inside < np.repeat(size, n)], np.concatenate([[0], np.cumsum(size)])
 
 
-def counted(token: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(token: np.ndarray, bounds: np.ndarray, percent: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of all sets that may lie in a prefix of the first order, set by set; bounds; which are uncounted.
 
     All tokens of the counted part of the hash space (the smallest hashes), and as many more as the prefix lacks.
     """
     n = np.diff(bounds)
     inside = np.arange(len(token)) - np.repeat(bounds[:-1], n)  # tokens of a set are sorted
-    first = token < np.uint64((1 << 64) // FIFTH)
+    first = token < np.uint64(int(share * (1 << 64)))
     many = np.add.reduceat(np.append(first, False), bounds[:-1]) * (n > 0) if len(n) else n
     keep = inside < np.repeat(np.maximum(many, prefix_sizes(n, percent)), n)
     return token[keep], np.concatenate([[0], np.cumsum(np.maximum(many, prefix_sizes(n, percent)))]), ~first[keep]
@@ -174,10 +173,11 @@ def links_in(names: np.ndarray, side: np.ndarray, sets: list[np.ndarray], heads:
     return forest
 
 
-def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int = ORDERS) -> DataFrame:
+def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int = ORDERS, counted: float = 0.2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``df``.
 
-    Two texts link when 100 * common shingles >= percent * shingles of both together; component_id is the
+    ``counted``: the part of the hash space whose tokens are counted; of use above 1 - percent / 100, and right
+    for any value. Two texts link when 100 * common shingles >= percent * shingles of both together; component_id is the
     smallest doc_id that can be reached by links, itself included. Null and empty texts have no shingles and
     link with nothing: each such row is a component of its own. Rows with a null identifier link like others and
     get the smallest identifier of their component, null if it has none; repeated rows are copies. An empty
@@ -188,7 +188,7 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     def describe(batch):
         for ids, texts in blocks_of(*(batch.column(c).to_pylist() for c in range(2))):
             token, bounds = sets_of(texts, size)
-            some, ends, late = counted(token, bounds, percent)
+            some, ends, late = candidates(token, bounds, percent, counted)
             some = some.view(np.int64)
             yield {
                 "doc_id": ids, "n": np.diff(bounds), "x": [node_of(token[a:b]) for a, b in zip(bounds, bounds[1:])],

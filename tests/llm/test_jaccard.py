@@ -12,13 +12,15 @@ from runledger.llm.jaccard import jaccard_groups, sets_of
 SCHEMA = "doc_id long, text string, component_id long"
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(words[i:i + 3]) for i in range(len(words) - 2)) if len(words) > 2 else frozenset([tuple(words)] if words else [])
+    if len(words) < size:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, size=3, percent=90):
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -32,7 +34,7 @@ def brute(rows):
             by.setdefault(g, []).append(i)
     for i, j in {(i, j) for v in by.values() for i in v for j in v if i < j}:
         both = len(sets[i] & sets[j])
-        if 100 * both >= 90 * len(sets[i] | sets[j]):
+        if 100 * both >= percent * len(sets[i] | sets[j]):
             root[find(j)] = find(i)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -71,6 +73,9 @@ def test_groups_equal_brute_force(spark, rows):
     got = Counter(map(tuple, jaccard_groups(df.repartition(6)).collect()))
     assert got == brute(rows)
     assert len({c for _, _, c in got if c and 1000 <= c < 2000}) > 3
+    for size, percent, counted in ((5, 80, 0.3), (2, 60, 0.1)):
+        got = Counter(map(tuple, jaccard_groups(df, size, percent, counted=counted).collect()))
+        assert got == brute(rows, size, percent)
     assert jaccard_groups(df.limit(0)).count() == 0
 
 

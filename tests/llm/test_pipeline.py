@@ -51,7 +51,7 @@ def test_quality(steps):
 
 def test_near_copies(steps):
     before = steps[1].select("doc_id", "text").collect()
-    groups = brute([(i, t) for i, (_, t) in enumerate(before)])
+    groups = brute([(i, t) for i, (_, t) in enumerate(before)], 5, 80)
     least = {}
     for i, _, g in groups:
         d = before[i].doc_id
