@@ -71,11 +71,12 @@ def sets_of(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]
     return token[new], np.searchsorted(own[new], np.arange(len(texts) + 1))
 
 
-def blocks_of(ids: list, texts: list):
+def blocks_of(ids: list, texts: list, most: int = BLOCK_CHARS):
+    """Neighbouring texts of ``most`` characters together, or one longer text alone."""
     at = 0
     while at < len(texts):
         end, chars = at + 1, len(texts[at] or "")
-        while end < len(texts) and chars + len(texts[end] or "") <= BLOCK_CHARS:
+        while end < len(texts) and chars + len(texts[end] or "") <= most:
             chars += len(texts[end] or "")
             end += 1
         yield ids[at:end], texts[at:end]

@@ -33,6 +33,7 @@ CONTEXTS = 1 << 16
 FREQUENT = 10_000
 SHARDS = 48
 SHARD_TOKENS = 4_000_000
+BLOCK_CHARS = 2_000_000
 BURN_IN = 2
 SAMPLES = 3
 STRENGTH = 1.0
@@ -216,7 +217,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
 
     def count(batch):
         ids = batch.column(1).to_pylist()
-        for own, texts in blocks_of(ids, batch.column(2).to_pylist()):
+        for own, texts in blocks_of(ids, batch.column(2).to_pylist(), BLOCK_CHARS):
             learned = [t for i, t in zip(own, texts) if not is_held_out(i)]
             if learned:
                 _, code, _, hashes = coded(learned)
@@ -238,7 +239,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
     def send(batch):
         rows, ids, texts = (batch.column(c).to_pylist() for c in range(3))
         at = 0
-        for own_ids, part in blocks_of(ids, texts):
+        for own_ids, part in blocks_of(ids, texts, BLOCK_CHARS):
             names = np.array(rows[at:at + len(part)], np.int64)
             at += len(part)
             own, code, context, hashes = coded(part)
@@ -269,23 +270,25 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
             w, entries, c, d, m, r, ok = unpack(data, "<u8", "<u4", "<u2", "<u4", "<u4", "<i8", "u1")
             word.append(np.repeat(w, entries))
             context.append(c)
-            doc.append(d.astype(np.int64) + sum(map(len, rows)))
+            doc.append(d + np.uint32(sum(map(len, rows))))
             n.append(m)
             rows.append(r)
-            learned.append(ok)
-        word, context, doc, n, rows, learned = map(np.concatenate, (word, context, doc, n, rows, learned))
-        rows, same = np.unique(rows, return_inverse=True)  # equal rows are one text, as often as they occur
-        own, doc = doc, same[doc]
-        by = np.lexsort((doc, context, word))
-        word, context, doc, n, own = word[by], context[by], doc[by], n[by], own[by]
-        pair = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(context.astype(np.int64)) != 0)))
-        count = np.add.reduceat(n * learned[own], pair)
+            learned.append(m * ok[d])
+        rows, same = np.unique(np.concatenate(rows), return_inverse=True)  # equal rows are one text, as often as they occur
+        doc = same.astype(np.uint32)[np.concatenate(doc)]
+        word, context, n, learned = map(np.concatenate, (word, context, n, learned))  # what is not used below is freed
+        by = np.lexsort((context, word))
+        word, context = word[by], context[by]
+        pair = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
+        count = np.add.reduceat(learned[by], pair)
+        doc, n = doc[by], n[by]
+        del learned, by
         first = np.flatnonzero(np.append(True, np.diff(word[pair]) != 0))
         return pd.DataFrame({
             "shard": frame["shard"][:1].to_numpy(),
             "seats": [pack(words=word[pair[first]], pairs=np.diff(np.append(first, len(pair))).astype(np.uint32),
                            context=context[pair], count=count.astype(np.uint32))],
-            "texts": [pack(entries=np.diff(np.append(pair, len(word))).astype(np.uint32), doc=doc.astype(np.uint32), n=n, rows=rows)],
+            "texts": [pack(entries=np.diff(np.append(pair, len(word))).astype(np.uint32), doc=doc, n=n, rows=rows)],
         })
 
     sent = map_batches(docs, send, "shard int, data binary")
