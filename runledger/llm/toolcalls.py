@@ -1,9 +1,10 @@
 """Tool calls and their results: linked, ordered, validated and written as canonical JSON, in DataFrame operations.
 
 Calls and results meet in a hash join on (conversation, identifier), each side first reduced to one row an
-identifier. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Calls are layered as
-in Kahn's algorithm, all conversations at once: a round places the calls whose dependencies are placed, so there
-are as many rounds as the longest chain is long. Arguments are parsed to VARIANT, whose objects keep
+identifier. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Where all references
+of a conversation point back to earlier turns, the order of turns is a topological one. Conversations with a
+reference to a later call are layered as in Kahn's algorithm, all at once: a round places the calls whose
+dependencies are placed, so there are as many rounds as the longest chain in them is long. Arguments are parsed to VARIANT, whose objects keep
 their keys sorted, which makes their JSON canonical; the types of its fields are held against the tool's schema.
 """
 
@@ -77,8 +78,9 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     the result stands before its call, orphan without a call), level, position (from 0 in a conversation, by level, turn
     and identifier), errors (joined by commas), valid, canonical. Of calls or results that repeat an identifier
     the first counts (by turn, then content; nulls last), and the numbers tell. Null identifiers link with
-    nothing and get one row a side. References to calls that do not exist are errors (unknown_ref), cycles have
-    no level and stand last. Null or malformed arguments are errors too. Empty tables give no rows; other columns
+    nothing and get one row a side. level is 0 but for conversations with a reference to a later call, where it is
+    the length of the longest chain that a call waits for. References to calls that do not exist are errors
+    (unknown_ref), calls in or behind a cycle have no level and stand last. Null or malformed arguments are errors too. Empty tables give no rows; other columns
     are not returned.
     """
     key = ["conv_id", "call_id"]
@@ -89,11 +91,16 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     back = results.groupBy(*key).agg(first("turn", "content").alias("_r"), F.count(F.lit(1)).alias("n_results")).select(
         *key, F.col("_r.turn").alias("result_turn"), F.col("_r.content").alias("content"), "n_results")
     names = F.array_distinct(F.regexp_extract_all(text_of("arguments"), F.lit(REFERENCE), F.lit(1)))
-    asked = one.select(*key, F.explode(names).alias("on"))
-    known = one.select("conv_id", F.col("call_id").alias("on"), F.lit(True).alias("_known"))
+    place = F.coalesce("call_turn", F.lit(2**62))
+    asked = one.select(*key, place.alias("_at"), F.explode(names).alias("on"))
+    known = one.select("conv_id", F.col("call_id").alias("on"), place.alias("_on_at"))
     asked = written(asked.join(known, ["conv_id", "on"], "left"), "op2-references")
-    lost = asked.where("_known is null").groupBy(*key).agg(F.lit(True).alias("_lost"))
-    levels = layers(one, asked.where("_known").drop("_known"))
+    lost = asked.where("_on_at is null").groupBy(*key).agg(F.lit(True).alias("_lost"))
+    later = F.struct("_on_at", "on") >= F.struct("_at", "call_id")
+    ahead = asked.where(F.col("_on_at").isNotNull() & later).select("conv_id").distinct()
+    odd, edges = one.join(ahead, "conv_id", "left_semi"), asked.where("_on_at is not null").select(*key, "on")
+    levels = layers(odd, edges.join(ahead, "conv_id", "left_semi")).unionByName(
+        one.join(ahead, "conv_id", "left_anti").where("call_id is not null and conv_id is not null").select(*key, F.lit(0).alias("level")))
     ordered = (
         one.where("call_id is not null and conv_id is not null").join(levels, key, "left")
         .withColumn("_l", F.coalesce("level", F.lit(2**31 - 1))).withColumn("_s", F.floor(F.coalesce("call_turn", F.lit(2**62)) / TURNS))
@@ -154,21 +161,16 @@ with words as (
     select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from conversations
 ), calls as (
     select conv_id, turn, 'c' || turn as call_id, n, text, ['search', 'translate', 'count'][length(coalesce(text, '')) % 3 + 1] as name,
-        turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island
-    from words where role = 'user'
-), levelled as (
-    select *, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as chain,
         lag(turn) over (partition by conv_id, turn % 2 order by turn) as earlier
-    from calls
+    from words where role = 'user'
 ), checked as (
-    select *, chain::int as level,
-        row_number() over (partition by conv_id order by chain, turn, call_id) - 1 as position,
+    select *, 0 as level, row_number() over (partition by conv_id order by turn, call_id) - 1 as position,
         concat_ws(',',
             case when name = 'translate' and n % 2 = 1 then 'missing:lang' end,
             case when name = 'count' then 'type:limit' end,
             case when name <> 'translate' and n % 2 = 0 then 'unknown:lang' end,
             case when turn >= 2 and earlier is distinct from turn - 2 then 'unknown_ref' end) as errors
-    from levelled
+    from calls
 ), results as (
     select conv_id, turn as result_turn, 'c' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'
 )
