@@ -22,6 +22,15 @@ from runledger.operators.skew import dim_join
 
 
 
+def _flag(value: Column | bool) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _by(rules: DataFrame, *columns: str) -> list[str]:
+    """Join columns of rules from configuration: with the application, where each has its own."""
+    return ["k", *columns] if "k" in rules.columns else list(columns)
+
+
 def unregistered_tasks(tasks: DataFrame) -> DataFrame:
     """Launched tasks whose host is not known yet."""
     return tasks.where(F.col("start_ms").isNotNull() & F.col("host").isNull())
@@ -44,18 +53,19 @@ def progress(counted: DataFrame) -> DataFrame:
     )
 
 
-def final_status(tasks: DataFrame, tracked: Column, strict: bool = False) -> DataFrame:
-    """Status and message of each application from its tracked tasks."""
+def final_status(tasks: DataFrame, tracked: Column, strict: Column | bool = False) -> DataFrame:
+    """Status and message of each application from its tracked tasks. ``strict`` is the same on all its rows."""
     open_ = tracked & ~is_completed()
     bad = tracked & (F.col("exit_code") != SUCCESS)
     seen = tasks.groupBy("k").agg(
         F.count_if(tracked).alias("_tracked"),
         F.min(F.when(open_, F.struct("role", "idx"))).alias("_open"),
         F.count_if(bad).alias("failures"),
+        F.bool_or(_flag(strict)).alias("_strict"),
     )
     failures = F.col("failures")
     unfinished = F.col("_open").isNotNull()
-    broken = (failures > 0) & (F.lit(strict) | (failures >= F.col("_tracked")))
+    broken = (failures > 0) & (F.col("_strict") | (failures >= F.col("_tracked")))
     count = F.concat(F.lit("failedCnt="), failures.cast("string"))
     return seen.select(
         "k",
@@ -75,14 +85,15 @@ def final_status(tasks: DataFrame, tracked: Column, strict: bool = False) -> Dat
 
 
 def fail_fast(
-    tasks: DataFrame, stop_roles: list[str] = (), strict: bool = False, chief_role: str = "chief",
+    tasks: DataFrame, stop_roles: Column | list[str] = (), strict: Column | bool = False, chief_role: str = "chief",
     worker_role: str = "worker",
 ) -> DataFrame:
     """Applications ended by one task: the first failed finish of a chief, of a stop-on-failure
-    role, or (strict) of any role."""
+    role (a list, or a condition on the task), or (strict) of any role."""
     role, code = F.col("role"), F.col("exit_code")
     fatal = code.isNotNull() & ~code.isin(SUCCESS, KILLED_BY_MASTER)
-    named = fatal & (F.lit(strict) | role.isin([chief_role, *stop_roles]))
+    stops = stop_roles if isinstance(stop_roles, Column) else role.isin(list(stop_roles))
+    named = fatal & (_flag(strict) | (role == chief_role) | stops)
     stand_in = fatal & (role == worker_role) & (F.col("idx") == 0)
     first = lambda when: F.min(F.when(when, F.struct("end_ms", "role", "idx", "exit_code", "host")))
     # Only rows that can decide are combined; applications without any have no cause.
@@ -135,10 +146,11 @@ def role_summary(tasks: DataFrame) -> DataFrame:
 def group_completion(roles: DataFrame, members: DataFrame) -> DataFrame:
     """Per (app, group) of a role summary: are all members done, and when did the last end.
 
-    ``members``: grp, role, from configuration. Roles an application lacks do not count.
+    ``members``: grp, role, from configuration, and k where applications differ. Roles an application lacks do
+    not count.
     """
     return (
-        roles.join(members, "role")
+        roles.join(members, _by(members, "role"))
         .groupBy("k", "grp")
         .agg(
             (F.max("running") == 0).alias("done"),
@@ -151,17 +163,18 @@ def group_completion(roles: DataFrame, members: DataFrame) -> DataFrame:
 def awaited_groups(roles: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
     """Running roles of a role summary that wait for a group, with the state of that group.
 
-    ``rules``: role, grp, timeout_s, ignored. One group per role: the last by name.
+    ``rules``: role, grp, timeout_s, ignored, and k where applications differ (then in ``members`` too). One
+    group per role: the last by name.
     """
     # Member and waiting roles meet in one aggregate per (app, group); the list it builds is as
     # long as the rules of a group.
-    one = rules.groupBy("role").agg(F.max_by(F.struct("grp", "timeout_s", "ignored"), "grp").alias("r"))
-    known = members.select("grp").distinct()
-    waits = one.select("role", "r.*").join(known, "grp", "left_semi").withColumn("_member", F.lit(False))
+    one = rules.groupBy(*_by(rules, "role")).agg(F.max_by(F.struct("grp", "timeout_s", "ignored"), "grp").alias("r"))
+    known = members.select(*_by(members, "grp")).distinct()
+    waits = one.select(*_by(rules, "role"), "r.*").join(known, known.columns, "left_semi").withColumn("_member", F.lit(False))
     links = members.withColumn("_member", F.lit(True)).unionByName(waits, allowMissingColumns=True)
     member, waiting = F.col("_member"), ~F.col("_member") & (F.col("running") > 0)
     return (
-        roles.join(links, "role")
+        roles.join(links, _by(members, "role"))
         .groupBy("k", "grp")
         .agg(
             (F.coalesce(F.max(F.when(member, F.col("running"))), F.lit(0)) == 0).alias("done"),
@@ -251,7 +264,8 @@ def gang_release(tasks: DataFrame, registered_ms: Column) -> DataFrame:
 
 
 def dependency_countdown(tasks: DataFrame, edges: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Instances left per (role, dependency) after each finish of the dependency.
+    """Instances left per (role, dependency) after each finish of the dependency. ``edges``: role,
+    depends_on, and k where applications differ.
 
     Counting from the far end, tasks still running first, the place of a finish is one more
     than what is left after it, so one ordered pass gives the countdown without totals.
@@ -267,7 +281,7 @@ def dependency_countdown(tasks: DataFrame, edges: DataFrame, hot: bool | None =
         "k", F.col("role").alias("depends_on"), F.col("idx").alias("finished_idx"),
         F.col("end_ms").alias("at_ms"), (F.col("_n") - 1).alias("left"),
     )
-    return finishes.join(edges, "depends_on").withColumn("ready", F.col("left") == 0)
+    return finishes.join(edges, _by(edges, "depends_on")).withColumn("ready", F.col("left") == 0)
 
 
 def ready_roles(tasks: DataFrame, edges: DataFrame, as_of_ms: Column) -> DataFrame:
@@ -275,7 +289,7 @@ def ready_roles(tasks: DataFrame, edges: DataFrame, as_of_ms: Column) -> DataFra
     done = is_completed() & (F.col("end_ms") <= as_of_ms)
     state = tasks.groupBy("k", "role").agg(F.count_if(~done).alias("_left"))
     blocked = (
-        state.where("_left > 0").select("k", F.col("role").alias("depends_on")).join(edges, "depends_on")
+        state.where("_left > 0").select("k", F.col("role").alias("depends_on")).join(edges, _by(edges, "depends_on"))
     ).select("k", "role")
     return state.select("k", "role").join(blocked, ["k", "role"], "left_anti")
 

@@ -318,6 +318,24 @@ class Tables:
             spec.alias("spec"),
         )
 
+    @cached_property
+    def job_settings(self) -> DataFrame:
+        """Settings of each application: what is tracked, what stops it, what waits for what."""
+        k = F.col("o_orderkey")
+        pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+        entries = {
+            "application.untracked.jobtypes": pick("ps", "ps, evaluator", ""),
+            "application.stop-on-failure-jobtypes": pick("ps", "worker", "", "ps,worker"),
+            "application.fail-on-worker-failure-enabled": pick("true", "false", "false", "FALSE", "no"),
+            "worker.depends-on": pick("ps", "ps, evaluator"), "evaluator.depends-on": pick("worker", "", "ps"),
+            "worker.instances": F.lit("2"), "application.group.A": pick("worker,chief", "worker", "evaluator"),
+            "application.group.B": F.lit("ps"), "application.dependency.evaluator.timeout.after.A": pick("3600", "60"),
+            "application.dependency.worker.timeout.after.B": F.lit("1800"),
+            "application.dependency.worker.timeout.after.B.ignored": pick("true", "false", "True"),
+        }
+        pairs = [F.struct(F.lit(f"job.{name}").alias("key"), value.alias("value")) for name, value in entries.items()]
+        return self.raw("orders").select(k.alias("k"), F.inline(F.array(*pairs)))
+
     @cached_property
     def logs(self) -> DataFrame:
         return self.raw("documents").select(F.col("doc_id").alias("task"), "text")
@@ -389,6 +407,30 @@ SELECT s_suppkey AS snap,
          '<fb_memory_usage><used>', CAST(s_suppkey % 3 AS VARCHAR), ' MiB</used><free>', CAST(4 + s_suppkey % 9 AS VARCHAR), ' MiB</free></fb_memory_usage></gpu>',
          '</nvidia_smi_log>') AS xml
 FROM supplier""",
+    "job_settings": """
+SELECT o_orderkey AS k, unnest(['job.application.untracked.jobtypes', 'job.application.stop-on-failure-jobtypes', 'job.application.fail-on-worker-failure-enabled',
+         'job.worker.depends-on', 'job.evaluator.depends-on', 'job.worker.instances', 'job.application.group.A', 'job.application.group.B',
+         'job.application.dependency.evaluator.timeout.after.A', 'job.application.dependency.worker.timeout.after.B', 'job.application.dependency.worker.timeout.after.B.ignored']) AS key,
+       unnest([['ps', 'ps, evaluator', ''][o_orderkey % 3 + 1], ['ps', 'worker', '', 'ps,worker'][o_orderkey % 4 + 1], ['true', 'false', 'false', 'FALSE', 'no'][o_orderkey % 5 + 1],
+         ['ps', 'ps, evaluator'][o_orderkey % 2 + 1], ['worker', '', 'ps'][o_orderkey % 3 + 1], '2', ['worker,chief', 'worker', 'evaluator'][o_orderkey % 3 + 1], 'ps',
+         ['3600', '60'][o_orderkey % 2 + 1], '1800', ['true', 'false', 'True'][o_orderkey % 3 + 1]]) AS value
+FROM orders""",
+    "app_rules": """
+SELECT k, list_transform(string_split(concat(coalesce(max(value) FILTER (key = 'job.application.untracked.jobtypes'), ''), ',tensorboard'), ','), lambda x: trim(x)) AS off_roles,
+       list_transform(string_split(coalesce(max(value) FILTER (key = 'job.application.stop-on-failure-jobtypes'), ''), ','), lambda x: trim(x)) AS stop_roles,
+       coalesce(lower(max(value) FILTER (key = 'job.application.fail-on-worker-failure-enabled')), 'false') = 'true' AS strict
+FROM job_settings GROUP BY k""",
+    "app_edges": """
+SELECT DISTINCT * FROM (SELECT k, regexp_extract(key, '^job\\.([a-z]+)\\.depends-on$', 1) AS role, trim(unnest(string_split(value, ','))) AS depends_on
+FROM job_settings WHERE key LIKE 'job.%.depends-on') e WHERE depends_on <> ''""",
+    "app_members": """
+SELECT k, regexp_extract(key, '^job\\.application\\.group\\.([A-Za-z]+)$', 1) AS grp, trim(unnest(string_split(value, ','))) AS role
+FROM job_settings WHERE key LIKE 'job.application.group.%'""",
+    "app_group_rules": """
+SELECT k, regexp_extract(key, 'dependency\\.([A-Za-z]+)\\.', 1) AS role, regexp_extract(key, 'after\\.([A-Za-z]+)', 1) AS grp,
+       max(CAST(v AS INT)) AS timeout_s, coalesce(bool_or(lower(value) = 'true') FILTER (key LIKE '%.ignored'), false) AS ignored
+FROM (SELECT k, key, CASE WHEN key LIKE '%.ignored' THEN NULL ELSE value END AS v, value FROM job_settings WHERE key LIKE 'job.application.dependency.%') d
+GROUP BY 1, 2, 3""",
     "file_names": """
 SELECT k, CASE WHEN k % 17 = 3 THEN upper(base) WHEN k % 17 = 5 THEN replace(base, 'application_', 'job_') ELSE base END AS name
 FROM (SELECT k, CASE WHEN completed_ms = -1
@@ -407,7 +449,10 @@ SELECT o_orderkey AS k,
 FROM orders""",
     "logs": "SELECT doc_id AS task, text FROM documents",
 }
-NEEDS = {"event_log": ["apps", "tasks"], "file_names": ["apps"]}
+NEEDS = {
+    "event_log": ["apps", "tasks"], "file_names": ["apps"],
+    **{view: ["job_settings"] for view in ("app_rules", "app_edges", "app_members", "app_group_rules")},
+}
 
 
 def with_views(sql: str, *views: str, recursive: bool = False) -> str:
