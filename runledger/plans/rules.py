@@ -78,7 +78,7 @@ def fail_fast(t: Tables):
 )
 def edges_with_instances(t: Tables):
     n = tasks.role_summary(t.tasks).select("k", F.col("role").alias("depends_on"), F.col("instances").alias("waits_for"))
-    return rules.role_edges(t.job_settings).join(n, ["k", "depends_on"])
+    return t.app_edges.join(n, ["k", "depends_on"])
 
 
 @query(
@@ -90,7 +90,7 @@ def edges_with_instances(t: Tables):
     ("tasks", "app_edges"),
 )
 def dependency_countdown(t: Tables):
-    return tasks.dependency_countdown(t.tasks, rules.role_edges(t.job_settings), t.app_hot)
+    return tasks.dependency_countdown(t.tasks, t.app_edges, t.app_hot)
 
 
 @query(
@@ -102,7 +102,7 @@ def dependency_countdown(t: Tables):
     ("tasks", "app_edges"),
 )
 def ready_roles(t: Tables):
-    return tasks.ready_roles(t.tasks, rules.role_edges(t.job_settings), F.col("start_ms") + 1_800_000)
+    return tasks.ready_roles(t.tasks, t.app_edges, F.col("start_ms") + 1_800_000)
 
 
 GROUP_SQL = """
@@ -113,7 +113,7 @@ GROUP_SQL = """
 
 @query("G14_groups_by_settings", f"{GROUP_SQL} SELECT k, grp, done, latest_end, CAST(instances AS BIGINT) AS instances FROM g", ("tasks", "app_members"))
 def group_completion(t: Tables):
-    return tasks.group_completion(tasks.role_summary(t.tasks), rules.group_members(t.job_settings))
+    return tasks.group_completion(tasks.role_summary(t.tasks), t.app_members)
 
 
 @query(
@@ -129,7 +129,6 @@ def group_completion(t: Tables):
     ("tasks", "app_members", "app_group_rules"),
 )
 def group_timeouts(t: Tables):
-    settings = t.job_settings
-    judged = tasks.awaited_groups(tasks.role_summary(t.tasks), rules.group_rules(settings), rules.group_members(settings))
+    judged = tasks.awaited_groups(tasks.role_summary(t.tasks), t.app_group_rules, t.app_members)
     now = t.tasks.groupBy("k").agg((F.max("start_ms") + 3_600_000).alias("now_ms"))
     return tasks.overdue(judged.join(now, "k"), F.col("now_ms")).select("k", "role", "grp", "outcome")

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.operators import rules
 from runledger.operators.series import Series
 from runledger.operators.skew import dim_join, hot_values
 
@@ -336,6 +337,18 @@ class Tables:
         pairs = [F.struct(F.lit(f"job.{name}").alias("key"), value.alias("value")) for name, value in entries.items()]
         return self.raw("orders").select(k.alias("k"), F.inline(F.array(*pairs)))
 
+    @cached_property
+    def app_edges(self) -> DataFrame:
+        return rules.role_edges(self.job_settings)
+
+    @cached_property
+    def app_members(self) -> DataFrame:
+        return rules.group_members(self.job_settings)
+
+    @cached_property
+    def app_group_rules(self) -> DataFrame:
+        return rules.group_rules(self.job_settings)
+
     @cached_property
     def logs(self) -> DataFrame:
         return self.raw("documents").select(F.col("doc_id").alias("task"), "text")
