@@ -31,8 +31,9 @@ from runledger.session import written
 
 CONTEXTS = 1 << 16
 FREQUENT = 10_000
-SHARDS = 48
-SHARD_TOKENS = 4_000_000
+SHARDS = 96
+SHARD_TOKENS = 2_000_000
+SLICE = 500  # texts that a task holds as Python strings at a time
 BLOCK_CHARS = 2_000_000
 BURN_IN = 2
 SAMPLES = 3
@@ -215,9 +216,16 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
     """
     docs = df.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def blocks(batch):
+        for at in range(0, len(batch), SLICE):
+            rows, ids, texts = (batch.column(c).slice(at, SLICE).to_pylist() for c in range(3))
+            first = 0
+            for own, part in blocks_of(ids, texts, BLOCK_CHARS):
+                yield rows[first:first + len(part)], own, part
+                first += len(part)
+
     def count(batch):
-        ids = batch.column(1).to_pylist()
-        for own, texts in blocks_of(ids, batch.column(2).to_pylist(), BLOCK_CHARS):
+        for _, own, texts in blocks(batch):
             learned = [t for i, t in zip(own, texts) if not is_held_out(i)]
             if learned:
                 _, code, _, hashes = coded(learned)
@@ -237,11 +245,8 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
     state, n_shards = State(tokens, vocabulary, context, frequent), max(SHARDS, -(-tokens // SHARD_TOKENS))
 
     def send(batch):
-        rows, ids, texts = (batch.column(c).to_pylist() for c in range(3))
-        at = 0
-        for own_ids, part in blocks_of(ids, texts, BLOCK_CHARS):
-            names = np.array(rows[at:at + len(part)], np.int64)
-            at += len(part)
+        for rows, own_ids, part in blocks(batch):
+            names = np.array(rows, np.int64)
             own, code, context, hashes = coded(part)
             # one number for word, context and text: its runs are the distinct pairs of each text
             key, n = np.unique((code << 40) | (context << 24) | own, return_counts=True)
@@ -299,6 +304,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
 
     def score(frames):
         for f in frames:
+            found = []
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
                 place, known = state.place(words), np.bincount(own, weights=count, minlength=len(words)).astype(np.int64)
@@ -311,8 +317,10 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
                 model = np.repeat(np.log10(p / SAMPLES), entries) * n
                 base = np.repeat(np.log10((known[own] + 1) / (state.tokens + state.words + 1)), entries) * n
                 add = lambda values: np.bincount(doc, weights=values, minlength=len(rows))
-                yield pd.DataFrame({
-                    "row": rows, "known": add(np.repeat(known[own] > 0, entries) * n).astype(np.int64), "base": add(base), "model": add(model)})
+                found.append(pd.DataFrame({
+                    "row": rows, "known": add(np.repeat(known[own] > 0, entries) * n).astype(np.int64), "base": add(base), "model": add(model)}))
+            if found:
+                yield pd.concat(found).groupby("row", as_index=False).sum()
 
     sums = shards.select("seats", "texts").mapInPandas(score, "row long, known long, base double, model double").groupBy("row").agg(
         *(F.sum(c).alias(c) for c in ("known", "base", "model")))
