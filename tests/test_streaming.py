@@ -115,7 +115,8 @@ def test_flags_and_roles(spark, tmp_path, log):
 
 
 def test_gang_release(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 5), (1, 9), (2, 4), (1, 7)], "k int, ts_ms long")
+    calls = [(1, "a", 5), (1, "b", 9), (2, "a", 4), (1, "c", 7), (2, "a", 6), (1, "a", 30)]  # two tasks register again
+    rows = spark.createDataFrame(calls, "k int, task string, ts_ms long")
     expected = spark.createDataFrame([(1, 3), (2, 2)], "k int, expected long")
     got = states.gang_release(chunked(spark, tmp_path, rows, ["ts_ms"]), expected).collect()
     assert [(r["k"], r["release_ms"]) for r in got] == [(1, 9)]
