@@ -1,10 +1,11 @@
 """Tool calls and their results: linked, ordered, validated and written as canonical JSON, in DataFrame operations.
 
 Calls and results meet in a hash join on (conversation, identifier), each side first reduced to one row an
-identifier. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Where all references
-of a conversation point back to earlier turns, the order of turns is a topological one. Conversations with a
-reference to a later call are layered as in Kahn's algorithm, all at once: a round places the calls whose
-dependencies are placed, so there are as many rounds as the longest chain in them is long. Arguments are parsed to VARIANT, whose objects keep
+identifier. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Calls are layered as
+in Kahn's algorithm, all conversations at once. Calls with one reference hang in chains on the calls with none or
+several, their heads; the head and the distance to it come from pointer doubling, in as many rounds as the
+logarithm of the longest chain. Kahn's rounds then place the heads alone: a round places those whose dependencies
+are placed, so there are as many rounds as heads follow one another. Arguments are parsed to VARIANT, whose objects keep
 their keys sorted, which makes their JSON canonical; the types of its fields are held against the tool's schema.
 """
 
@@ -53,21 +54,50 @@ def schema_errors(tools: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     )
 
 
+def heads_of(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, head, far): the call without or with several references that a chain of single ones ends at.
+
+    Calls whose chain runs into a cycle are missing. Each round doubles the steps that a row stands for.
+    """
+    key = ["conv_id", "call_id"]
+    refs = written(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("on").alias("head")), "op2-heads")
+    single = refs.where("_n = 1").select(*key, "head", F.lit(1).cast("long").alias("far"))
+    ends = written(calls.select(*key).join(single, key, "left_anti").select(*key, F.col("call_id").alias("head"), F.lit(0).cast("long").alias("far")), "op2-heads")
+    found, open_ = ends, single
+    most = single.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # after k rounds every chain of fewer than 2 ** k links is at its end, so what is open then is a cycle
+    for _ in range(most.bit_length()):
+        both = found.withColumn("_end", F.lit(True)).unionByName(open_.withColumn("_end", F.lit(False)))
+        step = both.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("_to"), F.col("far").alias("_more"), "_end")
+        moved = written(open_.join(step, ["conv_id", "head"]).select(
+            *key, F.col("_to").alias("head"), (F.col("far") + F.col("_more")).alias("far"), "_end"), "op2-heads")
+        found, open_ = found.unionByName(moved.where("_end").drop("_end")), moved.where("not _end").drop("_end")
+    return found
+
+
 def layers(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): calls that depend on none have 0; those in or behind a cycle are missing."""
     key = ["conv_id", "call_id"]
-    placed = written(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "op2-levels")
-    done = 0
-    while (now := placed.count()) > done:
-        done = now
-        parents = placed.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("_l"))
+    calls = calls.where("conv_id is not null and call_id is not null")
+    at = written(heads_of(calls, edges), "op2-heads")
+    several = edges.join(at.where("far = 0").select(*key), key, "left_semi")
+    ends = at.select("conv_id", F.col("call_id").alias("on"), "head", "far")
+    several = written(several.join(ends, ["conv_id", "on"], "left").select(*key, "head", "far"), "op2-several")
+    placed = at.where("far = 0").select(*key).join(several.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done, now = -1, 0
+    while now > done and not several.isEmpty():
+        placed, done = written(placed, "op2-levels"), now
+        parents = placed.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("_l"))
         ready = (
-            edges.join(placed.select(*key), key, "left_anti").join(parents, ["conv_id", "on"], "left").groupBy(*key)
-            .agg(F.max("_l").alias("_max"), F.count("_l").alias("_have"), F.count(F.lit(1)).alias("_need"))
-            .where("_have = _need").select(*key, (F.col("_max") + 1).alias("level"))
+            several.join(placed.select(*key), key, "left_anti").join(parents, ["conv_id", "head"], "left").groupBy(*key)
+            .agg(F.max(F.col("_l") + F.col("far") + 1).alias("level"), F.count("_l").alias("_have"), F.count(F.lit(1)).alias("_need"))
+            .where("_have = _need").select(*key, "level")
         )
-        placed = written(placed.unionByName(ready), "op2-levels")
-    return placed
+        ready = written(ready, "op2-levels")
+        now = done + ready.count()
+        placed = placed.unionByName(ready)
+    level = placed.select("conv_id", F.col("call_id").alias("head"), "level")
+    return at.join(level, ["conv_id", "head"]).select(*key, (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -78,10 +108,9 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     the result stands before its call, orphan without a call), level, position (from 0 in a conversation, by level, turn
     and identifier), errors (joined by commas), valid, canonical. Of calls or results that repeat an identifier
     the first counts (by turn, then content; nulls last), and the numbers tell. Null identifiers link with
-    nothing and get one row a side. level is 0 but for conversations with a reference to a later call, where it is
-    the length of the longest chain that a call waits for. References to calls that do not exist are errors
-    (unknown_ref), calls in or behind a cycle have no level and stand last. Null or malformed arguments are errors too. Empty tables give no rows; other columns
-    are not returned.
+    nothing and get one row a side. level is the length of the longest chain that a call waits for. References to calls
+    that do not exist are errors (unknown_ref), calls in or behind a cycle have no level and stand last. Null or
+    malformed arguments are errors too. Empty tables give no rows; other columns are not returned.
     """
     key = ["conv_id", "call_id"]
     first = lambda *c: F.min(F.struct(F.col(c[0]).isNull().alias("_n"), *c))
@@ -91,16 +120,11 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     back = results.groupBy(*key).agg(first("turn", "content").alias("_r"), F.count(F.lit(1)).alias("n_results")).select(
         *key, F.col("_r.turn").alias("result_turn"), F.col("_r.content").alias("content"), "n_results")
     names = F.array_distinct(F.regexp_extract_all(text_of("arguments"), F.lit(REFERENCE), F.lit(1)))
-    place = F.coalesce("call_turn", F.lit(2**62))
-    asked = one.select(*key, place.alias("_at"), F.explode(names).alias("on"))
-    known = one.select("conv_id", F.col("call_id").alias("on"), place.alias("_on_at"))
+    asked = one.select(*key, F.explode(names).alias("on"))
+    known = one.select("conv_id", F.col("call_id").alias("on"), F.lit(True).alias("_known"))
     asked = written(asked.join(known, ["conv_id", "on"], "left"), "op2-references")
-    lost = asked.where("_on_at is null").groupBy(*key).agg(F.lit(True).alias("_lost"))
-    later = F.struct("_on_at", "on") >= F.struct("_at", "call_id")
-    ahead = asked.where(F.col("_on_at").isNotNull() & later).select("conv_id").distinct()
-    odd, edges = one.join(ahead, "conv_id", "left_semi"), asked.where("_on_at is not null").select(*key, "on")
-    levels = layers(odd, edges.join(ahead, "conv_id", "left_semi")).unionByName(
-        one.join(ahead, "conv_id", "left_anti").where("call_id is not null and conv_id is not null").select(*key, F.lit(0).alias("level")))
+    lost = asked.where("_known is null").groupBy(*key).agg(F.lit(True).alias("_lost"))
+    levels = layers(one, asked.where("_known").drop("_known"))
     ordered = (
         one.where("call_id is not null and conv_id is not null").join(levels, key, "left")
         .withColumn("_l", F.coalesce("level", F.lit(2**31 - 1))).withColumn("_s", F.floor(F.coalesce("call_turn", F.lit(2**62)) / TURNS))
@@ -161,16 +185,21 @@ with words as (
     select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from conversations
 ), calls as (
     select conv_id, turn, 'c' || turn as call_id, n, text, ['search', 'translate', 'count'][length(coalesce(text, '')) % 3 + 1] as name,
-        lag(turn) over (partition by conv_id, turn % 2 order by turn) as earlier
+        turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island
     from words where role = 'user'
+), levelled as (
+    select *, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as chain,
+        lag(turn) over (partition by conv_id, turn % 2 order by turn) as earlier
+    from calls
 ), checked as (
-    select *, 0 as level, row_number() over (partition by conv_id order by turn, call_id) - 1 as position,
+    select *, chain::int as level,
+        row_number() over (partition by conv_id order by chain, turn, call_id) - 1 as position,
         concat_ws(',',
             case when name = 'translate' and n % 2 = 1 then 'missing:lang' end,
             case when name = 'count' then 'type:limit' end,
             case when name <> 'translate' and n % 2 = 0 then 'unknown:lang' end,
             case when turn >= 2 and earlier is distinct from turn - 2 then 'unknown_ref' end) as errors
-    from calls
+    from levelled
 ), results as (
     select conv_id, turn as result_turn, 'c' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'
 )

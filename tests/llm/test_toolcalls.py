@@ -46,3 +46,26 @@ def test_hard_cases(spark):
     assert Counter(r.status for r in rows if not (r.conv_id and r.call_id)) == {"no_result": 2, "orphan": 2}
     assert len(rows) == len(got) + 4
     assert linked_calls(spark.createDataFrame([], CALL), spark.createDataFrame([], RESULT), TOOLS).count() == 0
+
+
+def test_levels_are_longest_chains_where_all_references_point_back(spark):
+    refs = {(1, i): [i - 1] if i else [] for i in range(37)}  # one chain
+    refs |= {(2, i): [j for j in (i - 1, i - 3) if j >= 0 and i % 4 == 0] or [i - 1] * (i > 0) for i in range(40)}  # heads in between
+    refs |= {(3, 0): [], (3, 1): [0], (3, 2): [0, 1], (3, 3): [9, 2], (3, 4): [3, 1], (3, 5): [5], (3, 6): [5, 0], (3, 7): [6], (3, 8): [8, 7]}
+    refs |= {(4, i): [(i + 1) % 5] for i in range(5)} | {(4, 5): [0], (4, 6): []}  # a cycle, and a call behind it
+    calls = [(c, i, f"c{i:02}", "search", json.dumps({"text": " ".join(f"{{{{c{j:02}}}}}" for j in on), "limit": 1}), "s") for (c, i), on in refs.items()]
+    calls += [(None, 0, "n", "search", "{}", "s"), (None, 1, "m", "search", '{"text": "{{n}}"}', "s")]
+    level, before = {}, None
+    while before != len(level):
+        before = len(level)
+        for (c, i), on in refs.items():
+            known = [j for j in on if (c, j) in refs]
+            if all((c, j) in level for j in known):
+                level[c, i] = max((level[c, j] + 1 for j in known), default=0)
+    rows = linked_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), TOOLS).collect()
+    got = {(r.conv_id, r.call_turn): (r.level, r.position) for r in rows if r.conv_id}
+    assert {k: v[0] for k, v in got.items()} == {k: level.get(k) for k in refs} and level[1, 36] == 36
+    for conv in (1, 2, 3, 4):
+        order = sorted((k for k in refs if k[0] == conv), key=lambda k: (level.get(k, 2**31), k[1]))
+        assert [got[k][1] for k in order] == list(range(len(order)))
+    assert len(rows) == len(calls)
