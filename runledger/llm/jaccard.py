@@ -185,18 +185,21 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     table gives no rows. Columns other than doc_id and text are not returned.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))  # a name of the text too where doc_id is null or repeated
 
     def describe(batch):
-        for ids, texts in blocks_of(*(batch.column(c).to_pylist() for c in range(2))):
+        ids_in, texts_in, rows_in = (batch.column(c).to_pylist() for c in range(3))
+        for both, texts in blocks_of(list(zip(ids_in, rows_in)), texts_in):
+            ids, rows = map(list, zip(*both))
             token, bounds = sets_of(texts, size)
             some, ends, late = candidates(token, bounds, percent, counted)
             some = some.view(np.int64)
             yield {
-                "doc_id": ids, "n": np.diff(bounds), "x": [node_of(token[a:b]) for a, b in zip(bounds, bounds[1:])],
+                "doc_id": ids, "row": rows, "n": np.diff(bounds), "x": [node_of(token[a:b]) for a, b in zip(bounds, bounds[1:])],
                 "tokens": [some[a:b] for a, b in zip(ends, ends[1:])], "late": [int(late[a:b].sum()) for a, b in zip(ends, ends[1:])],
             }
 
-    nodes = written(map_batches(docs, describe, "doc_id long, n long, x long, tokens array<long>, late long"), "op6-nodes")
+    nodes = written(map_batches(docs, describe, "doc_id long, row long, n long, x long, tokens array<long>, late long"), "op6-nodes")
     token = nodes.where("n > 0").select("x", "n", (F.size("tokens") - F.col("late")).alias("early"), F.posexplode("tokens").alias("at", "t"))
     often = token.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # texts, copies included
     token = token.join(often, "t").groupBy("x", "t").agg(*(F.first(c).alias(c) for c in ("n", "early", "at", "c")))
@@ -217,8 +220,8 @@ def jaccard_groups(df: DataFrame, size: int = 3, percent: int = 90, orders: int
     ).select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "x", (F.col("b") > F.col("other")).alias("side"))
     sides = written(sides.distinct(), "op6-sides")
     wanted = sides.groupBy("x").agg(F.lit(1).alias("_")).select("x")
-    sample = nodes.where("n > 0").groupBy("x").agg(F.min("doc_id").alias("doc_id")).join(wanted, "x")
-    texts = docs.join(sample, "doc_id").dropDuplicates(["x"]).select("x", "text")
+    sample = nodes.where("n > 0").groupBy("x").agg(F.min("row").alias("row")).join(wanted, "x")
+    texts = docs.select("row", "text").join(sample, "row").dropDuplicates(["x"]).select("x", "text")
 
     def verify(frame):
         x, first, at = np.unique(frame["x"].to_numpy(), return_index=True, return_inverse=True)

@@ -83,3 +83,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(150, 139), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 140), 150]}
+
+
+def test_near_copies_with_null_and_repeated_identifiers(spark):
+    random = np.random.default_rng(11)
+    base = [[f"{name}{i}" for i in range(120)] for name in "abcdef"]
+    rows = [(None, near(random, base[0], 1)) for _ in range(6)]  # no identifier at all
+    rows += [(None, near(random, base[1], 1)) for _ in range(5)] + [(20, near(random, base[1], 1)), (21, near(random, base[1], 1))]
+    left, right = base[2][:], base[2][:]
+    left[10], right[60] = "left", "right"
+    left[90], right[100] = "left2", "right2"
+    rows += [(30, " ".join(left)), (None, " ".join(base[2])), (31, " ".join(right))]  # a node without identifier between two
+    rows += [(40, near(random, words, 1)) for words in base[3:] for _ in range(4)]  # one identifier, three groups
+    rows += [(50 + i, near(random, words, 1)) for i, words in enumerate(base[3:])]
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(map(tuple, got)) == brute(rows)
