@@ -6,8 +6,9 @@ are a repeated group (a)+; what one side lacks is optional (a)?; texts that diff
 expressions works alike, so those of a host are aligned in groups of at most ``GROUP`` until one is left, its wrapper,
 and no host needs one task for its pages. An expression also sums up how much text its parts hold.
 
-In the wrapper, parts whose tag or class names them as menus, adverts, forms and the like are left out. Articles and
-main parts are then the content; where a host has none, it is the smallest part with most of the text. Each page is
+In the wrapper, parts whose tag or class names them as menus, adverts, forms and the like are left out; those so named
+by a class, and forms, only if they hold less than most of the host's text. Articles and main parts are then the
+content, also those in such a part if there are no others; where a host has none, it is the smallest part with most of the text. Each page is
 matched with the wrapper of its host, and the texts in slots of the content are its main text.
 """
 
@@ -28,6 +29,7 @@ RUN = 4
 GROUP = 64
 DEPTH = 150  # elements nested deeper are kept side by side, as browsers do at a depth of their own
 MOST = 0.7  # of the text of a part: the share that makes one of its children the content
+KEPT = 0.5  # of the unlinked text of a host: the share above which a part is not left out for its class
 LINKS = 0.5  # the share of linked text above which a part is a menu
 
 # Elements of HTML by how they are parsed.
@@ -48,6 +50,15 @@ CUES = frozenset(
     "sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended comment comments disqus reply replies widget toolbar pagination pager copyright".split()
 )
+#: Cues that say nothing about a block inside an article.
+OUTSIDE = frozenset("header masthead banner notice alert".split())
+#: Parts of a class name that make a cue before them name a box of that kind (share-buttons, unlike share-price).
+BOXES = frozenset(
+    "area areas bar bars block blocks body bottom box boxes btn btns button buttons container content form group header holder icon icons inner item items "
+    "left link links list lists main outer panel post posts right row section slot stories top unit wrap wrapper".split()
+)
+#: Parts of a class name that make it tell of another element, or of one that is not there.
+STATES = frozenset("active disabled enabled has have hidden hide is no non not off on open show with without".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -105,15 +116,38 @@ def parse(page: str | None) -> Node:
     return root
 
 
-def skipped(key: str, inside: bool) -> bool:
-    """Whether an element is no part of the content; ``inside``: of an article, which may have a header."""
+def is_cue(name: str, cues: frozenset) -> bool:
+    """Whether a class, id or role is a cue: as a whole, by its last word, or by its first one before words for boxes."""
+    words = [w for w in re.split("[^a-z]+", name) if w]
+    if not words or STATES & set(words):
+        return False
+    return words[-1] in cues or words[0] in cues and all(w in BOXES or len(w) == 1 for w in words[1:])
+
+
+def fixed(key: str, inside: bool) -> bool:
+    """Whether an element is never part of the content; ``inside``: of an article, which may have a header."""
+    tag = key.split(".")[0]
+    return tag != "form" and tag in SKIPPED or tag == "header" and not inside
+
+
+def named(key: str, inside: bool) -> bool:
+    """Whether an element is called no part of the content, which may be wrong."""
     tag, *names = key.split(".")
-    if tag in SKIPPED or tag == "header" and not inside:
-        return True
     if tag in ("html", "body", "article", "main"):
         return False
-    words = {w for n in names for w in re.split("[^a-z]+", n)}
-    return bool(words & (CUES - {"header"} if inside else CUES))
+    return tag == "form" or any(is_cue(n, CUES - OUTSIDE if inside else CUES) for n in names)
+
+
+def plain(part: list) -> int:
+    """The text of a part that is not linked and may be content."""
+    if part[0] == "#":
+        return part[3] - part[4]
+    return 0 if fixed(part[0], True) else sum(map(plain, part[5]))
+
+
+def skipped(part: list, inside: bool, total: int) -> bool:
+    """Whether a part is left out; ``total``: the plain text of the host."""
+    return fixed(part[0], inside) or named(part[0], inside) and plain(part) <= KEPT * total
 
 
 def merged(a: list, b: list) -> list:
@@ -175,20 +209,30 @@ def shown(part: list) -> str:
     return f"({inner}){'+' * part[1]}{'?' * part[2]}" if part[1] or part[2] else inner
 
 
-def contents(wrapper: list, inside: bool = False) -> list[list]:
-    """The outermost articles and main parts that are not left out."""
-    if skipped(wrapper[0], inside):
-        return []
-    if wrapper[0].split(".")[0] in ("article", "main") or "main" in wrapper[0].split(".")[1:]:
-        return [wrapper]
-    return [x for part in wrapper[5] for x in contents(part, inside)]
+def contents(wrapper: list, total: int) -> list[list]:
+    """The outermost articles and main parts that are not left out; without any text in them, those in parts that are."""
+    found, others = [], []
+
+    def look(part, out):
+        if fixed(part[0], False):
+            return
+        out = others if skipped(part, False, total) else out
+        tag, *names = part[0].split(".")
+        if tag in ("article", "main") or "main" in names:
+            out.append(part)
+            return
+        for inner in part[5]:
+            look(inner, out)
+
+    look(wrapper, found)
+    return others if any(map(plain, others)) and not any(map(plain, found)) else found
 
 
-def useful(part: list) -> int:
+def useful(part: list, total: int) -> int:
     """The text of a part without what is left out."""
     if part[0] == "#":
         return part[3]
-    return 0 if skipped(part[0], False) else sum(map(useful, part[5]))
+    return 0 if skipped(part, False, total) else sum(useful(p, total) for p in part[5])
 
 
 def has_blocks(part: list) -> bool:
@@ -197,22 +241,23 @@ def has_blocks(part: list) -> bool:
 
 def marked(wrapper: list) -> dict:
     """The wrapper as {key: ..., main: whether its text is content, parts: ...}, for matching pages."""
-    found = contents(wrapper)
+    total = plain(wrapper)
+    found = contents(wrapper, total)
+    semantic = bool(found)
     if not found:
         top = wrapper
         while True:
-            size = useful(top)
-            inner = next((p for p in top[5] if size and has_blocks(p) and not p[1] and useful(p) >= MOST * size), None)
+            size = useful(top, total)
+            inner = next((p for p in top[5] if size and has_blocks(p) and not p[1] and useful(p, total) >= MOST * size), None)
             if not inner:
                 break
             top = inner
         found = [top]
     roots = {id(x) for x in found}
-    semantic = bool(contents(wrapper))
 
     def mark(part, main):
         main = main or id(part) in roots
-        keep = main and not skipped(part[0], semantic)
+        keep = main and (id(part) in roots or not skipped(part, semantic, total))
         if keep and not semantic and id(part) not in roots and part[0] != "#" and part[0].split(".")[0] not in INLINE:
             keep = part[4] <= LINKS * part[3]
         return {"k": part[0], "m": keep, "p": [mark(p, main and keep) for p in part[5]]}

@@ -62,3 +62,28 @@ def test_table_and_hard_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got) and text[None] == ""
     names = [r.host for r in host_wrappers(df).collect()]
     assert len(names) == len(set(names)) and extract(df.limit(0)).count() == 0
+
+
+def read(*pages):
+    tree = marked(wrapper(*pages))
+    return [main_text(parse(p), tree) for p in pages]
+
+
+def test_articles_in_parts_with_a_cue_in_their_names():
+    body = "<nav>Home</nav>{0}<article><h1>Title</h1><p>Some words of text</p></article>{1}<footer>us</footer>"
+    for start, end in (('<div class="page has-sidebar">', "</div>"), ("<div class=no-sidebar>", "</div>"), ('<section id="with-nav">', "</section>"),
+                       ("<div class=widget-area-off>", "</div>"), ("<form id=f>", "</form>"), ("<div class=sidebar>", "</div>"), ("<form><div class=promo>", "</div></form>")):
+        for ad in ("", "<div class=ad>Buy</div>", '<div class="cookie-bar">' + "We use cookies. " * 20 + "</div>"):
+            assert read(body.format(start + ad, end)) == ["Title Some words of text"], (start, ad)
+    page = "<article><p>Main words</p></article><div class=related-posts><article><p>Another</p></article></div>"
+    assert read(page) == ["Main words"]
+
+
+def test_blocks_whose_names_hold_a_cue():
+    page = ("<article><p>One</p><div class=share-price-analysis><p>Two</p></div><div class='header-text alert'><p>Three</p></div>"
+            "<div class=share-buttons>Share</div><div class=comment-list>Reader</div><div class='ad ad-300'>Buy</div></article>")
+    assert read(page) == ["One Two Three"]
+    form = "<body><form><div class=top><a href=/>Home</a></div><div class=c><p>" + "long text " * 30 + "</p></div></form></body>"
+    assert read(form) == [("long text " * 30).strip()]
+    most = "<body><div class=nav-x><a href=/>Home</a></div><div class=widget><p>" + "long text " * 30 + "</p></div></body>"
+    assert "long text" in read(most)[0]
