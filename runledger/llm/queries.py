@@ -105,3 +105,10 @@ def _link_sql():
 
 
 ORACLES["op2_tool_links"] = _link_sql()
+
+
+@query
+def op13_ppm_language(spark, sf_dir):
+    from runledger.llm.ppm import predicted_languages
+
+    return predicted_languages(table(spark, sf_dir, "documents"))
