@@ -112,3 +112,36 @@ def op13_ppm_language(spark, sf_dir):
     from runledger.llm.ppm import predicted_languages
 
     return predicted_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    from runledger.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _audit_sql():
+    from runledger.llm.audit import AUDIT_SQL
+
+    return AUDIT_SQL
+
+
+ORACLES["op11_filter_audit"] = _audit_sql()
+
+
+@query
+def op12_angular_negatives(spark, sf_dir):
+    from runledger.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def _negatives_sql():
+    from runledger.llm.negatives import NEGATIVES_SQL
+
+    return NEGATIVES_SQL
+
+
+ORACLES["op12_angular_negatives"] = _negatives_sql()
