@@ -206,6 +206,28 @@ def overdue(awaited: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def overdue_at(roles: DataFrame, tasks: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
+    """k, role, grp, outcome, at_ms: rules that came true at any time: their group was done, and the limit later the role still ran.
+
+    ``roles``: k, role, instances. Rules and members as in :func:`awaited_groups`; without members a rule has no group.
+    """
+    ends = tasks.groupBy("k", "role").agg(F.count_if(~is_completed()).alias("_open"), F.max(F.when(is_completed(), F.col("end_ms"))).alias("_last"))
+    state = roles.select("k", "role").join(ends, ["k", "role"])
+    groups = state.join(members, _by(members, "role")).groupBy("k", "grp").agg(F.sum("_open").alias("_left"), F.max("_last").alias("_end"))
+    one = rules.groupBy(*_by(rules, "role")).agg(F.max_by(F.struct("grp", "timeout_s", "ignored"), "grp").alias("r")).select(*_by(rules, "role"), "r.*")
+    due = F.col("_end") + F.col("timeout_s").cast("long") * 1000
+    met = state.join(one, _by(one, "role")).join(groups.where("_left = 0"), ["k", "grp"])
+    return met.where((F.col("_open") > 0) | (F.col("_last") > due)).select(
+        "k", "role", "grp", F.when(F.col("ignored"), "UNTRACKED").otherwise("FAILED").alias("outcome"), due.alias("at_ms")
+    )
+
+
+def all_ended(tasks: DataFrame) -> DataFrame:
+    """k, at_ms: when the last task of each application ended; none while one runs."""
+    seen = tasks.groupBy("k").agg(F.bool_and(is_completed()).alias("_all"), F.max("end_ms").alias("at_ms"))
+    return seen.where("_all").drop("_all")
+
+
 def app_timeouts(apps: DataFrame, limit_ms: int, as_of_ms: Column) -> DataFrame:
     """Applications past their time limit (0 is none)."""
     elapsed = as_of_ms - F.col("started_ms")

@@ -1,4 +1,4 @@
-"""Streaming queries (T), each drained from a file stream and held against its batch SQL."""
+"""Streaming queries (T), each run over several micro-batches of a file stream and held against its batch SQL."""
 
 from __future__ import annotations
 
@@ -6,24 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions import names, predicates
-from runledger.operators import tasks, telemetry
+from runledger.operators import graph, rules, tasks, telemetry
 from runledger.plans.registry import ORACLES, query
 from runledger.plans.scalars import launched_tasks
 from runledger.plans.tables import Tables, pings_of, samples_of
-from runledger.plans.tasks import AWAIT_SQL, LIMIT_MS, UNTRACKED, members, role_edges, rules
+from runledger.plans.tasks import EDGES_SQL, LIMIT_MS, UNTRACKED, role_edges
 from runledger.plans.telemetry import AVERAGE_SQL, EXPIRY_MS, GAP_SQL
-from runledger.session import scratch_dir
-from runledger.streaming import jobs, liveness, states
-from runledger.streaming.running import drain, stream_of
+from runledger.session import scratch_dir, written
+from runledger.streaming import jobs, keyed, liveness, states
+from runledger.streaming.running import drain, state_of, stream_of
 
 DELAY, DELAY_MS = "61500 milliseconds", 61_500
 
 
-def _stream(t: Tables, rows: DataFrame, label: str) -> DataFrame:
-    """A table derived by Spark, written out and read back as a stream."""
+BATCHES, FILE_ROWS = 4, 250_000
+
+
+def _stream(t: Tables, rows: DataFrame, label: str, by: str | None = "ts_ms") -> DataFrame:
+    """A table derived by Spark as a stream of ``BATCHES`` micro-batches in the order of time (without ``by``, by a hash)."""
+    kept = written(rows, f"{label}-rows")
+    files = max(1, kept.count() // BATCHES // FILE_ROWS)
+    if by:
+        cuts = kept.approxQuantile(by, [i / BATCHES for i in range(1, BATCHES)], 0.01)
+        part = sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    else:
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
     path = scratch_dir(t.spark, f"{label}-source")
-    rows.write.parquet(path)
-    return stream_of(t.spark, path, rows.schema)
+    for i in range(BATCHES):
+        kept.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return stream_of(t.spark, path, rows.schema, files_per_batch=files)
 
 
 def _events(t: Tables) -> DataFrame:
@@ -38,7 +49,7 @@ def _log(t: Tables) -> DataFrame:
 @query("T01_event_ingest", "SELECT k, ts_ms, kind, role, idx, host, exit_code, file_pos FROM event_log", ("event_log",))
 def event_ingest(t: Tables):
     path = scratch_dir(t.spark, "ingested")
-    jobs.ingest_events(_log(t), path, period="yyyy-MM")
+    jobs.ingest_events(_log(t), path, f"{path}-state", period="yyyy-MM")
     return t.spark.read.parquet(path).select("k", "ts_ms", "kind", "role", "idx", "host", "exit_code", "file_pos")
 
 
@@ -100,60 +111,63 @@ def registration_timeout_stream(t: Tables):
     return drain(late, label="registration-timeouts")
 
 
-FLAG_SQL = f"""
-    fl AS (SELECT k, min(ts_ms) FILTER (WHERE kind = 'APPLICATION_INITED') AS started_ms, min(ts_ms) FILTER (WHERE kind = 'TASK_STARTED') AS first_task_ms,
-              max(ts_ms) FILTER (WHERE kind = 'APPLICATION_FINISHED') AS ended_ms,
-              count(*) FILTER (WHERE kind = 'TASK_STARTED' AND role <> 'ps') AS tracked, count(*) FILTER (WHERE kind = 'TASK_FINISHED' AND role <> 'ps') AS tracked_done,
-              count(*) FILTER (WHERE kind = 'TASK_STARTED') AS tasks,
-              count(*) FILTER (WHERE kind = 'TASK_FINISHED' AND role = 'ps' AND exit_code NOT IN (0, -105)) AS bad FROM event_log GROUP BY k),
-    clock AS (SELECT max(ts_ms) AS now FROM event_log)"""
-YEAR_MS = 365 * 86_400_000
-
-
-def _clock(flags: DataFrame):
-    return flags.agg(F.max("last_ms").alias("now")).select("now").scalar()
+def _starts(t: Tables) -> DataFrame:
+    """The first start of each application."""
+    return t.event_log.where("kind = 'APPLICATION_INITED' AND file_pos = 0").select("k", "ts_ms")
 
 
 @query(
     "T05_allocation_timeout_stream",
-    f"""{FLAG_SQL} SELECT fl.k, first_task_ms AS since_ms, tasks AS registered, tasks + 1 AS expected FROM fl, clock
-    WHERE fl.k % 3 = 0 AND now - first_task_ms > {2 * YEAR_MS}""",
-    ("event_log",),
+    f"""s AS (SELECT k, role, idx, start_ms FROM tasks UNION ALL SELECT k, 'standby', 0, NULL FROM apps WHERE k % 3 = 0),
+    w AS (SELECT least((SELECT max(started_ms) FROM apps), (SELECT max(start_ms) FROM tasks)) - {DELAY_MS} AS mark)
+    SELECT k, role, idx, started_ms AS since_ms FROM s JOIN apps USING (k), w
+    WHERE coalesce(start_ms - started_ms > {LIMIT_MS}, true) AND started_ms + {LIMIT_MS} < mark""",
+    ("apps", "tasks"),
 )
 def allocation_timeout_stream(t: Tables):
-    flags = states.app_flags(_log(t), UNTRACKED)
-    asked = t.tasks.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(
-        "k", (F.col("n") + F.when(F.col("k") % 3 == 0, 1).otherwise(0)).alias("expected")
-    )
-    late = (F.col("expected") > F.col("tasks")) & (_clock(flags) - F.col("first_task_ms") > 2 * YEAR_MS)
-    return flags.join(asked, "k").where(late).select(
-        "k", F.col("first_task_ms").alias("since_ms"), F.col("tasks").alias("registered"), "expected"
+    standby = t.apps.where("k % 3 = 0").select("k", F.lit("standby").alias("role"), F.lit(0).alias("idx"))
+    slots = t.tasks.select("k", "role", "idx").unionByName(standby)
+    launches = t.event_log.where("kind = 'TASK_STARTED'").select("k", "role", "idx", "ts_ms")
+    late = liveness.allocation_timeouts(
+        _stream(t, _starts(t), "starts"), written(slots, "slots"), _stream(t, launches, "launches"), LIMIT_MS, DELAY
     )
+    return drain(late, label="allocation-timeouts").withColumnRenamed("ts_ms", "since_ms")
 
 
 @query(
     "T06_app_timeout_stream",
-    f"""{FLAG_SQL} SELECT k, started_ms, coalesce(ended_ms, now) - started_ms AS elapsed_ms FROM fl, clock
-    WHERE coalesce(ended_ms, now) - started_ms > 36000000""",
-    ("event_log",),
+    f"""w AS (SELECT least(max(started_ms), max(completed_ms)) - {DELAY_MS} AS mark FROM apps)
+    SELECT k, started_ms, started_ms + 36000000 AS due_ms FROM apps, w
+    WHERE (completed_ms = -1 OR completed_ms - started_ms > 36000000) AND started_ms + 36000000 < mark""",
+    ("apps",),
 )
 def app_timeout_stream(t: Tables):
-    flags = states.app_flags(_log(t), UNTRACKED)
-    now = F.coalesce(F.col("ended_ms"), _clock(flags))
-    return tasks.app_timeouts(flags, 36_000_000, now).select("k", "started_ms", "elapsed_ms")
+    ends = t.event_log.where("kind = 'APPLICATION_FINISHED'").select("k", "ts_ms")
+    late = liveness.app_timeouts(_stream(t, _starts(t), "starts"), _stream(t, ends, "ends"), 36_000_000, DELAY)
+    return drain(late, label="app-timeouts").select("k", F.col("ts_ms").alias("started_ms"), (F.col("ts_ms") + 36_000_000).alias("due_ms"))
+
+
+GROUPS_SQL = """
+    gr AS (SELECT t.k, grp, bool_and(exit_code IS NOT NULL) AS done, max(end_ms) AS latest_end
+           FROM tasks t JOIN app_members m ON m.k = t.k AND m.role = t.role GROUP BY t.k, grp),
+    run AS (SELECT k, role, bool_or(exit_code IS NULL) AS open, max(end_ms) FILTER (exit_code IS NOT NULL) AS last_end FROM tasks GROUP BY k, role),
+    one AS (SELECT DISTINCT ON (k, role) * FROM app_group_rules ORDER BY k, role, grp DESC),
+    overdue AS (SELECT k, role, grp, CASE WHEN ignored THEN 'UNTRACKED' ELSE 'FAILED' END AS outcome, latest_end + CAST(timeout_s AS BIGINT) * 1000 AS at_ms
+           FROM run JOIN one USING (k, role) JOIN gr USING (k, grp)
+           WHERE done AND (open OR last_end > latest_end + CAST(timeout_s AS BIGINT) * 1000))"""
 
 
 @query(
     "T07_group_timeout_stream",
-    f"""{AWAIT_SQL}, c AS (SELECT max(ts_ms) AS now FROM event_log)
-    SELECT k, role, grp, CASE WHEN ignored THEN 'UNTRACKED' ELSE 'FAILED' END AS outcome FROM aw, c
-    WHERE done AND latest_end <> 0 AND now - latest_end > CAST(timeout_s AS BIGINT) * 1000""",
-    ("event_log",),
+    f"""{GROUPS_SQL}, w AS (SELECT max(end_ms) - {DELAY_MS} AS mark FROM tasks WHERE exit_code IS NOT NULL)
+    SELECT k, role, grp, outcome, at_ms FROM overdue, w WHERE at_ms < mark""",
+    ("tasks", "app_members", "app_group_rules"),
 )
 def group_timeout_stream(t: Tables):
-    waiting = tasks.awaited_groups(states.role_states(_log(t)), rules(t), members(t))
-    clock = t.event_log.agg(F.max("ts_ms").alias("now")).select("now").scalar()
-    return tasks.overdue(waiting, clock).select("k", "role", "grp", "outcome")
+    """Rules of each application, alarms as their limits pass."""
+    roles = tasks.role_summary(t.tasks).select("k", "role", "instances")
+    watch = written(keyed.watched(roles, t.app_group_rules, t.app_members), "watch")
+    return drain(keyed.group_timeouts(_log(t), watch, DELAY), label="group-timeouts", keyed=True)
 
 
 @query(
@@ -166,22 +180,23 @@ def group_timeout_stream(t: Tables):
     ("samples",), recursive=True,
 )
 def metric_state(t: Tables):
-    out = states.metric_state(samples_of(_events(t)), t.task_hot)
+    out = state_of(keyed.metric_state(_stream(t, t.samples, "samples")), ["task"], "metrics", keyed=True)
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
 
 @query("T09_task_state_stream", ORACLES["T09_task_state"])
 def task_state_stream(t: Tables):
-    return states.task_states(_log(t))
-
-
-LATE_SQL = """m AS (SELECT k, max(file_pos) AS pos FROM event_log WHERE kind = 'APPLICATION_INITED' GROUP BY k)
-    SELECT k, file_pos, kind FROM event_log JOIN m USING (k) WHERE kind NOT LIKE 'TASK%' OR file_pos > pos"""
+    return state_of(states.task_states(_log(t)), ["k", "role", "idx"], "task-states")
 
 
-@query("T10_late_events", LATE_SQL, ("event_log",))
+@query(
+    "T10_late_events",
+    """m AS (SELECT k, max(file_pos) AS pos FROM event_log WHERE kind = 'APPLICATION_INITED' GROUP BY k), w AS (SELECT max(ts_ms) - 3600000 AS mark FROM event_log)
+    SELECT k, file_pos, kind FROM event_log JOIN m USING (k), w WHERE (kind NOT LIKE 'TASK%' OR file_pos > pos) AND ts_ms < mark""",
+    ("event_log",),
+)
 def late_events(t: Tables):
-    return states.current_events(_log(t), t.hot_apps).select("k", "file_pos", "kind")
+    return drain(keyed.current_events(_log(t), "1 hour"), label="current-events", keyed=True).select("k", "file_pos", "kind")
 
 
 @query(
@@ -190,7 +205,7 @@ def late_events(t: Tables):
     ("pings",),
 )
 def changes(t: Tables):
-    return states.changed_snapshots(pings_of(_events(t)), ["kind"], t.task_hot)
+    return drain(keyed.changed_snapshots(_stream(t, t.pings, "polls"), ["kind"]), label="changes", keyed=True)
 
 
 RELEASE_SQL = f"""{REGISTER_SQL} SELECT k, max(reg_ms) AS release_ms FROM l GROUP BY k HAVING bool_and(registers)"""
@@ -202,7 +217,7 @@ def gang_release_stream(t: Tables):
         "k", F.col("task_id").alias("task"), F.col("reg_ms").alias("ts_ms")
     )
     expected = t.tasks.groupBy("k").agg(F.count(F.lit(1)).alias("expected"))
-    return states.gang_release(_stream(t, came, "registrations"), expected)
+    return state_of(states.gang_release(_stream(t, came, "registrations"), written(expected, "expected")), ["k"], "gangs")
 
 
 @query("T12_gang_release", RELEASE_SQL, ("tasks",))
@@ -210,11 +225,17 @@ def gang_release(t: Tables):
     return tasks.gang_release(_launches(t), F.col("reg_ms"))
 
 
-@query("T13_dependency_countdown_stream", ORACLES["W08_dependency_countdown"])
+@query(
+    "T13_dependency_countdown_stream",
+    f"""n AS (SELECT k, role AS depends_on, count(*) AS n, count(exit_code) AS done, max(end_ms) FILTER (exit_code IS NOT NULL) AS at_ms FROM tasks GROUP BY k, role)
+    SELECT k, e.role, depends_on, n - done AS left, n = done AS ready, at_ms FROM n JOIN {EDGES_SQL} USING (depends_on) WHERE done > 0""",
+    ("tasks",),
+)
 def dependency_countdown_stream(t: Tables):
     done = t.tasks.where(predicates.is_completed()).select("k", "role", "idx", F.col("end_ms").alias("ts_ms"))
-    instances = tasks.role_summary(t.tasks).select("k", "role", "instances")
-    return states.dependency_countdown(_stream(t, done, "finishes"), instances, role_edges(t), t.app_hot)
+    instances = written(tasks.role_summary(t.tasks).select("k", "role", "instances"), "instances")
+    left = states.dependency_countdown(_stream(t, done, "finishes"), instances, role_edges(t))
+    return state_of(left, ["k", "role", "depends_on"], "countdown")
 
 
 @query(
@@ -231,9 +252,9 @@ def mover(t: Tables):
     landing = t.apps.select(names.build_history_name("app_id", "started_ms", "completed_ms", "usr", status).alias("name"))
     killed = t.apps.where("k % 3 = 0").select("app_id")
     store = scratch_dir(t.spark, "finished")
-    jobs.move_finished(_stream(t, landing, "landing"), killed, 1_767_225_600_000, store)
-    layout = "app_id string, usr string, status string, day string, batch int, year string, month string"
-    return t.spark.read.schema(layout).parquet(store).drop("batch")
+    jobs.move_finished(_stream(t, landing, "landing", by=None), killed, 1_767_225_600_000, store, f"{store}-index", f"{store}-state")
+    layout = "app_id string, usr string, status string, day string, stream string, batch int, year string, month string"
+    return t.spark.read.schema(layout).parquet(store).drop("stream", "batch")
 
 
 HOURS_MS = 6 * 3_600_000
@@ -256,26 +277,84 @@ def interval_rollup_stream(t: Tables):
     return out.withColumn("avg_value", F.round("avg_value", 9))
 
 
-@query(
-    "T16_termination_reason_stream",
-    f"""{FLAG_SQL} SELECT k, CASE WHEN coalesce(ended_ms, now) - started_ms > 72000000 THEN 'timeout' WHEN bad > 0 THEN 'untracked_failed'
-        WHEN tracked > 0 AND tracked = tracked_done THEN 'all_tracked_done' END AS reason FROM fl, clock""",
-    ("event_log",),
-)
+# Eleven reasons, each with the time at which it came true. Client stops and preprocessing are derived from the applications.
+CLIENT_SQL = """
+    said AS (SELECT k, started_ms + 600000 * (1 + k % 7) AS ts_ms, 'CLIENT_STOP' AS kind, 0 AS exit_code FROM apps WHERE k % 23 = 5
+             UNION ALL SELECT k, started_ms + 60000, 'PREPROCESS_FINISHED', CAST(k % 2 AS INT) FROM apps WHERE k % 19 = 3)"""
+SIGNALS_SQL = f"""{REGISTER_SQL}, {GROUPS_SQL}, {CLIENT_SQL},
+    rt AS (SELECT t.*, NOT list_contains(r.off_roles, t.role) AS tracked, list_contains(r.stop_roles, t.role) AS stops, r.strict FROM tasks t JOIN app_rules r USING (k)),
+    bad AS (SELECT DISTINCT a.k FROM app_edges a JOIN app_edges b ON a.k = b.k AND a.role = b.depends_on AND a.depends_on = b.role
+            JOIN (SELECT DISTINCT k, role FROM tasks) x ON x.k = a.k AND x.role = a.role JOIN (SELECT DISTINCT k, role FROM tasks) y ON y.k = a.k AND y.role = a.depends_on),
+    late AS (SELECT t.k, t.role, t.idx, t.exit_code, t.start_ms, t.end_ms, l.reg_ms, l.registers FROM tasks t JOIN l ON l.task_id = concat(t.k, '/', t.role, ':', t.idx)),
+    sig AS (
+        SELECT k, started_ms + 72000000 AS at_ms, 1 AS rank, 'timeout' AS reason FROM apps WHERE completed_ms = -1 OR completed_ms - started_ms > 72000000
+        UNION ALL SELECT k, ts_ms, 2, 'client_stop' FROM said WHERE kind = 'CLIENT_STOP'
+        UNION ALL SELECT k, end_ms, 3, 'training_finished' FROM rt WHERE role = 'evaluator' AND exit_code = 0
+              OR exit_code NOT IN (0, -105) AND tracked AND (strict OR stops OR role = 'evaluator')
+        UNION ALL SELECT k, ts_ms, 4, 'preprocess_failed' FROM said WHERE kind <> 'CLIENT_STOP' AND exit_code <> 0
+        UNION ALL SELECT k, ts_ms, 5, 'single_node_finished' FROM said WHERE kind <> 'CLIENT_STOP' AND k % 3 = 0
+        UNION ALL SELECT k, end_ms, 6, 'untracked_failed' FROM rt WHERE NOT tracked AND exit_code NOT IN (0, -105)
+        UNION ALL SELECT k, started_ms, 7, 'bad_graph' FROM apps JOIN bad USING (k) WHERE k % 4 = 1
+        UNION ALL SELECT k, at_ms, 8, 'unhealthy' FROM overdue WHERE outcome = 'FAILED'
+        UNION ALL SELECT k, start_ms + {LIMIT_MS}, 9, 'registration_timeout' FROM late WHERE NOT (registers AND reg_ms - start_ms <= {LIMIT_MS})
+        UNION ALL SELECT k, end_ms, 10, 'startup_failed' FROM late WHERE exit_code NOT IN (0, -105) AND NOT (registers AND reg_ms BETWEEN end_ms - 86400000 AND end_ms)
+        UNION ALL SELECT k, max(end_ms), 11, 'all_tracked_done' FROM rt WHERE tracked GROUP BY k HAVING count(*) = count(exit_code))"""
+REASON_SQL = f"""{SIGNALS_SQL}
+    SELECT k, arg_min(reason, (at_ms, rank)) AS reason, min(at_ms) AS at_ms FROM sig GROUP BY k"""
+REASON_VIEWS = ("apps", "tasks", "app_rules", "app_edges", "app_members", "app_group_rules")
+
+
+def signals(t: Tables) -> DataFrame:
+    """k, at_ms, reason of everything that can end an application, by its own settings."""
+    k = F.col("k")
+    stops = t.apps.where("k % 23 = 5").select(
+        "k", (F.col("started_ms") + 600_000 * (1 + k % 7)).alias("ts_ms"), F.lit("").alias("role"), F.lit(states.CLIENT_STOP).alias("kind"), F.lit(0).alias("exit_code"))
+    prepared = t.apps.where("k % 19 = 3").select(
+        "k", (F.col("started_ms") + 60_000).alias("ts_ms"), F.lit("").alias("role"), F.lit(states.PREPROCESSED).alias("kind"), (k % 2).cast("int").alias("exit_code"))
+    launches, log = _launches(t), t.event_log
+    present = tasks.role_summary(t.tasks).select("k", "role", "instances")
+    sound = graph.acyclic(present.select(k.alias("app"), "role"), t.app_edges.withColumnRenamed("k", "app")).where("NOT acyclic")
+    events = log.where("kind LIKE 'TASK%' OR file_pos = 0").select(*stops.columns).unionByName(stops).unionByName(prepared)
+    ruled = rules.with_rules(events, t.job_settings, hot=t.hot_apps).join(sound.select(F.col("app").alias("k"), (F.col("app") % 4 == 1).alias("bad_graph")), "k", "left")
+    ruled = ruled.withColumns({"bad_graph": F.coalesce("bad_graph", F.lit(False)), "single_node": k % 3 == 0})
+    ends, starts = log.where("kind = 'APPLICATION_FINISHED'"), _starts(t)
+    named = lambda rows, at, reason: rows.select("k", at.alias("at_ms"), F.lit(reason).alias("reason"))
+    ts = F.col("ts_ms")
+    roles_of = launched_tasks(t).select("k", "role", "idx", "start_ms", "end_ms", "exit_code", "host")
+    came = roles_of.where("host IS NOT NULL").select("k", "role", "idx", (F.col("start_ms") + k % 40 * 60_000).alias("ts_ms"))
+    failures = roles_of.where(predicates.is_failed()).select("k", "role", "idx", F.col("end_ms").alias("ts_ms"))
+    tracked = rules.with_rules(t.tasks, t.job_settings, hot=t.hot_apps).where("tracked")
+    waiting = tasks.overdue_at(present, t.tasks, t.app_group_rules, t.app_members)
+    found = [
+        named(liveness.app_timeouts(starts, ends, 72_000_000, DELAY), ts + 72_000_000, "timeout"),
+        states.event_signals(ruled, chief_role="evaluator"),
+        named(waiting.where("outcome = 'FAILED'"), F.col("at_ms"), "unhealthy"),
+        named(liveness.unanswered(launches.select("task_id", "k", "ts_ms"), launches.where("reg_ms IS NOT NULL").select("task_id", F.col("reg_ms").alias("ts_ms")), ["task_id"], LIMIT_MS, DELAY), ts + LIMIT_MS, "registration_timeout"),
+        named(liveness.failed_before_registering(failures, came, 86_400_000, DELAY), ts, "startup_failed"),
+        named(tasks.all_ended(tracked), F.col("at_ms"), "all_tracked_done"),
+    ]
+    every = found[0]
+    for rows in found[1:]:
+        every = every.unionByName(rows)
+    return every
+
+
+@query("T16_reason_by_settings", REASON_SQL, REASON_VIEWS)
+def reason_by_settings(t: Tables):
+    return states.first_reason(signals(t))
+
+
+@query("T16_termination_reason_stream", REASON_SQL, REASON_VIEWS)
 def termination_reason_stream(t: Tables):
-    flags = states.app_flags(_log(t), UNTRACKED)
-    elapsed = F.coalesce(F.col("ended_ms"), _clock(flags)) - F.col("started_ms")
-    reason = tasks.termination_reason(
-        {
-            "timeout": elapsed > 72_000_000,
-            "untracked_failed": F.col("untracked_failures") > 0,
-            "all_tracked_done": (F.col("tracked") > 0) & (F.col("tracked") == F.col("tracked_done")),
-        }
-    )
-    return flags.select("k", reason.alias("reason"))
+    """The same signals as they come true, merged as a stream."""
+    return state_of(states.first_reason(_stream(t, signals(t), "signals", by="at_ms")), ["k"], "reasons")
 
 
-@query("T17_untracked_failure_stream", f"{FLAG_SQL} SELECT k, bad > 0 AS untracked_failed FROM fl", ("event_log",))
+@query(
+    "T17_untracked_failure_stream",
+    """SELECT k, coalesce(bool_or(kind = 'TASK_FINISHED' AND role = 'ps' AND exit_code NOT IN (0, -105)), false) AS untracked_failed,
+        min(ts_ms) FILTER (kind = 'TASK_FINISHED' AND role = 'ps' AND exit_code NOT IN (0, -105)) AS at_ms FROM event_log GROUP BY k""",
+    ("event_log",),
+)
 def untracked_failure_stream(t: Tables):
-    flags = states.app_flags(_log(t), UNTRACKED)
-    return flags.select("k", (F.col("untracked_failures") > 0).alias("untracked_failed"))
+    return state_of(states.untracked_failures(_log(t), predicates.is_untracked("role", UNTRACKED)), ["k"], "untracked")

@@ -1,16 +1,44 @@
-"""Stream helpers: draining a stream to a table, and per-key state kept as partial aggregates."""
+"""Running streams: sources, drains, and sinks that resume.
+
+State of a stream lies in the engine's own store, below the checkpoint. A stream started again with its checkpoint goes
+on where it stopped; every batch is written under the identity of its stream, which the checkpoint keeps, and its number,
+so a batch that comes again replaces itself and nothing that another stream wrote.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructType
 
 from runledger.session import scratch_dir
 
-NO_PATH = "PATH_NOT_FOUND"
+#: In force while a stream starts; it keeps them, the session does not.
+SETTINGS = {
+    # A busy key sends a row per session and input partition, not all its rows.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+#: Keyed state with timers needs this store; other streams take the one that the session names.
+KEYED = SETTINGS | {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, keyed: bool = False):
+    asked = KEYED if keyed else SETTINGS
+    before = {k: spark.conf.get(k, None) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_of(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -21,75 +49,62 @@ def stream_of(spark: SparkSession, path: str, schema: StructType, files_per_batc
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
-    """Run a stream until its source is empty and return what it wrote."""
+def with_clock(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with their event time and a watermark ``delay`` behind the newest."""
+    return rows.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
+
+
+def drain(stream: DataFrame, mode: str = "append", label: str = "stream", keyed: bool = False) -> DataFrame:
+    """Run a stream until its source is empty and return what it wrote. ``keyed``: it holds an operator of ``streaming.keyed``."""
     spark = stream.sparkSession
     out = scratch_dir(spark, label)
     writer = stream.writeStream.outputMode(mode).format("parquet")
     writer = writer.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
-    writer.start(out).awaitTermination()
+    with settings(spark, keyed):
+        running = writer.start(out)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def for_each_batch(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], label: str = "stream", checkpoint: str | None = None
-) -> None:
-    """Apply ``step(batch, number)`` to every micro-batch until the source is empty.
+def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, str, int], None], checkpoint: str, mode: str = "append", keyed: bool = False) -> None:
+    """Apply ``step(batch, stream id, number)`` to every micro-batch until the source is empty.
 
-    A batch may come again after a failure, with the same number: steps overwrite by number.
+    A batch may come again after a failure, with the same identity and number: steps overwrite by both.
     """
-    at = checkpoint or scratch_dir(stream.sparkSession, f"{label}-state")
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", at)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
 
+    def numbered(batch: DataFrame, n: int) -> None:
+        step(batch, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), n)
 
-class RunningTable:
-    """State per key of a stream, as partial aggregates that merge in any order.
+    writer = stream.writeStream.outputMode(mode).foreachBatch(numbered).option("checkpointLocation", checkpoint)
+    with settings(spark, keyed):
+        running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
 
-    Each batch is reduced by key and written under its number; reading merges them with the
-    functions in ``merge`` (sum, min, max over plain values or structs). Every
-    ``snapshot_every`` batches the merged state is written too, so reading stays short. State
-    lives in the shared folder, not in executors, and a repeated batch overwrites itself.
-    """
 
-    def __init__(
-        self, spark: SparkSession, path: str, keys: list[str], merge: dict[str, Callable[[str], Column]],
-        snapshot_every: int = 20,
-    ):
-        self.spark, self.path, self.keys, self.merge = spark, path, keys, merge
-        self.snapshot_every = snapshot_every
-        self.schema: StructType | None = None
-
-    def add(self, partial: DataFrame, batch: int) -> None:
-        partial = partial.select(*self.keys, *self.merge)
-        self.schema = partial.schema
-        partial.write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
-        if batch % self.snapshot_every == self.snapshot_every - 1:
-            self.read(batch).write.mode("overwrite").parquet(f"{self.path}/snapshot/batch={batch}")
-
-    def _stored(self, kind: str) -> DataFrame | None:
-        fields = [*self.schema.fields, StructField("batch", IntegerType())]
-        try:
-            return self.spark.read.schema(StructType(fields)).parquet(f"{self.path}/{kind}")
-        except Exception as e:  # the analysis error for a missing path has no class of its own
-            if NO_PATH in str(e):
-                return None
-            raise
-
-    def read(self, upto: int | None = None) -> DataFrame | None:
-        """Merged state after batch ``upto`` (default: the newest); None before the first."""
-        if self.schema is None:
-            return None
-        deltas, base = self._stored("delta"), self._stored("snapshot")
-        if deltas is None:
-            return None
-        if upto is not None:
-            deltas = deltas.where(F.col("batch") <= upto)
-        if base is not None:
-            last = base.select("batch")
-            if upto is not None:
-                last = last.where(F.col("batch") < upto)
-            newest = last.agg(F.max("batch")).first()[0]
-            if newest is not None:
-                deltas = base.where(F.col("batch") == newest).unionByName(deltas.where(F.col("batch") > newest))
-        return deltas.groupBy(*self.keys).agg(*(f(c).alias(c) for c, f in self.merge.items()))
+def changes_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", keyed: bool = False) -> None:
+    """Write the rows that each batch changed or added to ``path``, as the stream runs."""
+
+    def step(batch: DataFrame, stream_id: str, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/stream={stream_id}/batch={n}")
+
+    for_each_batch(stream, step, checkpoint, mode, keyed)
+
+
+def changes_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What :func:`changes_to` wrote, with the ``stream`` and the number of its ``batch``."""
+    return spark.read.schema(StructType(list(schema.fields)).add("stream", "string").add("batch", LongType())).parquet(path)
+
+
+def newest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key."""
+    columns = [c for c in changes.columns if c not in (*keys, "stream", "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*keys, "r.*")
+
+
+def state_of(stream: DataFrame, keys: list[str], label: str = "state", keyed: bool = False) -> DataFrame:
+    """Run a stream of changes until its source is empty and return the last row of each key."""
+    spark = stream.sparkSession
+    path = scratch_dir(spark, label)
+    changes_to(stream, path, f"{path}-state", keyed=keyed)
+    return newest(changes_of(spark, path, stream.schema), keys)

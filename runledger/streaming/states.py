@@ -1,205 +1,100 @@
-"""Streams whose state is a table: metric folds, task states, counters, countdowns, changes.
+"""Streams of running aggregates: task states, gangs, countdowns, flags and why applications ended.
 
-Each function runs a stream to its end and returns the state or the emitted rows. Micro-batches
-go through the batch operators, so hot keys are split there; what is kept per key is small.
+Each is one aggregate in update mode: a batch is combined on the map side, merged into the engine's state, and the rows it
+changed come out with it. A busy application sends a row per input partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.functions.predicates import is_failed, task_status
-from runledger.operators import telemetry
-from runledger.operators.history import INITED, TASK_FINISHED, TASK_STARTED
-from runledger.operators.series import Series
-from runledger.operators.skew import dim_join
-from runledger.session import scratch_dir
-from runledger.streaming.running import RunningTable, for_each_batch
-
-
-def _fold(stream: DataFrame, keys: list[str], merge: dict, reduce: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """Reduce each batch with ``reduce`` and return the merged state at the end."""
-    table = RunningTable(stream.sparkSession, scratch_dir(stream.sparkSession, label), keys, merge)
-    for_each_batch(stream, lambda batch, n: table.add(reduce(batch), n), label)
-    return table.read()
-
-
-def metric_state(samples: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Refreshes, maximum, running average and latest value per task, batch after batch.
-
-    A batch continues the average from the state before it; only tasks it holds are written.
-    """
-    spark = samples.sparkSession
-    state = ["refreshes", "avg_value", "max_value", "ts_ms", "value"]
-    table = RunningTable(spark, scratch_dir(spark, "metrics"), ["task"], {"s": F.max})
-
-    def step(batch: DataFrame, n: int) -> None:
-        before = table.read(n - 1)
-        start = None if before is None else before.select("task", "s.*")
-        folded = telemetry.running_average(batch, hot, start)
-        own = telemetry.running_maximum(batch).join(telemetry.latest(batch), "task")
-        new = folded.join(own, "task")
-        if start is not None:
-            old = start.select("task", F.col("max_value").alias("_old"))
-            new = new.join(old, "task", "left").withColumn(
-                "max_value", F.greatest("max_value", F.coalesce("_old", F.col("max_value")))
-            )
-        table.add(new.select("task", F.struct(*state).alias("s")), n)
-
-    for_each_batch(samples, step, "metrics")
-    return table.read().select("task", "s.*")
+from runledger.functions.predicates import SUCCESS, is_failed, task_status
+from runledger.operators.history import TASK_FINISHED, TASK_STARTED
+from runledger.operators.tasks import REASONS
 
 
 def task_states(events: DataFrame) -> DataFrame:
     """State of each task; the first terminal event wins, in whatever order they come."""
     finished = F.col("kind") == TASK_FINISHED
-
-    def reduce(batch: DataFrame) -> DataFrame:
-        return (
-            batch.where(F.col("kind").isin(TASK_STARTED, TASK_FINISHED))
-            .groupBy("k", "role", "idx")
-            .agg(
-                F.min(F.when(F.col("kind") == TASK_STARTED, F.col("ts_ms"))).alias("running_ms"),
-                F.min(F.when(finished, F.struct("ts_ms", "file_pos", "exit_code"))).alias("end"),
-            )
+    state = (
+        events.where(F.col("kind").isin(TASK_STARTED, TASK_FINISHED))
+        .groupBy("k", "role", "idx")
+        .agg(
+            F.min(F.when(F.col("kind") == TASK_STARTED, F.col("ts_ms"))).alias("running_ms"),
+            F.min(F.when(finished, F.struct("ts_ms", "file_pos", "exit_code"))).alias("end"),
         )
-
-    state = _fold(events, ["k", "role", "idx"], {"running_ms": F.min, "end": F.min}, reduce, "task-states")
+    )
     return state.select(
-        "k", "role", "idx", "running_ms", F.col("end.ts_ms").alias("ended_ms"),
-        task_status("end.exit_code").alias("status"),
+        "k", "role", "idx", "running_ms", F.col("end.ts_ms").alias("ended_ms"), task_status("end.exit_code").alias("status")
     )
 
 
-def current_events(events: DataFrame, hot: list | None = None) -> DataFrame:
-    """Events as they come, without task events of an attempt that is past by then."""
-    spark = events.sparkSession
-    out = scratch_dir(spark, "current-events")
-    starts = RunningTable(spark, scratch_dir(spark, "attempts"), ["k"], {"start_pos": F.max, "attempts": F.sum})
-
-    def step(batch: DataFrame, n: int) -> None:
-        inited = F.col("kind") == INITED
-        starts.add(
-            batch.where(inited).groupBy("k").agg(F.max("file_pos").alias("start_pos"), F.count(F.lit(1)).alias("attempts")), n
-        )
-        is_task = F.col("kind").isin(TASK_STARTED, TASK_FINISHED)
-        kept = dim_join(batch, starts.read(n), "k", "left", hot)
-        stale = is_task & (F.col("file_pos") < F.col("start_pos"))
-        kept.where(~F.coalesce(stale, F.lit(False))).drop("start_pos", "attempts").write.mode("overwrite").parquet(
-            f"{out}/batch={n}"
-        )
-
-    for_each_batch(events, step, "current-events")
-    return spark.read.parquet(out).drop("batch")
-
-
 def gang_release(registrations: DataFrame, expected: DataFrame) -> DataFrame:
-    """When the last expected task of an application registered.
+    """k, release_ms: when the last expected task of an application registered, in the batch in which it did.
 
-    ``registrations``: k, task, ts_ms; a task that registers again counts once, at the first time.
-    ``expected``: k, expected.
+    ``registrations``: k, task, ts_ms; a task that registers again counts once. ``expected``: k, expected.
     """
+    first = registrations.dropDuplicates(["k", "task"])
+    state = first.groupBy("k").agg(F.count(F.lit(1)).alias("registered"), F.max("ts_ms").alias("release_ms"))
+    return state.join(expected, "k").where("registered = expected").select("k", "release_ms")
 
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("k", "task").agg(F.min("ts_ms").alias("first_ms"))
 
-    seen = _fold(registrations, ["k", "task"], {"first_ms": F.min}, reduce, "gang")
-    state = seen.groupBy("k").agg(F.count(F.lit(1)).alias("registered"), F.max("first_ms").alias("last_ms"))
-    return state.join(expected, "k").where("registered = expected").select("k", F.col("last_ms").alias("release_ms"))
+def dependency_countdown(finishes: DataFrame, instances: DataFrame, edges: DataFrame) -> DataFrame:
+    """k, role, depends_on, left, ready, at_ms: instances that a role still waits for, after each batch with one.
 
-
-def dependency_countdown(finishes: DataFrame, instances: DataFrame, edges: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Instances left per (role, dependency) after each finish, as finishes come.
-
-    ``finishes``: k, role, idx, ts_ms. ``instances``: k, role, instances. A batch is numbered
-    on from the count of finishes before it.
+    ``finishes``: k, role, idx, ts_ms, one a task. ``instances``: k, role, instances. ``edges``: role, depends_on, and k where
+    applications differ. A pair is ready once, when nothing is left; at_ms is the latest finish so far.
     """
-    spark = finishes.sparkSession
-    out = scratch_dir(spark, "countdown")
-    counts = RunningTable(spark, scratch_dir(spark, "finished"), ["k", "role"], {"finished": F.sum})
-
-    def step(batch: DataFrame, n: int) -> None:
-        before = counts.read(n - 1)
-        counts.add(batch.groupBy("k", "role").agg(F.count(F.lit(1)).alias("finished")), n)
-        placed = Series(batch, ["k", "role"], ["ts_ms", "idx"], hot).row_number("_n").df.join(instances, ["k", "role"])
-        done = F.col("_n")
-        if before is not None:
-            placed = placed.join(before, ["k", "role"], "left")
-            done = done + F.coalesce("finished", F.lit(0))
-        left = placed.select(
-            "k", F.col("role").alias("depends_on"), F.col("idx").alias("finished_idx"), F.col("ts_ms").alias("at_ms"),
-            (F.col("instances") - done).alias("left"),
-        )
-        left.join(edges, "depends_on").withColumn("ready", F.col("left") == 0).write.mode("overwrite").parquet(
-            f"{out}/batch={n}"
-        )
-
-    for_each_batch(finishes, step, "countdown")
-    return spark.read.parquet(out).drop("batch")
-
-
-def changed_snapshots(polls: DataFrame, columns: list[str], hot: bool | None = None) -> DataFrame:
-    """Polls that differ from the task's poll before, across batches."""
-    spark = polls.sparkSession
-    out = scratch_dir(spark, "changes")
-    seen = RunningTable(spark, scratch_dir(spark, "last-polls"), ["task"], {"last": F.max})
-
-    def step(batch: DataFrame, n: int) -> None:
-        before = seen.read(n - 1)
-        fields = ["ts_ms", "id", *columns]
-        seen.add(batch.groupBy("task").agg(F.max(F.struct(*fields)).alias("last")), n)
-        rows = batch.select("task", *fields).withColumn("_new", F.lit(True))
-        if before is not None:
-            held = before.join(batch.select("task").distinct(), "task", "left_semi").select("task", "last.*")
-            rows = rows.unionByName(held.withColumn("_new", F.lit(False)))
-        marked = telemetry.changed_snapshots(rows, columns, hot)
-        marked.where("_new AND changed").drop("_new", "changed").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    by = ["k", "depends_on"] if "k" in edges.columns else ["depends_on"]
+    counts = finishes.groupBy("k", "role").agg(F.count(F.lit(1)).alias("done"), F.max("ts_ms").alias("at_ms"))
+    left = counts.join(instances, ["k", "role"]).select(
+        "k", F.col("role").alias("depends_on"), (F.col("instances") - F.col("done")).alias("left"), "at_ms"
+    )
+    return left.join(edges, by).select("k", "role", "depends_on", "left", (F.col("left") == 0).alias("ready"), "at_ms")
 
-    for_each_batch(polls, step, "changes")
-    return spark.read.parquet(out).drop("batch")
 
+def untracked_failures(events: DataFrame, untracked: Column) -> DataFrame:
+    """k, untracked_failed, at_ms: did an untracked task fail, and when first."""
+    bad = (F.col("kind") == TASK_FINISHED) & untracked & is_failed()
+    first = F.min(F.when(bad, F.col("ts_ms")))
+    return events.groupBy("k").agg(first.isNotNull().alias("untracked_failed"), first.alias("at_ms"))
 
-def app_flags(events: DataFrame, untracked: list[str]) -> DataFrame:
-    """Per application, from its events so far: times, tracked and finished tasks, failures.
 
-    The clock is the newest event time of the whole stream, so timeouts are judged as of then.
-    """
-    off = F.col("role").isin(untracked)
-    started, finished = F.col("kind") == TASK_STARTED, F.col("kind") == TASK_FINISHED
-    sums = ["tracked", "tracked_done", "tasks", "tasks_done", "untracked_failures"]
-
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("k").agg(
-            F.min(F.when(F.col("kind") == INITED, F.col("ts_ms"))).alias("started_ms"),
-            F.min(F.when(started, F.col("ts_ms"))).alias("first_task_ms"),
-            F.max(F.when(F.col("kind") == "APPLICATION_FINISHED", F.col("ts_ms"))).alias("ended_ms"),
-            F.max("ts_ms").alias("last_ms"),
-            F.count_if(started & ~off).alias("tracked"),
-            F.count_if(finished & ~off).alias("tracked_done"),
-            F.count_if(started).alias("tasks"),
-            F.count_if(finished).alias("tasks_done"),
-            F.count_if(finished & off & is_failed()).alias("untracked_failures"),
-        )
+def all_done(events: DataFrame, tracked: DataFrame) -> DataFrame:
+    """k, at_ms: when the last tracked task ended. ``events`` holds ends of tracked tasks, one a task; ``tracked``: k, tracked."""
+    ends = events.groupBy("k").agg(F.count(F.lit(1)).alias("_done"), F.max("ts_ms").alias("at_ms"))
+    return ends.join(tracked, "k").where("_done = tracked").select("k", "at_ms")
 
-    merge = {"started_ms": F.min, "first_task_ms": F.min, "ended_ms": F.max, "last_ms": F.max, **{s: F.sum for s in sums}}
-    return _fold(events, ["k"], merge, reduce, "app-flags")
 
+# Fixed: kinds of supervision events.
+CLIENT_STOP, PREPROCESSED = "CLIENT_STOP", "PREPROCESS_FINISHED"
 
-def role_states(events: DataFrame) -> DataFrame:
-    """Per (application, role): instances, how many still run, latest end (0 if none)."""
-    started, finished = F.col("kind") == TASK_STARTED, F.col("kind") == TASK_FINISHED
 
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.where(started | finished).groupBy("k", "role").agg(
-            F.count_if(started).alias("instances"), F.count_if(finished).alias("done"),
-            F.max(F.when(finished, F.col("ts_ms"))).alias("latest_end"),
-        )
+def event_signals(events: DataFrame, chief_role: str = "chief") -> DataFrame:
+    """k, at_ms, reason: what a single event says about the end of its application.
 
-    state = _fold(events, ["k", "role"], {"instances": F.sum, "done": F.sum, "latest_end": F.max}, reduce, "role-states")
-    return state.select(
-        "k", "role", "instances", (F.col("instances") - F.col("done")).alias("running"),
-        F.coalesce("latest_end", F.lit(0).cast("long")).alias("latest_end"),
-    )
+    ``events``: k, ts_ms, kind, role, exit_code, and of the application's settings ``tracked`` and ``stops`` (of the event's
+    role), ``strict``, ``single_node`` and ``bad_graph`` (its dependencies hold a cycle; told by its start).
+    """
+    kind, code = F.col("kind"), F.col("exit_code")
+    ended = kind == TASK_FINISHED
+    decides = (F.col("role") == chief_role) & (code == SUCCESS)
+    ruin = is_failed() & F.col("tracked") & (F.col("strict") | F.col("stops") | (F.col("role") == chief_role))
+    said = {
+        "client_stop": kind == CLIENT_STOP,
+        "training_finished": ended & (decides | ruin),
+        "preprocess_failed": (kind == PREPROCESSED) & (code != SUCCESS),
+        "single_node_finished": (kind == PREPROCESSED) & F.col("single_node"),
+        "untracked_failed": ended & ~F.col("tracked") & is_failed(),
+        "bad_graph": (kind == "APPLICATION_INITED") & F.col("bad_graph"),
+    }
+    flags = F.array_compact(F.array(*(F.when(flag, name) for name, flag in said.items())))
+    return events.select("k", F.col("ts_ms").alias("at_ms"), F.explode(flags).alias("reason"))
+
+
+def first_reason(signals: DataFrame) -> DataFrame:
+    """k, reason, at_ms: of the signals (k, at_ms, reason) of an application the earliest, at one time the first in the fixed order."""
+    rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
+    first = signals.groupBy("k").agg(F.min(F.struct("at_ms", rank.alias("rank"), "reason")).alias("r"))
+    return first.select("k", "r.reason", "r.at_ms")

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.operators import history, tasks, telemetry
-from runledger.streaming import liveness, states
-from runledger.streaming.running import RunningTable, drain, stream_of
+from runledger.streaming import jobs, keyed, liveness, states
+from runledger.streaming.running import SETTINGS, changes_of, changes_to, drain, for_each_batch, newest, stream_of
 
 
 def rows_of(df):
@@ -57,43 +57,86 @@ def log(spark):
         out, "k int, ts_ms long, kind string, role string, idx int, host string, exit_code int, file_pos long")
 
 
+def final(stream, keys, tmp_path, label="out", keyed=False):
+    """The state after the stream, and the rows that each batch gave."""
+    path = str(tmp_path / label)
+    changes_to(stream, path, f"{path}-state", keyed=keyed)
+    rows = changes_of(stream.sparkSession, path, stream.schema)
+    return newest(rows, keys), {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()}
+
+
+def feed(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def near(df):
+    return rows_of(df.withColumn("avg_value", F.round("avg_value", 9)).select("task", "refreshes", "avg_value", "max_value", "ts_ms", "value"))
+
+
 def test_metric_state(spark, tmp_path, samples):
-    got = states.metric_state(chunked(spark, tmp_path, samples, ["ts_ms"]))
+    got, by_batch = final(keyed.metric_state(chunked(spark, tmp_path, samples, ["ts_ms"])), ["task"], tmp_path, keyed=True)
     want = (
         telemetry.running_average(samples)
         .join(telemetry.running_maximum(samples), "task")
         .join(telemetry.latest(samples), "task")
     )
-    near = lambda df: rows_of(df.withColumn("avg_value", F.round("avg_value", 9)).select("task", "refreshes", "avg_value", "max_value", "ts_ms", "value"))
+    assert near(got) == near(want)
+    assert by_batch == {0: 7, 1: 7, 2: 7, 3: 7}  # rows come out with every batch
+
+
+def test_metric_state_resumes(spark, tmp_path, samples):
+    """Stopped after half of the input, and started anew: the state goes on."""
+    rows, path, out = samples.orderBy("ts_ms").collect(), str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:211], rows[211:]):
+        feed(spark, path, part, samples.schema)
+        changes_to(keyed.metric_state(stream_of(spark, path, samples.schema)), out, f"{out}-state", keyed=True)
+    stream = keyed.metric_state(stream_of(spark, path, samples.schema))
+    got = newest(changes_of(spark, out, stream.schema), ["task"])
+    want = telemetry.running_average(samples).join(telemetry.running_maximum(samples), "task").join(telemetry.latest(samples), "task")
     assert near(got) == near(want)
 
 
 def test_changes(spark, tmp_path, pings):
-    got = states.changed_snapshots(chunked(spark, tmp_path, pings, ["ts_ms"]), ["kind"])
     want = telemetry.changed_snapshots(pings, ["kind"]).where("changed").drop("changed")
+    got = drain(keyed.changed_snapshots(chunked(spark, tmp_path, pings, ["ts_ms"]), ["kind"]), keyed=True)
     assert rows_of(got) == rows_of(want)
+    two = pings.withColumns({"level": F.when(F.col("id") % 3 > 0, F.col("id") % 2), "x": F.lit("y")})
+    want = telemetry.changed_snapshots(two, ["kind", "level"]).where("changed").drop("changed", "x")
+    assert rows_of(drain(keyed.changed_snapshots(chunked(spark, tmp_path / "two", two, ["ts_ms"]), ["kind", "level"]), keyed=True)) == rows_of(want)
 
 
 def test_task_states(spark, tmp_path, log):
-    got = states.task_states(chunked(spark, tmp_path, log, ["ts_ms", "k"]))
-    assert rows_of(got) == rows_of(tasks.first_terminal_status(log).drop("exit_code"))
+    for label, order in (("time", ["ts_ms", "k"]), ("mixed", [F.xxhash64("k", "file_pos")])):
+        got, _ = final(states.task_states(chunked(spark, tmp_path / label, log, order)), ["k", "role", "idx"], tmp_path, label + "-out")
+        assert rows_of(got) == rows_of(tasks.first_terminal_status(log).drop("exit_code"))
 
 
-def test_current_events_in_one_batch(spark, tmp_path, log):
-    got = states.current_events(chunked(spark, tmp_path, log, ["ts_ms"], n=1))
+def test_current_events_in_any_order(spark, tmp_path, log):
+    """Shuffled input gives the batch answer, for all events that the watermark passes."""
+    last = [(99, 1_000_000, "APPLICATION_INITED", "", -1, "h", None, 0)]
+    path = str(tmp_path / "in")
+    log = log.withColumn("ts_ms", F.col("ts_ms") + 1000)  # a watermark starts at 0
+    rows = log.orderBy(F.xxhash64("k", "file_pos")).collect()
+    for part in (rows[::3], rows[1::3], rows[2::3], last):
+        feed(spark, path, part, log.schema)
+    got = drain(keyed.current_events(stream_of(spark, path, log.schema, files_per_batch=1), "100 seconds"), keyed=True)
     assert rows_of(got) == rows_of(history.current_attempt(log).drop("attempt", "session_id"))
 
 
-def test_current_events_over_batches(spark, tmp_path, log):
-    """An event of an attempt that is current when it comes is let through; late ones are not."""
-    late = log.where("k = 1").orderBy("file_pos").collect()
-    first, second = [r for r in late if r["ts_ms"] < 20], [r for r in late if r["ts_ms"] >= 20]
-    path = str(tmp_path / "in")
-    for part in (first[:3], [*second, *first[3:]]):
-        spark.createDataFrame(part, log.schema).coalesce(1).write.mode("append").parquet(path)
-    got = states.current_events(stream_of(spark, path, log.schema, files_per_batch=1))
-    kept = {(r["file_pos"]) for r in got.collect()}
-    assert kept == {r["file_pos"] for r in first[:3]} | {r["file_pos"] for r in second}
+def test_current_events_are_judged_at_the_watermark(spark, tmp_path, log):
+    """An event passes if no newer attempt has begun when the watermark passes it; one that comes later does not."""
+    rows = log.where("k = 1").withColumn("ts_ms", F.col("ts_ms") + 1000).orderBy("file_pos").collect()
+    first, second = [r for r in rows if r["ts_ms"] < 1020], [r for r in rows if r["ts_ms"] >= 1020]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    other = lambda ts: (99, ts, "APPLICATION_INITED", "", -1, "h", None, 0)
+    for part in ([*first[:4], other(1016)], [*second, *first[4:]], [other(1500)]):
+        feed(spark, path, part, log.schema)
+        stream = keyed.current_events(stream_of(spark, path, log.schema), "4 milliseconds")
+        changes_to(stream, out, f"{out}-state", "append", keyed=True)
+    got = changes_of(spark, out, log.schema)
+    passed = {r["file_pos"] for r in first[:4] if r["ts_ms"] < 1012}
+    assert len(passed) == 3  # the fourth was still held, the fifth came late
+    assert {r["file_pos"] for r in got.where("k = 1").collect()} == passed | {r["file_pos"] for r in second}
 
 
 def test_countdown(spark, tmp_path, log):
@@ -102,24 +145,133 @@ def test_countdown(spark, tmp_path, log):
         "k", "role", "idx", F.lit("h").alias("host"), F.lit(0).alias("start_ms"), F.col("ts_ms").alias("end_ms"), "exit_code")
     edges = spark.createDataFrame([("worker", "ps"), ("ps", "worker")], "role string, depends_on string")
     instances = tasks.role_summary(rows).select("k", "role", "instances")
-    got = states.dependency_countdown(chunked(spark, tmp_path, done, ["ts_ms", "k"]), instances, edges)
-    assert rows_of(got) == rows_of(tasks.dependency_countdown(rows, edges))
-
-
-def test_flags_and_roles(spark, tmp_path, log):
-    got = states.app_flags(chunked(spark, tmp_path, log, ["ts_ms", "k"]), ["ps"])
-    by = {r["k"]: r for r in got.collect()}
-    assert (by[0]["tasks"], by[0]["tasks_done"], by[0]["untracked_failures"], by[1]["untracked_failures"]) == (4, 3, 0, 2)
-    roles = {(r["k"], r["role"]): r["running"] for r in states.role_states(chunked(spark, tmp_path / "r", log, ["ts_ms"])).collect()}
-    assert roles[0, "ps"] == 0 and roles[0, "worker"] == 1
+    path = str(tmp_path / "out")
+    stream = states.dependency_countdown(chunked(spark, tmp_path, done, ["ts_ms", "k"]), instances, edges)
+    changes_to(stream, path, f"{path}-state")
+    got = changes_of(spark, path, stream.schema)
+    each = tasks.dependency_countdown(rows, edges).select("k", "role", "depends_on", "left", "ready", "at_ms")
+    assert set(rows_of(got.drop("stream", "batch"))) <= set(rows_of(each))
+    assert rows_of(got.where("ready").drop("stream", "batch")) == rows_of(each.where("ready"))  # ready once
+    assert got.select("batch").distinct().count() > 1
 
 
 def test_gang_release(spark, tmp_path):
-    calls = [(1, "a", 5), (1, "b", 9), (2, "a", 4), (1, "c", 7), (2, "a", 6), (1, "a", 30)]  # two tasks register again
+    calls = [(1, "a", 5), (1, "b", 9), (2, "a", 4), (1, "c", 7), (2, "a", 6), (1, "a", 30), (3, "a", 8)]  # two tasks register again
     rows = spark.createDataFrame(calls, "k int, task string, ts_ms long")
-    expected = spark.createDataFrame([(1, 3), (2, 2)], "k int, expected long")
-    got = states.gang_release(chunked(spark, tmp_path, rows, ["ts_ms"]), expected).collect()
-    assert [(r["k"], r["release_ms"]) for r in got] == [(1, 9)]
+    expected = spark.createDataFrame([(1, 3), (2, 2), (3, 1)], "k int, expected long")
+    got, by_batch = final(states.gang_release(chunked(spark, tmp_path, rows, ["ts_ms"]), expected), ["k"], tmp_path)
+    assert {(r["k"], r["release_ms"]) for r in got.collect()} == {(1, 9), (3, 8)} and sum(by_batch.values()) == 2
+
+
+def test_group_timeouts_fire_and_arm_again(spark, tmp_path):
+    """Group A (worker) ends at 10 s, then anew at 40 s as a second worker ends; the evaluator may run 20 s beyond."""
+    schema = "k int, ts_ms long, kind string, role string, idx int"
+    end = lambda k, s, role, idx: (k, s * 1000, "TASK_FINISHED", role, idx)
+    steps = [
+        [end(1, 10, "worker", 0), end(2, 10, "worker", 0), end(3, 10, "worker", 0), end(4, 10, "worker", 0)],
+        [end(1, 40, "worker", 1), end(2, 40, "worker", 1), end(3, 35, "worker", 1), end(3, 50, "evaluator", 0), (9, 50_000, "TASK_FINISHED", "x", 0)],
+        [end(2, 65, "evaluator", 0), (9, 62_000, "TASK_FINISHED", "x", 0)],
+        [(9, 80_000, "TASK_FINISHED", "x", 0)],
+    ]
+    plan = [(k, role, n) for k in (1, 2, 3, 4) for role, n in (("worker", 2), ("evaluator", 1))]
+    roles = spark.createDataFrame(plan, "k int, role string, instances long")
+    rules = spark.createDataFrame([("evaluator", "A", 20, False), ("evaluator", "0", 1, True)], "role string, grp string, timeout_s int, ignored boolean")
+    members = spark.createDataFrame([("A", "worker"), ("A", "absent")], "grp string, role string")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    seen = []
+    for part in steps:
+        feed(spark, path, part, schema)
+        stream = keyed.group_timeouts(stream_of(spark, path, spark.createDataFrame([], schema).schema), keyed.watched(roles, rules, members), "1 second")
+        changes_to(stream, out, f"{out}-state", "append", keyed=True)
+        seen.append({tuple(r)[:5] for r in changes_of(spark, out, stream.schema).collect()})
+    late = {(k, "evaluator", "A", "FAILED", 60_000) for k in (1, 2)}  # both ran at 60 s; 3 ended at 50 s, 4's group is not done
+    assert seen == [set(), set(), late, late]
+
+
+def test_unanswered_comes_out_as_the_limit_passes(spark, tmp_path):
+    """The row is there after the batch whose watermark passes the limit, while the stream goes on."""
+    schema, out = spark.createDataFrame([], "k int, ts_ms long").schema, str(tmp_path / "out")
+    starts, ends, seen = str(tmp_path / "starts"), str(tmp_path / "ends"), []
+    for s, e in (([(1, 1), (2, 1), (9, 1_000)], [(9, 1_000)]), ([(9, 9_000)], [(2, 5_000), (9, 9_000)]), ([(9, 30_000)], [(9, 30_000)]), ([(9, 40_000)], [(1, 39_000)])):
+        feed(spark, starts, s, schema)
+        feed(spark, ends, e, schema)
+        stream = liveness.app_timeouts(stream_of(spark, starts, schema), stream_of(spark, ends, schema), 10_000, "1 second")
+        changes_to(stream, out, f"{out}-state", "append")
+        seen.append({r["k"] for r in changes_of(spark, out, stream.schema).collect()} - {9})
+    assert seen == [set(), set(), {1}, {1}]
+
+
+def test_first_reason(spark, tmp_path):
+    rows = [(1, 50, "client_stop"), (1, 20, "all_tracked_done"), (1, 20, "unhealthy"), (2, 9, "timeout"), (2, 8, "startup_failed"), (3, 1, "bad_graph")]
+    signals = spark.createDataFrame(rows, "k int, at_ms long, reason string")
+    want = {(1, "unhealthy", 20), (2, "startup_failed", 8), (3, "bad_graph", 1)}
+    assert {tuple(r) for r in states.first_reason(signals).collect()} == want
+    got, _ = final(states.first_reason(chunked(spark, tmp_path, signals, [F.desc("at_ms")])), ["k"], tmp_path)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_event_signals(spark):
+    rows = [
+        (1, 1, "APPLICATION_INITED", "", None, True, False, False, False, True), (1, 2, "PREPROCESS_FINISHED", "", 3, True, False, False, True, False),
+        (2, 3, "CLIENT_STOP", "", None, True, False, False, False, False), (2, 4, "TASK_FINISHED", "chief", 0, True, False, False, False, False),
+        (3, 5, "TASK_FINISHED", "worker", 1, True, False, False, False, False), (3, 6, "TASK_FINISHED", "worker", 1, True, True, False, False, False),
+        (3, 7, "TASK_FINISHED", "worker", 1, True, False, True, False, False), (3, 8, "TASK_FINISHED", "ps", 1, False, True, True, False, False),
+        (3, 9, "TASK_FINISHED", "chief", -105, True, True, True, False, False),
+    ]
+    schema = "k int, ts_ms long, kind string, role string, exit_code int, tracked boolean, stops boolean, strict boolean, single_node boolean, bad_graph boolean"
+    got = {(r["at_ms"], r["reason"]) for r in states.event_signals(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, "bad_graph"), (2, "preprocess_failed"), (2, "single_node_finished"), (3, "client_stop"), (4, "training_finished"),
+                   (6, "training_finished"), (7, "training_finished"), (8, "untracked_failed")}
+
+
+def test_ingest_goes_on_and_keeps_what_others_wrote(spark, tmp_path, log):
+    rows, source, path = log.orderBy("ts_ms", "k").collect(), str(tmp_path / "in"), str(tmp_path / "log")
+    first, check = str(tmp_path / "a"), str(tmp_path / "b")
+    count = lambda: spark.read.parquet(path).count()
+    feed(spark, source, rows[:10], log.schema)
+    jobs.ingest_events(stream_of(spark, source, log.schema), path, first)
+    assert count() == 10
+    feed(spark, source, rows[10:15], log.schema)
+    jobs.ingest_events(stream_of(spark, source, log.schema), path, first)
+    assert count() == 15  # the second call goes on
+    jobs.ingest_events(stream_of(spark, source, log.schema), path, first)
+    assert count() == 15
+    feed(spark, str(tmp_path / "other"), rows[15:18], log.schema)
+    jobs.ingest_events(stream_of(spark, str(tmp_path / "other"), log.schema), path, check)
+    assert count() == 18  # another stream into the same log
+    got = spark.read.parquet(path).select(*log.columns)
+    assert rows_of(got) == sorted(map(str, spark.createDataFrame(rows[:18], log.schema).select(*sorted(log.columns)).collect()))
+
+
+def test_a_killed_batch_comes_once(spark, tmp_path, log):
+    rows, source, path, check = log.orderBy("ts_ms", "k").collect(), str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "state")
+    feed(spark, source, rows[:12], log.schema)
+    written, failed = [], []
+
+    def step(batch, stream_id, n):
+        batch.write.mode("overwrite").parquet(f"{path}/stream={stream_id}/batch={n}")
+        written.append(n)
+        if not failed:
+            failed.append(n)
+            raise RuntimeError("killed after the write")
+
+    with pytest.raises(Exception, match="killed after the write"):
+        for_each_batch(stream_of(spark, source, log.schema), step, check)
+    for_each_batch(stream_of(spark, source, log.schema), step, check)
+    assert written == [0, 0] and spark.read.parquet(path).count() == 12
+
+
+def test_mover_goes_on(spark, tmp_path):
+    names = [("application_1_1-100-200-ann-SUCCEEDED.jhist",), ("application_1_2-100-ann.jhist.inprogress",), ("application_1_3-100-ann.jhist.inprogress",)]
+    source, store, index, check = (str(tmp_path / d) for d in ("in", "store", "index", "state"))
+    killed = spark.createDataFrame([("application_1_3",)], "app_id string")
+    move = lambda: jobs.move_finished(stream_of(spark, source, spark.createDataFrame([], "name string").schema), killed, 500, store, index, check)
+    feed(spark, source, names[:2], "name string")
+    assert {(r["app_id"], r["completed_ms"]) for r in move().collect()} == {("application_1_1", 200), ("application_1_2", -1)}
+    feed(spark, source, [*names[2:], ("application_1_2-100-300-ann-FAILED.jhist",)], "name string")
+    seen = {(r["app_id"], r["completed_ms"], r["status"]) for r in move().collect()}
+    assert seen == {("application_1_1", 200, "SUCCEEDED"), ("application_1_2", 300, "FAILED"), ("application_1_3", 500, "KILLED")}
+    assert spark.read.parquet(store).count() == 3
 
 
 def test_sessions_over_batches(spark, tmp_path, pings):
@@ -130,12 +282,7 @@ def test_sessions_over_batches(spark, tmp_path, pings):
     assert rows_of(got) == rows_of(want) and got.count() > 0
 
 
-def test_running_table_snapshots(spark, tmp_path):
-    table = RunningTable(spark, str(tmp_path / "t"), ["k"], {"n": F.sum, "last": F.max}, snapshot_every=2)
-    for batch in range(5):
-        for _ in range(2):  # a batch that comes twice counts once
-            table.add(spark.createDataFrame([(1, 1, batch), (batch, 10, batch)], "k int, n long, last int").groupBy("k").agg(
-                F.sum("n").alias("n"), F.max("last").alias("last")), batch)
-    assert {r["k"]: (r["n"], r["last"]) for r in table.read().collect()} == {
-        0: (10, 0), 1: (15, 4), 2: (10, 2), 3: (10, 3), 4: (10, 4)}
-    assert {r["k"]: r["n"] for r in table.read(2).collect()} == {0: 10, 1: 13, 2: 10}
+def test_settings_are_put_back(spark, tmp_path, pings):
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    drain(liveness.liveness_sessions(chunked(spark, tmp_path, pings, ["ts_ms"], n=1), 20_000, "1 second"))
+    assert {k: spark.conf.get(k, None) for k in SETTINGS} == before
