@@ -17,6 +17,7 @@ samples after ``BURN_IN`` sweeps.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -172,7 +173,8 @@ def exchange(shards: DataFrame, state: State, states: list[State]) -> dict[int,
         for f in frames:
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
-                *_, (_, t, s) = chain(states, words, own, at, count)
+                for _, t, s in chain(states, words, own, at, count):
+                    pass  # one seating at a time is held; the last counts
                 context += np.bincount(at, weights=t, minlength=CONTEXTS).astype(np.int64)
                 customers = np.bincount(own, weights=t, minlength=len(words)).astype(np.int64)
                 place = state.place(words)
@@ -309,15 +311,14 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
                 place, known = state.place(words), np.bincount(own, weights=count, minlength=len(words)).astype(np.int64)
                 known[place >= 0] = state.frequent_count[place[place >= 0]]
                 p = np.zeros(len(own))
-                for s, t, parent in list(chain(states, words, own, at, count))[BURN_IN:-1]:
+                for s, t, parent in islice(chain(states, words, own, at, count), BURN_IN, BURN_IN + SAMPLES):
                     d = s.discounts[0]
                     p += (np.maximum(count - d * t, 0) + (STRENGTH + d * s.tables[at]) * parent[own]) / (STRENGTH + s.context[at])
                 entries, doc, n, rows = unpack(row["texts"], "<u4", "<u4", "<u4", "<i8")
-                model = np.repeat(np.log10(p / SAMPLES), entries) * n
-                base = np.repeat(np.log10((known[own] + 1) / (state.tokens + state.words + 1)), entries) * n
-                add = lambda values: np.bincount(doc, weights=values, minlength=len(rows))
-                yield pd.DataFrame({
-                    "row": rows, "known": add(np.repeat(known[own] > 0, entries) * n).astype(np.int64), "base": add(base), "model": add(model)})
+                add = lambda each: np.bincount(doc, weights=np.repeat(each, entries) * n, minlength=len(rows))
+                known = known[own]
+                base = np.log10((known + 1) / (state.tokens + state.words + 1))
+                yield pd.DataFrame({"row": rows, "known": add(known > 0).astype(np.int64), "base": add(base), "model": add(np.log10(p / SAMPLES))})
 
     sums = shards.select("seats", "texts").mapInPandas(score, "row long, known long, base double, model double").groupBy("row").agg(
         *(F.sum(c).alias(c) for c in ("known", "base", "model")))
