@@ -22,15 +22,19 @@ DELAY, DELAY_MS = "61500 milliseconds", 61_500
 BATCHES, FILE_ROWS = 4, 250_000
 
 
-def _stream(t: Tables, rows: DataFrame, label: str, by: str | None = "ts_ms") -> DataFrame:
-    """A table derived by Spark as a stream of ``BATCHES`` micro-batches in the order of time (without ``by``, by a hash)."""
+def _stored(t: Tables, rows: DataFrame, label: str) -> DataFrame:
+    """A table derived by Spark, written out and read back as a stream of one micro-batch."""
+    path = scratch_dir(t.spark, f"{label}-source")
+    rows.write.parquet(path)
+    return stream_of(t.spark, path, rows.schema)
+
+
+def _stream(t: Tables, rows: DataFrame, label: str, by: str = "ts_ms") -> DataFrame:
+    """A table derived by Spark as a stream of ``BATCHES`` micro-batches in the order of time."""
     kept = written(rows, f"{label}-rows")
     files = max(1, kept.count() // BATCHES // FILE_ROWS)
-    if by:
-        cuts = kept.approxQuantile(by, [i / BATCHES for i in range(1, BATCHES)], 0.01)
-        part = sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    else:
-        part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
+    cuts = kept.approxQuantile(by, [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    part = sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0))
     path = scratch_dir(t.spark, f"{label}-source")
     for i in range(BATCHES):
         kept.where(part == i).repartition(files).write.mode("append").parquet(path)
@@ -49,7 +53,7 @@ def _log(t: Tables) -> DataFrame:
 @query("T01_event_ingest", "SELECT k, ts_ms, kind, role, idx, host, exit_code, file_pos FROM event_log", ("event_log",))
 def event_ingest(t: Tables):
     path = scratch_dir(t.spark, "ingested")
-    jobs.ingest_events(_log(t), path, f"{path}-state", period="yyyy-MM")
+    jobs.ingest_events(_stored(t, t.event_log, "event-log"), path, f"{path}-state", period="yyyy-MM")
     return t.spark.read.parquet(path).select("k", "ts_ms", "kind", "role", "idx", "host", "exit_code", "file_pos")
 
 
@@ -105,9 +109,9 @@ def _launches(t: Tables) -> DataFrame:
 )
 def registration_timeout_stream(t: Tables):
     rows = _launches(t)
-    launches = _stream(t, rows.select("task_id", "ts_ms"), "launches")
+    launches = _stored(t, rows.select("task_id", "ts_ms"), "launches")
     came = rows.where(F.col("reg_ms").isNotNull()).select("task_id", F.col("reg_ms").alias("ts_ms"))
-    late = liveness.registration_timeouts(launches, _stream(t, came, "registrations"), LIMIT_MS, DELAY)
+    late = liveness.registration_timeouts(launches, _stored(t, came, "registrations"), LIMIT_MS, DELAY)
     return drain(late, label="registration-timeouts")
 
 
@@ -252,7 +256,7 @@ def mover(t: Tables):
     landing = t.apps.select(names.build_history_name("app_id", "started_ms", "completed_ms", "usr", status).alias("name"))
     killed = t.apps.where("k % 3 = 0").select("app_id")
     store = scratch_dir(t.spark, "finished")
-    jobs.move_finished(_stream(t, landing, "landing", by=None), killed, 1_767_225_600_000, store, f"{store}-index", f"{store}-state")
+    jobs.move_finished(_stored(t, landing, "landing"), killed, 1_767_225_600_000, store, f"{store}-index", f"{store}-state")
     layout = "app_id string, usr string, status string, day string, stream string, batch int, year string, month string"
     return t.spark.read.schema(layout).parquet(store).drop("stream", "batch")
 

@@ -1,7 +1,7 @@
 """Streams with keyed state: metrics, changes, events of the current attempt, timeouts of awaited groups.
 
 One processor each, over the engine's keyed state with event-time timers. A processor sees the rows of one key
-in one batch at a time; what it keeps per key is a value, a map by role, or the events that the watermark has not passed.
+in one batch at a time; what it keeps per key is a value, or the events that the watermark has not passed.
 """
 
 from __future__ import annotations
@@ -138,10 +138,11 @@ class GroupTimeouts(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.roles = handle.getMapState("roles", "role string", "done long, latest_end long")
-        self.watch = handle.getValueState("watch", "watch string, told string")
+        # One value, as each call to the store costs more than the few roles of an application.
+        self.state = handle.getValueState("groups", "watch string, roles string, told string")
 
-    def _due(self, watch: dict, roles: dict):
+    @staticmethod
+    def _due(watch: dict, roles: dict):
         """(rule, time) of each rule whose group is done and whose role runs beyond the limit, as far as is known."""
         asked = {r["role"]: r["instances"] for r in watch["roles"]}
         for rule in watch["rules"]:
@@ -154,35 +155,30 @@ class GroupTimeouts(StatefulProcessor):
                 yield rule, due
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows = list(rows)
-        known = self.watch.get()
-        if known is None:
-            known = (rows[0].watch, "[]")
-            self.watch.update(known)
-        ends: dict[str, list[int]] = {}
+        known, roles, watch = self.state.get(), {}, None
+        if known is not None:
+            watch, roles = known[0], {r: tuple(v) for r, v in json.loads(known[1]).items()}
         for r in rows:
-            if r.kind == TASK_FINISHED:
-                ends.setdefault(r.role, []).append(r.ts_ms)
-        if ends:
-            roles = {k[0]: tuple(v) for k, v in self.roles.iterator()}
-            for role, times in ends.items():
-                done, end = roles.get(role, (0, 0))
-                roles[role] = (done + len(times), max(end, *times))
-                self.roles.updateValue((role,), roles[role])
-            for at in {due for _, due in self._due(json.loads(known[0]), roles)}:
-                self.handle.registerTimer(at + 1)
+            watch = watch or r.watch
+            done, end = roles.get(r.role, (0, 0))
+            roles[r.role] = (done + 1, max(end, r.ts_ms))
+        self.state.update((watch, json.dumps(roles), known[2] if known is not None else "[]"))
+        for at in {due for _, due in self._due(json.loads(watch), roles)}:
+            self.handle.registerTimer(at + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        watch, told = self.watch.get()
-        told, roles = json.loads(told), {k[0]: tuple(v) for k, v in self.roles.iterator()}
-        for rule, due in self._due(json.loads(watch), roles):
+        watch, roles, told = self.state.get()
+        told, late = json.loads(told), []
+        for rule, due in self._due(json.loads(watch), {r: tuple(v) for r, v in json.loads(roles).items()}):
             if due < now and rule["role"] not in told:
                 told.append(rule["role"])
                 outcome = "UNTRACKED" if rule["ignored"] else "FAILED"
-                yield Row(k=key[0], role=rule["role"], grp=rule["grp"], outcome=outcome, at_ms=due)
-        self.watch.update((watch, json.dumps(told)))
+                late.append(Row(k=key[0], role=rule["role"], grp=rule["grp"], outcome=outcome, at_ms=due))
+        if late:
+            self.state.update((watch, roles, json.dumps(told)))
+        return iter(late)
 
     def close(self) -> None:
         pass
@@ -210,7 +206,7 @@ def watched(roles: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame
 
 def group_timeouts(events: DataFrame, watch: DataFrame, delay: str) -> DataFrame:
     """k, role, grp, outcome, at_ms: a row in the batch in which a limit passes, for good."""
-    ends = events.where(F.col("kind") == TASK_FINISHED).select("k", "ts_ms", "kind", "role", "idx")
+    ends = events.where(F.col("kind") == TASK_FINISHED).select("k", "ts_ms", "role")
     rows = with_clock(ends, delay).join(watch, "k")
     schema = f"k {events.schema['k'].dataType.simpleString()}, role string, grp string, outcome string, at_ms long"
     return rows.groupBy("k").transformWithState(GroupTimeouts(), schema, "append", "eventTime")
