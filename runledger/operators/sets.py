@@ -16,15 +16,27 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
     One aggregate over both: rows cancel out by count, as with two multiset differences.
     """
-    columns = before.columns
     both = before.withColumn("_n", F.lit(1)).unionByName(after.withColumn("_n", F.lit(-1)))
+    return _net(both, before.columns)
+
+
+def revised(rows: DataFrame, keys: list[str], before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """The difference of two snapshots that are both made from ``rows``, which are read once.
+
+    ``before`` and ``after`` name the columns of the two. A row that is the same in both has no part in the result
+    and is left out before anything is dealt out.
+    """
+    state = lambda columns: F.struct(*keys, *(c.alias(n) for n, c in columns.items()))
+    pairs = rows.select(state(before).alias("_b"), state(after).alias("_a")).where(~F.col("_a").eqNullSafe(F.col("_b")))
+    signed = F.array(F.struct(F.col("_b").alias("r"), F.lit(1).alias("_n")), F.struct(F.col("_a").alias("r"), F.lit(-1).alias("_n")))
+    return _net(pairs.select(F.inline(signed)).select("r.*", "_n"), [*keys, *before])
+
+
+def _net(both: DataFrame, columns: list[str]) -> DataFrame:
     net = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     copies = F.sequence(F.lit(1).cast("long"), F.abs("_n"))
-    return net.select(
-        *columns,
-        F.when(F.col("_n") > 0, "before").otherwise("after").alias("side"),
-        F.explode(copies).alias("_c"),
-    ).drop("_c")
+    side = F.when(F.col("_n") > 0, "before").otherwise("after").alias("side")
+    return net.select(*columns, side, F.explode(copies).alias("_c")).drop("_c")
 
 
 def role_union(*lists: Column) -> Column:

@@ -18,7 +18,7 @@ from runledger.functions.predicates import (
     task_status,
 )
 from runledger.operators.series import Series
-from runledger.operators.skew import dim_join
+from runledger.session import written
 
 
 
@@ -36,15 +36,16 @@ def unregistered_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("start_ms").isNotNull() & F.col("host").isNull())
 
 
-def counters(tasks: DataFrame, tracked: Column) -> DataFrame:
+def _counts(tracked: Column) -> list[Column]:
     done = is_completed()
-    return tasks.groupBy("k").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(tracked).alias("tracked"),
-        F.count_if(done).alias("completed"),
-        F.count_if(done & tracked).alias("completed_tracked"),
-        F.count_if(is_failed()).alias("failed"),
-    )
+    return [
+        F.count(F.lit(1)).alias("total"), F.count_if(tracked).alias("tracked"), F.count_if(done).alias("completed"),
+        F.count_if(done & tracked).alias("completed_tracked"), F.count_if(is_failed()).alias("failed"),
+    ]
+
+
+def counters(tasks: DataFrame, tracked: Column) -> DataFrame:
+    return tasks.groupBy("k").agg(*_counts(tracked))
 
 
 def progress(counted: DataFrame) -> DataFrame:
@@ -53,22 +54,28 @@ def progress(counted: DataFrame) -> DataFrame:
     )
 
 
-def final_status(tasks: DataFrame, tracked: Column, strict: Column | bool = False) -> DataFrame:
-    """Status and message of each application from its tracked tasks. ``strict`` is the same on all its rows."""
+def final_status(tasks: DataFrame, tracked: Column, strict: Column | bool = False, counted: bool = False) -> DataFrame:
+    """Status and message of each application from its tracked tasks. ``strict`` is the same on all its rows.
+
+    ``counted``: with the columns of :func:`counters`, from the same aggregate.
+    """
     open_ = tracked & ~is_completed()
     bad = tracked & (F.col("exit_code") != SUCCESS)
+    counts = _counts(tracked) if counted else []
     seen = tasks.groupBy("k").agg(
         F.count_if(tracked).alias("_tracked"),
         F.min(F.when(open_, F.struct("role", "idx"))).alias("_open"),
         F.count_if(bad).alias("failures"),
         F.bool_or(_flag(strict)).alias("_strict"),
+        *counts,
     )
+    columns = [c for c in ("total", "tracked", "completed", "completed_tracked", "failed") if counted]
     failures = F.col("failures")
     unfinished = F.col("_open").isNotNull()
     broken = (failures > 0) & (F.col("_strict") | (failures >= F.col("_tracked")))
     count = F.concat(F.lit("failedCnt="), failures.cast("string"))
     return seen.select(
-        "k",
+        "k", *columns,
         F.when(unfinished | broken, "FAILED").otherwise("SUCCEEDED").alias("status"),
         # Fixed: the texts of these messages are output values.
         F.when(
@@ -128,10 +135,16 @@ def chief_tasks(
     return chiefs.unionByName(stand_ins.join(with_chief, "k", "left_anti"))
 
 
-def released_snapshot(tasks: DataFrame, launched: Column, hot: list | None = None) -> DataFrame:
-    """Task infos of applications all of whose slots are launched."""
-    whole = tasks.groupBy("k").agg(F.bool_and(launched).alias("_all")).where("_all").select("k")
-    return dim_join(tasks, whole, "k", "inner", hot).dropDuplicates(["k", "role", "idx"])
+def released_snapshot(tasks: DataFrame, launched: Column) -> DataFrame:
+    """Task infos of applications all of whose slots are launched.
+
+    Rows of a task are merged once; applications with a slot that is not launched (their numbers only) are left out.
+    """
+    columns = [c for c in tasks.columns if c not in ("k", "role", "idx")]
+    one = tasks.groupBy("k", "role", "idx").agg(F.bool_and(launched).alias("_all"), F.min(F.struct(*columns)).alias("r"))
+    merged = written(one.select("k", "role", "idx", "_all", "r.*"), "slots")
+    waiting = merged.where("NOT _all").select("k").distinct()
+    return merged.join(waiting, "k", "left_anti").drop("_all")
 
 
 def role_summary(tasks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.names import in_progress, parse_history_name, zoned
+from runledger.operators.skew import dim_join
 
 
 def store_partition(files: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -51,25 +52,49 @@ def finalise_killed(apps: DataFrame, killed: DataFrame, now_ms: int | Column) ->
     )
 
 
+#: Gram length and stride by least id length. A stride of n needs ids of n - 1 letters more than a gram.
+GRAMS = [(8, 5, 4), (3, 3, 1), (2, 2, 1), (1, 1, 1)]
+
+
+def _holding(names: DataFrame, ids: DataFrame, gram: int, stride: int) -> DataFrame:
+    """Names (app_id) that hold one of ``ids`` (_id), all of ``gram + stride - 1`` letters at least.
+
+    Names are cut at every ``stride``-th place only. Wherever an id stands in a name, such a place lies in it, at one
+    of its offsets that leave the same remainder; for each remainder the id is listed under its rarest gram there.
+    A name that holds the gram at such a place is compared at the one position where the id would stand.
+    """
+    offsets = F.sequence(F.lit(0), F.length("_id") - gram)
+    cut = ids.select("_id", F.explode(offsets).alias("_o")).withColumn("_g", F.substring("_id", F.col("_o") + 1, F.lit(gram)))
+    frequency = cut.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = F.min(F.struct("_f", "_o", "_g")).alias("_r")
+    index = dim_join(cut, frequency, "_g").groupBy("_id", F.pmod("_o", F.lit(stride)).alias("_m")).agg(rarest).select("_id", "_r._o", "_r._g")
+    long = names.where(F.length("app_id") >= gram)
+    places = F.sequence(F.lit(0), F.length("app_id") - gram, F.lit(stride))
+    held = long.select("app_id", F.explode(places).alias("_p")).withColumn("_g", F.substring("app_id", F.col("_p") + 1, F.lit(gram)))
+    start = F.col("_p") - F.col("_o")
+    found = held.join(index, "_g").where((start >= 0) & (F.substring("app_id", start + 1, F.length("_id")) == F.col("_id")))
+    return found.select("app_id")
+
+
 def killed_landing(dirs: DataFrame, killed: DataFrame, mode: str = "equals") -> DataFrame:
     """Landing directories of killed applications.
 
-    ``contains`` also takes directories whose name holds a killed id anywhere. Names are cut
-    at every place, to every length a killed id has, and the pieces meet the ids in one equi-join: no
-    directory is compared with every id.
+    ``contains`` also takes directories whose name holds a killed id anywhere (an empty id is held by all); ids are looked
+    up by grams, and no directory is compared with every id.
     """
     ids = killed.select(F.col("app_id").alias("_id")).where("_id is not null").distinct()
     if mode == "equals":
         return dirs.join(ids, F.col("app_id") == F.col("_id"), "left_semi")
-    sizes = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # one per id length
-    if not sizes:
+    names = dirs.select("app_id").where("app_id is not null").distinct()
+    sizes = ids.agg(F.min(F.length("_id")).alias("low"), F.max(F.length("_id")).alias("high")).first()
+    if sizes["low"] is None:
         return dirs.limit(0)
-    names = dirs.select("app_id").distinct()
-    long = names.withColumn("_size", F.explode(F.array(*map(F.lit, sorted(sizes))))).where(F.col("_size") <= F.length("app_id"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("app_id") - F.col("_size") + 1, F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.substring("app_id", i, F.col("_size")))
-    hits = (
-        long.select("app_id", F.explode(F.array_distinct(pieces)).alias("_id"))
-        .join(ids, "_id", "left_semi").select("app_id").distinct()
-    )
-    return dirs.join(hits, "app_id", "left_semi")
+    if sizes["low"] == 0:
+        return dirs.where("app_id is not null")
+    hits, above = None, sizes["high"] + 1
+    for least, gram, stride in GRAMS:
+        if sizes["low"] < above and sizes["high"] >= least:
+            part = _holding(names, ids.where((F.length("_id") >= least) & (F.length("_id") < above)), gram, stride)
+            hits = part if hits is None else hits.unionByName(part)
+        above = min(above, least)
+    return dirs.join(hits.distinct(), "app_id", "left_semi")

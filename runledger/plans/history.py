@@ -38,13 +38,13 @@ def current_attempt(t: Tables):
 
 @query(
     "J06_task_lifecycle",
-    f"""{ATTEMPT_SQL}
-    SELECT s.k, s.attempt, s.role, s.idx, s.ts_ms AS start_ms, f.ts_ms AS end_ms, f.ts_ms - s.ts_ms AS duration_ms,
-           CASE WHEN f.exit_code IS NULL THEN 'RUNNING' WHEN f.exit_code = 0 THEN 'SUCCEEDED'
-                WHEN f.exit_code = -105 THEN 'FINISHED' ELSE 'FAILED' END AS status
-    FROM (SELECT * FROM a WHERE kind = 'TASK_STARTED') s
-    LEFT JOIN (SELECT * FROM a WHERE kind = 'TASK_FINISHED') f
-      ON s.k = f.k AND s.attempt = f.attempt AND s.role = f.role AND s.idx = f.idx""",
+    f"""{ATTEMPT_SQL},
+    p AS (SELECT k, attempt, role, idx, min(ts_ms) FILTER (kind = 'TASK_STARTED') AS start_ms, min(ts_ms) FILTER (kind = 'TASK_FINISHED') AS end_ms,
+                 min(exit_code) FILTER (kind = 'TASK_FINISHED') AS exit_code
+          FROM a WHERE kind IN ('TASK_STARTED', 'TASK_FINISHED') GROUP BY k, attempt, role, idx)
+    SELECT k, attempt, role, idx, start_ms, end_ms, end_ms - start_ms AS duration_ms,
+           CASE WHEN exit_code IS NULL THEN 'RUNNING' WHEN exit_code = 0 THEN 'SUCCEEDED' WHEN exit_code = -105 THEN 'FINISHED' ELSE 'FAILED' END AS status
+    FROM p WHERE start_ms IS NOT NULL""",
     ("event_log",),
 )
 def task_lifecycle(t: Tables):

@@ -20,15 +20,27 @@ LOG_SQL = """
 LOG_COLUMNS = ["k", "file_pos", "type", "timestamp", "task_type", "task_index", "host", "status"]
 
 
-def _stored_log(t: Tables) -> str:
+def _stored_log(t: Tables, period: str = "yyyy-MM", buckets: int | None = None) -> str:
     path = scratch_dir(t.spark, "events")
-    store.write_event_log(t.event_log, path, period="yyyy-MM")
+    store.write_event_log(t.event_log, path, period, buckets=buckets)
     return path
 
 
-@query("S01_event_log_scan", LOG_SQL, ("event_log",))
+@query(
+    "S01_event_log_scan",
+    f"""{LOG_SQL} WHERE k IN (SELECT max(k) FROM apps UNION ALL SELECT min(k) FROM apps)""", ("event_log",),
+)
 def event_log_scan(t: Tables):
-    """The stored log, scanned for the applications of the task tables."""
+    """The stored log, scanned for two applications: only the folders of their buckets are opened."""
+    path = _stored_log(t, "yyyy", buckets=store.BUCKETS)
+    ends = t.apps.agg(F.max("k").alias("a"), F.min("k").alias("b")).select(F.explode(F.array("a", "b")).alias("k"))
+    log = eventlog.read_event_log(t.spark, path, t.event_log.schema, ends, buckets=store.BUCKETS)
+    return flatten_events(to_event_union(log)).select(*LOG_COLUMNS)
+
+
+@query("S01_event_log_scan_all", LOG_SQL, ("event_log",))
+def event_log_scan_all(t: Tables):
+    """The stored log, scanned for all applications of the task tables."""
     log = eventlog.read_event_log(t.spark, _stored_log(t), t.event_log.schema, t.apps.select("k"))
     return flatten_events(to_event_union(log)).select(*LOG_COLUMNS)
 

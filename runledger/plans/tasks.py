@@ -92,7 +92,7 @@ def chief_task(t: Tables):
 )
 def released_snapshot(t: Tables):
     launched = F.col("exit_code").isNotNull() | (F.col("host") != "host7")
-    return tasks.released_snapshot(t.tasks, launched, t.hot_apps).select(
+    return tasks.released_snapshot(t.tasks, launched).select(
         "k", "role", "idx", predicates.task_status("exit_code").alias("status")
     )
 
@@ -349,11 +349,8 @@ def missing_tasks(t: Tables):
 )
 def snapshot_difference(t: Tables):
     status = predicates.task_status("exit_code")
-    before = t.tasks.select("k", "role", "idx", status.alias("status"))
-    after = t.tasks.select(
-        "k", "role", "idx", F.when(F.col("host") == "host4", "FAILED").otherwise(status).alias("status")
-    )
-    return sets.snapshot_difference(before, after)
+    later = F.when(F.col("host") == "host4", "FAILED").otherwise(status)
+    return sets.revised(t.tasks, ["k", "role", "idx"], {"status": status}, {"status": later})
 
 
 @query(
@@ -463,9 +460,8 @@ def app_overview(t: Tables):
     name = names.build_history_name("app_id", "started_ms", "completed_ms", "usr", status)
     files = t.apps.select("k", name.alias("name")).where(names.is_valid_history_name("name"))
     listed = files.select("k", names.parse_history_name("name").alias("m")).select("k", "m.*")
-    counted = tasks.counters(t.tasks, tracked())
-    derived = tasks.final_status(t.tasks, tracked()).withColumnRenamed("status", "derived_status")
-    seen = listed.join(counted, "k", "left").join(derived, "k", "left")
+    derived = tasks.final_status(t.tasks, tracked(), counted=True).withColumnRenamed("status", "derived_status")
+    seen = listed.join(derived, "k", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return history.ranked_app_list(seen, "k").select(
         "k", "app_id", "started_ms", "completed_ms", "usr", F.col("status").alias("recorded_status"),

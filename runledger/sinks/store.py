@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.operators.upkeep import store_partition
+from runledger.operators.upkeep import expired_partitions, store_partition
 
 
-def write_event_log(events: DataFrame, path: str, period: str = "yyyy-MM-dd", mode: str = "append") -> None:
-    """Append events to the log at ``path``, one directory per period of event time.
+#: Folders of applications inside a period.
+BUCKETS = 16
+
+
+def bucket_of(app: str = "k", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(app), F.lit(buckets)).cast("int")
+
+
+def write_event_log(
+    events: DataFrame, path: str, period: str = "yyyy-MM-dd", mode: str = "append", buckets: int | None = None
+) -> None:
+    """Append events to the log at ``path``, one directory per period of event time and, with ``buckets``, a folder
+    for each hash of the application in it, which a scan for few applications skips.
 
     Files are range-partitioned on (period, application, position) and sorted, so a large
     application spans files, small ones share them, and order survives.
     """
-    at = F.date_format(F.timestamp_millis("ts_ms"), period)
-    events.withColumn("period", at).repartitionByRange("period", "k", "file_pos").sortWithinPartitions(
-        "period", "k", "file_pos"
-    ).write.mode(mode).partitionBy("period").parquet(path)
+    folders, placed = ["period"], events.withColumn("period", F.date_format(F.timestamp_millis("ts_ms"), period))
+    if buckets:
+        folders, placed = [*folders, "bucket"], placed.withColumn("bucket", bucket_of("k", buckets))
+    order = [*folders, "k", "file_pos"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def write_config(settings: DataFrame, path: str, by: str = "app") -> None:
@@ -35,6 +47,34 @@ def write_finished(files: DataFrame, path: str, zone: str = "UTC", mode: str = "
     ).parquet(path)
 
 
-def drop_partitions(df: DataFrame, expired: DataFrame) -> DataFrame:
-    """Rows of the store that survive a purge."""
-    return df.join(expired.select("year", "month", "day"), ["year", "month", "day"], "left_anti")
+def _folders(fs, path, prefix: str) -> list:
+    """(value, path) of the folders ``prefix=value`` below ``path``."""
+    named = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(path) if f.isDirectory()]
+    return [(name[len(prefix) + 1:], at) for name, at in named if name.startswith(f"{prefix}=")]
+
+
+def purge_finished(spark: SparkSession, path: str, cutoff: str) -> list[tuple[str, str]]:
+    """Drop the folders (year, then month, then day) of the store at ``path`` that lie before ``cutoff`` (a date) whole.
+
+    Only names are read and only folders deleted, the coarsest first: no file that survives is opened or written.
+    Returns (level, folder) of what went. Folders are as many as days; names that are no dates stay.
+    """
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    found = [
+        (y, m, d, at.toString())
+        for y, below_y in _folders(fs, base, "year") for m, below_m in _folders(fs, below_y, "month") for d, at in _folders(fs, below_m, "day")
+    ]
+    days = spark.createDataFrame(found, "year string, month string, day string, folder string")
+    level = F.col("level")
+    up = F.when(level == "year", 2).when(level == "month", 1).otherwise(0)
+    parts = F.split("folder", "/")
+    gone = expired_partitions(days, F.lit(cutoff).cast("date")).select(
+        "level", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - up), "/").alias("folder")
+    )
+    dropped = sorted({(r["level"], r["folder"]) for r in gone.collect()}, key=lambda r: (len(r[1]), r))
+    for _, folder in dropped:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+    return dropped

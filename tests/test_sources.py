@@ -100,8 +100,44 @@ def test_finished_store_and_purge(spark, tmp_path):
     store.write_finished(rows, str(tmp_path / "s"))
     back = spark.read.schema("name string, year string, month string, day string").parquet(str(tmp_path / "s"))
     assert {(r["year"], r["month"], r["day"]) for r in back.collect()} == {("2019", "01", "01"), ("2019", "02", "01")}
-    gone = spark.createDataFrame([("2019", "01", "01")], "year string, month string, day string")
-    assert [r["month"] for r in store.drop_partitions(back, gone).collect()] == ["02"]
+
+
+def test_purge_drops_folders_and_leaves_files_alone(spark, tmp_path):
+    """Years, months and days before the cutoff go whole; what stays is not written anew."""
+    base, day = tmp_path / "s", 86_400_000
+    ends = [1_420_070_400_000, 1_425_168_000_000, 1_546_300_800_000, 1_548_979_200_000, 1_548_979_200_000 + day, 1_551_398_400_000]
+    rows = spark.createDataFrame([(f"application_77_{i}-123-{e}-mara-SUCCEEDED.jhist",) for i, e in enumerate(ends)], "name string")
+    store.write_finished(rows, str(base))
+    (base / "year=next" / "month=01" / "day=01").mkdir(parents=True)
+    files_of = lambda: {str(f.relative_to(base)): (f.stat().st_ino, f.stat().st_mtime_ns) for f in base.rglob("*.parquet")}
+    before = files_of()
+    gone = store.purge_finished(spark, str(base), "2019-02-02")
+    assert [(level, folder.split("/s/")[1]) for level, folder in gone] == [
+        ("year", "year=2015"), ("month", "year=2019/month=01"), ("day", "year=2019/month=02/day=01")]
+    after = files_of()
+    assert after == {f: v for f, v in before.items() if "year=2019/month=02/day=02" in f or "year=2019/month=03" in f} and len(after) == 2
+    assert (base / "year=next").exists() and store.purge_finished(spark, str(base), "2019-02-02") == []
+    assert store.purge_finished(spark, str(tmp_path / "missing"), "2019-02-02") == []
+
+
+def test_event_log_scan_skips_other_buckets(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(k, k * 1000 + i, f"kind{i}", i) for k in range(200) for i in range(3)]
+    store.write_event_log(spark.createDataFrame(rows, LOG), path, "yyyy", buckets=16)
+    chosen = spark.createDataFrame([(7,)], "k long")
+    found = eventlog.read_event_log(spark, path, LOG, chosen, buckets=16)
+    assert sorted(map(tuple, found.collect())) == [r for r in rows if r[0] == 7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    every = eventlog.read_event_log(spark, path, LOG, buckets=16)
+    opened = found.select(F.input_file_name()).distinct().count()
+    assert every.count() == 600 and opened < every.select(F.input_file_name()).distinct().count()
+    only = next((tmp_path / "log").rglob("*.parquet"))
+    assert eventlog.damaged_files(spark, path).count() == 0
+    (only.parent / "part-cut.snappy.parquet").write_bytes(only.read_bytes()[:-9])
+    assert [r["path"].rsplit("/", 1)[1] for r in eventlog.damaged_files(spark, path).collect()] == ["part-cut.snappy.parquet"]
+    assert eventlog.read_event_log(spark, path, LOG, buckets=16).count() == 600
+
 
 
 def test_external_program(spark):

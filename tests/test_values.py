@@ -62,11 +62,11 @@ def test_duration(spark):
 
 def test_log_link(spark):
     link = lambda address, usr: one(
-        spark, links.log_link(F.lit("fakehost2"), F.lit("fakecontainerID"), F.lit(usr), address), x=1
+        spark, links.log_link(F.lit("node7.example"), F.lit("container_31_07_01"), F.lit(usr), address), x=1
     )
-    assert link(F.lit("0.0.0.0:8042"), "testuser") == "http://fakehost2:8042/node/containerlogs/fakecontainerID/testuser"
-    assert link(F.lit("0.0.0.0"), "testuser") == "NA"
-    assert link(None, "testuser") == "NA"
+    assert link(F.lit("0.0.0.0:8042"), "maria") == "http://node7.example:8042/node/containerlogs/container_31_07_01/maria"
+    assert link(F.lit("0.0.0.0"), "maria") == "NA"
+    assert link(None, "maria") == "NA"
     assert link(F.lit("0.0.0.0:8042"), None) == "NA"
 
 
@@ -279,6 +279,63 @@ def test_purge(spark):
     assert [r["id"] for r in upkeep.expired_landing(stamps, "m", cutoff).collect()] == [1]
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 roles, one that ends in a circle, and a plain circle."""
+    n, rounds = 10_000, []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: rounds.append(label) or keep(df, label))
+    ids = spark.range(n)
+    role = lambda c: F.format_string("r%05d", c)
+    chain = ids.where(f"id < {n - 1}").select(F.lit(1).alias("app"), role(F.col("id")).alias("role"), role(F.col("id") + 1).alias("depends_on"))
+    tail = chain.withColumn("app", F.lit(2)).unionByName(spark.createDataFrame([(2, f"r{n - 1:05d}", f"r{n - 5:05d}")], chain.schema))
+    circle = chain.withColumn("app", F.lit(3)).unionByName(spark.createDataFrame([(3, f"r{n - 1:05d}", "r00000")], chain.schema))
+    nodes = ids.select(F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("app"), role(F.col("id")).alias("role"))
+    got = graph.acyclic(nodes, chain.unionByName(tail).unionByName(circle))
+    assert {r["app"]: r["acyclic"] for r in got.collect()} == {1: True, 2: False, 3: False}
+    assert rounds.count("pointers") < 20 and len(rounds) < 32
+
+
+def test_graphs_of_any_shape(spark):
+    import random
+
+    draw, nodes, edges, want = random.Random(4), [], [], {}
+    for app in range(60):
+        n = draw.randint(1, 9)
+        own = {(draw.randrange(n), draw.randrange(n + 1)) for _ in range(draw.randint(0, 2 * n))}
+        nodes += [(app, f"r{i}") for i in range(n)]
+        edges += [(app, f"r{a}", f"r{b}") for a, b in own]
+        left = {(a, b) for a, b in own if b < n}
+        while drop := {(a, b) for a, b in left if b not in {x for x, _ in left}}:
+            left -= drop
+        want[app] = not left
+    got = graph.acyclic(spark.createDataFrame(nodes, "app int, role string"), spark.createDataFrame(edges, "app int, role string, depends_on string"))
+    assert {r["app"]: r["acyclic"] for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def test_killed_ids_anywhere_in_a_name(spark):
+    import random
+
+    draw = random.Random(9)
+    word = lambda a, b: "".join(draw.choice("ab_1") for _ in range(draw.randint(a, b)))
+    names = sorted({word(0, 24) for _ in range(400)} | {"é" * 9 + "ab_1ab_1ab"})
+    ids = sorted({word(1, 13) for _ in range(60)} | {"é" * 8, "ab_1ab_1ab"})
+    dirs = spark.createDataFrame([(i, n) for i, n in enumerate([*names, None])], "k int, app_id string")
+    for chosen in (ids, [i for i in ids if len(i) >= 8], [i for i in ids if len(i) < 3], ["", "zz"], [None]):
+        killed = spark.createDataFrame([(i,) for i in chosen] * 2, "app_id string")
+        got = {r["app_id"] for r in upkeep.killed_landing(dirs, killed, "contains").collect()}
+        assert got == {n for n in names if any(i is not None and i in n for i in chosen)}
+
+
+def test_revised_snapshots(spark):
+    from runledger.operators import sets
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, None)], "k int, s string")
+    later = F.when(F.col("s") == "b", "c").when(F.col("s") == "c", "b").when(F.col("k") == 3, "x").when(F.col("k") == 1, "z").otherwise(F.col("s"))
+    two = sets.snapshot_difference(rows, rows.select("k", later.alias("s")))
+    one = sets.revised(rows, ["k"], {"s": F.col("s")}, {"s": later})
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 6
+
+
 def test_killed_landing(spark):
     dirs = spark.createDataFrame([(f"application_1_{i}",) for i in (1, 2, 10, 12, 21)] + [("x-application_1_1",)], "app_id string")
     killed = spark.createDataFrame([("application_1_1",), ("application_1_2",)], "app_id string")
