@@ -114,3 +114,91 @@ def softmax_score(model, rows: DataFrame, features: str) -> DataFrame:
     return scored.withColumn("predicted", F.col("prediction").cast("int")).drop(
         "features", "rawPrediction", "probability", "prediction"
     )
+
+
+def descent_fit(
+    rows: DataFrame, features: str, label: str, key: str, classes: int, members: int, batch: int = 256,
+    epochs: int = 1, rate: float = 0.5, penalty: float = 0.0,
+):
+    """Weights (one row a class, the last column the intercepts) of a softmax classifier, trained by a gang of members.
+
+    Rows are dealt to the members by a hash of ``key`` and taken in its order. In each step every member takes its next
+    ``batch`` rows, and all move by the mean of their gradients, unweighted, which they gather from one another; a
+    member without rows left has no part in the mean. An epoch is one pass over the rows, which stream by, and one
+    barrier stage: what is held is a batch and the weights. A lost member starts the epoch anew with the same weights.
+    """
+    import base64
+
+    import numpy as np
+    import pandas as pd
+
+    data = rows.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
+    data = data.where("x IS NOT NULL AND y IS NOT NULL").repartition(members, "key").sortWithinPartitions("key", "y")
+    width = rows.agg(F.max(F.size(features))).first()[0]
+    weights = np.zeros((classes, (width or 0) + 1))
+    if width is None:
+        return weights
+
+    def epoch(start):
+        def member(frames):
+            from pyspark import BarrierTaskContext
+
+            gang, w, steps = BarrierTaskContext.get(), start.copy(), 0
+            batches = batches_of(frames, batch)
+            while True:
+                taken = next(batches, None)
+                mine = "" if taken is None else base64.b64encode(gradient(w, *taken, penalty).tobytes()).decode()
+                gathered = [np.frombuffer(base64.b64decode(m)).reshape(w.shape) for m in gang.allGather(mine) if m]
+                if not gathered:
+                    break
+                w = w - rate * sum(gathered) / len(gathered)
+                steps += 1
+            yield pd.DataFrame({"rank": [gang.partitionId()], "steps": [steps], "weights": [w.ravel()]})
+        return member
+
+    for _ in range(epochs):
+        ran = data.mapInPandas(epoch(weights), "rank int, steps long, weights array<double>", barrier=True)
+        weights = np.array(ran.where("rank = 0").collect()[0]["weights"]).reshape(classes, width + 1)
+    return weights
+
+
+def batches_of(frames, size: int):
+    """(features with a one at the end, labels) of ``size`` rows each, the last one of those that are left."""
+    import pandas as pd
+
+    left = None
+    for f in frames:
+        left = f if left is None else pd.concat([left, f])
+        while len(left) >= size:
+            yield _matrix(left.iloc[:size])
+            left = left.iloc[size:]
+    if left is not None and len(left):
+        yield _matrix(left)
+
+
+def _matrix(frame):
+    import numpy as np
+
+    x = np.array(frame["x"].tolist(), float)
+    return np.hstack([x, np.ones((len(x), 1))]), frame["y"].to_numpy()
+
+
+def gradient(weights, x, y, penalty: float):
+    """Of the mean cross-entropy of a batch, with a penalty on all weights but intercepts."""
+    import numpy as np
+
+    score = x @ weights.T
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    slope = penalty * weights
+    slope[:, -1] = 0
+    return p.T @ x / len(y) + slope
+
+
+def linear_predicted(rows: DataFrame, features: str, weights) -> DataFrame:
+    """``predicted``: the class with the largest score, the first of equal ones."""
+    v = F.col(features).cast("array<double>")
+    dot = lambda w: F.aggregate(F.zip_with(v, F.array(*(F.lit(float(c)) for c in w[:-1])), lambda a, b: a * b), F.lit(float(w[-1])), lambda s, z: s + z)
+    scores = F.array(*(dot(w) for w in weights))
+    return rows.withColumn("predicted", (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))

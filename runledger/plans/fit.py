@@ -69,6 +69,18 @@ def softmax_classifier(t: Tables):
     )
 
 
+@query("M05_gang_descent")
+def gang_descent(t: Tables):
+    """The same classifier trained by a gang over mini-batches, and its accuracy on both sides of the split."""
+    rows, training = t.raw("embeddings"), fit.is_training("vec_id")
+    members = min(4, t.spark.sparkContext.defaultParallelism)
+    weights = fit.descent_fit(rows.where(training), "embedding", "label", "vec_id", 10, members, batch=64, epochs=2, rate=2.0)
+    hit = (F.col("predicted") == F.col("label")).cast("int")
+    return fit.linear_predicted(rows, "embedding", weights).groupBy(training.alias("training")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")
+    )
+
+
 @query(
     "M06_mean_gradient",
     """

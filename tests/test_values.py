@@ -279,6 +279,53 @@ def test_purge(spark):
     assert [r["id"] for r in upkeep.expired_landing(stamps, "m", cutoff).collect()] == [1]
 
 
+def test_gang_descent_is_a_one_process_descent(spark):
+    """Same weights as plain loops over the members' rows, and a separable table is separated."""
+    import numpy as np
+
+    from runledger.operators import fit
+
+    random = np.random.default_rng(3)
+    y = random.integers(0, 3, 401)
+    x = np.array([[4, 0], [0, 4], [-4, -4]])[y] + random.normal(size=(401, 2))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(401)], "id long, x array<double>, y int")
+    members, batch, epochs, rate = 3, 32, 2, 0.5
+    got = fit.descent_fit(rows.repartition(5), "x", "y", "id", 3, members, batch, epochs, rate, penalty=0.01)
+    owner = {r["id"]: r["m"] for r in rows.select("id", F.pmod(F.hash("id"), F.lit(members)).alias("m")).collect()}
+    shards = [[i for i in range(401) if owner[i] == m] for m in range(members)]
+    w = np.zeros((3, 3))
+    for _ in range(epochs):
+        for at in range(0, max(map(len, shards)), batch):
+            slopes = []
+            for shard in shards:
+                slope, n = np.zeros((3, 3)), len(shard[at: at + batch])
+                for i in shard[at: at + batch]:
+                    v = np.array([*x[i], 1.0])
+                    p = np.exp(w @ v) / np.exp(w @ v).sum()
+                    p[y[i]] -= 1
+                    slope += np.outer(p, v) / n
+                if n:
+                    slopes.append(slope + 0.01 * w * np.array([1, 1, 0]))
+            w = w - rate * sum(slopes) / len(slopes)
+    assert np.allclose(got, w)
+    right = fit.linear_predicted(rows, "x", got).where("predicted = y").count()
+    assert right >= 395
+    assert np.allclose(fit.descent_fit(rows.limit(0), "x", "y", "id", 3, 2), 0)
+
+
+def test_softmax_fit_separates(spark):
+    import numpy as np
+
+    from runledger.operators import fit
+
+    random = np.random.default_rng(5)
+    y = random.integers(0, 3, 200)
+    x = np.array([[4, 0], [0, 4], [-4, -4]])[y] + random.normal(size=(200, 2))
+    rows = spark.createDataFrame([([float(v) for v in x[i]], int(y[i])) for i in range(200)], "x array<double>, label int")
+    scored = fit.softmax_score(fit.softmax_fit(rows, "x", "label"), rows, "x")
+    assert scored.where("predicted = label").count() >= 195
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     """A chain of 10,000 roles, one that ends in a circle, and a plain circle."""
     n, rounds = 10_000, []
