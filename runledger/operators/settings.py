@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.config import Keys, memory_mb
+from runledger.operators.rules import UNTRACKED, listed
 from runledger.operators.series import Series
 
 # Configuration layers, lowest precedence first within the files.
@@ -54,11 +55,41 @@ def container_requests(settings: DataFrame, keys: Keys = Keys()) -> DataFrame:
             number("vcores", 1).alias("vcores"),
             number("gpus", 0).alias("gpus"),
             asked("node-label").alias("node_label"),
+            asked("placement-spec").alias("placement_spec"),
+            asked("allocation-tags").alias("allocation_tags"),
         )
         .where("instances > 0")
     )
 
 
+# Fixed: names of settings of a whole application, below the prefix.
+ALL_PLACEMENT, ALL_TAGS = "containers.placement-spec", "containers.allocation-tags"
+PREPARE, TRAINING = "application.prepare-stage", "application.training-stage"
+
+
+def full_requests(settings: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """Container requests with their priority and what else they carry.
+
+    Placement and tags of a role fall back on those of all containers; tags are split at commas. ``depends_on``: for roles of
+    the training stage the roles of the prepare stage that are monitored, of which a missing stage is all other roles;
+    null where the stages do not add up. A role's priority is its place by name, so that no two are equal.
+    """
+    asked = lambda name: F.max(F.when(F.col("key") == f"{keys.prefix}.{name}", F.col("value")))
+    whole = settings.groupBy("app").agg(
+        asked(ALL_PLACEMENT).alias("_place"), asked(ALL_TAGS).alias("_tags"), listed(asked(PREPARE)).alias("prepare"),
+        listed(asked(TRAINING)).alias("training"), listed(asked(UNTRACKED)).alias("_off"),
+        F.array_sort(F.array_compact(F.collect_set(keys.role("key")))).alias("roles"),
+    )
+    staged = complete_stages(whole).join(whole.select("app", "_place", "_tags", "_off"), "app")
+    both = priorities(container_requests(settings, keys), hot=False).join(staged, "app")
+    waits = F.when(F.array_contains("training", F.col("role")), F.array_except("prepare", "_off")).otherwise(F.array().cast("array<string>"))
+    return both.select(
+        "app", "role", "instances", "memory_mb", "vcores", "gpus", "priority", "node_label",
+        F.when(F.col("valid"), waits).alias("depends_on"), F.coalesce("placement_spec", "_place").alias("placement_spec"),
+        F.split(F.coalesce("allocation_tags", "_tags"), ",").alias("allocation_tags"),
+    )
+
+
 def priorities(requests: DataFrame, hot: bool | None = None) -> DataFrame:
     """Distinct priority number per role of an application, from 0."""
     out = Series(requests, ["app"], ["role"], hot).row_number("_n").df

@@ -28,7 +28,7 @@ def merged(t: Tables) -> DataFrame:
 
 
 def requests(t: Tables) -> DataFrame:
-    return settings.container_requests(merged(t)).drop("node_label")
+    return settings.container_requests(merged(t)).drop("node_label", "placement_spec", "allocation_tags")
 
 
 @query("G15_roles", f"{MERGED_SQL} SELECT DISTINCT app, regexp_extract(key, '^job\\.([a-z]+)\\.instances$', 1) AS role FROM m WHERE key LIKE '%.instances'", ("app_config_layer",))
@@ -41,6 +41,51 @@ def container_requests(t: Tables):
     return requests(t)
 
 
+def _more_settings(t: Tables) -> DataFrame:
+    """Labels, placements, tags and stages beside the merged settings: key and value by the first part of each role."""
+    first = t.raw("part").groupBy(F.col("p_brand").alias("app"), F.lower("p_type").alias("role")).agg(F.min("p_partkey").alias("p"))
+    p = F.col("p")
+    number = lambda text, n: F.concat(F.lit(text), (p % n).cast("string"))
+    setting = lambda name, when, value: F.struct(F.concat(F.lit("job."), F.col("role"), F.lit(f".{name}")).alias("key"), F.when(when, value).alias("value"))
+    own = F.array(
+        setting("node-label", p % 2 == 0, number("label", 5)), setting("placement-spec", p % 3 == 0, number("spec", 7)),
+        setting("allocation-tags", p % 4 == 0, F.lit("x,y")),
+    )
+    names = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("role")))), ", ")
+    apps = first.groupBy("app").agg(
+        names(p % 2 == 1).alias("prepare"), names(p % 2 == 0).alias("training"), names(p % 10 == 1).alias("off"), F.min("p").alias("p"))
+    entry = lambda key, value: F.struct(F.lit(f"job.{key}").alias("key"), value.alias("value"))
+    shared = F.array(
+        entry("containers.placement-spec", F.when(p % 2 == 0, "any")), entry("containers.allocation-tags", F.when(p % 3 == 0, "z")),
+        entry("application.prepare-stage", F.when(p % 5 != 0, F.col("prepare"))), entry("application.training-stage", F.col("training")),
+        entry("application.untracked.jobtypes", F.col("off")),
+    )
+    return first.select("app", F.inline(own)).unionByName(apps.select("app", F.inline(shared))).where("value IS NOT NULL")
+
+
+@query(
+    "G07_full_requests",
+    f"""{REQUEST_SQL},
+    f AS (SELECT p_brand AS app, lower(p_type) AS role, min(p_partkey) AS p FROM part GROUP BY 1, 2),
+    a AS (SELECT app, list(role ORDER BY role) AS roles, coalesce(list(role ORDER BY role) FILTER (p % 2 = 1), []) AS odd,
+                 coalesce(list(role ORDER BY role) FILTER (p % 2 = 0), []) AS training, coalesce(list(role) FILTER (p % 10 = 1), []) AS off, min(p) AS p FROM f GROUP BY app),
+    b AS (SELECT *, CASE WHEN p % 5 <> 0 THEN odd ELSE [] END AS asked FROM a),
+    c AS (SELECT *, CASE WHEN len(asked) = 0 AND len(training) > 0 THEN list_filter(roles, lambda x: NOT list_contains(training, x)) ELSE asked END AS prepare,
+                 CASE WHEN len(training) = 0 AND len(asked) > 0 THEN list_filter(roles, lambda x: NOT list_contains(asked, x)) ELSE training END AS train FROM b)
+    SELECT app, role, instances, memory_mb, vcores, gpus, CAST(row_number() OVER (PARTITION BY app ORDER BY role) - 1 AS INT) AS priority,
+           CASE WHEN f.p % 2 = 0 THEN concat('label', f.p % 5) END AS node_label,
+           CASE WHEN len(prepare) + len(train) = len(roles) OR len(prepare) + len(train) = 0 THEN
+             CASE WHEN list_contains(train, role) THEN array_to_string(list_filter(prepare, lambda x: NOT list_contains(off, x)), ',') ELSE '' END END AS depends_on,
+           CASE WHEN f.p % 3 = 0 THEN concat('spec', f.p % 7) WHEN c.p % 2 = 0 THEN 'any' END AS placement_spec,
+           CASE WHEN f.p % 4 = 0 THEN 'x|y' WHEN c.p % 3 = 0 THEN 'z' END AS allocation_tags
+    FROM req JOIN f USING (app, role) JOIN c USING (app)""",
+    ("app_config_layer",),
+)
+def full_requests(t: Tables):
+    asked = settings.full_requests(merged(t).unionByName(_more_settings(t)))
+    return asked.withColumns({"depends_on": F.array_join("depends_on", ","), "allocation_tags": F.array_join("allocation_tags", "|")})
+
+
 @query(
     "W02_priorities",
     f"{REQUEST_SQL} SELECT app, role, CAST(row_number() OVER (PARTITION BY app ORDER BY role) - 1 AS INT) AS priority FROM req",

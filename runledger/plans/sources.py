@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.history import flatten_events, to_event_union
@@ -55,16 +56,19 @@ CONFIG_SQL = """
     WHERE NOT (key LIKE '%.memory' AND value = '7')"""
 
 
-def _written_config(t: Tables) -> str:
-    path = scratch_dir(t.spark, "config")
-    rows = t.app_config_layer.select(
+def _config_rows(t: Tables) -> DataFrame:
+    return t.app_config_layer.select(
         "app",
         F.col("key").alias("name"),
         F.when(~(F.col("key").endswith(".memory") & (F.col("value") == "7")), F.col("value")).alias("value"),
         F.when(F.col("layer") == 1, "TRUE").otherwise("no").alias("final"),
         F.array(F.concat(F.lit("layer"), F.col("layer").cast("string")), F.lit("second")).alias("source"),
     )
-    store.write_config(rows, path)
+
+
+def _written_config(t: Tables) -> str:
+    path = scratch_dir(t.spark, "config")
+    store.write_config(_config_rows(t), path)
     return path
 
 
@@ -75,6 +79,27 @@ def config_scan(t: Tables):
     return rows.select(app.alias("app"), "name", "value", "final", "source")
 
 
+@query(
+    "S02_final_config",
+    f"""c AS ({CONFIG_SQL}), n AS (SELECT DISTINCT app, CAST(right(app, 1) AS INT) % 2 = 0 AS has_final FROM c)
+    SELECT app, name, CASE WHEN has_final THEN concat('final ', value) ELSE value END AS value, final, source FROM c JOIN n USING (app)
+    WHERE NOT has_final OR name LIKE '%.memory'""",
+    ("app_config_layer",),
+)
+def final_config(t: Tables):
+    """Named files: every application has config.xml, those with an even number a final one too, which is read instead."""
+    path, rows = scratch_dir(t.spark, "named"), _config_rows(t)
+    store.write_config(rows, path)
+    store.name_files(t.spark, path, "config.xml")
+    even = F.right("app", F.lit(1)).cast("int") % 2 == 0
+    final = rows.where(even & F.col("name").endswith(".memory")).withColumn("value", F.concat(F.lit("final "), F.col("value")))
+    store.write_config(final, path, mode="append")
+    store.name_files(t.spark, path, "job-final.xml")
+    found = files.read_config(t.spark, path)
+    app = F.url_decode(F.url_decode(F.regexp_extract("dir", r"app=([^/]+)$", 1)))
+    return found.select(app.alias("app"), "name", "value", "final", "source")
+
+
 @query("K02_config_write", CONFIG_SQL, ("app_config_layer",))
 def config_write(t: Tables):
     rows = (
@@ -126,6 +151,15 @@ def whole_text(t: Tables):
     return t.logs.select("task", documents.without_line_ends("text").alias("text"))
 
 
+@query("S05_whole_files", f"SELECT task, regexp_replace(text, '\\r\\n|\\n|\\r', '', 'g') AS text FROM logs", ("logs",))
+def whole_files(t: Tables):
+    """One text file for each log, written by Spark and read whole."""
+    path = scratch_dir(t.spark, "logs")
+    t.logs.repartition(64, "task").write.partitionBy("task").text(path)
+    task = F.regexp_extract("path", r"task=(\d+)/", 1).cast("long")
+    return documents.read_whole_files(t.spark, path).select(task.alias("task"), "text")
+
+
 @query(
     "S06_cluster_spec_scan",
     """
@@ -172,3 +206,14 @@ def archive_flag(t: Tables):
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_partkey") % 8 + 1).cast("int"))
     content = F.unhex(F.concat(head, F.hex(F.col("p_name").cast("binary"))))
     return t.raw("part").select(F.col("p_partkey").alias("part"), documents.is_archive(content).alias("archive"))
+
+
+@query("S08_archive_files", "SELECT p_partkey AS part, p_partkey % 8 < 6 AS archive FROM part")
+def archive_files(t: Tables):
+    """One file for each part, written by Spark byte for byte, told apart by its first bytes."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    content = F.unhex(F.concat(head, F.hex(F.col("p_name").cast("binary")))).cast("string")
+    path = scratch_dir(t.spark, "archives")
+    t.raw("part").select(F.col("p_partkey").alias("part"), content.alias("value")).repartition(64, "part").write.partitionBy("part").text(path)
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long")
+    return documents.read_archive_flags(t.spark, f"{path}/*").select(part.alias("part"), "archive")

@@ -32,13 +32,27 @@ def write_event_log(
     placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
-def write_config(settings: DataFrame, path: str, by: str = "app") -> None:
+def write_config(settings: DataFrame, path: str, by: str = "app", mode: str = "error") -> None:
     """Configuration XML, one file per application, from (app, name, value, final, source)."""
-    settings.repartition(by).write.partitionBy(by).format("xml").option("rootTag", "configuration").option(
+    settings.repartition(by).write.mode(mode).partitionBy(by).format("xml").option("rootTag", "configuration").option(
         "rowTag", "property"
     ).save(path)
 
 
+def name_files(spark: SparkSession, path: str, name: str) -> int:
+    """Give the one file that :func:`write_config` wrote in each folder of ``path`` the name ``name``; returns how many."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = fs_path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [
+        (f.getPath(), d.getPath()) for d in fs.listStatus(base) if d.isDirectory()
+        for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")
+    ]
+    for file, folder in found:
+        fs.rename(file, fs_path(folder, name))
+    return len(found)
+
+
 def write_finished(files: DataFrame, path: str, zone: str = "UTC", mode: str = "append") -> None:
     """Finished history rows under year/month/day of their completion; open ones stay out."""
     placed = store_partition(files, zone)

@@ -71,7 +71,9 @@ def read_config(spark: SparkSession, root: str, part_files: bool = False) -> Dat
     )
     if not part_files:
         ranked = rows.withColumn("_r", _rank("path")).where(F.col("_r").isNotNull())
-        best = listed_files(spark, root).select("path", _rank("path").alias("_r")).where(F.col("_r").isNotNull())
+        # Both scans name files as the metadata column does, which escapes them in one way.
+        best = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"))
+        best = best.select("path", _rank("path").alias("_r")).where(F.col("_r").isNotNull())
         best = best.groupBy(_uri(F.regexp_replace("path", r"/[^/]*$", "")).alias("dir")).agg(F.min("_r").alias("_r"))
         rows = ranked.withColumn("dir", _uri(F.col("dir"))).join(best, ["dir", "_r"], "left_semi")
     return rows.select(
