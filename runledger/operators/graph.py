@@ -52,9 +52,9 @@ def contracted(edges: DataFrame) -> DataFrame:
 def acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per application: is its graph free of cycles. Edges to absent roles do not count.
 
-    Graphs are trimmed from both ends, for all applications at once; after two rounds chains are contracted too, so that a
-    chain of any length goes in a logarithm of its length. What can be neither trimmed nor contracted lies on or
-    between cycles. Each round is written out, so plans stay short.
+    Graphs are trimmed from both ends, for all applications at once. When nothing can be trimmed, every role left waits
+    for one and is waited for, so each graph left holds a cycle. After two rounds chains are contracted too, so that
+    one of any length goes in a logarithm of its length. Each round is written out, so plans stay short.
     """
     present = nodes.select("app", F.col("role").alias("depends_on"))
     left = written(edges.join(present, TO, "left_semi").distinct(), "edges")
@@ -63,11 +63,11 @@ def acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before, rounds = count, rounds + 1
         left = trimmed(left)
         count = left.count()
-        if count and (rounds > 2 or count == before):
+        if count == before:
+            break
+        if count and rounds > 2:
             left = contracted(left)
             count = left.count()
-            if count == before:
-                break
     cyclic = left.select("app").distinct().withColumn("_cyclic", F.lit(True))
     return (
         nodes.select("app").distinct().join(cyclic, "app", "left")

@@ -170,7 +170,9 @@ GROUPS_SQL = """
 def group_timeout_stream(t: Tables):
     """Rules of each application, alarms as their limits pass."""
     roles = tasks.role_summary(t.tasks).select("k", "role", "instances")
-    watch = written(keyed.watched(roles, t.app_group_rules, t.app_members), "watch")
+    # Applications of one day share a state, in parts.
+    day = t.apps.select("k", F.concat(F.floor(F.col("started_ms") / 86_400_000), F.lit("/"), F.col("k") % 8).alias("bucket"))
+    watch = written(keyed.watched(roles, t.app_group_rules, t.app_members).join(day, "k"), "watch")
     return drain(keyed.group_timeouts(_log(t), watch, DELAY), label="group-timeouts", keyed=True)
 
 

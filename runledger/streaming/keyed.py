@@ -130,54 +130,65 @@ def current_events(events: DataFrame, delay: str) -> DataFrame:
 
 
 class GroupTimeouts(StatefulProcessor):
-    """Roles of an application that still run when their group has been done for longer than their rule allows.
+    """Roles that still run when their group has been done for longer than their rule allows.
 
-    State: per role how many ended and when the last did. A timer stands at the end of each awaited group plus the
-    limit of the rule; a later end of the group sets another, and the earlier one then finds nothing due.
+    A key is a bucket of applications, so that one call to the store serves all of them that a batch touches. State: for
+    each application its plan and, per role, how many ended and when the last did. A timer stands at the end of each
+    awaited group plus the limit of the rule; a later end of the group sets another, and the earlier one then finds nothing due.
+    An application leaves the state when no rule of it can come due any more.
     """
 
     def init(self, handle):
         self.handle = handle
-        # One value, as each call to the store costs more than the few roles of an application.
-        self.state = handle.getValueState("groups", "watch string, roles string, told string")
+        self.state = handle.getValueState("apps", "apps string")
 
     @staticmethod
-    def _due(watch: dict, roles: dict):
+    def _due(app: dict):
         """(rule, time) of each rule whose group is done and whose role runs beyond the limit, as far as is known."""
-        asked = {r["role"]: r["instances"] for r in watch["roles"]}
-        for rule in watch["rules"]:
-            members = [m["role"] for m in watch["members"] if m["grp"] == rule["grp"] and m["role"] in asked]
-            if not members or any(roles.get(m, (0, 0))[0] < asked[m] for m in members):
+        asked, roles = {r["role"]: r["instances"] for r in app["watch"]["roles"]}, app["ends"]
+        for rule in app["watch"]["rules"]:
+            members = [m["role"] for m in app["watch"]["members"] if m["grp"] == rule["grp"] and m["role"] in asked]
+            if not members or rule["role"] in app["told"] or any(roles.get(m, (0, 0))[0] < asked[m] for m in members):
                 continue
             due = max(roles[m][1] for m in members) + rule["timeout_s"] * 1000
             done, end = roles.get(rule["role"], (0, 0))
             if rule["role"] in asked and (done < asked[rule["role"]] or end > due):
                 yield rule, due
 
+    @staticmethod
+    def _open(app: dict) -> bool:
+        """Do instances still run."""
+        return any(app["ends"].get(r["role"], (0, 0))[0] < r["instances"] for r in app["watch"]["roles"])
+
+    def _kept(self, apps: dict) -> dict:
+        return {k: app for k, app in apps.items() if self._open(app) or any(self._due(app))}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known, roles, watch = self.state.get(), {}, None
-        if known is not None:
-            watch, roles = known[0], {r: tuple(v) for r, v in json.loads(known[1]).items()}
+        known = self.state.get()
+        apps = json.loads(known[0]) if known is not None else {}
+        touched = set()
         for r in rows:
-            watch = watch or r.watch
-            done, end = roles.get(r.role, (0, 0))
-            roles[r.role] = (done + 1, max(end, r.ts_ms))
-        self.state.update((watch, json.dumps(roles), known[2] if known is not None else "[]"))
-        for at in {due for _, due in self._due(json.loads(watch), roles)}:
+            app = apps.setdefault(str(r.k), {"k": r.k, "watch": None, "ends": {}, "told": []})
+            app["watch"] = app["watch"] or json.loads(r.watch)
+            done, end = app["ends"].get(r.role, (0, 0))
+            app["ends"][r.role] = (done + 1, max(end, r.ts_ms))
+            touched.add(str(r.k))
+        for at in {due for k in touched for _, due in self._due(apps[k])}:
             self.handle.registerTimer(at + 1)
+        self.state.update((json.dumps(self._kept(apps)),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        watch, roles, told = self.state.get()
-        told, late = json.loads(told), []
-        for rule, due in self._due(json.loads(watch), {r: tuple(v) for r, v in json.loads(roles).items()}):
-            if due < now and rule["role"] not in told:
-                told.append(rule["role"])
-                outcome = "UNTRACKED" if rule["ignored"] else "FAILED"
-                late.append(Row(k=key[0], role=rule["role"], grp=rule["grp"], outcome=outcome, at_ms=due))
+        now, late = timerValues.getCurrentWatermarkInMs(), []
+        apps = json.loads(self.state.get()[0])
+        for app in apps.values():
+            for rule, due in list(self._due(app)):
+                if due < now:
+                    app["told"].append(rule["role"])
+                    outcome = "UNTRACKED" if rule["ignored"] else "FAILED"
+                    late.append(Row(k=app["k"], role=rule["role"], grp=rule["grp"], outcome=outcome, at_ms=due))
         if late:
-            self.state.update((watch, roles, json.dumps(told)))
+            self.state.update((json.dumps(self._kept(apps)),))
         return iter(late)
 
     def close(self) -> None:
@@ -205,8 +216,13 @@ def watched(roles: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame
 
 
 def group_timeouts(events: DataFrame, watch: DataFrame, delay: str) -> DataFrame:
-    """k, role, grp, outcome, at_ms: a row in the batch in which a limit passes, for good."""
+    """k, role, grp, outcome, at_ms: a row in the batch in which a limit passes, for good.
+
+    A ``bucket`` column in ``watch`` (by default k) names the applications whose state is one value: a few dozen that are
+    active together, such as those that started in one hour.
+    """
+    watch = watch if "bucket" in watch.columns else watch.withColumn("bucket", F.col("k"))
     ends = events.where(F.col("kind") == TASK_FINISHED).select("k", "ts_ms", "role")
     rows = with_clock(ends, delay).join(watch, "k")
     schema = f"k {events.schema['k'].dataType.simpleString()}, role string, grp string, outcome string, at_ms long"
-    return rows.groupBy("k").transformWithState(GroupTimeouts(), schema, "append", "eventTime")
+    return rows.groupBy("bucket").transformWithState(GroupTimeouts(), schema, "append", "eventTime")
