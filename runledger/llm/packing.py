@@ -13,6 +13,7 @@ plan.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from itertools import accumulate
@@ -39,20 +40,29 @@ class Tokens:
 
     Ids are found once for each run of blanks with the word after it. No token crosses the start of
     such a run, so joining them gives the ids of the whole text. Texts with other white space are not split.
+    ``added``: texts that are one id wherever they stand; a text is cut at them, the leftmost and longest first.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {text: np.array([one], "<u4").tobytes() for text, one in (added or {}).items()}
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.cut.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):
             return self.ids(text)
         known, chunks = self.known, CHUNK.findall(text)
@@ -75,13 +85,17 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, voca
     import public_tokenizers
 
     path, pattern = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    added = None
+    if not vocabulary:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     state: list[Tokens] = []  # one for each task
 
     def make(batch):
         if not state:
-            state.append(Tokens(path, pattern))
+            state.append(Tokens(path, pattern, added))
         tokens = state[0]
         out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -63,7 +63,6 @@ def test_mixed_documents(docs):
 
 def test_pieces_are_the_tokenizer_s(docs):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     rows = defaultdict(list)
     for r in pieces(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), with_ids=True).collect():
         rows[r.doc_id].append(r)
