@@ -28,10 +28,10 @@ def _stored_log(t: Tables, period: str = "yyyy-MM", buckets: int | None = None)
 
 
 @query(
-    "S01_event_log_scan",
+    "S01_event_log_lookup",
     f"""{LOG_SQL} WHERE k IN (SELECT max(k) FROM apps UNION ALL SELECT min(k) FROM apps)""", ("event_log",),
 )
-def event_log_scan(t: Tables):
+def event_log_lookup(t: Tables):
     """The stored log, scanned for two applications: only the folders of their buckets are opened."""
     path = _stored_log(t, "yyyy", buckets=store.BUCKETS)
     ends = t.apps.agg(F.max("k").alias("a"), F.min("k").alias("b")).select(F.explode(F.array("a", "b")).alias("k"))
@@ -39,8 +39,8 @@ def event_log_scan(t: Tables):
     return flatten_events(to_event_union(log)).select(*LOG_COLUMNS)
 
 
-@query("S01_event_log_scan_all", LOG_SQL, ("event_log",))
-def event_log_scan_all(t: Tables):
+@query("S01_event_log_scan", LOG_SQL, ("event_log",))
+def event_log_scan(t: Tables):
     """The stored log, scanned for all applications of the task tables."""
     log = eventlog.read_event_log(t.spark, _stored_log(t), t.event_log.schema, t.apps.select("k"))
     return flatten_events(to_event_union(log)).select(*LOG_COLUMNS)
