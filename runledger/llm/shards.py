@@ -2,8 +2,9 @@
 
 Rows of equal text form a group. A group whose share of the bytes, tokens or rows is above 1 / ``bundles``
 is an item of its own (there are at most 3 * ``bundles`` of them); all others are hashed into ``bundles``
-bundles, an item each. A group with more than a quarter of a shard is split by a hash of its identifier into
-parts of about 1/16 of a shard, so the number of items is bounded by the parameters and not by the data.
+bundles, an item each. A group with more than a quarter of a shard is split by a hash into parts of about 1/16 of
+a shard, so the number of items is bounded by the parameters and not by the data. The hash is that of the identifier
+and of the row's number among rows of that group and identifier, so missing and repeated identifiers split too.
 Items are placed in descending order of their largest share, each into the shard where the dot product of
 its vector with the residual capacity is highest.
 """
@@ -42,7 +43,7 @@ def vector_shards(df: DataFrame, shards: int = 16, bundles: int = 16384, id_col:
         df.select(
             F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"), word_count(text_col).alias("n_tokens"),
-            F.xxhash64(text).alias("_key"),
+            F.xxhash64(text).alias("_key"), F.monotonically_increasing_id().alias("_row"),
         ),
         "op1-rows",
     )
@@ -55,11 +56,15 @@ def vector_shards(df: DataFrame, shards: int = 16, bundles: int = 16384, id_col:
         .select("_key", F.when(share * shards > 0.25, F.ceil(share * shards * 16)).otherwise(1).cast("int").alias("_parts"))
     )
     heavy = F.broadcast(written(heavy, "op1-heavy"))
-    item = [
-        F.when(F.col("_parts").isNull(), F.pmod("_key", F.lit(bundles))).otherwise(F.col("_key")).alias("_item"),
-        F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).cast("int").alias("_part"),
-    ]
-    keyed = rows.join(heavy, "_key", "left").select("doc_id", "size", "text_crc32", "n_tokens", *item)
+    names = ["doc_id", "size", "text_crc32", "n_tokens"]
+    joined = rows.join(heavy, "_key", "left")
+    whole = F.when(F.col("_parts").isNull(), F.pmod("_key", F.lit(bundles))).otherwise(F.col("_key"))
+    small = joined.where("_parts is null or _parts = 1").select(
+        *names, whole.alias("_item"), F.when(F.col("_parts").isNull(), -1).otherwise(0).alias("_part"), F.lit(0).cast("long").alias("_copy"))
+    split = joined.where("_parts > 1").withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    split = numbered(split, ["_key", "_null", "_id"], ["_row"], "_copy").select(
+        *names, F.col("_key").alias("_item"), F.pmod(F.xxhash64("doc_id", "_copy"), F.col("_parts")).cast("int").alias("_part"), "_copy")
+    keyed = written(small.unionByName(split), "op1-keyed")
     items = keyed.groupBy("_item", "_part").agg(*sums).collect()
     vectors = np.array([(x["b"], x["t"], x["r"]) for x in items], np.float64).reshape(-1, 3)
     largest = (vectors / part).max(axis=1, initial=0)
@@ -67,4 +72,4 @@ def vector_shards(df: DataFrame, shards: int = 16, bundles: int = 16384, id_col:
     placed = [(items[i]["_item"], items[i]["_part"], int(s)) for i, s in zip(order, place(vectors[order], shards))]
     placed = df.sparkSession.createDataFrame(placed, "_item long, _part int, shard int")
     sharded = keyed.join(F.broadcast(placed), ["_item", "_part"]).drop("_item", "_part")
-    return numbered(sharded, ["shard"], ["doc_id", "text_crc32"], "slot", buckets=4096)
+    return numbered(sharded, ["shard"], ["doc_id", "text_crc32", "_copy"], "slot", buckets=4096).drop("_copy")

@@ -149,5 +149,19 @@ def test_hot_group_is_split_and_sizes_stay_near(spark):
         assert len(got) == 16 and got[c].max() / got[c].mean() < 1.02 and got[c].min() / got[c].mean() > 0.98
 
 
+def test_missing_and_repeated_identifiers_split_too(spark):
+    for name in (None, 7):
+        rows = [(name, "one two three four")] * 3000 + [(i, f"own {i} words here") for i in range(3000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = vector_shards(df, 16).collect()
+        count, size = Counter(r.shard for r in got), Counter()
+        for r in got:
+            size[r.shard] += r["size"]
+        assert len(got) == 6000 and len(count) == 16 and max(size.values()) < 1.03 * min(size.values())
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in count.items())
+        again = vector_shards(df.repartition(5), 16).collect()
+        assert Counter((r.doc_id, r.text_crc32, r.shard) for r in again) == Counter((r.doc_id, r.text_crc32, r.shard) for r in got)
+
+
 def test_place_takes_the_highest_dot_product():
     assert list(place(np.array([[4.0, 1], [1, 4], [1, 1], [1, 1]]), 2)) == [0, 1, 0, 1]
