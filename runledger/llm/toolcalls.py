@@ -1,7 +1,7 @@
 """Tool calls and their results: linked, ordered, validated and written as canonical JSON, in DataFrame operations.
 
-Calls and results meet in a hash join on (conversation, identifier), each side first reduced to one row an
-identifier. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Calls are layered as
+Calls and results meet in a shuffled hash join on (conversation, identifier), each side first reduced to one row an
+identifier; rows without one pass by it. A call depends on the calls whose results its arguments mention as ``{{identifier}}``. Calls are layered as
 in Kahn's algorithm, all conversations at once. Calls with one reference hang in chains on the calls with none or
 several, their heads; the head and the distance to it come from pointer doubling, in as many rounds as the
 logarithm of the longest chain. Kahn's rounds then place the heads alone: a round places those whose dependencies
@@ -107,17 +107,18 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     Columns: conv_id, call_id, name, call_turn, result_turn, n_calls, n_results, status (linked, no_result, early if
     the result stands before its call, orphan without a call), level, position (from 0 in a conversation, by level, turn
     and identifier), errors (joined by commas), valid, canonical. Of calls or results that repeat an identifier
-    the first counts (by turn, then content; nulls last), and the numbers tell. Null identifiers link with
-    nothing and get one row a side. level is the length of the longest chain that a call waits for. References to calls
+    the first counts (by turn, then content; nulls last), and the numbers tell. Calls and results without
+    an identifier or a conversation link with nothing: each is a row of its own, a call with the error no_id. level is the length of the longest chain that a call waits for. References to calls
     that do not exist are errors (unknown_ref), calls in or behind a cycle have no level and stand last. Null or
     malformed arguments are errors too. Empty tables give no rows; other columns are not returned.
     """
     key = ["conv_id", "call_id"]
+    named = "conv_id is not null and call_id is not null"
     first = lambda *c: F.min(F.struct(F.col(c[0]).isNull().alias("_n"), *c))
-    one = calls.groupBy(*key).agg(first("turn", "name", "arguments").alias("_c"), F.count(F.lit(1)).alias("n_calls")).select(
+    one = calls.where(named).groupBy(*key).agg(first("turn", "name", "arguments").alias("_c"), F.count(F.lit(1)).alias("n_calls")).select(
         *key, F.col("_c.turn").alias("call_turn"), F.col("_c.name").alias("name"), F.col("_c.arguments").alias("arguments"), "n_calls")
     one = written(one, "op2-calls")
-    back = results.groupBy(*key).agg(first("turn", "content").alias("_r"), F.count(F.lit(1)).alias("n_results")).select(
+    back = results.where(named).groupBy(*key).agg(first("turn", "content").alias("_r"), F.count(F.lit(1)).alias("n_results")).select(
         *key, F.col("_r.turn").alias("result_turn"), F.col("_r.content").alias("content"), "n_results")
     names = F.array_distinct(F.regexp_extract_all(text_of("arguments"), F.lit(REFERENCE), F.lit(1)))
     asked = one.select(*key, F.explode(names).alias("on"))
@@ -126,7 +127,7 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     lost = asked.where("_known is null").groupBy(*key).agg(F.lit(True).alias("_lost"))
     levels = layers(one, asked.where("_known").drop("_known"))
     ordered = (
-        one.where("call_id is not null and conv_id is not null").join(levels, key, "left")
+        one.join(levels, key, "left")
         .withColumn("_l", F.coalesce("level", F.lit(2**31 - 1))).withColumn("_s", F.floor(F.coalesce("call_turn", F.lit(2**62)) / TURNS))
     )
     part = ["conv_id", "_l", "_s"]
@@ -140,10 +141,14 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     )
     errors = F.concat(
         schema_errors(tools), F.when(F.col("_lost"), F.array(F.lit("unknown_ref"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
+        F.when(~F.expr(named), F.array(F.lit("no_id"))).when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     message = F.struct(F.col("_args").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"))
+    linked = one.join(back.hint("shuffle_hash"), key, "full").join(lost, key, "left").join(ordered, key, "left")
+    once = F.lit(1).cast("long")
+    loose_calls = calls.where(f"not ({named})").select(*key, F.col("turn").alias("call_turn"), "name", "arguments", once.alias("n_calls"))
+    loose_results = results.where(f"not ({named})").select(*key, F.col("turn").alias("result_turn"), "content", once.alias("n_results"))
     return (
-        one.join(back, key, "full").join(lost, key, "left").join(ordered, key, "left")
+        linked.unionByName(loose_calls, allowMissingColumns=True).unionByName(loose_results, allowMissingColumns=True)
         .withColumn("_args", F.try_parse_json("arguments"))
         .select(
             *key, "name", "call_turn", "result_turn", F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),

@@ -29,7 +29,7 @@ def test_hard_cases(spark):
         (1, 5, "q", "search", say(text="{{p}}", limit=1), "s"), (1, 6, "r", "search", say(text="{{q}}", limit=1), "s"),
         (2, 0, "a", "search", say(text="{{zz}}", limit=1.5, more=1, also=2), "s"), (2, 0, "b", "nothing", "{}", "s"), (2, 1, "d", "search", "[1]", "s"),
         (2, 1, "e", "search", "{broken", "s"), (2, 1, "f", "search", None, "s"), (2, 9, "a", "count", say(text="later"), "s"),
-        (2, 3, None, "search", say(text="x", limit=1), "s"), (None, None, "n", "count", say(text="ü\n\"q\""), "s"), (3, None, "t", None, None, "s"),
+        (2, 3, None, "search", say(text="x", limit=1), "s"), (2, 3, None, "count", say(text="y"), "s"), (None, None, "n", "count", say(text="ü\n\"q\""), "s"), (3, None, "t", None, None, "s"),
     ]
     results = [(1, 3, "a", "first", 0), (1, 5, "a", "second", 0), (1, 0, "c", "too early", 0), (2, 1, "none", "orphan", 0), (2, 1, None, "no id", 0),
                (None, 1, "n", "no conversation", 0), (2, 2, "b", None, 0)]
@@ -43,8 +43,10 @@ def test_hard_cases(spark):
     assert got[2, "b"].errors == "unknown_tool" and {got[2, c].errors for c in "def"} == {"not_an_object"} and not got[2, "f"].valid
     assert got[1, "b"].canonical == '{"arguments":{"limit":2,"text":"{{a}} and {{a}}"},"id":"b","name":"search"}'
     assert got[1, "b"].valid and got[2, "none"].valid is None and got[3, "t"].errors == "unknown_tool"
-    assert Counter(r.status for r in rows if not (r.conv_id and r.call_id)) == {"no_result": 2, "orphan": 2}
-    assert len(rows) == len(got) + 4
+    assert Counter(r.status for r in rows if not (r.conv_id and r.call_id)) == {"no_result": 3, "orphan": 2}
+    assert len(rows) == len(got) + 5 and {r.errors for r in rows if r.call_id is None and r.n_calls} == {"no_id"}
+    assert {r.canonical for r in rows if r.call_id is None and r.n_calls} == {
+        '{"arguments":{"limit":1,"text":"x"},"name":"search"}', '{"arguments":{"text":"y"},"name":"count"}'}
     assert linked_calls(spark.createDataFrame([], CALL), spark.createDataFrame([], RESULT), TOOLS).count() == 0
 
 
