@@ -3,8 +3,9 @@
 The words of all sources are shared out by weight; a source whose share is above ``max_epochs`` times its size
 is clamped there and the excess goes to the others by weight, until no share is above its cap. A source
 then gives whole repetitions of all its texts and, for the rest, the first words of its texts in a seeded order.
-The order is that of a hash; a source is split by the leading digits of the hash into 4,096 slices, so the
-running sums of a source of any size are sums inside slices plus the sizes of the slices before.
+The order is that of a hash of identifier and text; a source is split by the leading digits of the hash into slices, so the
+running sums of a source of any size are sums inside slices plus the sizes of the slices before. There are 4,096 slices,
+and 16 times as many whenever a slice of the whole table would pass ``SLICE_ROWS`` rows; the order is the same at any number.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from runledger.llm.common import text_of, word_count
 from runledger.session import written
 
+SLICE_ROWS = 2**18
+
 
 def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
     """``df`` written with ``name``, its place from 0 in a global order, counted range by range."""
@@ -51,16 +54,19 @@ def mixed(df: DataFrame, keep: list[str], weights: tuple[int, ...] = (1, 2, 3),
 
     size: words of the text (null: none). Sources are weighted in code point order, null last, ``weights``
     repeating. taken: words that the mix takes from the row, repeats counted; a source's sum is its target
-    rounded down. before: words of the source that lie ahead of the row in the seeded order. Rows with equal
-    identifiers are told apart by size and text; full repeats are interchangeable. Texts without words, and
+    rounded down. before: words of the source that lie ahead of the row in the seeded order. Rows with equal or
+    missing identifiers are told apart by their texts; rows equal in both are interchangeable and share a slice. Texts without words, and
     sources without them, give nothing. Empty tables give no rows. Columns of ``df`` not in ``keep`` are not
     returned, and those in ``keep`` may not have the names above.
     """
+    digits = 3
+    rows_a_slice = df.count() / 16**digits
+    while rows_a_slice > SLICE_ROWS:
+        digits, rows_a_slice = digits + 1, rows_a_slice / 16
     rows = df.select(
         F.struct(*keep).alias("_row"), F.col("source").alias("_source"), word_count().alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"),
-        F.xxhash64(text_of()).alias("_text"),
-    ).withColumn("_slice", F.substring("_hash", 1, 3))
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text_of())).alias("_hash"),
+    ).withColumn("_slice", F.substring("_hash", 1, digits))
     slices = written(rows.groupBy("_source", "_slice").agg(F.sum("size").alias("_size")), "op8-slices")
     sources = slices.groupBy("_source").agg(F.sum("_size").alias("source_size"))
     sources = ranked(sources, F.col("_source").asc_nulls_last(), "_place").withColumn(
@@ -70,7 +76,7 @@ def mixed(df: DataFrame, keep: list[str], weights: tuple[int, ...] = (1, 2, 3),
     ahead = F.sum("_size").over(Window.partitionBy("_source").orderBy("_slice")) - F.col("_size")
     slices = slices.withColumn("_ahead", ahead).join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_size")
     slices = slices.withColumnsRenamed({"_source": "_s", "_slice": "_l"})
-    inside = Window.partitionBy("_source", "_slice").orderBy("_hash", "size", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_slice").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
     taken = F.col("_whole") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("_rest") - F.col("before")))
     return (
         rows.withColumn("_sum", F.sum("size").over(inside) - F.col("size"))
@@ -99,7 +105,7 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
 MIX_SQL = r"""
 with rows as (
     select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-        md5('mix' || coalesce(doc_id::varchar, '')) as h, text
+        md5('mix' || coalesce(doc_id::varchar, '') || chr(10) || coalesce(text, '')) as h
     from documents
 ), sizes as (
     select source, sum(size)::bigint as source_size,
@@ -120,7 +126,7 @@ with rows as (
     from clamped c, level l
 ), placed as (
     select r.*, t.source_size, t.target, floor(t.target)::bigint as words,
-        sum(size) over (partition by r.source order by h, size rows between unbounded preceding and current row) - size as before
+        sum(size) over (partition by r.source order by h rows between unbounded preceding and current row) - size as before
     from rows r join targets t on r.source is not distinct from t.source
 )
 select doc_id, size::bigint as size, source_size, target,

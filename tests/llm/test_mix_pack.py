@@ -31,6 +31,17 @@ def test_mix_equals_sql(docs):
     assert got == want
 
 
+def test_rows_without_an_identifier_share_out_over_slices(spark, monkeypatch):
+    rows = [(None if i % 2 else 5, f"text {i} of no name", None, "a" if i < 900 else "b", None) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixed(df, ["source", "text"])
+    want = Counter(tuple(r) for r in got.select("source", "text", "taken", "before").collect())
+    ends = got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(r["sum(taken)"] == np.floor(r["max(target)"]) for r in ends) and len(want) == 1200
+    monkeypatch.setattr("runledger.llm.mixing.SLICE_ROWS", 0.01)
+    assert Counter(tuple(r) for r in mixed(df.repartition(3), ["source", "text"]).select("source", "text", "taken", "before").collect()) == want
+
+
 def test_mix_targets(docs):
     got = mixed(docs, ["doc_id", "source"]).toPandas()
     assert len(got) == docs.count() and got.loc[got["size"] == 0, "taken"].eq(0).all()
