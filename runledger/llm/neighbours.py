@@ -6,10 +6,12 @@ divided by the true one is chi-square with as many degrees of freedom. A point w
 distance is above quantile(``SURE``) times the squared distance of the k-th neighbour found so far is therefore nearer
 than that neighbour with a probability below 1 - ``SURE``, and the search stops.
 
-The upper levels of the kd-tree, split at medians of a bounded sample, are the cells that all points are dealt
-out to; the rest of the tree is built inside a cell. A query searches its own cell first. With the
+The upper levels of the kd-tree are the cells that all points are dealt out to; the rest of the tree is built inside a
+cell. Cells are split at medians of a sample, ``TOP`` levels at a time: a task splits one cell of the levels above with
+about ``SAMPLE`` rows for each new cell, so that the driver gets two numbers a split and no vector. A query searches its own cell first. With the
 distance found there, it goes on only to cells whose box passes the test, and inside a cell through
-the leaves in order of projected distance until the test holds.
+the leaves in order of projected distance until the test holds. A cell's points go to one task for each block of
+queries that ask for this cell, so what is shuffled grows with the pairs of query and cell and not with points times queries.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ LEAF = 64
 CELL_ROWS = 16_384
 LEAST_CELLS = 32
 SAMPLE = 512  # rows for each cell, to place the splits
-QUERY_BLOCK = 4_096
+TOP = 8
+QUERY_BLOCK = 32_768  # queries that one task holds beside the points of a cell
+SLICE = 4_096  # of them searched at a time
+NEAR = 2**22  # distances of queries to boxes at a time
 
 
 def chi_square_quantile(p: float, dims: int = DIMS) -> float:
@@ -69,12 +74,42 @@ def splits(sample: np.ndarray, depth: int) -> list[tuple[int, float]]:
     return tree
 
 
-def cell_of(x: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
-    dims, values = np.array([d for d, _ in tree], int), np.array([v for _, v in tree])
-    at = np.zeros(len(x), int)
-    for _ in range((len(tree) + 1).bit_length() - 1):
-        at = 2 * at + 1 + (x[np.arange(len(x)), dims[at]] > values[at])
-    return at - len(tree)
+def cell_of(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The cell of each row: each level has a tree (as a row of dimensions and one of values) for each cell of the levels above."""
+    cell = np.zeros(len(x), int)
+    for dims, values in levels:
+        at = np.zeros(len(x), int)
+        for _ in range((dims.shape[1] + 1).bit_length() - 1):
+            at = 2 * at + 1 + (x[np.arange(len(x)), dims[cell, at]] > values[cell, at])
+        cell = cell * (dims.shape[1] + 1) + at - dims.shape[1]
+    return cell
+
+
+def tree_levels(points: DataFrame, project: Projection, width: int, n: int, depth: int, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Splits of 2**depth cells for ``cell_of``, ``top`` levels at a time."""
+    levels, done = [], 0
+    while done < depth:
+        step, cells = min(top, depth - done), 2**done
+
+        def dealt(frames):
+            for f in frames:
+                x = project.points(np.array(f["x"].tolist(), np.float64).reshape(-1, width))
+                yield pd.DataFrame({"cell": cell_of(x, levels), "p": list(x)})
+
+        def split(g):
+            tree = splits(np.array(g["p"].tolist()).reshape(len(g), -1), step)
+            return pd.DataFrame({"cell": g["cell"].iloc[:1], "dims": [[d for d, _ in tree]], "values": [[v for _, v in tree]]})
+
+        share = min(1.0, 1.2 * SAMPLE * 2 ** (done + step) / max(n, 1))
+        found = (
+            points.select("x").sample(share, seed=7 + done).mapInPandas(dealt, "cell int, p array<double>")
+            .groupBy("cell").applyInPandas(split, "cell int, dims array<int>, values array<double>").collect()
+        )
+        dims, values = np.zeros((cells, 2**step - 1), int), np.zeros((cells, 2**step - 1))
+        for r in found:
+            dims[r["cell"]], values[r["cell"]] = r["dims"], r["values"]
+        levels, done = [*levels, (dims, values)], done + step
+    return levels
 
 
 def leaves(x: np.ndarray) -> list[np.ndarray]:
@@ -133,14 +168,18 @@ def valid(vector: str) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(
+    df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    cell_rows: int = CELL_ROWS, top: int = TOP, block: int = QUERY_BLOCK,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query, nearest first, ties to smaller ids.
 
     Queries: rows whose identifier is divisible by ``every``. score: inner product in double precision. Vectors
     that are null, zero, or hold null or non-finite components take no part, nor do rows without an identifier,
     nor vectors of another length than the one with the smallest identifier. Rows of equal vectors are one
     point, of which the k + 1 smallest identifiers count: no other can be among the k nearest. Rows repeated
-    with their identifier count once. Empty tables give no rows; other columns are not returned.
+    with their identifier count once. Empty tables give no rows; other columns are not returned. ``cell_rows``, ``top``
+    and ``block`` bound what a task holds: points of a cell, levels split at a time, queries beside a cell.
     """
     spark, schema = df.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
@@ -158,10 +197,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     )
     n, square = points.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()
     project, quantile = Projection(first, square), chi_square_quantile(SURE)
-    depth = max(LEAST_CELLS.bit_length() - 1, math.ceil(math.log2(max(1, n / CELL_ROWS))))
-    share = min(1.0, 1.2 * SAMPLE * 2**depth / n)
-    sample = points.select("x").sample(share, seed=7).limit(2 * SAMPLE * 2**depth).collect()
-    tree = splits(project.points(np.array([r["x"] for r in sample]).reshape(-1, first)), depth)
+    depth = max(LEAST_CELLS.bit_length() - 1, math.ceil(math.log2(max(1, n / cell_rows))))
+    tree = tree_levels(points, project, first, n, depth, top)
     matrix = lambda column: np.array(column.tolist(), np.float64).reshape(-1, first)
 
     def dealt(frames):
@@ -179,48 +216,80 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     sides = [F.min(F.col("low")[d]).alias(f"l{d}") for d in range(DIMS)] + [F.max(F.col("high")[d]).alias(f"h{d}") for d in range(DIMS)]
     boxes = dealt_points.mapInPandas(box, "cell int, low array<double>, high array<double>").groupBy("cell").agg(*sides).collect()
-    cells = np.array([r["cell"] for r in boxes])  # as many as cells, a few thousandths of the points at most
+    cells = np.array([r["cell"] for r in boxes])  # 16 numbers for each ``cell_rows`` points
     low, high = (np.array([[r[f"{side}{d}"] for d in range(DIMS)] for r in boxes]).reshape(-1, DIMS) for side in "lh")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
-    def route(first_round):
+    def routed(f, first_round):
+        """Positions of queries in ``f`` and of the cells that they go to, some queries at a time."""
+        step = max(1, NEAR // len(cells))
+        for start in range(0, len(f), step):
+            part = f.iloc[start:start + step]
+            q = matrix(part["x"])
+            near = box_distance(project.queries(q), low, high)
+            home = near.argmin(axis=1)
+            if first_round:
+                at, to = np.arange(len(q)), home
+            else:
+                far = np.maximum(np.einsum("ij,ij->i", q, q) + square - 2 * part["bound"].to_numpy(), 0)
+                more = near <= quantile * far[:, None]
+                more[np.arange(len(q)), home] = False
+                at, to = np.nonzero(more)
+            yield part.iloc[at], to
+
+    def counted(first_round):
+        def run(frames):
+            n_asked = np.zeros(len(cells), np.int64)
+            for f in frames:
+                for _, to in routed(f, first_round):
+                    n_asked += np.bincount(to, minlength=len(cells))
+            some = np.flatnonzero(n_asked)
+            yield pd.DataFrame({"cell": cells[some], "n": n_asked[some]})
+        return run
+
+    def route(first_round, blocks):
         def run(frames):
             for f in frames:
-                q = matrix(f["x"])
-                near = box_distance(project.queries(q), low, high)
-                home = near.argmin(axis=1)
-                if first_round:
-                    at, to = np.arange(len(q)), home
-                else:
-                    far = np.maximum(np.einsum("ij,ij->i", q, q) + square - 2 * f["bound"].to_numpy(), 0)
-                    more = near <= quantile * far[:, None]
-                    more[np.arange(len(q)), home] = False
-                    at, to = np.nonzero(more)
-                out = f.iloc[at]
-                yield out.assign(cell=cells[to], block=out["query_id"] // every % blocks)[["query_id", "x", "bound", "cell", "block"]]
+                for asked, to in routed(f, first_round):
+                    number = asked["query_id"].to_numpy() // every % blocks[cells[to]]
+                    yield asked.assign(cell=cells[to], block=number)[["query_id", "x", "bound", "cell", "block"]]
         return run
 
     def found(points_in, queries_in):
         if not len(points_in) or not len(queries_in):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "score": np.empty(0), "ids": np.empty(0, object)})
-        x, q = matrix(points_in["x"]), matrix(queries_in["x"])
-        ids = points_in["ids"].to_numpy()
-        score, who = search(
-            q, project.queries(q), queries_in["bound"].to_numpy(), x, project.points(x), np.array([i[0] for i in ids]), k + 1, square, quantile
-        )
-        at, place = np.nonzero((who >= 0) & (score >= queries_in["bound"].to_numpy()[:, None]))
-        return pd.DataFrame({"query_id": queries_in["query_id"].to_numpy()[at], "score": score[at, place], "ids": ids[who[at, place]]})
-
-    spread = dealt_points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("cell", "block")
+        x = matrix(points_in["x"])
+        xp, ids = project.points(x), points_in["ids"].to_numpy()
+        first_id, out = np.array([i[0] for i in ids]), []
+        for start in range(0, len(queries_in), SLICE):
+            part = queries_in.iloc[start:start + SLICE]
+            q, bound = matrix(part["x"]), part["bound"].to_numpy()
+            score, who = search(q, project.queries(q), bound, x, xp, first_id, k + 1, square, quantile)
+            at, place = np.nonzero((who >= 0) & (score >= bound[:, None]))
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[at], "score": score[at, place], "ids": ids[who[at, place]]}))
+        return pd.concat(out)
 
     def searched(asked, first_round):
-        sent = asked.mapInPandas(route(first_round), "query_id long, x array<double>, bound double, cell int, block int")
-        return spread.cogroup(sent.groupBy("cell", "block")).applyInPandas(found, "query_id long, score double, ids array<long>")
+        """Counts what each cell is asked for, then sends its points to as many blocks as that fills and no others."""
+        wanted = asked.mapInPandas(counted(first_round), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        blocks = np.zeros(2**depth, np.int64)
+        for r in wanted.collect():  # one number for each ``cell_rows`` points
+            blocks[r["cell"]] = -(-r["n"] // block)
+
+        def copied(frames):
+            for f in frames:
+                times = blocks[f["cell"].to_numpy()]
+                at = np.repeat(np.arange(len(f)), times)
+                yield f.iloc[at].assign(block=np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
+
+        sent = asked.mapInPandas(route(first_round, blocks), "query_id long, x array<double>, bound double, cell int, block int")
+        spread = dealt_points.mapInPandas(copied, "x array<double>, ids array<long>, cell int, block int")
+        return spread.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInPandas(found, "query_id long, score double, ids array<long>")
 
     asked = queries.withColumn("bound", F.lit(float("-inf")))
     home = written(searched(asked, True), "op7-home")
     kth = home.groupBy("query_id").agg(F.min("score").alias("m"), F.count(F.lit(1)).alias("c"))
-    asked = queries.join(kth, "query_id", "left").select("query_id", "x", F.when(F.col("c") > k, F.col("m")).otherwise(F.lit(float("-inf"))).alias("bound"))
+    bound = F.when(F.col("c") > k, F.col("m")).otherwise(F.lit(float("-inf")))
+    asked = written(queries.join(kth, "query_id", "left").select("query_id", "x", bound.alias("bound")), "op7-asked")
     both = home.unionByName(searched(asked, False))
     each = both.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

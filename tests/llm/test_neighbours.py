@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from runledger.llm.neighbours import chi_square_quantile, nearest
+from runledger.llm.neighbours import cell_of, chi_square_quantile, nearest, splits
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -56,3 +56,26 @@ def test_copies_and_bad_vectors(spark):
     few = nearest(df.where("vec_id in (0, 3, 5)")).collect()
     assert {(r.query_id, r.rank) for r in few} == {(0, 1), (0, 2)}
     assert nearest(df.where("vec_id = 20")).count() == nearest(df.limit(0)).count() == 0
+
+
+def test_many_cells_levels_and_blocks_give_the_same(spark):
+    random = np.random.default_rng(11)
+    middles = random.normal(size=(6, 12))
+    x = (middles[random.integers(0, 6, 6000)] + 0.2 * random.normal(size=(6000, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(6000)], SCHEMA)
+    want = brute(np.arange(6000), x.astype(np.float64))
+    for how in ({}, {"cell_rows": 60, "top": 3, "block": 8}):
+        got = nearest(df, **how).collect()
+        assert Counter(r.query_id for r in got) == {i: 20 for i in want}
+        assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got) >= 0.95 * len(got)
+
+
+def test_cells_of_levels_are_those_of_one_tree():
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    whole = splits(x, 6)
+    one = [(np.array([[d for d, _ in whole]]), np.array([[v for _, v in whole]]))]
+    upper = splits(x, 2)
+    levels = [(np.array([[d for d, _ in upper]]), np.array([[v for _, v in upper]]))]
+    below = [splits(x[cell_of(x, levels) == c], 4) for c in range(4)]
+    levels.append((np.array([[d for d, _ in t] for t in below]), np.array([[v for _, v in t] for t in below])))
+    assert (cell_of(x, one) == cell_of(x, levels)).all() and len(np.unique(cell_of(x, one))) == 64
