@@ -1,8 +1,9 @@
 """Main text of pages by union-free regular expressions, inferred for each host.
 
-A page becomes a token stream (tags with their class, texts) and, with the end tags that HTML lets out put in, a
+A page becomes a token stream (tags with their class and role, texts) and, with the end tags that HTML lets out put in, a
 tree. An expression is inferred by aligning streams: equal neighbours, or equal runs of up to ``RUN`` neighbours,
-are a repeated group (a)+; what one side lacks is optional (a)?; texts that differ are a slot #. Aligning two
+are a repeated group (a)+; what one side lacks is optional (a)?; each text is a slot #. Digits in names count as one,
+and of ids only those count that tell what a part is, as others differ from page to page and would never align. Aligning two
 expressions works alike, so those of a host are aligned in groups of at most ``GROUP`` until one is left, its wrapper,
 and no host needs one task for its pages. An expression also sums up how much text its parts hold.
 
@@ -61,7 +62,7 @@ BOXES = frozenset(
 STATES = frozenset("active disabled enabled has have hidden hide is no non not off on open show with without".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
@@ -73,6 +74,16 @@ class Node:
         self.key, self.tag, self.children = key, tag, []
 
 
+def names_of(attributes: str) -> list[str]:
+    """The names that an element aligns by: classes, roles, and ids that are cues or the main part."""
+    found = set()
+    for kind, *values in NAMES.findall(attributes):
+        for name in re.sub("[0-9]+", "0", "".join(values).lower()).split():
+            if kind.lower() != "id" or name == "main" or is_cue(name, CUES):
+                found.add(name)
+    return sorted(found)
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; character references in texts are decoded."""
     root = Node("", "")
@@ -104,8 +115,7 @@ def parse(page: str | None) -> Node:
                 break
             if stack[i].tag in SCOPE:
                 break
-        names = " ".join(x for found in NAMES.findall(rest) for x in found if x).split() if rest else []
-        node = Node(".".join([tag, *sorted(n.lower() for n in names)]), tag)
+        node = Node(".".join([tag, *names_of(rest)]), tag)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)

@@ -87,3 +87,17 @@ def test_blocks_whose_names_hold_a_cue():
     assert read(form) == [("long text " * 30).strip()]
     most = "<body><div class=nav-x><a href=/>Home</a></div><div class=widget><p>" + "long text " * 30 + "</p></div></body>"
     assert "long text" in read(most)[0]
+
+
+def test_ids_of_pages_do_not_grow_the_wrapper(spark):
+    def page(i):
+        rows = "".join(f'<p id="row-{i}-{j}">sentence {j} of page {i}</p>' for j in range(3))
+        return f'<body><div id="sidebar">links</div><div class="post-{i} entry" id="slug-{"abcdefghij"[i % 10] * (i // 10 + 1)}"><article>{rows}</article></div></body>'
+
+    sizes = []
+    for n in (20, 200):
+        df = spark.createDataFrame([(i, "http://one.example/", page(i)) for i in range(n)], "page_id long, url string, html string")
+        sizes.append(len(host_wrappers(df).first()["tree"]))
+        texts = {r.page_id: r.text for r in extract(df).collect()}
+        assert texts == {i: " ".join(f"sentence {j} of page {i}" for j in range(3)) for i in range(n)}
+    assert sizes[1] < sizes[0] + 60
