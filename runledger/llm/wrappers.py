@@ -2,7 +2,9 @@
 
 A page becomes a token stream (tags with their class and role, texts) and, with the end tags that HTML lets out put in, a
 tree. An expression is inferred by aligning streams: equal neighbours, or equal runs of up to ``RUN`` neighbours,
-are a repeated group (a)+; what one side lacks is optional (a)?; each text is a slot #. Digits in names count as one,
+are a repeated group (a)+; what one side lacks is optional (a)?; texts that differ are a slot #. Sentences that are equal on
+all pages are constants: a block keeps the hashes of its sentences, a repeated group has those of all its members, and
+what an aligned page lacks is struck out, so that the sentences of all pages are left. Digits in names count as one,
 and of ids only those count that tell what a part is, as others differ from page to page and would never align. Aligning two
 expressions works alike, so those of a host are aligned in groups of at most ``GROUP`` until one is left, its wrapper,
 and no host needs one task for its pages. An expression also sums up how much text its parts hold.
@@ -10,7 +12,9 @@ and no host needs one task for its pages. An expression also sums up how much te
 In the wrapper, parts whose tag or class names them as menus, adverts, forms and the like are left out; those so named
 by a class, and forms, only if they hold less than most of the host's text. Articles and main parts are then the
 content, also those in such a part if there are no others; where a host has none, it is the smallest part with most of the text. Each page is
-matched with the wrapper of its host, and the texts in slots of the content are its main text.
+matched with the wrapper of its host, and the texts in slots of the content are its main text. Constants are left out if
+the host has ``PAGES`` different pages or more and they hold less than most of its content; headings stay, and so do blocks of
+fewer than ``SENTENCE`` words, as cells of tables and words between marks are equal by chance.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import json
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +37,13 @@ DEPTH = 150  # elements nested deeper are kept side by side, as browsers do at a
 MOST = 0.7  # of the text of a part: the share that makes one of its children the content
 KEPT = 0.5  # of the unlinked text of a host: the share above which a part is not left out for its class
 LINKS = 0.5  # the share of linked text above which a part is a menu
+PAGES = 10  # different pages with text that a host has at least, if equal sentences are to be constants
+SENTENCE = 4  # words
 
 # Elements of HTML by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: An element that the start tag of another one (the value) closes.
 CLOSED_BY = {
@@ -160,25 +168,67 @@ def skipped(part: list, inside: bool, total: int) -> bool:
     return fixed(part[0], inside) or named(part[0], inside) and plain(part) <= KEPT * total
 
 
-def merged(a: list, b: list) -> list:
-    """The expression of two: [key, repeated, optional, text, linked text, parts]."""
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], aligned(a[5], b[5])]
+def words_of(node: Node) -> list[str] | None:
+    """The words of a block that holds texts and inline elements only; None for other blocks."""
+    texts, stack = [], [node]
+    while stack:
+        child = stack.pop()
+        if not isinstance(child, Node):
+            texts.append(child)
+        elif child is node or child.tag in INLINE:
+            stack.extend(reversed(child.children))
+        else:
+            return None
+    return "".join(texts).split()
+
+
+def sentence(node: Node) -> tuple[str, int] | None:
+    """Hash and length of the text of a block that may be a constant."""
+    if node.tag in INLINE or node.tag in HEADINGS or (words := words_of(node)) is None or len(words) < SENTENCE:
+        return None
+    text = " ".join(words)
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass")), len(text)
+
+
+def merged(a: list, b: list, pages: bool = True) -> list:
+    """The expression of two: [key, repeated, optional, text, linked text, parts, sentences].
+
+    ``pages``: the two are of different pages, so only sentences of both are left; else they are members of a group.
+    A whole page has its number of pages and the first ``PAGES`` hashes of different ones at the end; one without text
+    has nothing to align.
+    """
+    if len(a) > 7 and not (a[3] and b[3]):
+        return a if a[3] else b
+    same = {h: n for h, n in a[6].items() if h in b[6]} if pages else a[6] | b[6]
+    out = [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], aligned(a[5], b[5], pages), same]
+    if len(a) > 7:
+        out.append([a[7][0] + b[7][0], sorted({*a[7][1], *b[7][1]})[:PAGES]])
+    return out
+
+
+def unsaid(part: list) -> list:
+    """A part without its sentences."""
+    return [*part[:5], [unsaid(p) for p in part[5]], {}]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, pages: bool = True) -> list:
     """Parts of two elements, those with equal keys matched in order, all others optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b)]
+        return [merged(x, y, pages) for x, y in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    optional = lambda x: [x[0], x[1], True, *x[3:]]
+
+    def optional(x):
+        x = unsaid(x) if pages else x
+        return [x[0], x[1], True, *x[3:]]
+
     while i < n and j < m:
         if a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(optional(a[i]))
@@ -196,21 +246,27 @@ def folded(parts: list) -> list:
         for part in parts:
             out.append(part)
             while len(out) >= 2 * size and all(x[0] == y[0] for x, y in zip(out[-2 * size:-size], out[-size:])):
-                run = [merged(x, y) for x, y in zip(out[-2 * size:-size], out[-size:])]
+                run = [merged(x, y, False) for x, y in zip(out[-2 * size:-size], out[-size:])]
                 out[-2 * size:] = [[x[0], True, *x[2:]] for x in run]
         parts = out
     return parts
 
 
-def expression(node: Node, linked: bool = False) -> list:
+def expression(page: Node) -> list:
     """The expression of one page."""
-    parts, linked = [], linked or node.tag == "a"
-    for child in node.children:
-        if isinstance(child, Node):
-            parts.append(expression(child, linked))
-        elif size := len(child.strip()):
-            parts.append(["#", False, False, size, size * linked, []])
-    return [node.key, False, False, sum(p[3] for p in parts), sum(p[4] for p in parts), folded(parts)]
+
+    def inferred(node, linked):
+        parts, linked = [], linked or node.tag == "a"
+        for child in node.children:
+            if isinstance(child, Node):
+                parts.append(inferred(child, linked))
+            elif size := len(child.strip()):
+                parts.append(["#", False, False, size, size * linked, [], {}])
+        said = sentence(node) if parts and node is not page else None
+        return [node.key, False, False, sum(p[3] for p in parts), sum(p[4] for p in parts), folded(parts), dict([said]) if said else {}]
+
+    tree = inferred(page, False)
+    return [*tree, [1, [xxhash.xxh3_64_hexdigest(json.dumps(tree))]]]
 
 
 def shown(part: list) -> str:
@@ -249,8 +305,13 @@ def has_blocks(part: list) -> bool:
     return any(p[0] != "#" and p[0].split(".")[0] not in INLINE | VOID for p in part[5])
 
 
+def equal_text(part: list) -> int:
+    """The length of the sentences of a part that all pages have."""
+    return sum(part[6].values()) + sum(map(equal_text, part[5]))
+
+
 def marked(wrapper: list) -> dict:
-    """The wrapper as {key: ..., main: whether its text is content, parts: ...}, for matching pages."""
+    """The wrapper as {k: key, m: whether its text is content, c: its constants, p: parts}, for matching pages."""
     total = plain(wrapper)
     found = contents(wrapper, total)
     semantic = bool(found)
@@ -264,19 +325,21 @@ def marked(wrapper: list) -> dict:
             top = inner
         found = [top]
     roots = {id(x) for x in found}
+    pages, different = wrapper[7]
+    constant = len(different) >= PAGES and pages * sum(map(equal_text, found)) <= KEPT * sum(useful(x, total) for x in found)
 
     def mark(part, main):
         main = main or id(part) in roots
         keep = main and (id(part) in roots or not skipped(part, semantic, total))
         if keep and not semantic and id(part) not in roots and part[0] != "#" and part[0].split(".")[0] not in INLINE:
             keep = part[4] <= LINKS * part[3]
-        return {"k": part[0], "m": keep, "p": [mark(p, main and keep) for p in part[5]]}
+        return {"k": part[0], "m": keep, "c": set(part[6]) if constant else (), "p": [mark(p, main and keep) for p in part[5]]}
 
     return mark(wrapper, False)
 
 
 def main_text(page: Node, wrapper: dict) -> str:
-    """Texts of the page that match slots of the content: white space made single, blocks joined by blanks."""
+    """Texts of the page that match slots of the content, not constants: white space made single, blocks joined by blanks."""
     blocks, now = [], []
 
     def end():
@@ -300,7 +363,7 @@ def main_text(page: Node, wrapper: dict) -> str:
             block = child.tag not in INLINE
             if block:
                 end()
-            if hit is not None:
+            if hit is not None and not (parts[hit]["c"] and (said := sentence(child)) and said[0] in parts[hit]["c"]):
                 walk(child, parts[hit])
             if block:
                 end()

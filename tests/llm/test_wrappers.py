@@ -101,3 +101,42 @@ def test_ids_of_pages_do_not_grow_the_wrapper(spark):
         texts = {r.page_id: r.text for r in extract(df).collect()}
         assert texts == {i: " ".join(f"sentence {j} of page {i}" for j in range(3)) for i in range(n)}
     assert sizes[1] < sizes[0] + 60
+
+
+NOTICE = "<p>This text may hold links to our <a href=/p>partners</a>.</p>"
+
+
+def test_sentences_of_all_pages_are_constants(spark):
+    own = lambda i, n=3: [f"sentence {j} of page number {i} with own words" for j in range(n)]
+    layouts = {
+        "article": "<body><nav>Home</nav><article><h1>What we know about it</h1>{0}</article><footer>us</footer></body>",
+        "div": "<body><div class=top><a href=/>Home</a></div><div class=c>{0}</div><div class=end><a href=/us>us</a></div></body>",
+    }
+    for name, layout in layouts.items():
+        head = "What we know about it " if name == "article" else ""
+        for n in (9, 10, 40):
+            # the notice stands before, among or after the paragraphs of a page
+            bodies = [[f"<p>{s}" for s in own(i)] for i in range(n)]
+            for i, b in enumerate(bodies):
+                b.insert(i % 4, NOTICE)
+            df = spark.createDataFrame([(i, "http://one.example/", layout.format("".join(b)), None) for i, b in enumerate(bodies)], SCHEMA)
+            df = df.unionByName(df.limit(3)).unionByName(spark.createDataFrame([(77, "http://one.example/", None, None)], SCHEMA)).repartition(4)
+            texts = {r.page_id: r.text for r in extract(df).collect()}
+            for i in range(n):
+                want = own(i)
+                if n < 10:
+                    want.insert(i % 4, "This text may hold links to our partners.")
+                assert texts[i] == head + " ".join(want), (name, n, i)
+            assert texts[77] == ""
+
+
+def test_sentences_that_stay():
+    page = "<article>{0}</article>"
+    notice = "This text may hold links to our partners."
+    texts = [f"<p>words of page number {i} and then some more of them at length</p>" for i in range(12)]
+    assert all(notice in t for t in read(*(page.format(x + (NOTICE if i else "")) for i, x in enumerate(texts)))[1:])  # one page lacks it
+    copies = [page.format(NOTICE + texts[0] + f"<p>copy {i}</p>") for i in range(12)]
+    assert all(notice in t and "words of page" in t for t in read(*copies))  # most of the text is equal
+    assert all(notice in t for t in read(*[page.format(NOTICE + texts[i % 3]) for i in range(30)]))  # three different pages
+    cells = [page.format(f"{x}<table><tr><td>Yes<td>{i}</table><p>So it is.") for i, x in enumerate(texts)]
+    assert all(t.endswith(f"Yes {i} So it is.") for i, t in enumerate(read(*cells)))
