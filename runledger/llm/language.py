@@ -1,17 +1,23 @@
 """Scoring by a hierarchical Pitman-Yor model of word pairs.
 
-A context restaurant serves the words that follow one previous word; previous words are hashed to ``CONTEXTS``
-restaurants, so that what every task must know has a fixed size. All restaurants share one parent, the
-restaurant of single words, whose own base is uniform. Customers of the parent are the tables of the contexts.
+A context restaurant serves the words that follow one previous word. There are twice as many restaurants as words, as a
+power of two from ``LEAST`` to ``MOST``, so that what every task must know stays bounded. Each previous word above 4 /
+restaurants of all tokens has a restaurant of its own, as has the start of a text; the others are hashed to the rest. All
+restaurants share one parent, the restaurant of single words, whose own base is uniform. Customers of the parent are the
+tables of the contexts.
 
 Each text sends its (context, word) pairs once, packed by batch, to shards of the vocabulary. A shard counts its
 pairs and keeps, pair by pair, the texts that need them. Words above 1 / ``FREQUENT`` of all tokens are known
-to all shards and their pairs are dealt out by word and context, so no word makes a shard hot. Given the
-tables of a context and the parent's probability of a word, the seating of a pair is independent of all others:
-a Gibbs sweep reseats all pairs of all shards in parallel and exchanges the table counts of the contexts and
-of the frequent words. A seating is a function of the pair, the sweep and those counts, so a shard makes it anew
-where it is needed, and a lost task gives the same one again. Predictive probabilities are averaged over the
-samples after ``BURN_IN`` sweeps.
+to all shards and their pairs are dealt out by word and context, so no word makes a shard hot.
+
+The Gibbs sampler runs in parallel. One customer at a time would be taken out and seated again given all others; here a
+sweep takes out all customers of a pair and seats them again by the same rule, one after the other, while the number of
+tables of the context and the parent's probability of the word are those of the last sweep. All pairs are seated at once,
+then shards exchange the table counts of contexts and of frequent words. This is an approximation, as pairs of a context
+do not see each other's new tables within a sweep; a test holds it against the sampler that moves single customers. The
+discounts are estimated from counts of counts, the strength is fixed. A seating is a function of the pair, the sweep and
+those counts, so a shard makes it anew where it is needed, and a lost task gives the same one again. Predictive
+probabilities are averaged over the samples after ``BURN_IN`` sweeps.
 """
 
 from __future__ import annotations
@@ -30,21 +36,41 @@ from runledger.llm.common import map_batches, word_count
 from runledger.llm.jaccard import STEPS, blocks_of, mixed
 from runledger.session import written
 
-CONTEXTS = 1 << 16
+LEAST, MOST = 1 << 16, 1 << 20  # restaurants
+CHUNK = 1 << 14  # restaurants that are added up together
 FREQUENT = 10_000
 SHARDS = 64
 SHARD_TOKENS = 2_000_000
-SLICE = 500  # texts that a task holds as Python strings at a time
+SLICE = 500  # texts that a task holds as Python strings at a time, under 2 ** 16
 BLOCK_CHARS = 2_000_000
 BURN_IN = 2
 SAMPLES = 3
 STRENGTH = 1.0
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))  # no word holds a blank
-START = int(xxhash.xxh3_64_intdigest(b" start ") % CONTEXTS)
+START = 0  # the context before a text; those of words with a restaurant of their own come next
+NONE = np.zeros(0, np.uint64)
 
 
-def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def place(names: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among sorted names, or -1."""
+    if not len(names):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+    return np.where(names[at] == words, at, -1)
+
+
+def contexts_for(words: int) -> int:
+    return min(MOST, max(LEAST, 1 << (2 * words - 1).bit_length())) if words else LEAST
+
+
+def context_of(own: np.ndarray, contexts: int, words: np.ndarray) -> np.ndarray:
+    """The restaurant of what follows each word; ``own``: the words with one of their own, at most ``contexts`` / 4."""
+    at, first = place(own, words), 1 + contexts // 4
+    return np.where(at >= 0, 1 + at, first + ((words >> np.uint64(16)) % np.uint64(contexts - first)).astype(np.int64))
+
+
+def coded(texts: list[str | None], own: np.ndarray = NONE, contexts: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all tokens of all texts: text, code of the word, context; and the hash of each code (0: the end)."""
     words = [(t or "").encode().lower().split() for t in texts]
     code: dict[bytes, int] = {b" end ": 0}
@@ -53,7 +79,7 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in code], np.uint64)
     hashes[0] = END
     before = np.empty(len(flat), np.int64)
-    before[1:] = (hashes % np.uint64(CONTEXTS)).astype(np.int64)[flat[:-1]]
+    before[1:] = context_of(own, contexts, hashes)[flat[:-1]]
     before[np.cumsum(n) - n] = START
     return np.repeat(np.arange(len(texts)), n), flat, before, hashes
 
@@ -113,21 +139,16 @@ def tables(count: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarr
 class State:
     """What the shards share: sizes, counts of contexts and frequent words, and the last sweep's tables."""
 
-    def __init__(self, tokens: int, words: int, context: np.ndarray, frequent: dict[int, int]):
-        self.tokens, self.words, self.context = tokens, words, context
-        names = np.array(sorted(frequent), np.int64).view(np.uint64)
-        self.frequent, self.frequent_count = names[np.argsort(names)], None
+    def __init__(self, tokens: int, words: int, context: np.ndarray, frequent: dict[int, int], own: np.ndarray = NONE):
+        self.tokens, self.words, self.context, self.own = tokens, words, context, own
+        self.frequent = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
         self.frequent_count = np.array([frequent[int(x)] for x in self.frequent.view(np.int64)], np.int64)
         self.tables = self.parent = None
         self.customers = self.parent_tables = 0
         self.discounts = (0.5, 0.5)
 
     def place(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word among the frequent ones, or -1."""
-        if not len(self.frequent):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == words, at, -1)
+        return place(self.frequent, words)
 
     def unigram(self, words: np.ndarray, customers: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The parent's probabilities of words with so many customers each, and its tables."""
@@ -158,49 +179,52 @@ def chain(states: list[State], words: np.ndarray, own: np.ndarray, context: np.n
 
 
 def shard_arrays(row) -> tuple[np.ndarray, ...]:
-    words, pairs, context, count = unpack(row["seats"], "<u8", "<u4", "<u2", "<u4")
+    words, pairs, context, count = unpack(row["seats"], "<u8", "<u4", "<u4", "<u8")
     return words, np.repeat(np.arange(len(words)), pairs), context.astype(np.int64), count.astype(np.int64)
 
 
-def exchange(shards: DataFrame, state: State, states: list[State]) -> dict[int, dict[int, int]]:
-    """Sums over all shards of the seating that follows from ``states``, by kind and key.
+def exchange(shards: DataFrame, state: State, states: list[State]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over all shards of the seating that follows from ``states``: tables of contexts, customers of frequent words, and six sums.
 
-    0: tables of contexts; 1: customers of frequent words; 2: scalars. At most CONTEXTS + FREQUENT + 6 rows come back.
+    Each task adds up its shards and sends an array for each ``CHUNK`` of contexts and one for the rest; the sums of
+    these arrays, MOST + FREQUENT + 6 numbers at most, come back.
     """
+    size, n_frequent = len(state.context), len(state.frequent)
 
     def run(frames):
-        context, frequent, sums = np.zeros(CONTEXTS, np.int64), np.zeros(len(state.frequent), np.int64), np.zeros(6, np.int64)
+        context, frequent, sums = np.zeros(size, np.int64), np.zeros(n_frequent, np.int64), np.zeros(6, np.int64)
         for f in frames:
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
                 for _, t, s in chain(states, words, own, at, count):
                     pass  # one seating at a time is held; the last counts
-                context += np.bincount(at, weights=t, minlength=CONTEXTS).astype(np.int64)
+                context += np.bincount(at, weights=t, minlength=size).astype(np.int64)
                 customers = np.bincount(own, weights=t, minlength=len(words)).astype(np.int64)
                 place = state.place(words)
-                frequent += np.bincount(place[place >= 0], weights=customers[place >= 0], minlength=len(frequent)).astype(np.int64)
+                frequent += np.bincount(place[place >= 0], weights=customers[place >= 0], minlength=n_frequent).astype(np.int64)
                 local = place < 0
                 sums += [customers.sum(), (s[local] * (customers[local] > 0)).sum(), (count == 1).sum(), (count == 2).sum(),
                          (customers[local] == 1).sum(), (customers[local] == 2).sum()]
-        for kind, values in enumerate((context, frequent, sums)):
-            some = np.flatnonzero(values)
-            yield pd.DataFrame({"kind": np.full(len(some), kind), "key": some, "value": values[some]})
-
-    rows = shards.select("seats").mapInPandas(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value"))
-    out: dict[int, dict[int, int]] = {0: {}, 1: {}, 2: {}}
-    for r in rows.collect():
-        out[r["kind"]][r["key"]] = r["value"]
-    return out
+        parts = [np.append(sums, frequent), *(context[at:at + CHUNK] for at in range(0, size, CHUNK))]
+        yield pd.DataFrame({"part": range(len(parts)), "data": [pack(sums=x) for x in parts]})
+
+    def add(frame):
+        total = sum(unpack(data, "<i8")[0] for data in frame["data"])
+        return pd.DataFrame({"part": frame["part"][:1].to_numpy(), "data": [pack(sums=total)]})
+
+    schema = "part int, data binary"
+    rows = shards.select("seats").mapInPandas(run, schema).groupBy("part").applyInPandas(add, schema).collect()
+    first, *rest = [unpack(r["data"], "<i8")[0] for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(6 + n_frequent, np.int64), np.zeros(size, np.int64)]
+    return np.concatenate(rest), first[6:], first[:6]
 
 
 def updated(state: State, shards: DataFrame, states: list[State]) -> State:
     """The state of the seating that follows from ``states``, which may be none yet."""
-    sums = exchange(shards, state, states)
-    vector = lambda kind, n: np.array([sums[kind].get(i, 0) for i in range(n)], np.int64)
+    context, frequent, sums = exchange(shards, state, states)
     new = State.__new__(State)
     new.__dict__.update(state.__dict__)
-    new.tables, new.parent = vector(0, CONTEXTS), vector(1, len(state.frequent))
-    new.customers, local, n1, n2, k1, k2 = (sums[2].get(i, 0) for i in range(6))
+    new.tables, new.parent = context, frequent
+    new.customers, local, n1, n2, k1, k2 = map(int, sums)
     if not states:
         new.discounts = tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ((n1, n2), (k1, k2)))
     new.parent_tables = local + int((new.parent > 0).sum())
@@ -236,23 +260,28 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
 
     words = written(map_batches(docs, count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where("c > 0"), "op9-words")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    end = int(END.view(np.int64))
-    # as an unsigned hash modulo a power of two: the low bits
-    contexts = words.where(F.col("w") != end).groupBy(F.col("w").bitwiseAND(CONTEXTS - 1).alias("k")).agg(F.sum("c").alias("c")).collect()
-    context = np.zeros(CONTEXTS, np.int64)
-    for r in contexts:
+    end, common = int(END.view(np.int64)), F.col("c") * FREQUENT > tokens
+    frequent = {r["w"]: r["c"] for r in words.where(common).collect()}
+    contexts = contexts_for(vocabulary)
+    named = (F.col("c") * (contexts // 4) > tokens) & (F.col("w") != end)
+    own_counts = {r["w"]: r["c"] for r in words.where(named).collect()}
+    own_words = np.sort(np.array(list(own_counts), np.int64).view(np.uint64))
+    context = np.zeros(contexts, np.int64)
+    first = 1 + contexts // 4  # as in context_of
+    slot = F.shiftrightunsigned("w", 16) % (contexts - first) + first
+    for r in words.where((F.col("w") != end) & ~named).groupBy(slot.cast("int").alias("k")).agg(F.sum("c").alias("c")).toLocalIterator():
         context[r["k"]] = r["c"]
-    frequent = {r["w"]: r["c"] for r in words.where(F.col("c") * FREQUENT > tokens).collect()}
-    context[START] += sum(r["c"] for r in words.where(F.col("w") == end).collect())
-    state, n_shards = State(tokens, vocabulary, context, frequent), max(SHARDS, -(-tokens // SHARD_TOKENS))
+    context[1:1 + len(own_words)] = [own_counts[int(w)] for w in own_words.view(np.int64)]
+    context[START] = sum(r["c"] for r in words.where(F.col("w") == end).collect())
+    state, n_shards = State(tokens, vocabulary, context, frequent, own_words), max(SHARDS, -(-tokens // SHARD_TOKENS))
 
     def send(batch):
         for rows, own_ids, part in blocks(batch):
             names = np.array(rows, np.int64)
-            own, code, context, hashes = coded(part)
+            own, code, context, hashes = coded(part, state.own, contexts)
             # one number for word, context and text: its runs are the distinct pairs of each text
-            key, n = np.unique((code << 40) | (context << 24) | own, return_counts=True)
-            code, context, own = key >> 40, (key >> 24) & 0xFFFF, key & 0xFFFFFF
+            key, n = np.unique((code << 36) | (context << 16) | own, return_counts=True)
+            code, context, own = key >> 36, (key >> 16) & 0xFFFFF, key & 0xFFFF
             spread = np.where(state.place(hashes) >= 0, STEPS[2], np.uint64(0))[code]
             shard = (mixed(hashes[code] + context.astype(np.uint64) * spread) % np.uint64(n_shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
@@ -265,7 +294,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
                 out["shard"].append(int(shard[places[0]]))
                 out["data"].append(pack(
                     words=hashes[code[places[first]]], entries=np.diff(np.append(first, len(places))).astype(np.uint32),
-                    context=context[places].astype(np.uint16), doc=doc.astype(np.uint32), n=n[places].astype(np.uint32),
+                    context=context[places].astype(np.uint32), doc=doc.astype(np.uint32), n=n[places].astype(np.uint32),
                     rows=names[used], learned=learned[used].astype(np.uint8),
                 ))
             yield out
@@ -274,7 +303,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
         """All entries of a shard, sorted by word and context; the pairs and the texts that hold them."""
         word, context, doc, n, rows, learned = [], [], [], [], [], []
         for data in frame["data"]:
-            w, entries, c, d, m, r, ok = unpack(data, "<u8", "<u4", "<u2", "<u4", "<u4", "<i8", "u1")
+            w, entries, c, d, m, r, ok = unpack(data, "<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
             word.append(np.repeat(w, entries))
             context.append(c)
             doc.append(d + np.uint32(sum(map(len, rows))))
@@ -287,14 +316,14 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
         by = np.lexsort((context, word))
         word, context = word[by], context[by]
         pair = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-        count = np.add.reduceat(learned[by], pair)
+        count = np.add.reduceat(learned[by], pair, dtype=np.uint64)
         doc, n = doc[by], n[by]
         del learned, by
         first = np.flatnonzero(np.append(True, np.diff(word[pair]) != 0))
         return pd.DataFrame({
             "shard": frame["shard"][:1].to_numpy(),
             "seats": [pack(words=word[pair[first]], pairs=np.diff(np.append(first, len(pair))).astype(np.uint32),
-                           context=context[pair], count=count.astype(np.uint32))],
+                           context=context[pair], count=count)],
             "texts": [pack(entries=np.diff(np.append(pair, len(word))).astype(np.uint32), doc=doc, n=n, rows=rows)],
         })
 

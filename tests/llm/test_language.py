@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from runledger.llm.language import END, State, chain, coded, pack, pitman_yor_scores, tables, unpack
+from runledger.llm.language import END, LEAST, MOST, START, State, chain, coded, context_of, contexts_for, is_held_out, pack, pitman_yor_scores, tables, unpack
 
 SCHEMA = "doc_id long, text string, score double"
 
@@ -48,6 +48,104 @@ def test_predictions_of_a_context_add_up_to_one():
     assert abs(total / (1.0 + totals[c]) - 1) < 0.01 and abs(p.sum() + unknown - 1) < 0.02
 
 
+def test_restaurants_of_previous_words():
+    assert [contexts_for(n) for n in (0, 1, LEAST // 2, LEAST // 2 + 1, 400_000, 10**10)] == [LEAST, LEAST, LEAST, 2 * LEAST, 1 << 20, MOST]
+    names = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    own = names[::2][:5000]
+    at = context_of(own, LEAST, names)
+    ours = np.isin(names, own)
+    assert sorted(at[ours]) == list(range(1, len(own) + 1)) and START not in at
+    assert at[~ours].min() > LEAST // 4 and at.max() < LEAST and len(set(at[~ours])) > 10_000
+
+
+class Restaurants:
+    """The model with every customer, moved one at a time."""
+
+    def __init__(self, pairs, words, discounts, random):
+        self.words, self.d, self.random = words, discounts, random
+        self.context, self.parent = {}, {}
+        self.tables, self.customers, self.parent_tables, self.parent_customers = Counter(), Counter(), 0, 0
+        self.pairs = pairs
+        for c, w in pairs:
+            self.enter(c, w)
+
+    def base(self, w):
+        sizes = self.parent.get(w, [])
+        return (sum(sizes) - self.d[1] * len(sizes) + (1 + self.d[1] * self.parent_tables) / (self.words + 1)) / (1 + self.parent_customers)
+
+    def seat(self, sizes, d, new):
+        """Seats a customer; whether at a new table."""
+        at = self.random.random() * (sum(sizes) - d * len(sizes) + new)
+        for i, n in enumerate(sizes):
+            at -= n - d
+            if at < 0:
+                sizes[i] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def rise(self, sizes):
+        """A customer leaves; whether the table goes too."""
+        i = self.random.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[i] -= 1
+        return not sizes[i] and sizes.pop(i) == 0
+
+    def enter(self, c, w):
+        new = (1 + self.d[0] * self.tables[c]) * self.base(w)
+        self.customers[c] += 1
+        if self.seat(self.context.setdefault((c, w), []), self.d[0], new):
+            self.tables[c] += 1
+            self.parent_tables += self.seat(self.parent.setdefault(w, []), self.d[1], (1 + self.d[1] * self.parent_tables) / (self.words + 1))
+            self.parent_customers += 1
+
+    def leave(self, c, w):
+        self.customers[c] -= 1
+        if self.rise(self.context[c, w]):
+            self.tables[c] -= 1
+            self.parent_customers -= 1
+            self.parent_tables -= self.rise(self.parent[w])
+
+    def sweep(self):
+        for c, w in self.pairs:
+            self.leave(c, w)
+            self.enter(c, w)
+
+    def probability(self, c, w):
+        sizes = self.context.get((c, w), [])
+        own = sum(sizes) - self.d[0] * len(sizes)
+        return (own + (1 + self.d[0] * self.tables[c]) * self.base(w)) / (1 + self.customers[c])
+
+
+def test_scores_are_near_those_of_single_customers_moved(spark):
+    random = np.random.default_rng(5)
+    follows = random.dirichlet(np.full(40, 0.15), 40)
+    rows = []
+    for i in range(20):
+        at, text = int(random.integers(40)), []
+        for _ in range(60):
+            at = int(random.choice(40, p=follows[at]))
+            text.append(f"w{at}")
+        rows.append((i, " ".join(text), 0.0))
+    tokens = {i: [*text.split(), "end"] for i, text, _ in rows}
+    learned = [(c, w) for i, t in tokens.items() if not is_held_out(i) for c, w in zip(["start", *t], t)]
+    held = [i for i in tokens if is_held_out(i)]
+    assert held
+    n = Counter(Counter(learned).values())
+    model = Restaurants(learned, len({w for _, w in learned}), (min(0.95, max(0.05, n[1] / (n[1] + 2 * n[2]))), 0.05), random)
+    sums, sweeps = Counter(), 60
+    for k in range(20 + sweeps):
+        model.sweep()
+        if k >= 20:
+            for i, t in tokens.items():
+                for j, (c, w) in enumerate(zip(["start", *t], t)):
+                    sums[i, j] += model.probability(c, w) / sweeps
+    want = {i: sum(math.log10(sums[i, j]) for j in range(len(t))) for i, t in tokens.items()}
+    got = {r.doc_id: r.score for r in pitman_yor_scores(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, t in tokens.items():
+        assert abs(got[i] - want[i]) < 0.03 * abs(want[i]), (i, got[i], want[i])
+    assert abs(sum(got[i] for i in held) / sum(want[i] for i in held) - 1) < 0.02
+
+
 def test_pack():
     a, b = unpack(pack(a=np.arange(5, dtype=np.uint16), b=np.array([], np.int64)), "<u2", "<i8")
     assert a.tolist() == [0, 1, 2, 3, 4] and len(b) == 0 and END != 0
