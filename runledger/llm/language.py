@@ -89,15 +89,17 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Integer arrays of any lengths as one compressed value."""
+    """Integer arrays of any lengths as one compressed value: all first bytes of an array, then all second ones and so on."""
     head = np.array([len(a) for a in arrays.values()], np.int64)
-    return zstandard.ZstdCompressor(1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values())
+    return zstandard.ZstdCompressor(1).compress(head.tobytes() + b"".join(planes))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw, at, out = zstandard.decompress(data), 8 * len(kinds), []
-    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), kinds):
-        out.append(np.frombuffer(raw, kind, n, at))
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), map(np.dtype, kinds)):
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += out[-1].nbytes
     return out
 
@@ -139,14 +141,22 @@ def tables(count: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarr
 class State:
     """What the shards share: sizes, counts of contexts and frequent words, and the last sweep's tables."""
 
-    def __init__(self, tokens: int, words: int, context: np.ndarray, frequent: dict[int, int], own: np.ndarray = NONE):
-        self.tokens, self.words, self.context, self.own = tokens, words, context, own
+    def __init__(self, tokens: int, words: int, context: np.ndarray, frequent: dict[int, int]):
+        self.tokens, self.words, self.context = tokens, words, context
         self.frequent = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
         self.frequent_count = np.array([frequent[int(x)] for x in self.frequent.view(np.int64)], np.int64)
         self.tables = self.parent = None
         self.customers = self.parent_tables = 0
         self.discounts = (0.5, 0.5)
 
+    def __getstate__(self):
+        """What goes to the tasks: arrays packed, as most of their numbers are small."""
+        return {k: (str(v.dtype), pack(v=v)) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, found):
+        arrays = ("context", "frequent", "frequent_count", "tables", "parent")
+        self.__dict__.update({k: unpack(v[1], v[0])[0] if k in arrays and v is not None else v for k, v in found.items()})
+
     def place(self, words: np.ndarray) -> np.ndarray:
         return place(self.frequent, words)
 
@@ -273,12 +283,12 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
         context[r["k"]] = r["c"]
     context[1:1 + len(own_words)] = [own_counts[int(w)] for w in own_words.view(np.int64)]
     context[START] = sum(r["c"] for r in words.where(F.col("w") == end).collect())
-    state, n_shards = State(tokens, vocabulary, context, frequent, own_words), max(SHARDS, -(-tokens // SHARD_TOKENS))
+    state, n_shards = State(tokens, vocabulary, context, frequent), max(SHARDS, -(-tokens // SHARD_TOKENS))
 
     def send(batch):
         for rows, own_ids, part in blocks(batch):
             names = np.array(rows, np.int64)
-            own, code, context, hashes = coded(part, state.own, contexts)
+            own, code, context, hashes = coded(part, own_words, contexts)
             # one number for word, context and text: its runs are the distinct pairs of each text
             key, n = np.unique((code << 36) | (context << 16) | own, return_counts=True)
             code, context, own = key >> 36, (key >> 16) & 0xFFFFF, key & 0xFFFF
