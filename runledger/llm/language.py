@@ -23,7 +23,8 @@ probabilities are averaged over the samples after ``BURN_IN`` sweeps.
 from __future__ import annotations
 
 import zlib
-from itertools import islice
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -72,10 +73,11 @@ def context_of(own: np.ndarray, contexts: int, words: np.ndarray) -> np.ndarray:
 
 def coded(texts: list[str | None], own: np.ndarray = NONE, contexts: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all tokens of all texts: text, code of the word, context; and the hash of each code (0: the end)."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    code: dict[bytes, int] = {b" end ": 0}
-    n = np.array([len(w) + 1 for w in words], np.int64)
-    flat = np.array([c for w in words for c in [*(code.setdefault(x, len(code)) for x in w), 0]], np.int64)
+    words = [[*(t or "").encode().lower().split(), b" end "] for t in texts]
+    code: defaultdict[bytes, int] = defaultdict(None, {b" end ": 0})
+    code.default_factory = code.__len__  # a new word gets the next number
+    n = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in code], np.uint64)
     hashes[0] = END
     before = np.empty(len(flat), np.int64)
@@ -168,7 +170,7 @@ class State:
         return (np.maximum(customers - d * t, 0) + new) / (STRENGTH + self.customers), t
 
 
-def chain(states: list[State], words: np.ndarray, own: np.ndarray, context: np.ndarray, count: np.ndarray):
+def seatings(states: list[State], words: np.ndarray, own: np.ndarray, context: np.ndarray, count: np.ndarray):
     """The seatings of the pairs of a shard: for each state, (state, tables, parent's probabilities).
 
     Pairs are (word, context) with counts; ``own`` is the place of a pair's word in ``words``. The first seating
@@ -206,7 +208,7 @@ def exchange(shards: DataFrame, state: State, states: list[State]) -> tuple[np.n
         for f in frames:
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
-                for _, t, s in chain(states, words, own, at, count):
+                for _, t, s in seatings(states, words, own, at, count):
                     pass  # one seating at a time is held; the last counts
                 context += np.bincount(at, weights=t, minlength=size).astype(np.int64)
                 customers = np.bincount(own, weights=t, minlength=len(words)).astype(np.int64)
@@ -293,7 +295,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
             key, n = np.unique((code << 36) | (context << 16) | own, return_counts=True)
             code, context, own = key >> 36, (key >> 16) & 0xFFFFF, key & 0xFFFF
             spread = np.where(state.place(hashes) >= 0, STEPS[2], np.uint64(0))[code]
-            shard = (mixed(hashes[code] + context.astype(np.uint64) * spread) % np.uint64(n_shards)).astype(np.int64)
+            shard = (mixed(hashes[code] + context.astype(np.uint64) * spread) % np.uint64(n_shards)).astype(np.min_scalar_type(n_shards))
             by = np.argsort(shard, kind="stable")
             learned = np.array([not is_held_out(i) for i in own_ids])
             edges = np.flatnonzero(np.diff(shard[by])) + 1
@@ -350,7 +352,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
                 place, known = state.place(words), np.bincount(own, weights=count, minlength=len(words)).astype(np.int64)
                 known[place >= 0] = state.frequent_count[place[place >= 0]]
                 p = np.zeros(len(own))
-                for s, t, parent in islice(chain(states, words, own, at, count), BURN_IN, BURN_IN + SAMPLES):
+                for s, t, parent in islice(seatings(states, words, own, at, count), BURN_IN, BURN_IN + SAMPLES):
                     d = s.discounts[0]
                     p += (np.maximum(count - d * t, 0) + (STRENGTH + d * s.tables[at]) * parent[own]) / (STRENGTH + s.context[at])
                 entries, doc, n, rows = unpack(row["texts"], "<u4", "<u4", "<u4", "<i8")

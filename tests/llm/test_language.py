@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from runledger.llm.language import END, LEAST, MOST, START, State, chain, coded, context_of, contexts_for, is_held_out, pack, pitman_yor_scores, tables, unpack
+from runledger.llm.language import END, LEAST, MOST, START, State, coded, context_of, contexts_for, is_held_out, pack, pitman_yor_scores, seatings, tables, unpack
 
 SCHEMA = "doc_id long, text string, score double"
 
@@ -35,13 +35,13 @@ def test_predictions_of_a_context_add_up_to_one():
     np.add.at(totals, at, count)
     states, first = [], State(int(count.sum()), len(words), totals, {})
     for _ in range(6):
-        *_, (_, t, s) = chain(states, words, own, at, count)
+        *_, (_, t, s) = seatings(states, words, own, at, count)
         state = State.__new__(State)
         state.__dict__.update(first.__dict__)
         state.tables, state.parent = np.bincount(at, weights=t, minlength=1 << 16).astype(np.int64), np.zeros(0, np.int64)
         state.customers, state.parent_tables = int(t.sum()), int(s.sum())
         states.append(state)
-    state, t, p = list(chain(states, words, own, at, count))[-2]
+    state, t, p = list(seatings(states, words, own, at, count))[-2]
     d, c = state.discounts[0], Counter(context.tolist()).most_common(1)[0][0]
     unknown = (1.0 + state.discounts[1] * state.parent_tables) / (len(words) + 1) / (1.0 + state.customers)
     total = np.maximum(count - d * t, 0)[at == c].sum() + (1.0 + d * state.tables[c]) * (p.sum() + unknown)
