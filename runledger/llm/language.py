@@ -51,6 +51,7 @@ STRENGTH = 1.0
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))  # no word holds a blank
 START = 0  # the context before a text; those of words with a restaurant of their own come next
 NONE = np.zeros(0, np.uint64)
+ARRAYS = ("context", "frequent", "frequent_count", "tables", "parent")  # of a state
 
 
 def place(names: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -152,12 +153,12 @@ class State:
         self.discounts = (0.5, 0.5)
 
     def __getstate__(self):
-        """What goes to the tasks: arrays packed, as most of their numbers are small."""
-        return {k: (str(v.dtype), pack(v=v)) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        """What goes to the tasks: counts as the smallest numbers that hold them, packed."""
+        least = {k: v.astype(np.min_scalar_type(v.max(initial=0))) if isinstance(v, np.ndarray) and k != "frequent" else v for k, v in self.__dict__.items()}
+        return {k: (str(v.dtype), pack(v=v)) if isinstance(v, np.ndarray) else v for k, v in least.items()}
 
     def __setstate__(self, found):
-        arrays = ("context", "frequent", "frequent_count", "tables", "parent")
-        self.__dict__.update({k: unpack(v[1], v[0])[0] if k in arrays and v is not None else v for k, v in found.items()})
+        self.__dict__.update({k: unpack(found[k][1], found[k][0])[0] if k in ARRAYS and v is not None else v for k, v in found.items()})
 
     def place(self, words: np.ndarray) -> np.ndarray:
         return place(self.frequent, words)
@@ -170,6 +171,13 @@ class State:
         return (np.maximum(customers - d * t, 0) + new) / (STRENGTH + self.customers), t
 
 
+def sharing(states: list[State]) -> list[State]:
+    """The states, with one copy of what they have in common."""
+    for state in states[1:]:
+        state.context, state.frequent, state.frequent_count = states[0].context, states[0].frequent, states[0].frequent_count
+    return states
+
+
 def seatings(states: list[State], words: np.ndarray, own: np.ndarray, context: np.ndarray, count: np.ndarray):
     """The seatings of the pairs of a shard: for each state, (state, tables, parent's probabilities).
 
@@ -205,6 +213,7 @@ def exchange(shards: DataFrame, state: State, states: list[State]) -> tuple[np.n
 
     def run(frames):
         context, frequent, sums = np.zeros(size, np.int64), np.zeros(n_frequent, np.int64), np.zeros(6, np.int64)
+        sharing(states)
         for f in frames:
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
@@ -346,6 +355,7 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
         states.append(updated(state, shards, states))
 
     def score(frames):
+        sharing(states)
         for f in frames:
             for row in f.to_dict("records"):
                 words, own, at, count = shard_arrays(row)
