@@ -1,12 +1,17 @@
 """Streams cut into several micro-batches give what the batch forms give."""
 
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from runledger.operators import history, tasks, telemetry
+from runledger.plans.catalog import QUERIES
+from runledger.plans.tables import Tables
 from runledger.streaming import jobs, keyed, liveness, states
 from runledger.streaming.running import SETTINGS, changes_of, changes_to, drain, for_each_batch, newest, stream_of
 
+SF_DIR = f"{DATA}/sf0.001"
+
 
 def rows_of(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
@@ -139,6 +144,24 @@ def test_current_events_are_judged_at_the_watermark(spark, tmp_path, log):
     assert {r["file_pos"] for r in got.where("k = 1").collect()} == passed | {r["file_pos"] for r in second}
 
 
+def test_current_events_wait_for_newer_attempts(spark, tmp_path, log):
+    """The native form: the batch answer in any order, events of the last hour too once the log is closed."""
+    rows = log.withColumn("ts_ms", F.col("ts_ms") + 1000).orderBy(F.xxhash64("k", "file_pos")).collect()
+    path = str(tmp_path / "in")
+    for part in (rows[::3], rows[1::3], rows[2::3], [(None, 1_000_000, None, "", -1, "h", None, 0)]):
+        feed(spark, path, part, log.schema)
+    got = drain(liveness.current_events(stream_of(spark, path, log.schema, files_per_batch=1), 100_000, "100 seconds"))
+    want = history.current_attempt(log.withColumn("ts_ms", F.col("ts_ms") + 1000)).drop("attempt", "session_id")
+    assert rows_of(got.where("k IS NOT NULL").drop("ts_ms")) == rows_of(want.drop("ts_ms"))
+
+
+def test_late_events_has_the_last_hour(spark):
+    t = Tables(spark, SF_DIR)
+    want = history.current_attempt(t.event_log).select("k", "file_pos", "kind")
+    assert rows_of(QUERIES["T10_late_events"](spark, SF_DIR)) == rows_of(want)
+    assert t.event_log.where(F.col("ts_ms") >= t.event_log.agg(F.max("ts_ms")).first()[0] - 3_600_000).count() > 0
+
+
 def test_countdown(spark, tmp_path, log):
     done = log.where("kind = 'TASK_FINISHED'").select("k", "role", "idx", "ts_ms")
     rows = log.where("kind = 'TASK_FINISHED'").select(
