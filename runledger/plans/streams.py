@@ -10,7 +10,7 @@ from runledger.operators import graph, rules, tasks, telemetry
 from runledger.plans.registry import ORACLES, query
 from runledger.plans.scalars import launched_tasks
 from runledger.plans.tables import Tables, pings_of, samples_of
-from runledger.plans.tasks import EDGES_SQL, LIMIT_MS, UNTRACKED, role_edges
+from runledger.plans.tasks import LIMIT_MS, UNTRACKED, role_edges
 from runledger.plans.telemetry import AVERAGE_SQL, EXPIRY_MS, GAP_SQL
 from runledger.session import scratch_dir, written
 from runledger.streaming import jobs, keyed, liveness, states
@@ -239,17 +239,14 @@ def gang_release(t: Tables):
     return tasks.gang_release(_launches(t), F.col("reg_ms"))
 
 
-@query(
-    "T13_dependency_countdown_stream",
-    f"""n AS (SELECT k, role AS depends_on, count(*) AS n, count(exit_code) AS done, max(end_ms) FILTER (exit_code IS NOT NULL) AS at_ms FROM tasks GROUP BY k, role)
-    SELECT k, e.role, depends_on, n - done AS left, n = done AS ready, at_ms FROM n JOIN {EDGES_SQL} USING (depends_on) WHERE done > 0""",
-    ("tasks",),
-)
+@query("T13_dependency_countdown_stream", ORACLES["W08_dependency_countdown"])
 def dependency_countdown_stream(t: Tables):
     done = t.tasks.where(predicates.is_completed()).select("k", "role", "idx", F.col("end_ms").alias("ts_ms"))
-    instances = written(tasks.role_summary(t.tasks).select("k", "role", "instances"), "instances")
-    left = states.dependency_countdown(_stream(t, done, "finishes"), instances, role_edges(t))
-    return state_of(left, ["k", "role", "depends_on"], "countdown")
+    # Applications of one week share a state, in parts.
+    week = t.apps.select("k", F.concat(F.floor(F.col("started_ms") / (7 * 86_400_000)), F.lit("/"), F.col("k") % 8).alias("bucket"))
+    roles = tasks.role_summary(t.tasks).select("k", "role", "instances").join(week, "k", "left")
+    instances = written(roles.withColumn("bucket", F.coalesce("bucket", F.lit(""))), "instances")
+    return drain(keyed.dependency_countdown(_stream(t, done, "finishes"), instances, role_edges(t)), label="countdown", keyed=True)
 
 
 @query(

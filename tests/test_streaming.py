@@ -178,6 +178,25 @@ def test_countdown(spark, tmp_path, log):
     assert got.select("batch").distinct().count() > 1
 
 
+def test_countdown_after_each_finish(spark, tmp_path, log):
+    rows = log.where("kind = 'TASK_FINISHED'").select(
+        "k", "role", "idx", F.lit("h").alias("host"), F.lit(0).alias("start_ms"), F.col("ts_ms").alias("end_ms"), "exit_code")
+    open_task = spark.createDataFrame([(3, "ps", 9, "h", 0, None, None)], rows.schema)
+    rows = rows.unionByName(open_task)
+    edges = spark.createDataFrame([("worker", "ps"), ("ps", "worker")], "role string, depends_on string")
+    instances = tasks.role_summary(rows).select("k", "role", "instances")
+    done = rows.where("exit_code IS NOT NULL").select("k", "role", "idx", F.col("end_ms").alias("ts_ms"))
+    want = rows_of(tasks.dependency_countdown(rows, edges))
+    for label, roles in (("apps", instances), ("buckets", instances.withColumn("bucket", F.col("k") % 2))):
+        stream = chunked(spark, tmp_path / label, done, ["ts_ms", "k"])
+        assert rows_of(drain(keyed.dependency_countdown(stream, roles, edges), keyed=True)) == want
+
+
+def test_countdown_stream_has_every_finish(spark):
+    want = QUERIES["W08_dependency_countdown"](spark, SF_DIR)
+    assert rows_of(QUERIES["T13_dependency_countdown_stream"](spark, SF_DIR)) == rows_of(want)
+
+
 def test_gang_release(spark, tmp_path):
     calls = [(1, "a", 5), (1, "b", 9), (2, "a", 4), (1, "c", 7), (2, "a", 6), (1, "a", 30), (3, "a", 8)]  # two tasks register again
     rows = spark.createDataFrame(calls, "k int, task string, ts_ms long")
