@@ -311,21 +311,24 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
             out = {"shard": [], "data": []}
             for places in np.split(by, edges):
                 first = np.flatnonzero(np.append(True, np.diff(code[places]) != 0))
-                used, doc = np.unique(own[places], return_inverse=True)
+                held = np.zeros(len(part), bool)
+                held[own[places]] = True
+                used, doc = np.flatnonzero(held), (np.cumsum(held, dtype=np.uint32) - np.uint32(1))[own[places]]
                 out["shard"].append(int(shard[places[0]]))
                 out["data"].append(pack(
                     words=hashes[code[places[first]]], entries=np.diff(np.append(first, len(places))).astype(np.uint32),
-                    context=context[places].astype(np.uint32), doc=doc.astype(np.uint32), n=n[places].astype(np.uint32),
+                    context=context[places].astype(np.uint32), doc=doc, n=n[places].astype(np.uint32),
                     rows=names[used], learned=learned[used].astype(np.uint8),
                 ))
             yield out
 
     def gather(frame):
         """All entries of a shard, sorted by word and context; the pairs and the texts that hold them."""
-        word, context, doc, n, rows, learned = [], [], [], [], [], []
+        word, entries, context, doc, n, rows, learned = [], [], [], [], [], [], []
         for data in frame["data"]:
-            w, entries, c, d, m, r, ok = unpack(data, "<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
-            word.append(np.repeat(w, entries))
+            w, e, c, d, m, r, ok = unpack(data, "<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
+            word.append(w)
+            entries.append(e)
             context.append(c)
             doc.append(d + np.uint32(sum(map(len, rows))))
             n.append(m)
@@ -333,19 +336,24 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
             learned.append(m * ok[d])
         rows, same = np.unique(np.concatenate(rows), return_inverse=True)  # equal rows are one text, as often as they occur
         doc = same.astype(np.uint32)[np.concatenate(doc)]
-        word, context, n, learned = map(np.concatenate, (word, context, n, learned))  # what is not used below is freed
-        by = np.lexsort((context, word))
-        word, context = word[by], context[by]
-        pair = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
+        # one number for word and context: a sort of numbers
+        words, code = np.unique(np.concatenate(word), return_inverse=True)
+        key = np.repeat(code.astype(np.uint64) << np.uint64(32), np.concatenate(entries)) | np.concatenate(context)
+        n, learned = map(np.concatenate, (n, learned))  # what is not used below is freed
+        del word, entries, context, code
+        by = np.argsort(key)
+        key = key[by]
+        pair = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.add.reduceat(learned[by], pair, dtype=np.uint64)
-        doc, n = doc[by], n[by]
-        del learned, by
-        first = np.flatnonzero(np.append(True, np.diff(word[pair]) != 0))
+        doc, n, size = doc[by], n[by], len(key)
+        word, context = (key[pair] >> np.uint64(32)).astype(np.int64), key[pair].astype(np.uint32)
+        del learned, by, key
+        first = np.flatnonzero(np.append(True, np.diff(word) != 0))
         return pd.DataFrame({
             "shard": frame["shard"][:1].to_numpy(),
-            "seats": [pack(words=word[pair[first]], pairs=np.diff(np.append(first, len(pair))).astype(np.uint32),
-                           context=context[pair], count=count)],
-            "texts": [pack(entries=np.diff(np.append(pair, len(word))).astype(np.uint32), doc=doc, n=n, rows=rows)],
+            "seats": [pack(words=words[word[first]], pairs=np.diff(np.append(first, len(pair))).astype(np.uint32),
+                           context=context, count=count)],
+            "texts": [pack(entries=np.diff(np.append(pair, size)).astype(np.uint32), doc=doc, n=n, rows=rows)],
         })
 
     sent = map_batches(docs, send, "shard int, data binary")
@@ -366,7 +374,8 @@ def pitman_yor_scores(df: DataFrame) -> DataFrame:
                     d = s.discounts[0]
                     p += (np.maximum(count - d * t, 0) + (STRENGTH + d * s.tables[at]) * parent[own]) / (STRENGTH + s.context[at])
                 entries, doc, n, rows = unpack(row["texts"], "<u4", "<u4", "<u4", "<i8")
-                add = lambda each: np.bincount(doc, weights=np.repeat(each, entries) * n, minlength=len(rows))
+                pair = np.repeat(np.arange(len(own), dtype=np.uint32), entries)
+                add = lambda each: np.bincount(doc, weights=each[pair] * n, minlength=len(rows))
                 known = known[own]
                 base = np.log10((known + 1) / (state.tokens + state.words + 1))
                 yield pd.DataFrame({"row": rows, "known": add(known > 0).astype(np.int64), "base": add(base), "model": add(np.log10(p / SAMPLES))})
