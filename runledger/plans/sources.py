@@ -155,8 +155,8 @@ def whole_text(t: Tables):
 def whole_files(t: Tables):
     """One text file for each log, written by Spark and read whole."""
     path = scratch_dir(t.spark, "logs")
-    t.logs.repartition(64, "task").write.partitionBy("task").text(path)
-    task = F.regexp_extract("path", r"task=(\d+)/", 1).cast("long")
+    store.write_files(t.logs, path, "task", "text")
+    task = F.regexp_extract("path", r"/task=(\d+)[^/]*$", 1).cast("long")
     return documents.read_whole_files(t.spark, path).select(task.alias("task"), "text")
 
 

@@ -39,6 +39,65 @@ def write_config(settings: DataFrame, path: str, by: str = "app", mode: str = "e
     ).save(path)
 
 
+#: Files of one folder of :func:`write_files`, and of one task.
+FOLDER_FILES, TASK_FILES = 2_000, 5_000
+
+
+def write_files(rows: DataFrame, path: str, by: str, column: str) -> None:
+    """A text file for each value of ``by``, a line for each of its rows with ``column`` (text or bytes), below
+    ``path/shard=<n>``; its path has ``<by>=<value>``.
+
+    In a folder that tasks can open they write the files themselves: Hadoop's local file system starts three processes for
+    each, to give it, its checksum and its folder their permissions. Elsewhere the writer makes a folder for each file.
+    """
+    spark = rows.sparkSession
+    many = rows.count()
+    shard = F.pmod(F.xxhash64(by), F.lit(many // FOLDER_FILES + 1)).alias("shard")
+    placed = rows.select(shard, by, F.col(column).cast("binary").alias("content")).repartition(max(64, many // TASK_FILES), by)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        text = placed.withColumn("content", F.col("content").cast("string"))
+        text.write.partitionBy("shard", by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    fs.mkdirs(base)
+    folder = fs.makeQualified(base).toUri().getPath()
+    named = placed.withColumn(by, F.col(by).cast("string")).sortWithinPartitions("shard", by)
+    named.mapInArrow(_files_in(folder, by), "files long").agg(F.sum("files")).collect()
+
+
+def _files_in(folder: str, by: str):
+    """Writes rows (shard, ``by``, content), in the order of the first two, as files; a file is there whole or not at all."""
+
+    def write(batches):
+        import os
+        from urllib.parse import quote
+        from uuid import uuid4
+
+        import pyarrow as pa
+
+        at, out, files, own = None, None, 0, uuid4().hex
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{folder}/shard={at[0]}/{by}={name(at[1])}.txt")
+
+        name = lambda value: "__HIVE_DEFAULT_PARTITION__" if value is None else quote(value, safe=" ")
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != at:
+                    close()
+                    at, files = row[:2], files + 1
+                    os.makedirs(f"{folder}/shard={at[0]}", exist_ok=True)
+                    out = open(f"{folder}/shard={at[0]}/.{own}", "wb")
+                out.write((row[2] or b"") + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
 def name_files(spark: SparkSession, path: str, name: str) -> int:
     """Give the one file that :func:`write_config` wrote in each folder of ``path`` the name ``name``; returns how many."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions.config import leading_float, leading_long
 from runledger.functions.env import SPEC
 from runledger.schemas import GPU_SNAPSHOT, SLOT_NUMBERS, SLOT_PLAN
+from runledger.sources.files import folder_by_folder
 
 
 def gpu_rows(docs: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -39,9 +40,11 @@ def read_gpu_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of each file, its lines joined without line ends."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), without_line_ends("value").alias("text"))
+    """(path, text) of each file below ``path``, its lines joined without line ends."""
+    whole = lambda reader, paths: reader.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), without_line_ends("value").alias("text")
+    )
+    return folder_by_folder(spark, path, whole, "whole-files")
 
 
 def without_line_ends(text: Column | str) -> Column:
@@ -73,4 +76,6 @@ def is_archive(content: Column | str) -> Column:
 
 
 def read_archive_flags(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", is_archive("content").alias("archive"))
+    """(path, archive) of each file below ``path``."""
+    flags = lambda reader, paths: reader.format("binaryFile").load(paths).select("path", is_archive("content").alias("archive"))
+    return folder_by_folder(spark, path, flags, "archive-flags")

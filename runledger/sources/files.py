@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.names import APP_ID, full_match
 from runledger.schemas import PROPERTY
+from runledger.session import in_force, scratch_dir
+
+#: Files that one scan takes at once: the driver keeps name and length of each, and a task opens some hundred.
+LISTED = 50_000
+SMALL_FILES = {"spark.sql.files.openCostInBytes": "65536", "spark.sql.sources.parallelPartitionDiscovery.threshold": "8"}
+
+
+def _scans(spark: SparkSession, path: str, most: int) -> list[list[str]]:
+    """What lies directly below ``path`` in lots of about ``most`` files, as far as the names one level down tell."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base) or fs.getFileStatus(base).isFile():
+        return []
+    lots, room, seen, inside = [], 0, 0, 0
+    for f in fs.listStatus(base):
+        name, n = f.getPath().getName(), 1
+        if name.startswith(".") or name.startswith("_") and "=" not in name:
+            continue
+        if f.isDirectory():  # beyond a hundred folders, as many files as in those
+            if seen < 100:
+                seen, inside = seen + 1, inside + len(fs.listStatus(f.getPath()))
+            n = max(1, inside // seen)
+        if not lots or room < n:
+            lots.append([])
+            room = max(n, most)
+        lots[-1].append(f.getPath().toString())
+        room -= n
+    return lots
+
+
+def folder_by_folder(
+    spark: SparkSession, path: str, read: Callable[[DataFrameReader, list[str]], DataFrame], label: str, most: int = LISTED
+) -> DataFrame:
+    """``read(reader, paths)`` of all files below ``path``, at any depth.
+
+    Up to ``most`` files, as far as the names tell, are one scan. More are read lot after lot, each written out before
+    the next is listed, so that the driver never holds the names of all.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", "true")
+    lots = _scans(spark, path, most)
+    if len(lots) < 2:
+        return read(reader(), [path])
+    out = scratch_dir(spark, label)
+    listers = max(32, 4 * spark.sparkContext.defaultParallelism)
+    with in_force(spark, SMALL_FILES | {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(listers)}):
+        for paths in lots:
+            found = read(reader().option("__globPaths__", "false"), paths)
+            found.write.mode("append").parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
 
 
 def listed_files(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:

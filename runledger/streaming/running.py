@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from runledger.session import scratch_dir
+from runledger.session import in_force, scratch_dir
 
 #: In force while a stream starts; it keeps them, the session does not.
 SETTINGS = {
@@ -30,15 +30,8 @@ KEYED = SETTINGS | {
 
 @contextmanager
 def settings(spark: SparkSession, keyed: bool = False):
-    asked = KEYED if keyed else SETTINGS
-    before = {k: spark.conf.get(k, None) for k in asked}
-    for k, v in asked.items():
-        spark.conf.set(k, v)
-    try:
+    with in_force(spark, KEYED if keyed else SETTINGS):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_of(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
