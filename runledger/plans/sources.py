@@ -212,8 +212,8 @@ def archive_flag(t: Tables):
 def archive_files(t: Tables):
     """One file for each part, written by Spark byte for byte, told apart by its first bytes."""
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    content = F.unhex(F.concat(head, F.hex(F.col("p_name").cast("binary")))).cast("string")
+    content = F.unhex(F.concat(head, F.hex(F.col("p_name").cast("binary"))))
     path = scratch_dir(t.spark, "archives")
-    t.raw("part").select(F.col("p_partkey").alias("part"), content.alias("value")).repartition(64, "part").write.partitionBy("part").text(path)
-    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long")
-    return documents.read_archive_flags(t.spark, f"{path}/*").select(part.alias("part"), "archive")
+    store.write_files(t.raw("part").select(F.col("p_partkey").alias("part"), content.alias("value")), path, "part", "value")
+    part = F.regexp_extract("path", r"/part=(\d+)[^/]*$", 1).cast("long")
+    return documents.read_archive_flags(t.spark, path).select(part.alias("part"), "archive")
