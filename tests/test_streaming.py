@@ -243,6 +243,32 @@ def test_unanswered_comes_out_as_the_limit_passes(spark, tmp_path):
     assert seen == [set(), set(), {1}, {1}]
 
 
+def test_joined_streams_keep_their_rows_on_disk(spark, tmp_path):
+    """State of a stream join lies in the store with files, not in the heap of the executors."""
+    from pathlib import Path
+
+    schema = spark.createDataFrame([], "k int, ts_ms long").schema
+    for side, rows in (("starts", [(1, 1), (2, 1), (9, 90_000)]), ("ends", [(2, 5_000), (9, 90_000)])):
+        feed(spark, str(tmp_path / side), rows, schema)
+    stream = liveness.app_timeouts(stream_of(spark, str(tmp_path / "starts"), schema), stream_of(spark, str(tmp_path / "ends"), schema), 10_000, "1 second")
+    assert [tuple(r) for r in drain(stream, label="joined-test", joined=True).collect()] == [(1, 1)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    state = [f for at in folder.glob("joined-test-*-state") for f in (at / "state").rglob("*")]
+    assert any(f.suffix == ".changelog" for f in state) and not any(f.suffix in (".delta", ".snapshot") for f in state)
+
+
+def test_starts_begin_their_logs(spark):
+    """The first of a log by time, an application's event before a task's; no time comes before any."""
+    from types import SimpleNamespace
+
+    from runledger.plans.streams import _starts
+
+    init, task = "APPLICATION_INITED", "TASK_STARTED"
+    log = [(1, 10, init), (1, 10, task), (1, 20, init), (2, 10, init), (2, 9, task), (3, 10, init), (3, None, task), (4, None, init), (4, None, task), (5, 7, init), (5, 7, init), (6, -3, init)]
+    rows = spark.createDataFrame(log, "k int, ts_ms long, kind string")
+    assert sorted(map(str, (tuple(r) for r in _starts(SimpleNamespace(event_log=rows)).collect()))) == ["(1, 10)", "(4, None)", "(5, 7)", "(6, -3)"]
+
+
 def test_first_reason(spark, tmp_path):
     rows = [(1, 50, "client_stop"), (1, 20, "all_tracked_done"), (1, 20, "unhealthy"), (2, 9, "timeout"), (2, 8, "startup_failed"), (3, 1, "bad_graph")]
     signals = spark.createDataFrame(rows, "k int, at_ms long, reason string")
