@@ -45,6 +45,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files behind it go with the driver's garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

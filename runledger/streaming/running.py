@@ -54,6 +54,12 @@ def with_clock(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
 
 
+def _ended(spark: SparkSession, running) -> None:
+    """Wait for a stream. Shuffle files of past batches go when the driver's garbage does, which it may not collect for long."""
+    while not running.awaitTermination(30):
+        spark.sparkContext._jvm.System.gc()
+
+
 def drain(stream: DataFrame, mode: str = "append", label: str = "stream", keyed: bool = False, joined: bool = False) -> DataFrame:
     """Run a stream until its source is empty and return what it wrote. ``keyed``: it holds an operator of ``streaming.keyed``,
     ``joined``: a join of streams."""
@@ -63,7 +69,7 @@ def drain(stream: DataFrame, mode: str = "append", label: str = "stream", keyed:
     writer = writer.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     with settings(spark, keyed, joined):
         running = writer.start(out)
-    running.awaitTermination()
+    _ended(spark, running)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -80,7 +86,7 @@ def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, str, int], None
     writer = stream.writeStream.outputMode(mode).foreachBatch(numbered).option("checkpointLocation", checkpoint)
     with settings(spark, keyed):
         running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
+    _ended(spark, running)
 
 
 def changes_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", keyed: bool = False) -> None:

@@ -155,6 +155,23 @@ def test_current_events_wait_for_newer_attempts(spark, tmp_path, log):
     assert rows_of(got.where("k IS NOT NULL").drop("ts_ms")) == rows_of(want.drop("ts_ms"))
 
 
+def test_large_tables_come_in_more_batches(spark, tmp_path, monkeypatch):
+    """Of a table beyond four batches of a file a core, each batch holds the next in time, and no row comes late or twice."""
+    from runledger.plans import streams
+
+    rows = spark.range(900).select((F.col("id") * 7919 % 900 * 1000).alias("ts_ms"), "id").withColumn("ts_ms", F.when(F.col("id") != 5, F.col("ts_ms")))
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    stream = streams._stream(Tables(spark, SF_DIR), rows, "many", bounded=True)
+    changes_to(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = changes_of(spark, str(tmp_path / "out"), stream.schema)
+    assert rows_of(got.select("id")) == rows_of(rows.select("id"))
+    spans = got.groupBy("batch").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("batch").collect()
+    assert len(spans) > streams.BATCHES and max(r["n"] for r in spans) < 200 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+    monkeypatch.setattr(streams, "FILE_ROWS", 400)
+    late, log = QUERIES["T10_late_events"](spark, SF_DIR), Tables(spark, SF_DIR).event_log
+    assert rows_of(late) == rows_of(history.current_attempt(log).select("k", "file_pos", "kind"))
+
+
 def test_late_events_has_the_last_hour(spark):
     t = Tables(spark, SF_DIR)
     want = history.current_attempt(t.event_log).select("k", "file_pos", "kind")
