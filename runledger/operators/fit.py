@@ -116,6 +116,10 @@ def softmax_score(model, rows: DataFrame, features: str) -> DataFrame:
     )
 
 
+#: Bytes of a message among the members of a gang, all of which pass through the driver.
+MESSAGE = 1 << 20
+
+
 def descent_fit(
     rows: DataFrame, features: str, label: str, key: str, classes: int, members: int, batch: int = 256,
     epochs: int = 1, rate: float = 0.5, penalty: float = 0.0,
@@ -123,11 +127,16 @@ def descent_fit(
     """Weights (one row a class, the last column the intercepts) of a softmax classifier, trained by a gang of members.
 
     Rows are dealt to the members by a hash of ``key`` and taken in its order. In each step every member takes its next
-    ``batch`` rows, and all move by the mean of their gradients, unweighted, which they gather from one another; a
-    member without rows left has no part in the mean. An epoch is one pass over the rows, which stream by, and one
-    barrier stage: what is held is a batch and the weights. A lost member starts the epoch anew with the same weights.
+    ``batch`` rows, and all move by the mean of their gradients, unweighted; a member without rows left has no part in
+    the mean. An epoch is one pass over the rows, which stream by, and one barrier stage. A lost member starts the epoch
+    anew with the same weights.
+
+    A call among the members takes a second, however short its messages. So they gather batches from one another, as many
+    as ``MESSAGE`` bytes hold, and each works out the steps of these, which are the same for all; of batches so large that
+    a message holds one, they gather the gradients. What is held is a message of each member and the weights.
     """
     import base64
+    from itertools import islice
 
     import numpy as np
     import pandas as pd
@@ -139,20 +148,37 @@ def descent_fit(
     if width is None:
         return weights
 
+    ahead = max(1, MESSAGE // (8 * batch * (width + 2)))
+
     def epoch(start):
         def member(frames):
             from pyspark import BarrierTaskContext
 
             gang, w, steps = BarrierTaskContext.get(), start.copy(), 0
             batches = batches_of(frames, batch)
+            gather = lambda block: [
+                np.frombuffer(base64.b64decode(m)) for m in gang.allGather("" if block is None else base64.b64encode(block.tobytes()).decode())
+            ]
             while True:
-                taken = next(batches, None)
-                mine = "" if taken is None else base64.b64encode(gradient(w, *taken, penalty).tobytes()).decode()
-                gathered = [np.frombuffer(base64.b64decode(m)).reshape(w.shape) for m in gang.allGather(mine) if m]
-                if not gathered:
+                taken = list(islice(batches, ahead))
+                if ahead > 1:
+                    rows = [np.hstack([x, y[:, None]]) for x, y in taken]
+                    theirs = [b.reshape(-1, width + 2) for b in gather(np.vstack(rows) if rows else None)]
+                    of = lambda b, i: b[i * batch : (i + 1) * batch]
+                    moves = lambda: (
+                        [gradient(w, np.ascontiguousarray(x[:, :-1]), x[:, -1].astype(int), penalty) for b in theirs if len(x := of(b, i))]
+                        for i in range(ahead)
+                    )
+                else:
+                    mine = gradient(w, *taken[0], penalty) if taken else None
+                    gathered = [g.reshape(w.shape) for g in gather(mine) if len(g)]
+                    moves = lambda: iter([gathered])
+                before = steps
+                for each in moves():
+                    if each:
+                        w, steps = w - rate * sum(each) / len(each), steps + 1
+                if steps == before:
                     break
-                w = w - rate * sum(gathered) / len(gathered)
-                steps += 1
             yield pd.DataFrame({"rank": [gang.partitionId()], "steps": [steps], "weights": [w.ravel()]})
         return member
 

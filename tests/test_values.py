@@ -436,3 +436,19 @@ def test_snapshots_with_copies(spark):
 def test_cross_entropy(spark):
     loss = one(spark, fit.cross_entropy(F.array(F.lit(1.0), F.lit(2.0)), F.lit(1)), x=1)
     assert loss == pytest.approx(0.3132617)
+
+
+def test_descent_takes_many_steps_a_call(spark, monkeypatch):
+    """A call among members takes a second: 60 steps need a few, and give what a call a step gives."""
+    import time
+
+    import numpy as np
+
+    rows = spark.range(240).select("id", F.array(*(((F.col("id") * p) % 7).cast("double") for p in (3, 5))).alias("x"), (F.col("id") % 3).cast("int").alias("y"))
+    start = time.time()
+    got = fit.descent_fit(rows, "x", "y", "id", 3, 2, batch=2, rate=0.1)
+    assert time.time() - start < 30
+    few = rows.limit(30)
+    want = fit.descent_fit(few, "x", "y", "id", 3, 2, batch=4, rate=0.1)
+    monkeypatch.setattr(fit, "MESSAGE", 1)
+    assert np.array_equal(fit.descent_fit(few, "x", "y", "id", 3, 2, batch=4, rate=0.1), want) and np.abs(got).max() > 0
