@@ -348,7 +348,12 @@ REASON_VIEWS = ("apps", "tasks", "app_rules", "app_edges", "app_members", "app_g
 
 
 def signals(t: Tables) -> DataFrame:
-    """k, at_ms, reason of everything that can end an application, by its own settings."""
+    """k, at_ms, reason of everything that can end an application, by its own settings.
+
+    Tasks are built once and each kind of signal is written out before the next is looked for, so that what is shuffled for
+    one is gone by then.
+    """
+    t.write_once("tasks")
     k = F.col("k")
     stops = t.apps.where("k % 23 = 5").select(
         "k", (F.col("started_ms") + 600_000 * (1 + k % 7)).alias("ts_ms"), F.lit("").alias("role"), F.lit(states.CLIENT_STOP).alias("kind"), F.lit(0).alias("exit_code"))
@@ -357,10 +362,13 @@ def signals(t: Tables) -> DataFrame:
     launches, log = _launches(t), t.event_log
     present = tasks.role_summary(t.tasks).select("k", "role", "instances")
     sound = graph.acyclic(present.select(k.alias("app"), "role"), t.app_edges.withColumnRenamed("k", "app")).where("NOT acyclic")
-    events = log.where("kind LIKE 'TASK%' OR file_pos = 0").select(*stops.columns).unionByName(stops).unionByName(prepared)
+    starts = _starts(t)
+    begun = starts.select("k", "ts_ms", F.lit("").alias("role"), F.lit("APPLICATION_INITED").alias("kind"), F.lit(None).cast("int").alias("exit_code"))
+    events = log.where("kind = 'TASK_FINISHED'").select(*stops.columns)  # of a task only its end says anything
+    events = events.unionByName(begun).unionByName(stops).unionByName(prepared)
     ruled = rules.with_rules(events, t.job_settings, hot=t.hot_apps).join(sound.select(F.col("app").alias("k"), (F.col("app") % 4 == 1).alias("bad_graph")), "k", "left")
     ruled = ruled.withColumns({"bad_graph": F.coalesce("bad_graph", F.lit(False)), "single_node": k % 3 == 0})
-    ends, starts = log.where("kind = 'APPLICATION_FINISHED'"), _starts(t)
+    ends = log.where("kind = 'APPLICATION_FINISHED'")
     named = lambda rows, at, reason: rows.select("k", at.alias("at_ms"), F.lit(reason).alias("reason"))
     ts = F.col("ts_ms")
     roles_of = launched_tasks(t).select("k", "role", "idx", "start_ms", "end_ms", "exit_code", "host")
@@ -376,9 +384,10 @@ def signals(t: Tables) -> DataFrame:
         named(liveness.failed_before_registering(failures, came, 86_400_000, DELAY), ts, "startup_failed"),
         named(tasks.all_ended(tracked), F.col("at_ms"), "all_tracked_done"),
     ]
-    every = found[0]
-    for rows in found[1:]:
-        every = every.unionByName(rows)
+    every = None
+    for rows in found:
+        rows = written(rows, "signal")
+        every = rows if every is None else every.unionByName(rows)
     return every
 
 

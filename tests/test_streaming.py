@@ -295,6 +295,16 @@ def test_first_reason(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_signals_read_what_is_written(spark):
+    """Each kind of signal is a table of its own, built on tasks that were written once: no shuffle is left behind it."""
+    from runledger.plans.streams import signals
+
+    t = Tables(spark, SF_DIR)
+    plan = signals(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 6 and "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+    assert "Join" not in t.tasks._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_event_signals(spark):
     rows = [
         (1, 1, "APPLICATION_INITED", "", None, True, False, False, False, True), (1, 2, "PREPROCESS_FINISHED", "", 3, True, False, False, True, False),
